@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import exact_dedup, quality_rules
+from siltworks.llm import exact_dedup, mixing, quality_rules
 from siltworks.llm.scale import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,9 +23,15 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*docs.columns)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", clean),
     ("exact_dedup", distinct_texts),
+    ("mix_sources", mix),
 ]
 
 #: The last stage's ids follow a tokenizer's merge ranks, which SQL does not express.
