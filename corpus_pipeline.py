@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import exact_dedup, mixing, quality_rules
+from siltworks.llm import bpe, exact_dedup, mixing, quality_rules
 from siltworks.llm.scale import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,10 +28,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of their decoding, a row for each copy of a document."""
+    return bpe.bpe_report(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", clean),
     ("exact_dedup", distinct_texts),
     ("mix_sources", mix),
+    ("byte_bpe", tokens),
 ]
 
 #: The last stage's ids follow a tokenizer's merge ranks, which SQL does not express.

@@ -44,10 +44,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, with its own schema."""
+def scratch_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it with its own schema."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
