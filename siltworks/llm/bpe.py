@@ -8,7 +8,8 @@ lists while only distinct words shuffle. Three steps, cut by tables in the share
    words are dealt to buckets by hash, one packed row a block and bucket.
 2. *Encode*: a bucket meets all blocks' words; it runs the merges once for each distinct word and answers
    each block with the ids in the block's own order.
-3. *Reassemble*: a block's answers and documents meet, and each document's numbers turn into ids by place.
+3. *Reassemble*: a block's answers come to its documents, which lie bucketed by block and do not shuffle, and
+   each document's numbers turn into ids by place.
 
 A word that fills the corpus is one entry a block, so no key is hot. A block holds at most
 ``BLOCK_CHARS`` characters (or one longer document), which bounds the memory of steps 1 and 3; the number of
@@ -28,11 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.scale import scratch_table
+from siltworks.scratch import scratch_buckets
 
 BLOCK_CHARS = 16_000_000
-#: Documents that leave a task in one Arrow batch, and the ids in it.
-OUT_IDS = 2_000_000
 
 PACKED = T.StructType(
     [
@@ -205,41 +204,15 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, which: np.nd
     return flat[at]
 
 
-def _reassemble(keys: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers, words = None, [], None
-        out_ids: list[np.ndarray] = []
-        out_keys: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, out_ids), np.int64, len(out_ids))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.concatenate(out_ids) if out_ids else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
-            rest = pa.Table.from_batches(out_keys).combine_chunks()
-            columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in rest.columns]
-            out = pa.RecordBatch.from_arrays([*columns, ids], names=[*keys, "ids"])
-            out_ids.clear()
-            out_keys.clear()
-            return out
-
-        for batch in batches:
-            found, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, (b, row) in enumerate(zip(found, rows, strict=True)):
-                if b != block:
-                    block, answers, words = b, [], None
-                codes = unpack(batch.column(4)[i].as_py())
-                if row < 0:
-                    answers.append((codes, *_answer(batch.column(3)[i].as_py())))
-                    continue
-                if words is None:
-                    words, answers = _merge_answers(answers), []
-                out_ids.append(gather(*words, codes) if len(codes) else np.empty(0, np.uint32))
-                out_keys.append(batch.slice(i, 1).select(keys))
-                if sum(map(len, out_ids[-64:])) >= OUT_IDS or len(out_ids) >= 1000:
-                    yield flush()
-        if out_ids:
-            yield flush()
+def _reassemble(keys: list[str], schema: pa.Schema):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        found = zip(answers.column("codes"), answers.column("payload"), strict=True)
+        words = _merge_answers([(unpack(c.as_py()), *_answer(p.as_py())) for c, p in found])
+        ids = [gather(*words, unpack(c.as_py())) for c in docs.column("codes")]
+        offsets = np.cumsum([0, *map(len, ids)])
+        values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values.astype(np.int32), pa.int32()))
+        return docs.select(keys).append_column("ids", lists.cast(schema.field("ids").type)).cast(schema)
 
     return run
 
@@ -269,20 +242,21 @@ def encode_bpe(
     keys = [f"k{i}" for i in range(len(key_cols))]
     slim = df.select(F.col(text_col).alias("text"), *[F.col(c).alias(k) for k, c in zip(keys, key_cols, strict=True)])
     carried = T.StructType([T.StructField(k, slim.schema[k].dataType, True) for k in keys])
-    buckets = max(8, min(4096, slim.rdd.getNumPartitions()))
+    parts = max(8, slim.rdd.getNumPartitions())
+    buckets = min(4096, parts)
     exploded = slim.mapInArrow(
         _explode(pattern, buckets, keys, _arrow_fields(carried)), T.StructType([*PACKED.fields, *carried.fields])
     )
-    exploded = scratch_table(exploded.withColumn("kind", F.when(F.col("row") < 0, 1).otherwise(0)), "bpe-words", "kind")
+    exploded = exploded.withColumn("kind", F.when(F.col("row") < 0, 1).otherwise(0))
+    exploded = scratch_buckets(exploded, "bpe-words", parts, "block", "kind")
     shared = spark.sparkContext.broadcast(ranks)
     words = exploded.where("kind = 1").select("block", "bucket", "payload", "codes")
     by_bucket = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket.mapInArrow(_encode(shared, pattern), PACKED)
-    both = exploded.where("kind = 0").select(*PACKED.names, *keys).unionByName(answers, allowMissingColumns=True)
-    blocks = max(8, slim.rdd.getNumPartitions())
-    together = both.repartition(blocks, "block").sortWithinPartitions("block", F.col("row") >= 0, "row")
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)
-    out = together.mapInArrow(_reassemble(keys), T.StructType([*carried.fields, ids]))
+    answers = by_bucket.mapInArrow(_encode(shared, pattern), PACKED).select("block", "payload", "codes")
+    docs = exploded.where("kind = 0").select("block", "codes", *keys)
+    out_schema = T.StructType([*carried.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)])
+    together = docs.groupBy("block").cogroup(answers.groupBy("block"))
+    out = together.applyInArrow(_reassemble(keys, _arrow_fields(out_schema)), out_schema)
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, key_cols, strict=True)], "ids")
 
 

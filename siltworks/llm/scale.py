@@ -1,71 +1,29 @@
 """Shared plumbing for operators that must survive skew and lost executors.
 
-* ``scratch_table`` cuts lineage with a Parquet table in the folder that the cluster shares
-  (``spark.checkpoint.dir``); a lost executor re-reads files instead of recomputing.
 * ``repeat_filter`` / ``may_repeat`` are the two passes of a Bloom filter over 64-bit hashes.
-* ``attach_by_key`` joins per-key facts back to rows when one key may own a third of them.
+* ``scratch_table`` and ``attach_by_key`` come from the library: tables in the shared folder, and joins in
+  which one key may own a third of the rows.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.skew import attach_by_key
+from siltworks.scratch import clear_scratch, drop_path, scratch_path, scratch_table, shared_dir
+
+__all__ = [
+    "attach_by_key", "clear_scratch", "drop_path", "filter_bits", "let", "may_repeat", "repeat_filter",
+    "scratch_path", "scratch_table", "shared_dir",
+]
+
 #: Bits in one block of a filter: what ``bitmap_construct_agg`` packs into 4,096 bytes.
 BLOCK_BITS = 32_768
 #: A filter never has more bits than this (128 MB); beyond it more rows shuffle, none is lost.
 MAX_FILTER_BITS = 1 << 30
 MIN_FILTER_BITS = 1 << 20
 
-_scratch: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltworks-"))
-        set_dir = spark.sparkContext.getCheckpointDir()
-    return set_dir.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/siltworks/{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(clear_scratch, spark)
-    _scratch.append(path)
-    return path
-
-
-def scratch_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it with its own schema."""
-    path = scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this process's scratch tables; call it once their results are stored."""
-    while _scratch:
-        try:
-            drop_path(spark, _scratch.pop())
-        except Exception:  # noqa: BLE001 - the JVM may be gone at exit; files are then left behind
-            return
-
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a variable."""
@@ -81,8 +39,8 @@ def filter_bits(n_rows: int) -> int:
     return max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, 1 << max(0, 16 * n_rows - 1).bit_length()))
 
 
-def repeat_filter(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
-    """First pass: the bits that were set at least twice, as ``(block, bits)`` rows.
+def repeat_filter(hashes: DataFrame, hash_col: str, bits: int, least: int = 2) -> DataFrame:
+    """First pass: the bits that were set at least ``least`` times, as ``(block, bits)`` rows.
 
     Each row sets two bits. Only 8-byte slots shuffle, pre-aggregated in each task. The result has at
     most ``bits / 32768`` rows of 4 KB: 128 MB for ``MAX_FILTER_BITS``. Null hashes set nothing.
@@ -92,7 +50,7 @@ def repeat_filter(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
         .select(F.explode(F.array(*_slots(F.col(hash_col), bits))).alias("slot"))
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .where(F.col("n") >= least)
     )
     return twice.groupBy(F.floor(F.col("slot") / BLOCK_BITS).cast("long").alias("block")).agg(
         F.bitmap_construct_agg(F.pmod("slot", F.lit(BLOCK_BITS))).alias("bits")
@@ -115,19 +73,3 @@ def may_repeat(rows: DataFrame, hash_col: str, blocks: DataFrame, bits: int, fla
     slots = _slots(F.col(hash_col), bits)
     both = _bit(F.col("__bits0"), slots[0]) & _bit(F.col("__bits1"), slots[1])
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], both.alias(flag))
-
-
-def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, n_col: str, n_rows: int) -> DataFrame:
-    """Left join ``facts`` (one row a ``key``) to ``rows``; a key may own any share of the rows.
-
-    ``n_col`` counts the rows of a key. Keys with more than ``max(512, n_rows / 4096)`` rows number at
-    most 4,096 and are broadcast, so their rows stay where they are; the others shuffle evenly.
-    Both inputs are read more than once: pass tables, not long lineages.
-    """
-    cut = max(512, n_rows // 4096)
-    hot = facts.where(F.col(n_col) > cut)
-    warm = facts.where(F.col(n_col) <= cut)
-    names = hot.select(F.col(key).alias("__hot"))
-    at_hot = rows.join(F.broadcast(hot), key, "inner")
-    at_rest = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti").join(warm, key, "left")
-    return at_hot.unionByName(at_rest)
