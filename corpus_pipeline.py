@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe, exact_dedup, mixing, quality_rules
+from siltworks.llm import bpe, exact_dedup, minhash, mixing, quality_rules
 from siltworks.llm.scale import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,6 +23,11 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*docs.columns)
 
 
+def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates (five words, similarity 0.8) the document with the least id stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -36,6 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", clean),
     ("exact_dedup", distinct_texts),
+    ("minhash_dedup", distinct_enough),
     ("mix_sources", mix),
     ("byte_bpe", tokens),
 ]
