@@ -7,14 +7,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.skew import attach_by_key
 from siltworks.scratch import clear_scratch, drop_path, scratch_path, scratch_table, shared_dir
 
 __all__ = [
-    "attach_by_key", "clear_scratch", "drop_path", "filter_bits", "let", "may_repeat", "repeat_filter",
+    "attach_by_key", "bound_batches", "clear_scratch", "drop_path", "filter_bits", "let", "may_repeat", "repeat_filter",
     "scratch_path", "scratch_table", "shared_dir",
 ]
 
@@ -25,6 +25,13 @@ MAX_FILTER_BITS = 1 << 30
 MIN_FILTER_BITS = 1 << 20
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers ``rows`` rows at once where the session has Spark's default of 10,000: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a variable."""
     return F.transform(F.array(value), body).getItem(0)
