@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe, exact_dedup, minhash, mixing, quality_rules, warc
+from siltworks.llm import bpe, exact_dedup, licences, minhash, mixing, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,7 @@ def _register(name: str, table: str, report: Callable[[DataFrame], DataFrame], o
 
 _register("op1_minhash_dedup", "documents", minhash.near_dedup_report, minhash.ORACLE)
 _register("op5_exact_dedup", "documents", exact_dedup.dedup_report, exact_dedup.ORACLE)
+_register("op6_licence_scan", "documents", licences.licence_report)
 _register("op7_mix_sources", "documents", mixing.mix_report, mixing.ORACLE)
 _register("op8_warc_revisits", "pages", warc.warc_report, warc.ORACLE)
 _register("op9_quality_rules", "documents", quality_rules.quality_report, quality_rules.ORACLE)
