@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe, chat, exact_dedup, html_extract, licences, minhash, mixing, quality_rules, warc
+from siltworks.llm import bpe, chat, classifier, exact_dedup, html_extract, licences, minhash, mixing, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,7 @@ def _register(name: str, table: str, report: Callable[[DataFrame], DataFrame], o
 
 
 _register("op1_minhash_dedup", "documents", minhash.near_dedup_report, minhash.ORACLE)
+_register("op2_quality_classifier", "documents", classifier.quality_report)
 _register("op3_html_text", "pages", html_extract.extract_report)
 _register("op4_chat_rotation", "conversations", chat.chat_report, chat.ORACLE)
 _register("op5_exact_dedup", "documents", exact_dedup.dedup_report, exact_dedup.ORACLE)
