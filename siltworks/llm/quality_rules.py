@@ -18,14 +18,15 @@ class LineRules:
     """What fails a line, and how much text a document may lose.
 
     A line fails by punctuation if more than ``max_symbol_share`` of its characters are ``#*$%&|<>{}~^\\_=``
-    or ``!``, or if it has at most ``max_open_words`` words and no closing mark; by navigation if it holds
-    ``min_separators`` menu separators, or is a short line that starts with a menu word and has no closing
+    or ``!``, or if it has at most ``max_open_words`` words and no closing mark; by navigation if it has ``min_separators`` menu
+    separators and they are ``min_separator_share`` of its words or more, or if it is a short line that starts with a menu word and has no closing
     mark; by boilerplate if a short line holds one of the stock phrases.
     """
 
     max_symbol_share: float = 0.1
     max_open_words: int = 3
     min_separators: int = 2
+    min_separator_share: float = 0.2
     max_menu_words: int = 8
     max_boiler_words: int = 30
     min_kept_share: float = 0.5
@@ -51,7 +52,7 @@ def base_counts(text: Column) -> dict[str, Column]:
     return {
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-        "n_symbols": (F.length(safe) - F.length(F.translate(safe, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": (F.length(safe) - F.length(F.regexp_replace(safe, "[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
@@ -59,17 +60,13 @@ def base_counts(text: Column) -> dict[str, Column]:
 def repeated_words(w: Column) -> Column:
     """Words inside windows of five that occur twice or more in the text.
 
-    Windows are 64-bit hashes. A sort of plain longs finds whether any repeats; only then are hashes
-    sorted with their places. Linear space and n log n time, whatever the text repeats.
+    Windows are 64-bit hashes of word hashes. Only if any repeats are they sorted with their places.
+    Linear space and n log n time, whatever the text repeats. Arrays are bound as variables, so that no
+    rewrite of the plan evaluates them once an element.
     """
-    starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
 
     def covered(at: Column) -> Column:
-        reach = F.transform(
-            at,
-            lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))),
-        )
+        reach = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))))
         return F.aggregate(reach, F.lit(0).cast("long"), lambda s, x: s + x)
 
     def places(pairs: Column) -> Column:
@@ -81,27 +78,35 @@ def repeated_words(w: Column) -> Column:
         return let(F.array_sort(F.transform(twin, lambda x: x["p"])), covered)
 
     def count(h: Column) -> Column:
-        distinct = let(F.sort_array(h), lambda s: F.exists(
-            F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1)
-        ))
         pairs = F.array_sort(F.transform(h, lambda x, p: F.struct(x.alias("h"), p.alias("p"))))
-        return F.when(F.size(h) < 2, 0).when(~distinct, 0).otherwise(let(pairs, places))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(pairs, places))
+
+    def windows(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
 
-    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(hashes, count)).cast("long")
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    found = let(hashed, lambda h: F.when(F.size(h) <= WINDOW, F.lit(0)).otherwise(let(windows(h), count)))
+    return found.cast("long")
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a non-blank line breaks a punctuation, navigation or boilerplate rule."""
-    n = F.size(words(line))
-    open_end = ~F.rtrim(line).rlike(CLOSED)
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    punctuation = (symbols > F.lit(rules.max_symbol_share) * F.length(line)) | (open_end & (n <= rules.max_open_words))
-    separators = F.size(F.split(line, SEPARATOR)) - 1
-    navigation = (separators >= rules.min_separators) | (
-        open_end & (n <= rules.max_menu_words) & F.ltrim(line).rlike(MENU)
-    )
-    boilerplate = (n <= rules.max_boiler_words) & line.rlike(BOILER)
-    return punctuation | navigation | boilerplate
+    """Whether a line with words breaks a punctuation, navigation or boilerplate rule; blank lines break none."""
+
+    def broken(n: Column) -> Column:
+        open_end = ~F.rtrim(line).rlike(CLOSED)
+        symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
+        punctuation = ((n <= rules.max_open_words) & open_end) | (symbols > F.lit(rules.max_symbol_share) * F.length(line))
+        few = n <= rules.max_menu_words
+        separated = let(
+            F.size(F.split(line, SEPARATOR)) - 1,
+            lambda k: (k >= rules.min_separators) & (k >= F.lit(rules.min_separator_share) * n),
+        )
+        navigation = (line.rlike(SEPARATOR) & separated) | (few & open_end & F.ltrim(line).rlike(MENU))
+        boilerplate = (n <= rules.max_boiler_words) & line.rlike(BOILER)
+        return (n > 0) & (punctuation | navigation | boilerplate)
+
+    return let(F.size(words(line)), broken)
 
 
 def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -122,13 +127,10 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     out = out.withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     )
-    blank = lambda x: ~x.rlike("[^\\x20\\x09-\\x0D]")
-    out = out.withColumn("__good", F.filter(F.split(text, "\n"), lambda x: blank(x) | ~line_fails(x, rules)))
-    chars = lambda x: F.length(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", ""))
-    out = out.withColumn("clean_text", F.array_join("__good", "\n")).drop("__good")
-    out = out.withColumn(
-        "clean_share", F.when(F.col("word_chars") > 0, chars(F.col("clean_text")) / F.col("word_chars")).otherwise(0.0)
-    )
+    out = out.withColumn("clean_text", F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, rules)), "\n"))
+    left = F.length(F.regexp_replace("clean_text", "[\\x20\\x09-\\x0D]+", ""))
+    left = F.when(F.length("clean_text") == F.length(text), F.col("word_chars")).otherwise(left)
+    out = out.withColumn("clean_share", F.when(F.col("word_chars") > 0, left / F.col("word_chars")).otherwise(0.0))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("clean_share") >= rules.min_kept_share))
 
 
@@ -141,7 +143,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, with failed lines removed from ``text`` and ``n_chars`` (if present) counted anew."""
-    out = clean_lines(docs).where("kept").withColumn("text", F.col("clean_text"))
+    # The id that each row gets is no part of the rule: it only keeps the filter above the projection, where
+    # the optimizer would otherwise evaluate all rules once more.
+    out = clean_lines(docs).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
+    out = out.withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -167,11 +172,12 @@ WITH t AS (
 ), lines AS (
   SELECT rid, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n,
          NOT regexp_matches(rtrim(l, ' '), '{_SQL_CLOSED}') AS open_end,
-         length(l) - length(regexp_replace(l, '[#*$%&|<>{{}}~^\\\\_=!]', '', 'g')) AS sym
+         length(l) - length(regexp_replace(l, '[#*$%&|<>{{}}~^\\\\_=!]', '', 'g')) AS sym,
+         len(regexp_extract_all(l, '{_SQL_SEPARATOR}')) AS seps
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM t)
 ), good AS (
   SELECT rid, sum(CASE WHEN sym > 0.1 * length(l) OR (open_end AND n <= 3)
-      OR len(regexp_extract_all(l, '{_SQL_SEPARATOR}')) >= 2
+      OR (seps >= 2 AND seps >= 0.2 * n)
       OR (open_end AND n <= 8 AND regexp_matches(ltrim(l, ' '), '{MENU}'))
       OR (n <= 30 AND regexp_matches(l, '{_SQL_BOILER}'))
     THEN 0 ELSE length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) END) AS chars,
