@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siltworks.plans import queries_analytics, queries_curation, queries_extra, queries_scalar, queries_sources  # noqa: F401
+from siltworks.plans.registry import COVERS, ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["COVERS", "FLAGSHIP", "ORACLES", "QUERIES"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "leakage_split"

@@ -1 +1 @@
-
+"""Scans, catalogues and sinks."""

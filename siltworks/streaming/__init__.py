@@ -1 +1 @@
-
+"""Structured Streaming: protocol logs and event replay."""
