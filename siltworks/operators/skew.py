@@ -20,4 +20,5 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, n_col: str, n_row
     names = hot.select(F.col(key).alias("__hot"))
     at_hot = rows.join(F.broadcast(hot), key, "inner")
     at_rest = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti").join(warm, key, "left")
-    return at_hot.unionByName(at_rest)
+    order = [*rows.columns, *[c for c in facts.columns if c != key]]
+    return at_hot.unionByName(at_rest).select(*[f"`{c}`" for c in order])
