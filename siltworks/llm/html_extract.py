@@ -66,6 +66,9 @@ GOOD_NAME = re.compile(
 STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|js)[_-]\S+", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: How lines about the site, not the article, begin.
+SITE_LINE = re.compile(r"(copyright\b|©|\(c\)\s*\d{4}|all rights reserved|powered by\b|share this\b|skip to\b)", re.I)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -228,6 +231,8 @@ def _first_pass(block: Block, text: str, rules: BlockRules, in_article: bool) ->
         return "bad"
     if in_article and block.place == "inside":
         return "short" if len(text) < rules.short_chars else "good"
+    if len(text) < rules.short_chars and SITE_LINE.match(text):
+        return "bad"
     words = WORD.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(text) < rules.short_chars:
