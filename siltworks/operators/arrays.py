@@ -216,3 +216,60 @@ def decode_flows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(
         run, "path string, width int, height int, mean_x double, mean_y double, error string"
     )
+
+
+def encode_flow(flow: np.ndarray) -> bytes:
+    """A flow field (h, w, 2) as a Middlebury file."""
+    h, w = flow.shape[:2]
+    return np.float32(FLO_TAG).tobytes() + np.array([w, h], "<i4").tobytes() + flow.astype("<f4").tobytes()
+
+
+def with_warp_error(df: DataFrame, before: str, after: str, shift: str, width: int) -> DataFrame:
+    """Add ``warp_error``: mean absolute difference of ``before`` and ``after`` gathered along a constant ``shift``.
+
+    Images are flat arrays with rows of ``width``; pixels whose source lies outside do not count; null without any.
+    """
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for x, y, d in zip(a, b, s, strict=True):
+            one, two = np.reshape(np.asarray(x, float), (-1, width)), np.reshape(np.asarray(y, float), (-1, width))
+            flow = np.zeros((*one.shape, 2))
+            flow[..., 0] = d
+            seen = (np.arange(width) + d >= 0) & (np.arange(width) + d <= width - 1)
+            error = np.abs(one - backward_warp(two, flow))[:, seen]
+            out.append(float(error.mean()) if error.size else None)
+        return pd.Series(out, dtype="float64")
+
+    return df.withColumn("warp_error", score(before, after, shift))
+
+
+def masked_mean(error: Column, mask: Column) -> Column:
+    """Aggregate: mean error where the mask is positive, weighted by it; null without mask."""
+    return F.try_divide(F.sum(error * mask), F.sum(mask))
+
+
+def ghost_rate(error: Column, ui: Column, limit: float = 0.1) -> Column:
+    """Aggregate: share of interface pixels whose error exceeds ``limit``; null without any."""
+    return F.avg(F.when(ui, (error > limit).cast("double")))
+
+
+def accept_crops(df: DataFrame, key: str, image: str, width: int, size: int, n: int, min_std: float, seed: int) -> DataFrame:
+    """``key, y, x, std``: up to ``n`` crops of ``size`` from ``3 * n`` places drawn by hash, those with structure first come."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, flat in zip(batch[key], batch[image], strict=True):
+                cells = np.reshape(np.asarray(flat, float), (-1, width))
+                rng, taken = np.random.default_rng([seed, int(k)]), 0
+                for _ in range(3 * n):
+                    y, x = int(rng.integers(0, cells.shape[0] - size + 1)), int(rng.integers(0, width - size + 1))
+                    std = float(cells[y : y + size, x : x + size].std())
+                    if std >= min_std and taken < n:
+                        rows.append((k, y, x, std))
+                        taken += 1
+            yield pd.DataFrame(rows, columns=[key, "y", "x", "std"])
+
+    return df.select(key, image).mapInPandas(run, f"{key} bigint, y int, x int, std double")

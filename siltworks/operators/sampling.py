@@ -59,3 +59,19 @@ def jitter(index: Column, phases: int = 16) -> Column:
     """Sub-pixel offsets in [-0.5, 0.5): bases 2 and 3 over a cycle of ``phases``."""
     at = F.pmod(index, F.lit(phases)) + 1
     return F.struct((radical_inverse(at, 2, 20) - 0.5).alias("x"), (radical_inverse(at, 3, 20) - 0.5).alias("y"))
+
+
+def text_copies(df: DataFrame, key: str, text: str, seed: int, drop: float = 0.05, upper: float = 0.1) -> DataFrame:
+    """Light and heavy synthetic copies of texts for calibration: ``key, kind, copy``.
+
+    Both lose words and have some with a-z in upper case, by a hash of key, position and seed; heavy copies three times as often.
+    """
+    kinds = F.explode(F.array(F.struct(F.lit("light").alias("kind"), F.lit(1.0).alias("by")), F.struct(F.lit("heavy").alias("kind"), F.lit(3.0).alias("by"))))
+    rows = df.select(F.col(key), F.col(text).alias("__t"), kinds.alias("__k")).select(key, "__t", "__k.kind", "__k.by")
+
+    def edit(word: Column, at: Column) -> Column:
+        u = draw(F.concat_ws("/", F.col(key), F.col("kind"), at), seed)
+        return F.when(u < drop * F.col("by"), "").when(u < (drop + upper) * F.col("by"), F.translate(word, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(word)
+
+    words = F.transform(F.split("__t", " "), edit)
+    return rows.select(key, "kind", F.array_join(F.filter(words, lambda w: w != ""), " ").alias("copy"))

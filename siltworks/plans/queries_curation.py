@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siltworks.functions import hashing, vectors
@@ -586,3 +588,89 @@ def image_hashes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     e = e.select("vec_id", tile(F.col("v"), 1024).alias("square"), tile(F.col("v"), 72).alias("wide"), tile(F.reverse("v"), 1024).alias("other"))
     return arrays.with_ssim(arrays.with_hashes(e, "square", "wide"), "square", "other", 32).select("vec_id", "phash", "dhash", F.round("ssim", 6).alias("ssim"))
+
+
+@query(
+    "flow_files", "S18 X22",
+    """SELECT 'v' || vec_id AS path, 8 AS width, 4 AS height, round(list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 1]::DOUBLE)) / 32, 5) AS mean_x,
+    round(list_sum(list_transform(range(0, 32), lambda i: embedding[2 * i + 2]::DOUBLE)) / 32, 5) AS mean_y FROM embeddings""",
+)
+def flow_files(spark, sf_dir):
+    """Vectors written as binary flow fields and read back."""
+
+    @F.pandas_udf("binary")
+    def encode(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: arrays.encode_flow(np.reshape(x, (4, 8, 2))))
+
+    files = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("path"), encode("embedding").alias("content"))
+    d = arrays.decode_flows(files).where("error IS NULL")
+    return d.select("path", "width", "height", F.round("mean_x", 5).alias("mean_x"), F.round("mean_y", 5).alias("mean_y"))
+
+
+@query(
+    "warp_errors", "M7 G9",
+    """SELECT vec_id, round(list_sum(list_transform(range(0, 56), lambda i: abs(embedding[(i // 7) * 8 + i % 7 + 1]::DOUBLE - embedding[(i // 7) * 8 + i % 7 + 2]::DOUBLE))) / 56, 5) AS warp_error FROM embeddings""",
+)
+def warp_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(1.0).alias("shift"))
+    w = arrays.with_warp_error(e, "embedding", "embedding", "shift", 8)
+    return w.select("vec_id", F.round("warp_error", 5).alias("warp_error"))
+
+
+@query(
+    "frame_metric_rows", "M10 M11",
+    """SELECT conv_id, turn, CASE WHEN turn > 0 THEN length(text) % 50 END AS change, CASE WHEN role = 'assistant' THEN round(length(text) / 1000.0, 6) END AS own,
+    CASE WHEN turn % 4 = 0 THEN length(text) END AS every_fourth FROM conversations""",
+)
+def frame_metric_rows(spark, sf_dir):
+    n = F.length("text").cast("long")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") > 0, n % 50).alias("change"), F.when(F.col("role") == "assistant", F.round(n / 1000.0, 6)).alias("own"),
+        F.when(F.col("turn") % 4 == 0, n).alias("every_fourth"),
+    )
+
+
+@query(
+    "ghost_rates", "M11 M7",
+    """SELECT l_returnflag, round(avg(CASE WHEN l_linenumber < 3 THEN (l_discount > 0.05)::INT END), 6) AS ghosts, round(sum(l_tax * (l_linenumber - 1)) / nullif(sum(l_linenumber - 1), 0), 6) AS masked FROM lineitem GROUP BY l_returnflag""",
+)
+def ghost_rates(spark, sf_dir):
+    ghosts = arrays.ghost_rate(F.col("l_discount"), F.col("l_linenumber") < 3, 0.05)
+    masked = arrays.masked_mean(F.col("l_tax"), (F.col("l_linenumber") - 1).cast("double"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(ghosts, 6).alias("ghosts"), F.round(masked, 6).alias("masked"))
+
+
+@query(
+    "method_comparison", "M13 K6",
+    """WITH d AS (SELECT p_brand AS method, p_type AS sequence, avg(p_retailprice) AS psnr, max(p_size) AS gmac FROM part GROUP BY ALL)
+    SELECT method, count(*) AS sequences, round(avg(psnr), 6) AS psnr, max(gmac) AS gmac, rank() OVER (ORDER BY round(avg(psnr), 6) DESC)::INT AS place FROM d GROUP BY method""",
+)
+def method_comparison(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("method"), "p_type").agg(F.avg("p_retailprice").alias("psnr"), F.max("p_size").alias("gmac"))
+    m = d.groupBy("method").agg(F.count(F.lit(1)).alias("sequences"), F.round(F.avg("psnr"), 6).alias("psnr"), F.max("gmac").alias("gmac"))
+    return m.withColumn("place", F.rank().over(Window.orderBy(F.desc("psnr"))))  # one row a method
+
+
+@query("accepted_crops", "P6")
+def accepted_crops(spark, sf_dir):
+    """Crops with structure out of places drawn by seed: no SQL, tested for its rule."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return arrays.accept_crops(e, "vec_id", "embedding", 8, 4, 2, 0.1, 5)
+
+
+@query(
+    "synthetic_copies", "D9 R2",
+    """WITH k AS (SELECT unnest(['light', 'heavy']) AS kind, unnest([1.0, 3.0]::DOUBLE[]) AS times),
+    s AS (SELECT doc_id, kind, times, string_split(substr(text, 1, 400), ' ') AS ws FROM documents, k),
+    p AS (SELECT doc_id, kind, times, ws, unnest(range(0, len(ws))) AS i FROM s),
+    w AS (SELECT doc_id, kind, times, i, ws[i + 1] AS word, DRAW AS u FROM p)
+    SELECT doc_id, kind, coalesce(string_agg(CASE WHEN u < (0.05::DOUBLE + 0.1::DOUBLE) * times THEN translate(word, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE word END, ' ' ORDER BY i)
+      FILTER (u >= 0.05::DOUBLE * times AND word <> ''), '') AS copy FROM w GROUP BY doc_id, kind""".replace(
+        "DRAW", duck_draw("'3/' || doc_id || '/' || kind || '/' || i")
+    ),
+)
+def synthetic_copies(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
+    return sampling.text_copies(docs, "doc_id", "text", 3)

@@ -130,3 +130,22 @@ def select_items(manifest: DataFrame, split: str, sources: Sequence[str] = (), k
 def without_strides(items: DataFrame) -> DataFrame:
     """Items whose frames are consecutive: the stride is unknown, 0 or 1."""
     return items.where(F.coalesce(F.nullif(F.col("frame_stride"), F.lit(0)), F.lit(1)) <= 1)
+
+
+def dataset_root(spark: SparkSession, root: str, owner: str, name: str) -> str | None:
+    """The folder of a mounted data set: one of three layouts, else any folder of its name two levels down.
+
+    Paths are resolved by Hadoop's file system on the driver, so any store that Spark reads will do.
+    """
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    fs = make(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for tail in (name, f"datasets/{owner}/{name}", f"datasets/{name}"):
+        if fs.exists(make(f"{root}/{tail}")):
+            return f"{root}/{tail}"
+    for glob in (f"{root}/{name}", f"{root}/*/{name}"):
+        found = fs.globStatus(make(glob))
+        hits = sorted(str(f.getPath().toUri().getPath()) for f in (found or []) if f.isDirectory())
+        if hits:
+            return hits[0]
+    return None
