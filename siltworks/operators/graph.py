@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators.skew import attach_by_key
-from siltworks.scratch import scratch_table
+from siltworks.scratch import drop_scratch, scratch_mark, scratch_table
 
 MAX_ROUNDS = 60
 
@@ -29,6 +29,7 @@ def component_stars(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: in
     with the logarithm of the vertices; the loop ends when a round changes nothing and raises if
     ``max_rounds`` pass first. Null ends and self-edges are ignored; repeated edges count once.
     """
+    mark = scratch_mark()
     ends = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).where("__a <> __b")
     now = ends.select(F.greatest("__a", "__b").alias("hi"), F.least("__a", "__b").alias("lo")).distinct()
     now = scratch_table(now, "edges")
@@ -50,4 +51,5 @@ def component_stars(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: in
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    drop_scratch(edges.sparkSession, mark)
     return now.select(F.col("hi").alias("vertex"), F.col("lo").alias("root"))

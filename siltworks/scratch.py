@@ -57,6 +57,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_mark() -> int:
+    """Where the list of scratch tables stands; for ``drop_scratch``."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, mark: int, last: int = 1) -> None:
+    """Delete the tables written since ``mark`` but the ``last`` ones, which hold what is still needed."""
+    gone = _scratch[mark : len(_scratch) - last]
+    del _scratch[mark : len(_scratch) - last]
+    for path in gone:
+        drop_path(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this process's scratch tables; call it once their results are stored."""
     while _scratch or _tables:
