@@ -5,13 +5,11 @@ lists of the ``LISTED`` smallest generate pairs that share values, the sketch of
 their similarity, and full shingle sets confirm each link that is used. Equal sets are one vertex throughout.
 
 A value that very many sets retain (a common passage, a large group of near copies) has a *hot* list, which is
-never paired out. Sets with hot values meet instead under pairs of such values and a size class, which leaves
-lists of a common passage short. Lists that are still hot are near copies of one text: their members are
-compared with the list's hub, the member whose sketch holds the group's commonest values, then with a hub from
-outside the largest component that this made and with a few others in small sub-lists. Links that join
-components are all that matters there, so what already is in one component is not compared again. What remains outside its list's largest component is settled exactly: a
-prefix filter over the shingles that it shares with any member of a hot list finds all members that could still
-be linked.
+never paired out. Sets with few other values meet instead under pairs of hot values, which leaves lists of a
+common passage short. Lists that are still hot are near copies of one text: their members are compared with the
+list's hub, the member whose sketch holds the group's commonest values. Links that join components are all that
+matters there. What then is outside its list's largest component is settled exactly: a prefix filter over the
+shingles that it shares with any member of a hot list finds all members that could still be linked.
 """
 
 from __future__ import annotations
@@ -25,23 +23,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.scale import attach_by_key, filter_bits, may_repeat, repeat_filter, scratch_table
+from siltworks.llm.scale import attach_by_key, bound_batches, filter_bits, may_repeat, repeat_filter, scratch_table
 from siltworks.operators.graph import component_stars
 
 #: Values of a sketch, and those of them that enter inverted lists.
 SKETCH, LISTED = 128, 16
 #: Lists up to this length are paired out.
 SHORT = 32
-#: Lowest hot values that form keys of two.
-HOT_VALUES = 10
-#: Keys whose sub-lists a set of a hot list joins, and members of a sub-list.
-HOT_KEYS, SUBLIST = 2, 12
+#: Listed values outside hot lists that make a search of hot lists needless.
+COOL = 8
+#: Lowest hot values that form keys of two, and keys under which a set of a hot list meets hubs.
+HOT_VALUES, HOT_KEYS = 12, 4
 #: Listed values that a pair must share: of 16, a pair at 0.8 shares fewer with a chance below 1e-6.
 SHARED = 4
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
 MARGIN = 4.5
-#: Rounds of hubs before the exact pass.
-ROUNDS = 3
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -50,7 +46,7 @@ class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -79,7 +75,7 @@ def shingle_hashes(text: str | None, size: int, known: _WordHash) -> np.ndarray:
 SKETCHES = T.StructType(
     [
         T.StructField("n", T.LongType(), False),
-        T.StructField("v", T.BinaryType(), True),
+        T.StructField("digest", T.BinaryType(), True),
         T.StructField("sketch", T.ArrayType(T.LongType(), False), False),
     ]
 )
@@ -118,7 +114,7 @@ def _full_sets(size: int):
                 found = shingle_hashes(text.as_py(), size, known)
                 if len(found):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([xxhash.xxh128_digest(found.tobytes())], pa.binary()), _one_list(found)], names=["v", "hashes"]
+                        [pa.array([xxhash.xxh128_digest(found.tobytes())], pa.binary()), _one_list(found)], names=["digest", "hashes"]
                     )
 
     return run
@@ -162,67 +158,74 @@ def _likely(least: float):
     return run
 
 
-PAIRS = "a binary, b binary"
+PAIRS = "a bigint, b bigint"
 
 
 class _Search:
-    """The state of one search: the distinct sets and how to confirm pairs of them."""
+    """The state of one search: the distinct sets, numbered, and how to confirm pairs of them."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int):
+        bound_batches(docs.sparkSession)
         self.docs, self.size, self.num, self.den = docs, size, num, den
         self.rows = scratch_table(
             docs.mapInArrow(_sketches(size), T.StructType([docs.schema["doc_id"], *SKETCHES.fields])), "sketches"
         )
-        sets = self.rows.where("v IS NOT NULL").groupBy("v").agg(
+        sets = self.rows.where("digest IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("rep_id"),
             F.count(F.lit(1)).alias("n_rows"),
             F.first("n").alias("n"),
             F.first("sketch").alias("sketch"),
         )
+        # The numbers are fixed once the table is written.
+        sets = sets.withColumns({"v": F.monotonically_increasing_id(), "low": F.slice("sketch", 1, LISTED)})
         self.sets = scratch_table(sets, "sets")
         self.n_sets = self.sets.select("n").count()
 
-    def slim(self) -> DataFrame:
-        return self.sets.select("v", "n", F.slice("sketch", 1, LISTED).alias("low"))
+    def ends(self, pairs: DataFrame, column: str) -> DataFrame:
+        """``column`` of both ends of the pairs ``a, b``, as ``x`` and ``y``."""
+        side = self.sets.select("v", column)
+        out = pairs.join(side.select(F.col("v").alias("a"), F.col(column).alias("x")), "a")
+        return out.join(side.select(F.col("v").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
-    def paired(self, members: DataFrame, *keys: str) -> DataFrame:
-        """Distinct pairs of members with equal keys that could be similar by size and by their lowest values."""
-        a = members.select(*keys, F.col("v").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"))
-        b = members.select(*keys, F.col("v").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"))
-        pairs = a.join(b, list(keys)).where(F.col("a") < F.col("b")).where(self.possible())
-        return pairs.select("a", "b").distinct()
+    def sizes_fit(self, x: str, y: str) -> Column:
+        return self.den * F.least(x, y) >= self.num * F.greatest(x, y)
 
-    def possible(self) -> Column:
-        """Sizes and shared low values leave a similarity of ``num / den`` possible."""
-        size = self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")
-        return size & (F.size(F.array_intersect("la", "lb")) >= F.least(F.lit(SHARED), "na", "nb"))
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs that share enough of their lowest values."""
+        both = self.ends(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "low")
+        least = F.least(F.lit(SHARED), F.size("x"), F.size("y"))
+        return both.where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
+
+    def paired(self, members: DataFrame, key: str) -> DataFrame:
+        """Pairs of members of one list whose sizes fit."""
+        a = members.select(key, F.col("v").alias("a"), F.col("n").alias("na"))
+        b = members.select(key, F.col("v").alias("b"), F.col("n").alias("nb"))
+        return a.join(b, key).where((F.col("a") < F.col("b")) & self.sizes_fit("na", "nb")).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked: first by union sketch, then by full sets, each read once a pair."""
+        """The pairs that are linked: first by union sketch, then by full sets."""
         deviation = (self.num / self.den * (1 - self.num / self.den) / SKETCH) ** 0.5
         least = self.num / self.den - MARGIN * deviation
-        sketch = self.sets.select("v", "sketch")
-        both = pairs.join(sketch.select(F.col("v").alias("a"), F.col("sketch").alias("sa")), "a")
-        both = both.join(sketch.select(F.col("v").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = scratch_table(both.select("a", "b", "sa", "sb").mapInArrow(_likely(least), PAIRS), "likely")
+        likely = scratch_table(self.ends(pairs, "sketch").mapInArrow(_likely(least), PAIRS), "likely")
         involved = likely.select(F.col("a").alias("v")).unionByName(likely.select(F.col("b").alias("v"))).distinct()
         full = scratch_table(self.full_sets(scratch_table(involved, "involved")), "full-sets")
-        both = likely.join(full.select(F.col("v").alias("a"), F.col("hashes").alias("ha")), "a")
-        both = both.join(full.select(F.col("v").alias("b"), F.col("hashes").alias("hb")), "b")
-        return both.select("a", "b", "ha", "hb").mapInArrow(_similar(self.num, self.den), PAIRS)
+        both = likely.join(full.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
+        both = both.join(full.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_similar(self.num, self.den), PAIRS)
 
     def full_sets(self, involved: DataFrame) -> DataFrame:
         """Whole shingle sets of some vertices, from the text of one document each.
 
         A Bloom filter of the wanted ids (bounded) is broadcast, so that only texts it lets through shuffle.
         """
-        wanted = scratch_table(self.sets.join(involved, "v", "left_semi").select(F.col("rep_id").alias("doc_id")), "wanted")
+        wanted = self.sets.join(involved, "v", "left_semi").select("v", "digest", F.col("rep_id").alias("doc_id"))
+        wanted = scratch_table(wanted, "wanted")
         bits = filter_bits(max(1, wanted.count()))
         blocks = scratch_table(repeat_filter(wanted.select(F.xxhash64("doc_id").alias("h")), "h", bits, 1), "wanted-bits")
         some = may_repeat(self.docs.withColumn("__h", F.xxhash64("doc_id")), "__h", blocks, bits, "__in").where("__in")
         texts = some.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_full_sets(self.size), "v binary, hashes array<bigint>")
-        return sets.join(involved, "v", "left_semi").dropDuplicates(["v"])
+        sets = texts.mapInArrow(_full_sets(self.size), "digest binary, hashes array<bigint>").dropDuplicates(["digest"])
+        return sets.join(wanted.select("v", "digest"), "digest").select("v", "hashes")
 
 
 def _by_length(members: DataFrame, key: str, n_rows: int) -> DataFrame:
@@ -232,131 +235,107 @@ def _by_length(members: DataFrame, key: str, n_rows: int) -> DataFrame:
 
 
 def _hot_members(search: _Search, listed: DataFrame) -> DataFrame:
-    """Sets with two hot values or more: their keys, list lengths and how common their sketch values are."""
-    hot = listed.where(F.col("f") > SHORT).groupBy("v").agg(F.sort_array(F.collect_list("value")).alias("hot"))
-    hot = hot.where(F.size("hot") > 1).join(search.sets.select("v", "n", "sketch"), "v")
-    hot = scratch_table(hot, "hot-sets")
-    values = hot.select("v", F.explode("sketch").alias("value"))
+    """Sets that short lists may miss, with their hot values in order and how common their sketch values are.
+
+    A set with ``COOL`` listed values outside hot lists shares one of them with any similar set, but for a
+    chance of ``0.2 ** COOL`` at the threshold.
+    """
+    hot = listed.where(F.col("f") > SHORT).groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("value")).alias("hot"))
+    cool = F.least(F.col("n"), F.lit(LISTED)) - F.size("hot")
+    hot = scratch_table(hot.where((F.size("hot") > 1) & (cool < COOL)), "hot-sets")
+    n_hot = max(1, hot.count())
+    values = hot.select("v").join(search.sets.select("v", F.col("sketch").alias("some")), "v").select("v", F.explode("some").alias("value"))
     common = scratch_table(values.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > SHORT), "common")
-    n_hot = max(1, hot.select("n").count())
     weight = attach_by_key(values, common, "value", "f", n_hot * SKETCH).groupBy("v").agg(
         F.sum(F.log(F.coalesce("f", F.lit(1)).cast("double"))).alias("weight")
     )
     return scratch_table(hot.join(weight, "v"), "hot-weights")
 
 
+def _twos(hot: Column) -> Column:
+    """Keys of each hot value with the next and the next but one.
+
+    Two similar sets hold two common hot values with at most one of its own between them in either, but for a
+    chance of some 1e-5 at the threshold.
+    """
+    first = F.slice(hot, 1, HOT_VALUES)
+    next_ones = F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.lit(2)), lambda y: F.xxhash64(x, y)))
+    return F.flatten(next_ones)
+
+
 def near_duplicate_links(search: _Search) -> DataFrame:
     """Confirmed links ``a, b`` between distinct sets, enough to join every class."""
-    values = search.slim().withColumn("value", F.explode("low"))
+    values = search.sets.select("v", "n", F.explode("low").alias("value"))
     listed = _by_length(values, "value", LISTED * max(1, search.n_sets))
     pairs = search.paired(listed.where(F.col("f") <= SHORT), "value")
 
     hot = _hot_members(search, listed)
-    first = F.slice("hot", 1, HOT_VALUES)
-    twos = F.flatten(
-        F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.lit(HOT_VALUES)), lambda y: F.xxhash64(x, y)))
-    )
-    ratio = float(np.log(search.den / search.num))
-    level = F.floor(F.log(F.col("n").cast("double")) / ratio)
-    keyed = hot.select("v", "n", F.slice("sketch", 1, LISTED).alias("low"), "weight", F.explode(twos).alias("two"), level.alias("level"))
-    keyed = keyed.withColumn("key", F.explode(F.array(F.xxhash64("two", "level"), F.xxhash64("two", F.col("level") + 1))))
-    n_keys = max(1, hot.select("n").count()) * HOT_VALUES * HOT_VALUES
-    keyed = _by_length(keyed.select("v", "n", "low", "weight", "key"), "key", n_keys)
-    pairs = scratch_table(pairs.unionByName(search.paired(keyed.where(F.col("f") <= SHORT), "key")).distinct(), "pairs")
+    keyed = hot.select("v", "n", F.explode(_twos(F.col("hot"))).alias("key"))
+    keyed = _by_length(keyed, "key", max(1, hot.count()) * 2 * HOT_VALUES)
+    pairs = pairs.unionByName(search.paired(keyed.where(F.col("f") <= SHORT), "key"))
+    crowd = keyed.where(F.col("f") > SHORT).select("v", "n", "key")
+    pairs = scratch_table(search.possible(pairs.unionByName(_hub_pairs(search, crowd, hot))), "pairs")
     links = scratch_table(search.confirmed(pairs), "links")
-
-    crowd = keyed.where(F.col("f") > SHORT)
-    for tried in range(ROUNDS):
-        crowd = _unsettled(crowd, links, tried)
-        if not crowd.limit(1).count():
-            return links
-        more = scratch_table(search.confirmed(_crowd_pairs(search, crowd, tried)), "more-links")
-        if not more.limit(1).count():
-            break
-        links = scratch_table(links.unionByName(more), "links")
-    else:
-        crowd = _unsettled(crowd, links, ROUNDS)
-    if crowd.limit(1).count():
-        links = scratch_table(links.unionByName(search.confirmed(_rest_pairs(search, crowd))), "links")
+    members = _unsettled(crowd, links)
+    if members.limit(1).count():
+        links = scratch_table(links.unionByName(search.confirmed(_rest_pairs(search, members))), "links")
     return links
 
 
-def _unsettled(crowd: DataFrame, links: DataFrame, tried: int) -> DataFrame:
-    """Members of hot lists that are not yet in one component, with their root and their list's hub and largest root.
+def _hub_pairs(search: _Search, crowd: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each member of a hot list with the heaviest member of a few of its lists, if their sizes fit.
 
-    The first hub is the list's heaviest member, later ones the heaviest of the largest part but one.
+    A member takes the keys with the smallest hash, so that like members take the same ones.
     """
-    stars = component_stars(links).withColumnRenamed("vertex", "v")
-    plain = crowd.select("v", "n", "low", "weight", "key")
-    rooted = plain.join(stars, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    few = crowd.groupBy("v").agg(F.first("n").alias("n"), F.slice(F.sort_array(F.collect_list("key")), 1, HOT_KEYS).alias("keys"))
+    few = few.join(hot.select("v", "weight"), "v").select("v", "n", "weight", F.explode("keys").alias("key"))
+    few = scratch_table(few, "crowd-keys")
+    hubs = few.groupBy("key").agg(F.count(F.lit(1)).alias("f"), F.max(F.struct("weight", "v", "n")).alias("hub"))
+    met = attach_by_key(few, scratch_table(hubs, "hubs"), "key", "f", max(1, few.count()))
+    met = met.where((F.col("v") != F.col("hub.v")) & search.sizes_fit("n", "hub.n"))
+    return met.select(F.col("v").alias("a"), F.col("hub.v").alias("b"))
+
+
+def _unsettled(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """``v, n, root, open`` for members of hot lists that span components; open ones are outside a list's largest."""
+    stars = scratch_table(component_stars(links).withColumnRenamed("vertex", "v"), "crowd-stars")
+    rooted = crowd.join(stars, "v", "left").withColumn("root", F.coalesce("root", "v"))
     rooted = scratch_table(rooted, "crowd")
-    n_rows = max(1, rooted.count())
-    member = F.struct("weight", "v", "root", "n", "low")
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.max(member).alias("best"))
-    parts = scratch_table(parts, "crowd-parts")
-    part = F.struct("size", F.col("best.weight").alias("weight"), "root")
-    lists = parts.groupBy("key").agg(F.sum("size").alias("f"), F.count(F.lit(1)).alias("n_parts"), F.max(part).alias("top"))
-    lists = scratch_table(lists.where("n_parts > 1").select("key", "f", F.col("top.root").alias("top"), "top.size"), "open-lists")
-    others = attach_by_key(parts.withColumnRenamed("size", "part_size"), lists, "key", "f", n_rows)
-    order = ["part_size"] if tried else []
-    others = others.where(F.col("root") != F.col("top")) if tried else others.where("f IS NOT NULL")
-    hubs = others.groupBy("key").agg(F.max(F.struct(*order, F.col("best.weight").alias("weight"), "best")).alias("hub"))
-    lists = scratch_table(lists.join(hubs, "key").select("key", "f", "top", F.col("hub.best").alias("hub")), "open-lists")
-    out = attach_by_key(rooted, lists, "key", "f", n_rows).where("f IS NOT NULL")
-    return scratch_table(out, "crowd")
-
-
-def _crowd_pairs(search: _Search, crowd: DataFrame, tried: int) -> DataFrame:
-    """Pairs across components: each member with its list's hub, and from the second round on in random sub-lists."""
-    to_hub = crowd.where(F.col("root") != F.col("hub.root")).select(
-        F.col("v").alias("x"), F.col("n").alias("na"), F.col("low").alias("la"),
-        F.col("hub.v").alias("y"), F.col("hub.n").alias("nb"), F.col("hub.low").alias("lb"),
-    )
-    to_hub = to_hub.where(search.possible()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    if not tried:
-        return scratch_table(to_hub.distinct(), "pairs")
-    few = crowd.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("key")), 1, HOT_KEYS).alias("keys"))
-    few = crowd.join(few, "v").where(F.array_contains("keys", F.col("key")))
-    parts = F.ceil(F.col("f") / SUBLIST).cast("long")
-    few = few.select("key", "v", "n", "low", "root", F.pmod(F.xxhash64("v", "key", F.lit(tried)), parts).alias("part"))
-    a = few.select("key", "part", F.col("v").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("root").alias("ra"))
-    b = few.select("key", "part", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("root").alias("rb"))
-    inside = a.join(b, ["key", "part"]).where("a < b AND ra <> rb").where(search.possible()).select("a", "b")
-    return scratch_table(to_hub.unionByName(inside).distinct(), "pairs")
-
-
-def _rest_pairs(search: _Search, crowd: DataFrame) -> DataFrame:
-    """All pairs that could link a member outside its list's largest component to any member of an open list.
-
-    Each set keeps, rarest first, the shingles that it shares with any other member. A linked pair has at least
-    ``num / (num + den)`` of both sizes in common, and what either set holds from the first common shingle on must
-    be as many. Heavily edited copies share too little and drop out at once; others meet few partners.
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    lists = parts.groupBy("key").agg(F.sum("size").alias("f"), F.count(F.lit(1)).alias("n_parts"), F.max(F.struct("size", "root")).alias("top"))
+    lists = scratch_table(lists.where("n_parts > 1").select("key", "f", F.col("top.root").alias("top")), "open-lists")
+    rows = attach_by_key(rooted, lists, "key", "f", max(1, rooted.count())).where("f IS NOT NULL")
+    members = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("open"))
+    return scratch_table(members, "members")
+
+
+def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
+    """All pairs that could link an open member to any member of an open list.
+
+    Of an open member's shingles only those count that another member has, rarest first. A linked pair has at
+    least ``num / (num + den)`` of both sizes in common, so from its first common shingle on the open member must
+    hold as many. Heavily edited copies share too little and drop out at once; others meet few partners.
     """
     num, den = search.num, search.den
-    members = crowd.groupBy("v").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("open"))
-    members = scratch_table(members, "members")
-    full = search.full_sets(members.select("v")).join(members, "v")
-    shingles = scratch_table(full.select("v", F.explode("hashes").alias("h")), "crowd-shingles")
-    common = scratch_table(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "crowd-common")
-    shared = attach_by_key(shingles, common, "h", "f", max(1, shingles.count())).where("f IS NOT NULL")
-    shared = scratch_table(shared, "crowd-shared")
-    counts = scratch_table(shared.groupBy("v").agg(F.count(F.lit(1)).alias("c")).join(members, "v"), "crowd-counts")
-    ordered = shared.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
-    ordered = ordered.select("v", F.posexplode("hs").alias("i", "s")).select("v", "i", F.col("s.h").alias("h"))
-    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
-    ranked = ordered.join(counts, "v").where(F.col("i") <= F.col("c") - least)
-    ranked = scratch_table(ranked.select("v", "n", "root", "open", "h", (F.col("c") - F.col("i")).alias("left")), "crowd-ranked")
-    asked = ranked.where("open").select(
-        F.col("v").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "h", F.col("left").alias("lx")
+    full = scratch_table(search.full_sets(members.select("v")).join(members, "v"), "crowd-sets")
+    every = full.select("v", "n", "root", F.explode("hashes").alias("h"))
+    common = scratch_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "crowd-common")
+    own = scratch_table(full.where("open").select("v", "n", "root", F.explode("hashes").alias("h")), "open-shingles")
+    shared = attach_by_key(own, common, "h", "f", max(1, own.count())).where("f IS NOT NULL")
+    ordered = shared.groupBy("v", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    ordered = ordered.withColumns({"c": F.size("hs"), "least": F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("int")})
+    ordered = ordered.where("c >= least").withColumn("hs", F.expr("slice(hs, 1, c - least + 1)"))
+    asked = ordered.select(
+        F.col("v").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "c", F.posexplode("hs").alias("i", "s")
     )
-    there = ranked.select("v", "n", "root", "h", "left")
+    asked = scratch_table(asked.select("x", "nx", "rx", (F.col("c") - F.col("i")).alias("left"), F.col("s.h").alias("h")), "asked")
     fits = (
         (F.col("root") != F.col("rx"))
-        & (F.lit(den) * F.least("n", "nx") >= F.lit(num) * F.greatest("n", "nx"))
-        & (F.lit(num + den) * F.least("left", "lx") >= F.lit(num) * (F.col("n") + F.col("nx")))
+        & search.sizes_fit("n", "nx")
+        & (F.lit(num + den) * F.col("left") >= F.lit(num) * (F.col("n") + F.col("nx")))
     )
-    pairs = there.join(asked, "h").where(fits)
-    return scratch_table(pairs.select(F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct(), "pairs")
+    pairs = every.join(asked, "h").where(fits)
+    return scratch_table(search.possible(pairs.select(F.col("x").alias("a"), F.col("v").alias("b"))), "pairs")
 
 
 def near_dedup(
@@ -373,21 +352,16 @@ def near_dedup(
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     search = _Search(docs, shingle_words, num, den)
-    links = near_duplicate_links(search)
-    stars = scratch_table(component_stars(links), "stars")
-    sizes = search.sets.select("v", "rep_id", "n_rows")
-    roots = sizes.join(stars.withColumnRenamed("vertex", "v"), "v", "left")
-    linked = stars.select(F.col("vertex").alias("v")).unionByName(stars.select(F.col("root").alias("v"))).distinct()
-    roots = roots.withColumn("root", F.coalesce("root", "v"))
-    roots = scratch_table(
-        roots.join(linked.withColumn("in_class", F.lit(True)), "v", "left").where("in_class OR n_rows > 1").drop("in_class"), "roots"
-    )
-    least = scratch_table(roots.groupBy("root").agg(F.min("rep_id").alias("least_id"), F.count(F.lit(1)).alias("n_sets")), "least")
-    classes = attach_by_key(roots, least, "root", "n_sets", search.n_sets).select("v", "least_id", "n_rows")
+    stars = scratch_table(component_stars(near_duplicate_links(search)), "stars")
+    in_class = stars.select(F.col("vertex").alias("v"), "root").unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
+    sets = search.sets.select("v", "digest", "rep_id", "n_rows").join(in_class, "v", "left")
+    sets = scratch_table(sets.where("root IS NOT NULL OR n_rows > 1").withColumn("root", F.coalesce("root", "v")), "class-sets")
+    least = scratch_table(sets.groupBy("root").agg(F.min("rep_id").alias("least_id"), F.count(F.lit(1)).alias("n_sets")), "least")
+    classes = attach_by_key(sets, least, "root", "n_sets", search.n_sets).select("digest", "least_id", "n_rows")
     classes = scratch_table(classes, "classes")
-    rows = search.rows.select("doc_id", "n", "v")
-    placed = attach_by_key(rows.where("v IS NOT NULL"), classes, "v", "n_rows", max(1, rows.count()))
-    alone = rows.where("v IS NULL").withColumn("least_id", F.col("doc_id"))
+    rows = search.rows.select("doc_id", "n", "digest")
+    placed = attach_by_key(rows.where("digest IS NOT NULL"), classes, "digest", "n_rows", max(1, rows.count()))
+    alone = rows.where("digest IS NULL").withColumn("least_id", F.col("doc_id"))
     out = placed.select("doc_id", "n", "least_id").unionByName(alone.select("doc_id", "n", "least_id"))
     component = F.coalesce("least_id", "doc_id")
     return out.select(
@@ -429,10 +403,10 @@ WITH RECURSIVE w AS (
 ), n AS (
   SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id
 ), o AS (
-  SELECT a.rid AS ra, b.rid AS rb, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid
+  SELECT a.rid AS ra, b.rid AS rb, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid
 ), e AS (
   SELECT x.doc_id AS a, y.doc_id AS b FROM o JOIN n x ON o.ra = x.rid JOIN n y ON o.rb = y.rid
-  WHERE 100 * both >= 80 * (x.n + y.n - both)
+  WHERE 100 * common >= 80 * (x.n + y.n - common)
 ), d AS (
   SELECT a, b FROM e UNION SELECT b, a FROM e
 ), r(a, b) AS (

@@ -7,15 +7,18 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.skew import attach_by_key
-from siltworks.scratch import clear_scratch, drop_path, scratch_path, scratch_table, shared_dir
+from siltworks.scratch import clear_scratch, drop_path, drop_scratch, scratch_mark, scratch_path, scratch_table, shared_dir
 
 __all__ = [
-    "attach_by_key", "bound_batches", "clear_scratch", "drop_path", "filter_bits", "let", "may_repeat", "repeat_filter",
-    "scratch_path", "scratch_table", "shared_dir",
+    "attach_by_key", "bound_batches", "clear_scratch", "drop_path", "drop_scratch", "filter_bits", "let", "may_repeat", "release_memory", "repeat_filter",
+    "scratch_mark", "scratch_path", "scratch_table", "shared_dir",
 ]
 
 #: Bits in one block of a filter: what ``bitmap_construct_agg`` packs into 4,096 bytes.
@@ -25,13 +28,21 @@ MAX_FILTER_BITS = 1 << 30
 MIN_FILTER_BITS = 1 << 20
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 100) -> None:
     """Hand Python workers ``rows`` rows at once where the session has Spark's default of 10,000: texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
 
 
+def release_memory() -> None:
+    """Hand freed memory of this Python worker back to the system: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a variable."""
     return F.transform(F.array(value), body).getItem(0)
