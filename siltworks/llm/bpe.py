@@ -11,8 +11,8 @@ lists while only distinct words shuffle. Three steps, cut by tables in the share
 3. *Reassemble*: a block's answers come to its documents, which lie bucketed by block and do not shuffle, and
    each document's numbers turn into ids by place.
 
-A word that fills the corpus is one entry a block, so no key is hot. A block holds at most
-``BLOCK_CHARS`` characters (or one longer document), which bounds the memory of steps 1 and 3; the number of
+A word that fills the corpus is one entry a block, so no key is hot. A block holds
+``BLOCK_CHARS`` characters, up to the end of a document, which bounds the memory of steps 1 and 3; the number of
 buckets grows with the number of blocks, which bounds step 2.
 """
 
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.llm.scale import bound_batches, release_memory
 from siltworks.scratch import scratch_buckets
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 PACKED = T.StructType(
     [
@@ -91,7 +92,7 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode()) % buckets
 
 
-def _explode(pattern: str, buckets: int, keys: list[str], fields: pa.Schema):
+def _explode(pattern: str, buckets: int, keys: list[str], fields: pa.Schema, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -135,12 +136,13 @@ def _explode(pattern: str, buckets: int, keys: list[str], fields: pa.Schema):
                 codes.append(pack(np.fromiter(map(number.__getitem__, found), np.uint32, len(found))))
                 blocks.append((task << 32) + serial)
                 chars += sum(map(len, found))
-                if chars >= BLOCK_CHARS:
+                if chars >= block_chars:
                     kept = [batch.column(k + 1).slice(first, i + 1 - first) for k in range(len(keys))]
                     n = i + 1 - first
                     yield table(blocks, [-1] * n, list(range(row, row + n)), [None] * n, codes, kept)
                     yield from words_of_block()
                     number.clear()
+                    release_memory()
                     serial, chars, row, first, codes, blocks = serial + 1, 0, 0, i + 1, [], []
             if blocks:
                 kept = [batch.column(k + 1).slice(first) for k in range(len(keys))]
@@ -148,6 +150,8 @@ def _explode(pattern: str, buckets: int, keys: list[str], fields: pa.Schema):
                 row += len(blocks)
         if number:
             yield from words_of_block()
+            number.clear()
+        release_memory()
 
     return run
 
@@ -183,6 +187,8 @@ def _encode(ranks, pattern: str):
                     ],
                     names=PACKED.names,
                 )
+        known.clear()
+        release_memory()
 
     return run
 
@@ -204,7 +210,23 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, which: np.nd
     return flat[at]
 
 
-def _reassemble(keys: list[str], schema: pa.Schema):
+class TokenBytes:
+    """The token-byte table: the bytes of each id, and their places in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = [b""] * (1 + max(ranks.values(), default=-1))
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of each id, joined by place; an id that is not in the table is an error."""
+        return gather(self.starts, self.sizes, self.flat, ids).tobytes() if len(ids) else b""
+
+
+def _reassemble(keys: list[str], schema: pa.Schema, tokens):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = zip(answers.column("codes"), answers.column("payload"), strict=True)
         words = _merge_answers([(unpack(c.as_py()), *_answer(p.as_py())) for c, p in found])
@@ -212,7 +234,11 @@ def _reassemble(keys: list[str], schema: pa.Schema):
         offsets = np.cumsum([0, *map(len, ids)])
         values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
         lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values.astype(np.int32), pa.int32()))
-        return docs.select(keys).append_column("ids", lists.cast(schema.field("ids").type)).cast(schema)
+        out = docs.select(keys).append_column("ids", lists.cast(schema.field("ids").type))
+        if tokens is not None:
+            out = out.append_column("decoded", pa.array([tokens.value.decode(one) for one in ids], pa.binary()))
+        release_memory()
+        return out.cast(schema)
 
     return run
 
@@ -230,22 +256,30 @@ def _merge_answers(answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_bpe(
-    df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)
+    df: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text_col: str = "text",
+    key_cols: tuple[str, ...] = ("doc_id",),
+    decoded: bool = False,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``key_cols`` of each row and ``ids array<int>``, the tokens of its whole text, without special tokens.
 
+    With ``decoded`` a column of that name has the bytes that ``decode_bpe`` makes of the ids, in the same task.
     Each match of ``pattern`` is merged by ``ranks`` separately. Null and empty texts have no ids; rows that
     repeat come out as often; an empty table gives an empty table; ``key_cols`` may have any name but ``ids``
     and may hold nulls; other columns of ``df`` are not carried.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     keys = [f"k{i}" for i in range(len(key_cols))]
     slim = df.select(F.col(text_col).alias("text"), *[F.col(c).alias(k) for k, c in zip(keys, key_cols, strict=True)])
     carried = T.StructType([T.StructField(k, slim.schema[k].dataType, True) for k in keys])
     parts = max(8, slim.rdd.getNumPartitions())
     buckets = min(4096, parts)
     exploded = slim.mapInArrow(
-        _explode(pattern, buckets, keys, _arrow_fields(carried)), T.StructType([*PACKED.fields, *carried.fields])
+        _explode(pattern, buckets, keys, _arrow_fields(carried), block_chars), T.StructType([*PACKED.fields, *carried.fields])
     )
     exploded = exploded.withColumn("kind", F.when(F.col("row") < 0, 1).otherwise(0))
     exploded = scratch_buckets(exploded, "bpe-words", parts, "block", "kind")
@@ -254,10 +288,13 @@ def encode_bpe(
     by_bucket = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = by_bucket.mapInArrow(_encode(shared, pattern), PACKED).select("block", "payload", "codes")
     docs = exploded.where("kind = 0").select("block", "codes", *keys)
-    out_schema = T.StructType([*carried.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)])
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)]
+    made += [T.StructField("decoded", T.BinaryType(), True)] if decoded else []
+    out_schema = T.StructType([*carried.fields, *made])
+    tokens = spark.sparkContext.broadcast(TokenBytes(ranks)) if decoded else None
     together = docs.groupBy("block").cogroup(answers.groupBy("block"))
-    out = together.applyInArrow(_reassemble(keys, _arrow_fields(out_schema)), out_schema)
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, key_cols, strict=True)], "ids")
+    out = together.applyInArrow(_reassemble(keys, _arrow_fields(out_schema), tokens), out_schema)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, key_cols, strict=True)], *[f.name for f in made])
 
 
 def _arrow_fields(schema: T.StructType) -> pa.Schema:
@@ -268,33 +305,26 @@ def _arrow_fields(schema: T.StructType) -> pa.Schema:
 
 def _decode(tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[bytes] = tokens.value
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
+        table: TokenBytes = tokens.value
         for batch in batches:
-            lists, out = batch.column(batch.num_columns - 1), []
-            for one in lists:
-                ids = one.values.to_numpy(zero_copy_only=False) if one.is_valid else np.empty(0, np.int32)
-                out.append(gather(starts, sizes, flat, ids).tobytes() if len(ids) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], lists, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+            lists = batch.column(batch.num_columns - 1)
+            known = [one.values.to_numpy(zero_copy_only=False) if one.is_valid else np.empty(0, np.int32) for one in lists]
+            out = pa.array([table.decode(ids) for ids in known], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
 def decode_bpe(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """Add ``decoded binary`` to rows that end in ``ids_col``: each id's bytes, from the token-byte table, by place.
+    """Add ``decoded binary`` to the rows of ``df``: each id's bytes, from the token-byte table, by place.
 
     The table has one row a token of the vocabulary (some 50,000), which bounds what is broadcast. Null and
     empty lists decode to no bytes; an id that is not in the table is an error.
     """
-    table = [b""] * (1 + max(ranks.values(), default=-1))
-    for token, rank in ranks.items():
-        table[rank] = token
+    bound_batches(df.sparkSession)
     slim = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (ids_col, "decoded")], ids_col)
     schema = T.StructType([*slim.schema.fields, T.StructField("decoded", T.BinaryType(), True)])
-    return slim.mapInArrow(_decode(df.sparkSession.sparkContext.broadcast(table)), schema)
+    return slim.mapInArrow(_decode(df.sparkSession.sparkContext.broadcast(TokenBytes(ranks))), schema)
 
 
 def tokenizer_file() -> str:
@@ -308,7 +338,7 @@ def bpe_report(docs: DataFrame, path: str | None = None, pattern: str | None = N
     import public_tokenizers
 
     ranks = load_ranks(path or tokenizer_file())
-    out = decode_bpe(encode_bpe(docs, ranks, pattern or public_tokenizers.PATTERN), ranks)
+    out = encode_bpe(docs, ranks, pattern or public_tokenizers.PATTERN, decoded=True)
     digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select(
         "doc_id",
