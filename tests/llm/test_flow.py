@@ -79,13 +79,12 @@ def ranks():
     return bpe.load_ranks(bpe.tokenizer_file())
 
 
-def test_tokens_equal_the_library(spark, ranks, sf_dir, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", 5_000)
+def test_tokens_equal_the_library(spark, ranks, sf_dir, odd_docs, no_docs):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(-1, None), (-2, ""), (-3, "   \n\n x  'll don't 12３ 日本語 🙂‍↔️  　 a b"), (-4, "<|endoftext|> " + "ab" * 3000), (None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["ids"] for r in bpe.encode_bpe(docs, ranks, public_tokenizers.PATTERN).collect()}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_bpe(docs, ranks, public_tokenizers.PATTERN, block_chars=5_000).collect()}
     assert got == {i: library.encode_ordinary(t or "") for i, t in rows}
     back = bpe.decode_bpe(bpe.encode_bpe(docs, ranks, public_tokenizers.PATTERN), ranks)
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back.collect()} == {i: t or "" for i, t in rows}
