@@ -58,12 +58,12 @@ def group_stats_long(spark, sf_dir):
 @query(
     "keyed_values", "A29 A31 X9",
     """WITH g AS (SELECT lower(replace(p_brand, '#', '_')) AS b, avg(p_size) AS size, avg(p_retailprice) AS price FROM part GROUP BY p_brand)
-    SELECT 'tsr.part.' || trim(regexp_replace(b, '[^a-z0-9_-]+', '_', 'g'), '_') || '.p_size' AS key, round(size, 6) AS number FROM g
-    UNION ALL SELECT 'tsr.part.' || trim(regexp_replace(b, '[^a-z0-9_-]+', '_', 'g'), '_') || '.price', round(price, 6) FROM g""",
+    SELECT 'run.part.' || trim(regexp_replace(b, '[^a-z0-9_-]+', '_', 'g'), '_') || '.p_size' AS key, round(size, 6) AS number FROM g
+    UNION ALL SELECT 'run.part.' || trim(regexp_replace(b, '[^a-z0-9_-]+', '_', 'g'), '_') || '.price', round(price, 6) FROM g""",
 )
 def keyed_values(spark, sf_dir):
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_size"), 6).alias("p_size"), F.round(F.avg("p_retailprice"), 6).alias("price"))
-    return A.keyed_values(g, "tsr.part", ["p_brand"])
+    return A.keyed_values(g, "run.part", ["p_brand"])
 
 
 @query(
