@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.scale import attach_by_key, bound_batches, filter_bits, may_repeat, repeat_filter, scratch_table
+from siltworks.llm.scale import (
+    attach_by_key, bound_batches, drop_scratch, filter_bits, may_repeat, repeat_filter, scratch_mark, scratch_table,
+)
 from siltworks.operators.graph import component_stars
 
 #: Values of a sketch, and those of them that enter inverted lists.
@@ -204,6 +206,7 @@ class _Search:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked: first by union sketch, then by full sets."""
+        mark = scratch_mark()
         deviation = (self.num / self.den * (1 - self.num / self.den) / SKETCH) ** 0.5
         least = self.num / self.den - MARGIN * deviation
         likely = scratch_table(self.ends(pairs, "sketch").mapInArrow(_likely(least), PAIRS), "likely")
@@ -211,7 +214,10 @@ class _Search:
         full = scratch_table(self.full_sets(scratch_table(involved, "involved")), "full-sets")
         both = likely.join(full.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
         both = both.join(full.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar(self.num, self.den), PAIRS)
+        out = both.select("a", "b", "x", "y").mapInArrow(_similar(self.num, self.den), PAIRS)
+        out = scratch_table(out, "confirmed")
+        drop_scratch(self.docs.sparkSession, mark)
+        return out
 
     def full_sets(self, involved: DataFrame) -> DataFrame:
         """Whole shingle sets of some vertices, from the text of one document each.
@@ -275,10 +281,10 @@ def near_duplicate_links(search: _Search) -> DataFrame:
     pairs = pairs.unionByName(search.paired(keyed.where(F.col("f") <= SHORT), "key"))
     crowd = keyed.where(F.col("f") > SHORT).select("v", "n", "key")
     pairs = scratch_table(search.possible(pairs.unionByName(_hub_pairs(search, crowd, hot))), "pairs")
-    links = scratch_table(search.confirmed(pairs), "links")
+    links = search.confirmed(pairs)
     members = _unsettled(crowd, links)
     if members.limit(1).count():
-        links = scratch_table(links.unionByName(search.confirmed(_rest_pairs(search, members))), "links")
+        links = links.unionByName(search.confirmed(_rest_pairs(search, members)))
     return links
 
 
@@ -350,6 +356,7 @@ def near_dedup(
     that repeat an id and text share its class and are all kept or not; null ids belong to their text's
     class; an empty table gives an empty table; other columns of ``df`` are not read.
     """
+    mark = scratch_mark()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     search = _Search(docs, shingle_words, num, den)
     stars = scratch_table(component_stars(near_duplicate_links(search)), "stars")
@@ -364,12 +371,15 @@ def near_dedup(
     alone = rows.where("digest IS NULL").withColumn("least_id", F.col("doc_id"))
     out = placed.select("doc_id", "n", "least_id").unionByName(alone.select("doc_id", "n", "least_id"))
     component = F.coalesce("least_id", "doc_id")
-    return out.select(
+    out = out.select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+    out = scratch_table(out, "near-dedup")
+    drop_scratch(df.sparkSession, mark)
+    return out
 
 
 def near_dedup_report(docs: DataFrame) -> DataFrame:
