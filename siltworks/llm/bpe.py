@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from siltworks.llm.scale import bound_batches, release_memory
 from siltworks.scratch import scratch_buckets
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
+#: Documents whose ids leave a task in one batch.
+OUT_ROWS = 250
 
 PACKED = T.StructType(
     [
@@ -230,14 +232,18 @@ def _reassemble(keys: list[str], schema: pa.Schema, tokens):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = zip(answers.column("codes"), answers.column("payload"), strict=True)
         words = _merge_answers([(unpack(c.as_py()), *_answer(p.as_py())) for c, p in found])
+        pieces = [piece(docs.slice(at, OUT_ROWS), words) for at in range(0, len(docs), OUT_ROWS)]
+        release_memory()
+        return pa.concat_tables(pieces) if pieces else schema.empty_table()
+
+    def piece(docs: pa.Table, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
         ids = [gather(*words, unpack(c.as_py())) for c in docs.column("codes")]
         offsets = np.cumsum([0, *map(len, ids)])
-        values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        values = np.concatenate(ids)
         lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values.astype(np.int32), pa.int32()))
         out = docs.select(keys).append_column("ids", lists.cast(schema.field("ids").type))
         if tokens is not None:
             out = out.append_column("decoded", pa.array([tokens.value.decode(one) for one in ids], pa.binary()))
-        release_memory()
         return out.cast(schema)
 
     return run
