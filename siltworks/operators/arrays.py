@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.ship import ship_code
+
 #: Fixed value: the tag that a Middlebury flow file begins with.
 FLO_TAG = 202021.25
 
@@ -37,6 +39,7 @@ def gradient_bits(grey: np.ndarray) -> int:
 
 def with_hashes(df: DataFrame, square: str, wide: str) -> DataFrame:
     """Add ``phash`` and ``dhash`` from flat arrays of a 32 x 32 and an 8 x 9 grey image; null arrays give null."""
+    ship_code(df.sparkSession)
 
     @F.pandas_udf("bigint")
     def phash(cells: pd.Series) -> pd.Series:
@@ -143,6 +146,7 @@ def ssim(a: np.ndarray, b: np.ndarray, size: int = 11, sigma: float = 1.5) -> fl
 
 def with_ssim(df: DataFrame, a: str, b: str, width: int) -> DataFrame:
     """Add ``ssim`` of two flat grey images with rows of ``width``; null where either is null."""
+    ship_code(df.sparkSession)
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -201,6 +205,7 @@ def nearness(depth: np.ndarray) -> np.ndarray:
 
 def decode_flows(files: DataFrame) -> DataFrame:
     """``path, width, height, mean_x, mean_y, error`` of binary flow files; a bad file gives its error."""
+    ship_code(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,6 +234,7 @@ def with_warp_error(df: DataFrame, before: str, after: str, shift: str, width: i
 
     Images are flat arrays with rows of ``width``; pixels whose source lies outside do not count; null without any.
     """
+    ship_code(df.sparkSession)
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:

@@ -10,6 +10,7 @@ from siltworks.functions import hashing, vectors
 from siltworks.operators import arrays, joins, rules, sampling, sequence, split
 from siltworks.operators.graph import component_stars
 from siltworks.plans.registry import duck_bucket, duck_draw, query
+from siltworks.ship import ship_code
 from siltworks.sources.tables import table
 from siltworks.streaming.protocol import parse_lines, rounds
 
@@ -597,6 +598,7 @@ def image_hashes(spark, sf_dir):
 )
 def flow_files(spark, sf_dir):
     """Vectors written as binary flow fields and read back."""
+    ship_code(spark)
 
     @F.pandas_udf("binary")
     def encode(v: pd.Series) -> pd.Series:
