@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators.skew import attach_by_key
 from siltworks.scratch import clear_scratch, drop_path, drop_scratch, scratch_mark, scratch_path, scratch_table, shared_dir
+from siltworks.ship import ship_code
 
 __all__ = [
     "attach_by_key", "bound_batches", "clear_scratch", "drop_path", "drop_scratch", "filter_bits", "let", "may_repeat", "release_memory", "repeat_filter",
@@ -29,7 +30,9 @@ MIN_FILTER_BITS = 1 << 20
 
 
 def bound_batches(spark: SparkSession, rows: int = 100) -> None:
-    """Hand Python workers ``rows`` rows at once where the session has Spark's default of 10,000: texts are long."""
+    """Make this package known to Python workers, and hand them ``rows`` rows at once where the session has Spark's
+    default of 10,000: texts are long."""
+    ship_code(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
