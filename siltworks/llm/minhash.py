@@ -5,8 +5,8 @@ lists of the ``LISTED`` smallest generate pairs that share values, the sketch of
 their similarity, and full shingle sets confirm each link that is used. Equal sets are one vertex throughout.
 
 A value that very many sets retain (a common passage, a large group of near copies) has a *hot* list, which is
-never paired out. Sets with few other values meet instead under pairs of hot values, which leaves lists of a
-common passage short. Lists that are still hot are near copies of one text: their members are compared with the
+never paired out. Its members meet instead under pairs of hot values, which leaves lists of a common passage
+short. Lists that are still hot are near copies of one text: their members are compared with the
 list's hub, the member whose sketch holds the group's commonest values. Links that join components are all that
 matters there. What then is outside its list's largest component is settled exactly: a prefix filter over the
 shingles that it shares with any member of a hot list finds all members that could still be linked.
@@ -32,8 +32,6 @@ from siltworks.operators.graph import component_stars
 SKETCH, LISTED = 128, 16
 #: Lists up to this length are paired out.
 SHORT = 32
-#: Listed values outside hot lists that make a search of hot lists needless.
-COOL = 8
 #: Lowest hot values that form keys of two, and keys under which a set of a hot list meets hubs.
 HOT_VALUES, HOT_KEYS = 12, 4
 #: Listed values that a pair must share: of 16, a pair at 0.8 shares fewer with a chance below 1e-6.
@@ -241,14 +239,14 @@ def _by_length(members: DataFrame, key: str, n_rows: int) -> DataFrame:
 
 
 def _hot_members(search: _Search, listed: DataFrame) -> DataFrame:
-    """Sets that short lists may miss, with their hot values in order and how common their sketch values are.
+    """Sets of hot lists, with their hot values in order and how common their sketch values are.
 
-    A set with ``COOL`` listed values outside hot lists shares one of them with any similar set, but for a
-    chance of ``0.2 ** COOL`` at the threshold.
+    Other listed values do not excuse a set from this search, however many: in a crowd that shares one text they
+    are the set's own, and no similar set has them. A key takes two hot values: of 16 listed values fewer than
+    two are common to a pair at 0.8 with a chance below 1e-9.
     """
     hot = listed.where(F.col("f") > SHORT).groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("value")).alias("hot"))
-    cool = F.least(F.col("n"), F.lit(LISTED)) - F.size("hot")
-    hot = scratch_table(hot.where((F.size("hot") > 1) & (cool < COOL)), "hot-sets")
+    hot = scratch_table(hot.where(F.size("hot") > 1), "hot-sets")
     n_hot = max(1, hot.count())
     values = hot.select("v").join(search.sets.select("v", F.col("sketch").alias("some")), "v").select("v", F.explode("some").alias("value"))
     common = scratch_table(values.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > SHORT), "common")

@@ -115,6 +115,23 @@ def test_near_copies_in_a_crowd(spark):
     assert got == want and 20 < sum(i != c for i, c in want.items()) < 300
 
 
+def test_own_values_do_not_hide_a_set_of_a_crowd(spark):
+    """Half or more of the listed values of some documents are their own: the crowd's common text links them still."""
+    rng, known = random.Random(5), minhash._WordHash()
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join([*common, f"x{i}"])) for i in range(40)]
+    shared = set(minhash.shingle_hashes(" ".join(common), 4, known).tolist())
+    while len(rows) < 43:
+        text = " ".join([*common, *(f"o{rng.randrange(10**9)}" for _ in range(95))])
+        listed = minhash.shingle_hashes(text, 4, known)[: minhash.LISTED].tolist()
+        if len(shared.intersection(listed)) <= minhash.LISTED // 2:
+            rows.append((100 + len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_classes(rows, 4)
+    assert set(want.values()) == {0}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup_report(docs).collect()} == want
+
+
 def test_near_dedup_of_odd_rows(spark, odd_docs, no_docs):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_dedup(odd_docs).collect()}
     assert got[0, 0] == 0 and got[1, 0] == 1 and got[4, 9] == 4 and got[50, 9] == 4
