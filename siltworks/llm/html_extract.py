@@ -2,7 +2,8 @@
 
 Pass one classifies each block by where its markup puts it, its stop-word density, its length and its link
 density: *good*, *bad*, or, where these do not decide, *short* (too little text to tell). Pass two lets each
-undecided block inherit the label of its nearest decided neighbours.
+undecided block inherit the label of its nearest decided neighbours. Where elements that the markup names as
+the article hold most of the good text, only these are read.
 """
 
 from __future__ import annotations
@@ -62,6 +63,12 @@ GOOD_NAME = re.compile(
     r"page-content|body-text|article-body)(?:$|[\s_-])",
     re.I,
 )
+#: Names of an article's title line or of what is told about it, not of its body.
+ABOUT_NAME = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:article|post|entry|story)\w*[_-]+(?:title|headline|heading|header|meta\w*|date|time|published|author|"
+    r"byline|info|details|summary|excerpt|teaser|preview|card|link|thumb\w*|image)(?=$|[\s_-])",
+    re.I,
+)
 #: Classes that describe a layout ("has-sidebar"), not a part.
 STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|js)[_-]\S+", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -122,7 +129,7 @@ def _place(name: str, attrs: str, above: str, depth_in_article: bool) -> str:
     if name not in ("body", "html") and names.strip():
         if BAD_NAME.search(names):
             return "outside"
-        if GOOD_NAME.search(names):
+        if name not in HEADINGS and GOOD_NAME.search(ABOUT_NAME.sub(" ", names)):
             return "inside"
     return above
 
@@ -283,11 +290,27 @@ def _second_pass(labels: list[str], kinds: list[Block], in_article: bool) -> lis
     return out
 
 
+def _marked(found: list[tuple[Block, str]], rules: BlockRules) -> bool:
+    """Whether the markup names the article: elements inside it hold most of the text that pass one calls good.
+
+    Without good blocks, of that of near ones, and without these of short ones.
+    """
+    if not any(b.place == "inside" for b, _ in found):
+        return False
+    labels = [_first_pass(b, t, rules, False) for b, t in found]
+    for label in ("good", "near", "short"):
+        every = sum(len(t) for x, (_, t) in zip(labels, found, strict=True) if x == label)
+        if every:
+            inside = sum(len(t) for x, (b, t) in zip(labels, found, strict=True) if x == label and b.place == "inside")
+            return 2 * inside > every
+    return True
+
+
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The article's blocks in page order, white space collapsed, joined by an empty line; '' without any."""
     found = [(b, b.text()) for b in blocks(page or "")]
     found = [(b, t) for b, t in found if t]
-    in_article = sum(len(t) for b, t in found if b.place == "inside") > 0
+    in_article = _marked(found, rules)
     labels = [_first_pass(b, t, rules, in_article) for b, t in found]
     good = _second_pass(labels, [b for b, _ in found], in_article)
     if in_article:

@@ -175,3 +175,26 @@ def test_pages_equal_their_article(spark, sf_dir):
         parts = re.split(r"</?(?:p|h1)>", re.sub("<br>", " ", inner))
         plain = [html_extract.SPACE.sub(" ", html_extract.html.unescape(re.sub(r"</?\w[^>]*>", "", x))).strip() for x in parts]
         assert html_extract.main_text(row["html"]) == "\n\n".join(x for x in plain if x)
+
+
+LONG = "This is the body of the article, and it was written for the people who read all of it from the first line to the last. "
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<h1 class="entry-title">Title</h1>',
+        '<p class="post-meta">By ann on the first of May</p>',
+        '<article><h2>A teaser</h2><p>Read another story of ours.</p></article>',
+        '<div class="story-box">One line.</div>',
+    ],
+)
+def test_an_opening_does_not_stand_for_the_article(opening):
+    page = f'<html><body>{opening}<div class="text"><p>{LONG * 3}</p><p>{LONG * 2}</p></div></body></html>'
+    text = html_extract.main_text(page)
+    assert text.count(LONG.strip()) == 5
+
+
+def test_a_marked_article_still_goes_alone():
+    page = f'<div><p>{LONG * 2}</p></div><article><p>{LONG * 3}</p><p>Short end.</p></article>'
+    assert html_extract.main_text(page) == f"{(LONG * 3).strip()}\n\nShort end."
