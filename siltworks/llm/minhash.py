@@ -96,11 +96,12 @@ def _sketches(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64())),
                 ],
-                names=["doc_id", *SKETCHES.names],
+                names=["doc_id", "text_hash", *SKETCHES.names],
             )
 
     return run
@@ -168,7 +169,7 @@ class _Search:
         bound_batches(docs.sparkSession)
         self.docs, self.size, self.num, self.den = docs, size, num, den
         self.rows = scratch_table(
-            docs.mapInArrow(_sketches(size), T.StructType([docs.schema["doc_id"], *SKETCHES.fields])), "sketches"
+            docs.mapInArrow(_sketches(size), T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *SKETCHES.fields])), "sketches"
         )
         sets = self.rows.where("digest IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("rep_id"),
@@ -227,7 +228,8 @@ class _Search:
         bits = filter_bits(max(1, wanted.count()))
         blocks = scratch_table(repeat_filter(wanted.select(F.xxhash64("doc_id").alias("h")), "h", bits, 1), "wanted-bits")
         some = may_repeat(self.docs.withColumn("__h", F.xxhash64("doc_id")), "__h", blocks, bits, "__in").where("__in")
-        texts = some.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+        same = F.expr("s.doc_id <=> w.doc_id")
+        texts = some.select("doc_id", "text").alias("s").join(wanted.alias("w"), same, "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.size), "digest binary, hashes array<bigint>").dropDuplicates(["digest"])
         return sets.join(wanted.select("v", "digest"), "digest").select("v", "hashes")
 
@@ -342,20 +344,10 @@ def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
     return scratch_table(search.possible(pairs.select(F.col("x").alias("a"), F.col("v").alias("b"))), "pairs")
 
 
-def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100
-) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` for each row: classes of documents linked by similarity.
-
-    Two documents are linked if their sets of word shingles overlap by ``num / den`` of their union or more;
-    equal sets always are. ``component_id`` is the least id reachable over links; ``kept`` marks that row.
-
-    Defined results: null and empty texts, and texts without words, have no shingles and stand alone; rows
-    that repeat an id and text share its class and are all kept or not; null ids belong to their text's
-    class; an empty table gives an empty table; other columns of ``df`` are not read.
-    """
+def _by_row(df: DataFrame, id_col: str, text_col: str, shingle_words: int, num: int, den: int) -> DataFrame:
+    """``near_dedup`` with ``text_hash``, which tells rows that share an id or have none apart."""
     mark = scratch_mark()
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     search = _Search(docs, shingle_words, num, den)
     stars = scratch_table(component_stars(near_duplicate_links(search)), "stars")
     in_class = stars.select(F.col("vertex").alias("v"), "root").unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
@@ -364,38 +356,60 @@ def near_dedup(
     least = scratch_table(sets.groupBy("root").agg(F.min("rep_id").alias("least_id"), F.count(F.lit(1)).alias("n_sets")), "least")
     classes = attach_by_key(sets, least, "root", "n_sets", search.n_sets).select("digest", "least_id", "n_rows")
     classes = scratch_table(classes, "classes")
-    rows = search.rows.select("doc_id", "n", "digest")
+    rows = search.rows.select("doc_id", "text_hash", "n", "digest")
     placed = attach_by_key(rows.where("digest IS NOT NULL"), classes, "digest", "n_rows", max(1, rows.count()))
     alone = rows.where("digest IS NULL").withColumn("least_id", F.col("doc_id"))
-    out = placed.select("doc_id", "n", "least_id").unionByName(alone.select("doc_id", "n", "least_id"))
+    columns = ["doc_id", "text_hash", "n", "least_id"]
+    out = placed.select(*columns).unionByName(alone.select(*columns))
     component = F.coalesce("least_id", "doc_id")
     out = out.select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
     )
     out = scratch_table(out, "near-dedup")
     drop_scratch(df.sparkSession, mark)
     return out
 
 
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` for each row: classes of documents linked by similarity.
+
+    Two documents are linked if their sets of word shingles overlap by ``num / den`` of their union or more;
+    equal sets always are. ``component_id`` is the least id reachable over links; ``kept`` marks that row.
+
+    Defined results: null and empty texts, and texts without words, have no shingles and stand alone; rows
+    that repeat an id and text share its class and are all kept or not; null ids belong to their text's
+    class; an empty table gives an empty table; other columns of ``df`` are not read.
+    """
+    return _by_row(df, id_col, text_col, shingle_words, num, den).drop("text_hash")
+
+
 def near_dedup_report(docs: DataFrame) -> DataFrame:
     return near_dedup(docs, shingle_words=4)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
     """The rows of ``docs`` that ``near_dedup`` keeps, with all their columns.
 
-    Rows whose id a Bloom filter of the dropped ids excludes go straight through; only the others shuffle.
+    Rows are told by id and text: one with a repeated id or none does not take others along. Those that a Bloom
+    filter of the dropped rows excludes go straight through; only the others shuffle.
     """
-    dropped = near_dedup(docs, id_col, text_col, **settings).where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    dropped = scratch_table(dropped, "dropped")
+    dropped = _by_row(docs, id_col, text_col, shingle_words, num, den).where(~F.col("kept"))
+    dropped = scratch_table(dropped.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__dropped")).distinct(), "dropped")
     bits = filter_bits(max(1, dropped.count()))
-    blocks = scratch_table(repeat_filter(dropped.select(F.xxhash64("__id").alias("h")), "h", bits, 1), "dropped-bits")
-    marked = may_repeat(docs.withColumn("__h", F.xxhash64(id_col)), "__h", blocks, bits, "__in").drop("__h")
-    sure = marked.where(~F.col("__in")).drop("__in")
-    rest = marked.where("__in").drop("__in").join(dropped, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    blocks = scratch_table(repeat_filter(dropped.select(F.xxhash64("__id", "__dropped").alias("h")), "h", bits, 1), "dropped-bits")
+    marked = docs.withColumn("__text", F.xxhash64(text_col)).withColumn("__h", F.xxhash64(id_col, "__text"))
+    marked = may_repeat(marked, "__h", blocks, bits, "__in").drop("__h")
+    sure = marked.where(~F.col("__in")).drop("__in", "__text")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__dropped"))
+    rest = marked.where("__in").drop("__in").join(dropped, same, "left_anti").drop("__text")
     return sure.unionByName(rest)
 
 

@@ -132,6 +132,14 @@ def test_own_values_do_not_hide_a_set_of_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup_report(docs).collect()} == want
 
 
+def test_only_near_copies_go_where_ids_repeat_or_miss(spark):
+    one, two, other, more = ([f"{k}{i}" for i in range(60)] for k in "abcd")
+    rows = [(1, one), (7, [*one, "end"]), (7, other), (20, two), (None, [*two, "end"]), (None, more)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"].split()[0]) for r in minhash.drop_near_duplicates(docs).collect()}
+    assert kept == {(1, "a0"), (7, "c0"), (20, "b0"), (None, "d0")}
+
+
 def test_near_dedup_of_odd_rows(spark, odd_docs, no_docs):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_dedup(odd_docs).collect()}
     assert got[0, 0] == 0 and got[1, 0] == 1 and got[4, 9] == 4 and got[50, 9] == 4
