@@ -82,7 +82,8 @@ def mix_sources(
     over is its inclusion probability p, which differs from source to source. Documents are ranked by
     odds(u) / odds(p), u uniform by a hash of the id, and are taken in that order while their words fit in
     what the certain copies leave of the target; one more document, the one that comes nearest, closes the
-    gap. So a source's words differ from its target by less than the gap that no document narrows.
+    gap. Nothing is taken after it: where a very long document stands at the cut, later ones that would fit are
+    left out and the source stays below its target. ``ORACLE`` states the same rule.
 
     Ranks are summed in bins a source; only documents of the bin where the target falls are ordered, so a
     source with a third of all rows is never sorted in one task. Results depend on ids, sizes and sources
