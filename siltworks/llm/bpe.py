@@ -12,8 +12,12 @@ lists while only distinct words shuffle. Three steps, cut by tables in the share
    each document's numbers turn into ids by place.
 
 A word that fills the corpus is one entry a block, so no key is hot. A block holds
-``BLOCK_CHARS`` characters, up to the end of a document, which bounds the memory of steps 1 and 3; the number of
-buckets grows with the number of blocks, which bounds step 2.
+``BLOCK_CHARS`` characters, up to the end of a document, which bounds the memory of steps 1 and 3. Step 2 holds the
+distinct words of one bucket, or as many of them as ``KNOWN_WORDS`` allows. The number of buckets follows the
+input's partitions up to ``MAX_BUCKETS``, whatever their number: beyond it a bucket has more blocks, one at a time.
+
+The two joins are made of packed lists: "join ids back" is a co-group of a block's documents with its answers and a
+gather by word number, decoding a gather from the token-byte table, which has one row a token and is broadcast.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ from siltworks.scratch import scratch_buckets
 BLOCK_CHARS = 12_000_000
 #: Documents whose ids leave a task in one batch.
 OUT_ROWS = 250
+#: Buckets at most, of blocks as of words; a session may allow fewer (``spark.sql.sources.bucketing.maxBuckets``).
+MAX_BUCKETS = 4_096
+#: Encoded words that a task of step 2 remembers; it forgets them all and starts anew beyond.
+KNOWN_WORDS = 2_000_000
 
 PACKED = T.StructType(
     [
@@ -158,12 +166,12 @@ def _explode(pattern: str, buckets: int, keys: list[str], fields: pa.Schema, blo
     return run
 
 
-def _encode(ranks, pattern: str):
+def _encode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        piece = merge._core_bpe.encode_single_piece
+        # A word is a match of the pattern already: here it is one piece, whatever it holds.
+        merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})
         known: dict[bytes, list[int]] = {}
         bucket = None
         for batch in batches:
@@ -174,7 +182,9 @@ def _encode(ranks, pattern: str):
                 for w in _unpack_words(words):
                     found = known.get(w)
                     if found is None:
-                        found = known[w] = piece(w)
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        found = known[w] = merge.encode_ordinary(w.decode())
                     ids.append(found)
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
                 flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
@@ -275,24 +285,25 @@ def encode_bpe(
     With ``decoded`` a column of that name has the bytes that ``decode_bpe`` makes of the ids, in the same task.
     Each match of ``pattern`` is merged by ``ranks`` separately. Null and empty texts have no ids; rows that
     repeat come out as often; an empty table gives an empty table; ``key_cols`` may have any name but ``ids``
-    and may hold nulls; other columns of ``df`` are not carried.
+    and may hold nulls; other columns of ``df`` are not carried. A text of any length is encoded whole and is a
+    block of its own if it is longer than ``block_chars``.
     """
     spark = df.sparkSession
     bound_batches(spark)
     keys = [f"k{i}" for i in range(len(key_cols))]
     slim = df.select(F.col(text_col).alias("text"), *[F.col(c).alias(k) for k, c in zip(keys, key_cols, strict=True)])
     carried = T.StructType([T.StructField(k, slim.schema[k].dataType, True) for k in keys])
-    parts = max(8, slim.rdd.getNumPartitions())
-    buckets = min(4096, parts)
+    allowed = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    buckets = min(allowed, max(8, slim.rdd.getNumPartitions()))
     exploded = slim.mapInArrow(
         _explode(pattern, buckets, keys, _arrow_fields(carried), block_chars), T.StructType([*PACKED.fields, *carried.fields])
     )
     exploded = exploded.withColumn("kind", F.when(F.col("row") < 0, 1).otherwise(0))
-    exploded = scratch_buckets(exploded, "bpe-words", parts, "block", "kind")
+    exploded = scratch_buckets(exploded, "bpe-words", buckets, "block", "kind")
     shared = spark.sparkContext.broadcast(ranks)
     words = exploded.where("kind = 1").select("block", "bucket", "payload", "codes")
     by_bucket = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket.mapInArrow(_encode(shared, pattern), PACKED).select("block", "payload", "codes")
+    answers = by_bucket.mapInArrow(_encode(shared), PACKED).select("block", "payload", "codes")
     docs = exploded.where("kind = 0").select("block", "codes", *keys)
     made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)]
     made += [T.StructField("decoded", T.BinaryType(), True)] if decoded else []
