@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from siltworks.llm.scale import bound_batches, scratch_table
 
-#: Documents that the scorer is fitted on at most: those with the smallest hash of id and seed.
+#: Documents that the scorer is fitted on at most: those with the smallest hash of seed, id and text.
 TRAIN_ROWS = 5_000
 #: Hash buckets of the linear scorer.
 BUCKETS = 1 << 14
@@ -29,6 +29,7 @@ SEED = 11
 EPOCHS, RATE, PENALTY = 300, 0.5, 1e-4
 
 SYMBOL = re.compile(rb"[#*$%&|<>{}~^\\_=@+]")
+HIGH_BYTES = bytes(range(128, 256))
 STOPS = frozenset(
     b"the of and to in a is that it for on as with was be by or at from this der die das und in zu den mit von ist de la "
     b"le et les des en un une que est pour el los las y con por para se no".split()
@@ -49,6 +50,7 @@ class Signals:
     closed: float
     bars: float
     top_word: float
+    foreign: float
 
 
 def signals(data: bytes) -> tuple[Signals, list[bytes]]:
@@ -73,9 +75,13 @@ def signals(data: bytes) -> tuple[Signals, list[bytes]]:
         closed=ended / max(1, sum(map(len, lines))),
         bars=data.count(b" | ") / max(1, n),
         top_word=max(counts.values(), default=0) / max(1, n),
+        foreign=(len(data) - len(data.translate(None, HIGH_BYTES))) / letters,
     ), words
 
 
+#: Above this share of non-ASCII bytes a text is not in Latin script: word lengths and stop words tell nothing then.
+FOREIGN = 0.5
+
 #: Name and vote of each labeller: 1 good, 0 bad, -1 no opinion.
 LABELLERS = {
     "few_symbols": lambda s: 0 if s.symbols > 0.06 else 1 if s.symbols < 0.01 else -1,
@@ -83,8 +89,8 @@ LABELLERS = {
     "calm": lambda s: 0 if s.bangs > 0.2 else -1,
     "varied_words": lambda s: -1 if s.n_words < 20 else 0 if s.distinct < 0.3 else 1 if s.distinct > 0.45 else -1,
     "no_dominant_word": lambda s: -1 if s.n_words < 20 else 0 if s.top_word > 0.2 else 1 if s.top_word < 0.12 else -1,
-    "word_length": lambda s: -1 if s.n_words < 5 else 1 if 3 <= s.mean_word <= 10 else 0,
-    "function_words": lambda s: -1 if s.n_words < 20 else 1 if s.stops > 0.1 else 0 if s.stops < 0.02 else -1,
+    "word_length": lambda s: -1 if s.n_words < 5 or s.foreign > FOREIGN else 1 if 3 <= s.mean_word <= 10 else 0,
+    "function_words": lambda s: -1 if s.n_words < 20 or s.foreign > FOREIGN else 1 if s.stops > 0.1 else 0 if s.stops < 0.02 else -1,
     "closed_lines": lambda s: -1 if s.n_words < 10 else 1 if s.closed > 0.8 else 0 if s.closed < 0.3 else -1,
     "no_menu_bars": lambda s: 0 if s.bars > 0.1 else -1,
 }
@@ -150,11 +156,11 @@ class _Buckets(dict):
         return found
 
 
-def features(data: bytes, known: _Buckets) -> tuple[np.ndarray, np.ndarray, Signals]:
+def features(data: bytes, known: _Buckets, shapes: bool = True) -> tuple[np.ndarray, np.ndarray, Signals]:
     """Distinct buckets of a text and their values: words share a length of 1, shapes weigh 1 each."""
     s, words = signals(data)
     bag = np.unique(np.fromiter(map(known.__getitem__, set(words)), np.int64, -1)) if words else np.empty(0, np.int64)
-    shape = np.unique([known[w] for w in _shape(s)])
+    shape = np.unique([known[w] for w in _shape(s)]) if shapes else np.empty(0, np.int64)
     values = np.full(len(bag), 1 / max(1.0, len(bag)) ** 0.5)
     return np.concatenate([bag, shape]), np.concatenate([values, np.ones(len(shape))]), s
 
@@ -184,63 +190,71 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["h", "pattern"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Buckets()
-    for batch in batches:
-        some = [features((text.as_py() or "").encode(), known) for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k.tolist() for k, _, _ in some], pa.list_(pa.int64())),
-                pa.array([v.tolist() for _, v, _ in some], pa.list_(pa.float64())),
-                pa.array([votes(s) for _, _, s in some], pa.string()),
-            ],
-            names=["keys", "vals", "pattern"],
-        )
+def _features(shapes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Buckets()
+        for batch in batches:
+            some = [features((text.as_py() or "").encode(), known, shapes) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k.tolist() for k, _, _ in some], pa.list_(pa.int64())),
+                    pa.array([v.tolist() for _, v, _ in some], pa.list_(pa.float64())),
+                    pa.array([votes(s) for _, _, s in some], pa.string()),
+                ],
+                names=["keys", "vals", "pattern"],
+            )
+
+    return run
 
 
-def _draw(id_col: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), id_col)
+def _draw(id_col: Column, text_col: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), id_col, text_col)
 
 
 class QualityModel:
     """Posteriors by vote pattern, labeller accuracies and scorer weights."""
 
-    def __init__(self, posteriors: dict[str, float], accuracies: np.ndarray, share: float, weights: np.ndarray):
-        self.posteriors, self.accuracies, self.share, self.weights = posteriors, accuracies, share, weights
+    def __init__(self, posteriors: dict[str, float], accuracies: np.ndarray, share: float, weights: np.ndarray, shapes: bool = True):
+        self.posteriors, self.accuracies, self.share, self.weights, self.shapes = posteriors, accuracies, share, weights, shapes
 
     def score(self, data: bytes, known: _Buckets) -> tuple[str, float]:
-        keys, values, s = features(data, known)
+        keys, values, s = features(data, known, self.shapes)
         if not s.n_words:
             return votes(s), 0.0
         x = float(values @ self.weights[keys] + self.weights[-1])
         return votes(s), 1 / (1 + float(np.exp(-np.clip(x, -30, 30))))
 
 
-def fit_quality_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
+def fit_quality_model(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, shapes: bool = True
+) -> QualityModel:
     """Count vote patterns over all rows, estimate accuracies, and fit the scorer on at most ``train_rows`` rows.
 
-    The driver gets a row a pattern (``3 ** 9`` at most) and the features of the sample, no texts.
+    The driver gets a row a pattern (``3 ** 9`` at most) and the features of the sample, no texts. The sample is the
+    rows with the least hashes of id and text, of rows that repeat both one: whatever ids repeat or are null, it does not
+    depend on the order of tasks. Without ``shapes`` the scorer sees words only, nothing that the labellers look at.
     """
     bound_batches(df.sparkSession)
-    slim = df.select(_draw(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    slim = df.select(_draw(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     voted = scratch_table(slim.mapInArrow(_votes, "h bigint, pattern string"), "votes")
     patterns = [(r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()]
     posteriors, accuracies, share = estimate_accuracies(patterns)
-    drawn = voted.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    rows = [] if drawn is None else slim.where(F.col("h") <= drawn).select("text").mapInArrow(
-        _features, "keys array<bigint>, vals array<double>, pattern string"
-    ).limit(train_rows + 1000).collect()
-    rows.sort(key=lambda r: (r["keys"], r["vals"]))
+    drawn = voted.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    rows = []
+    if drawn is not None:
+        sample = slim.where(F.col("h") <= drawn).dropDuplicates(["h"]).select("text")
+        rows = sample.mapInArrow(_features(shapes), "keys array<bigint>, vals array<double>, pattern string").collect()
+    rows.sort(key=lambda r: (r["keys"], r["vals"], r["pattern"]))
     labels = np.array([posteriors[r["pattern"]] for r in rows])
     weights = fit_scorer([(np.array(r["keys"], np.int64), np.array(r["vals"])) for r in rows], labels)
-    return QualityModel(posteriors, accuracies, share, weights)
+    return QualityModel(posteriors, accuracies, share, weights, shapes)
 
 
 def score_quality(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Add ``votes``, ``weak_label`` (posterior of good), ``score`` (0 to 1) and ``kept`` to the rows of ``df``.
 
-    Every row's whole text is scored in its task. Null and empty texts score 0 and are not kept; rows that
-    repeat score alike; an empty table gives an empty table; clashing names of ``df`` are replaced.
+    Every row's whole text is scored in its task, whatever its length. Null and empty texts score 0 and are not kept;
+    rows that repeat score alike; an empty table gives an empty table; clashing names of ``df`` are replaced.
     """
     bound_batches(df.sparkSession)
     added = ("votes", "weak_label", "score", "kept")
