@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator, Mapping
 
@@ -21,17 +22,25 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices and openings of public licence texts, by label.
+#: Notices, openings and whole texts of public licences, by label.
 TEMPLATES = {
     "mit": [
         "released under the mit license",
+        "licensed under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+        "permit persons to whom the software is furnished to do so subject to the following conditions",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files the software to deal in the software without restriction including without limitation "
         "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
         "permit persons to whom the software is furnished to do so subject to the following conditions the above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
         "software the software is provided as is without warranty of any kind express or implied including but not "
-        "limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+        "shall the authors or copyright holders be liable for any claim damages or other liability whether in an action "
+        "of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
     ],
     "apache": [
         "licensed under the apache license version 2 0",
@@ -44,12 +53,39 @@ TEMPLATES = {
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation",
+        "under the terms of the gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
         "public license as published by the free software foundation either version 3 of the license or at your "
         "option any later version this program is distributed in the hope that it will be useful but without any "
         "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
         "gnu general public license for more details you should have received a copy of the gnu general public "
         "license along with this program",
     ],
+    "lgpl": [
+        "this work is licensed under the gnu lesser general public license version 3",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation",
+        "under the terms of the gnu lesser general public license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation either version 2 1 of the license or at "
+        "your option any later version this library is distributed in the hope that it will be useful but without any "
+        "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+        "gnu lesser general public license for more details you should have received a copy of the gnu lesser general "
+        "public license along with this library",
+    ],
+    "agpl": [
+        "this work is licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation",
+        "under the terms of the gnu affero general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version this program is distributed in the hope that it will be useful but without any "
+        "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+        "gnu affero general public license for more details you should have received a copy of the gnu affero general "
+        "public license along with this program",
+    ],
     "cc-by": [
         "licensed under cc by 4 0",
         "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this "
@@ -57,22 +93,62 @@ TEMPLATES = {
     ],
     "cc-by-sa": [
         "licensed under cc by sa 4 0",
-        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license to view a copy "
+        "of this license visit http creativecommons org licenses by sa 4 0",
     ],
     "cc-by-nc": [
         "licensed under cc by nc 4 0",
-        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a "
+        "copy of this license visit http creativecommons org licenses by nc 4 0",
     ],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that "
         "the following conditions are met redistributions of source code must retain the above copyright notice this "
         "list of conditions and the following disclaimer redistributions in binary form must reproduce the above "
         "copyright notice this list of conditions and the following disclaimer in the documentation and or other "
         "materials provided with the distribution",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met redistributions of source code must retain the above copyright notice this "
+        "list of conditions and the following disclaimer redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution this software is provided by the copyright holders and contributors "
+        "as is and any express or implied warranties including but not limited to the implied warranties of "
+        "merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including "
+        "but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort "
+        "including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage",
     ],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
         "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether "
+        "in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject "
+        "to the following restrictions",
+    ],
+    "bsl": [
+        "distributed under the boost software license version 1 0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license the software to use reproduce display distribute execute and "
+        "transmit the software and to prepare derivative works of the software and to permit third parties to whom the "
+        "software is furnished to do so all subject to the following",
+    ],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "licensed under the eclipse public license",
+        "under the terms of the eclipse public license",
     ],
     "mpl": [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
@@ -86,10 +162,25 @@ TEMPLATES = {
     "all-rights-reserved": ["all rights reserved"],
 }
 
+#: How the licence identifiers of source files begin, by label.
+IDENTIFIERS = {
+    "mit": "mit", "apache": "apache 2 0", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa",
+    "cc-by-nc": "cc by nc", "cc0": "cc0 1 0", "bsd": "bsd", "isc": "isc", "zlib": "zlib", "bsl": "bsl 1 0", "epl": "epl", "mpl": "mpl 2 0",
+    "unlicense": "unlicense",
+}
+
+
+def all_templates() -> dict[str, list[str]]:
+    """``TEMPLATES`` with an identifier line for each of ``IDENTIFIERS``."""
+    return {k: [*v, *([f"spdx license identifier {IDENTIFIERS[k]}"] if k in IDENTIFIERS else [])] for k, v in TEMPLATES.items()}
+
+
 #: A match of so many words is long; shorter templates must match whole.
 LONG = 4
 #: A chain names its template if it covers this share of it.
 COVERED = 0.6
+#: So many covered words halve what a span's score lacks: three words say less than a paragraph.
+HALF_WORDS = 4
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -118,7 +209,7 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             up = self.places[self.link[state]]
             for k, at in self.places[state].items():
-                up.setdefault(k, at)
+                up[k] = max(at, up.get(k, -1))
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
         self.length.append(length)
@@ -161,6 +252,17 @@ class SuffixAutomaton:
             else:
                 state = length = 0
 
+    def shorter(self, state: int) -> list[tuple[int, int, int]]:
+        """Templates that hold a proper suffix of a state's strings only: template, length of the longest, its place."""
+        seen, out, up = set(self.places[state]), [], self.link[state]
+        while up > 0:
+            for k, at in self.places[up].items():
+                if k not in seen:
+                    seen.add(k)
+                    out.append((k, self.length[up], at))
+            up = self.link[up]
+        return out
+
 
 class LicenceScanner:
     """Templates, phrases and their words, ready to scan texts."""
@@ -177,6 +279,10 @@ class LicenceScanner:
         ]
         self.sizes = [len(x) for x in numbered]
         self.automaton = SuffixAutomaton(numbered)
+        self.least = [min(long, n) for n in self.sizes]
+        # Per state: the templates of its whole match, and those of its suffixes, that are long enough to count.
+        self.whole = [[(k, at) for k, at in found.items()] for found in self.automaton.places]
+        self.suffixes = [[x for x in self.automaton.shorter(s) if x[1] >= self.least[x[0]]] for s in range(len(self.automaton.length))]
 
     def places(self, ids: np.ndarray) -> list[tuple[int, str]]:
         """Start and label of each place of a phrase."""
@@ -187,64 +293,77 @@ class LicenceScanner:
             out += [(int(i), label) for i in here if (ids[i : i + n] == phrase).all()]
         return out
 
-    def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Covered template spans: first word, word after the last, template, covered share.
+    def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+        """Covered template spans: first word, word after the last, template, covered share, score.
 
-        Matches that cannot be lengthened are taken for each template they occur in; those long enough
-        (or as long as the template) and in template order are chained, with gaps up to the template's size.
+        For each template the longest match that ends at a word counts where the next word does not lengthen it.
+        Those long enough (or as long as the template) and in template order are chained, with gaps up to the
+        template's size. Words of a gap beyond those that the template has there count as if the template were so
+        much longer.
         """
         chains: dict[int, list[list[int]]] = {}
         known = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
-        least = min([self.long, *self.sizes]) if self.sizes else self.long
+        least = min(self.least, default=self.long)
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
             if b - a < least:
                 continue
-            run = [*self.automaton.statistics(ids[a:b].tolist()), (b - a + 1, 0, 0)]
-            for (at, state, length), (then, _, more) in zip(run, run[1:], strict=False):
-                if then == at + 1 and more == length + 1:
-                    continue
-                for k, end in self.automaton.places[state].items():
-                    if length >= min(self.long, self.sizes[k]):
-                        self._chain(chains.setdefault(k, []), k, a + at - length + 1, length, end - length + 1)
+            last: dict[int, tuple[int, int]] = {}
+            before = a
+            for at, state, length in self.automaton.statistics(ids[a:b].tolist()):
+                now: dict[int, tuple[int, int]] = {}
+                if length >= least:
+                    now = {k: (length, end) for k, end in self.whole[state] if length >= self.least[k]}
+                    for k, n, end in self.suffixes[state]:
+                        now[k] = (n, end)
+                for k, (n, end) in last.items():
+                    if a + at != before + 1 or now.get(k, (0, 0))[0] != n + 1:
+                        self._chain(chains.setdefault(k, []), k, before - n + 1, n, end - n + 1)
+                last, before = now, a + at
+            for k, (n, end) in last.items():
+                self._chain(chains.setdefault(k, []), k, before - n + 1, n, end - n + 1)
         out = []
         for k, found in chains.items():
-            for start, stop, _, words in found:
-                share = words / self.sizes[k]
+            for start, stop, _, words, extra in found:
+                share = words / (self.sizes[k] + extra)
                 if share >= self.covered:
-                    out.append((start, stop, k, share))
+                    out.append((start, stop, k, share, share * (1 - 0.5 ** (words / HALF_WORDS))))
         return out
 
     def _chain(self, found: list[list[int]], k: int, start: int, length: int, there: int) -> None:
-        """Add a match to the last chain of the template if it follows it in both texts, else start one."""
+        """Add a match to the last chain of the template if it follows it in both texts and gains, else start one."""
         if found:
             chain = found[-1]
-            new = max(0, there + length - max(there, chain[2]))
-            if there + length > chain[2] and start + length > chain[1] and start - chain[1] <= self.sizes[k]:
-                new = min(new, start + length - max(start, chain[1]))
-                chain[1], chain[2], chain[3] = start + length, there + length, chain[3] + new
-                return
-        found.append([start, start + length, there + length, length])
+            _, stop, known, words, extra = chain
+            if there + length > known and start + length > stop and start - stop <= self.sizes[k]:
+                new = min(there + length - max(there, known), start + length - max(start, stop))
+                foreign = extra + max(0, max(0, start - stop) - max(0, there - known))
+                if (words + new) * (self.sizes[k] + extra) >= words * (self.sizes[k] + foreign):
+                    chain[1:] = [start + length, there + length, words + new, foreign]
+                    return
+        found.append([start, start + length, there + length, length, 0])
+
+    def disjoint(self, spans: list[tuple[int, int, int, float, float]]) -> list[tuple[int, int, int, float, float]]:
+        """Of spans over the same words the one with the best score, in page order; larger templates win ties."""
+        kept: list[tuple[int, int, int, float, float]] = []
+        for span in sorted(spans, key=lambda s: (-s[4], -self.sizes[s[2]], s[0], s[2])):
+            at = bisect.bisect(kept, (span[0],))
+            if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or kept[at][0] >= span[1]):
+                kept.insert(at, span)
+        return kept
 
     def scan(self, text: str | None) -> dict:
         words = word_bytes(text)
         ids = np.fromiter((self.ids.get(w, 0) for w in words), np.int32, len(words))
-        places, spans = self.places(ids), self.spans(ids)
-        # Of spans over the same words only the best covered template counts; larger templates win ties.
-        spans.sort(key=lambda s: (-s[3], -self.sizes[s[2]], s[0], s[2]))
-        kept: list[tuple[int, int, int, float]] = []
-        for span in spans:
-            if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
-                kept.append(span)
-        kept.sort()
+        places, kept = self.places(ids), self.disjoint(self.spans(ids))
         return {
             "n_words": len(words),
             "n_base": len(places),
             "first_word": min((p for p, _ in places), default=None),
             "last_word": max((p for p, _ in places), default=None),
             "base_labels": ",".join(sorted({label for _, label in places})),
-            "labels": ",".join(sorted({label for _, label in places} | {self.labels[k] for _, _, k, _ in kept})),
-            "score": max((s for *_, s in kept), default=0.0),
-            "spans": [{"first": a, "after": b, "label": self.labels[k], "covered": s} for a, b, k, s in kept],
+            "labels": ",".join(sorted({label for _, label in places} | {self.labels[k] for _, _, k, _, _ in kept})),
+            "score": max((x for *_, x in kept), default=0.0),
+            "spans": [{"first": a, "after": b, "label": self.labels[k], "covered": s} for a, b, k, s, _ in kept],
         }
 
 
@@ -272,7 +391,7 @@ def scan_licences(
     df: DataFrame,
     text_col: str = "text",
     key_cols: tuple[str, ...] = ("doc_id",),
-    templates: Mapping[str, list[str]] = TEMPLATES,
+    templates: Mapping[str, list[str]] | None = None,
     phrases: Mapping[str, str] = PHRASES,
     long: int = LONG,
     covered: float = COVERED,
@@ -280,12 +399,14 @@ def scan_licences(
     """``key_cols`` of each row, phrase places, labels, score and the covered template spans of its whole text.
 
     ``n_base`` counts all places of the phrases; ``first_word`` and ``last_word`` are their least and greatest
-    start, null without any. ``spans`` are disjoint word ranges that cover ``covered`` of a template or more by
-    matches of ``long`` words or more; ``score`` is the best share, 0 without a span. Only runs of words that
-    occur in templates reach the automaton, so time is linear in the text.
-
-    Null and empty texts have no words and empty labels; rows that repeat come out as often; an empty table
-    gives an empty table; keys may be null; other columns are not read. No row leaves its task.
+    start, null without any. ``spans`` are disjoint word ranges that cover ``covered`` of a template
+    (``all_templates()`` by default) or more by matches of ``long`` words or more; ``score`` is the best share of a
+    template, lessened for short ones (see ``HALF_WORDS``), 0 without a span. Only runs of words that occur in
+    templates reach the automaton: time is linear in the text, but for sorting the spans found.
+
+    Null and empty texts have no words and empty labels; texts of any length are scanned whole; rows that repeat
+    come out as often; an empty table gives an empty table; keys may be null; other columns are not read. No row
+    leaves its task.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -294,7 +415,7 @@ def scan_licences(
     slim = df.select(F.col(text_col).alias("text"), *[F.col(c).alias(k) for k, c in zip(keys, key_cols, strict=True)])
     found = T.StructType(FOUND)
     arrow = to_arrow_schema(found)
-    settings = (dict(templates), dict(phrases), long, covered)
+    settings = (dict(all_templates() if templates is None else templates), dict(phrases), long, covered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = LicenceScanner(*settings)
