@@ -1,9 +1,12 @@
 """Main text of web pages: two passes over text blocks.
 
-Pass one classifies each block by where its markup puts it, its stop-word density, its length and its link
-density: *good*, *bad*, or, where these do not decide, *short* (too little text to tell). Pass two lets each
-undecided block inherit the label of its nearest decided neighbours. Where elements that the markup names as
-the article hold most of the good text, only these are read.
+Pass one classifies each block by its stop-word density, its length and its link density, with its place in the
+markup as one signal more: *good*, *bad*, or, where these do not decide, *near* (some text, little to tell it by) or
+*short* (too little text to tell). Pass two lets each undecided block inherit the label of its nearest decided
+neighbours. Place works like this: navigation, forms, adverts and the like are bad; where elements that the markup
+names as the article hold most of the good text, blocks in them are judged more kindly and those beside them are
+bad; where such elements hold little of it, they are teasers, and their short blocks are bad. A page whose words
+are in none of the stop lists is judged by length and link density alone.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ BAD_NAME = re.compile(
     r"discussion|feedback|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|"
     r"subscri\w+|signup|sign-up|login|sidebar\w*|side-bar|rail|widget\w*|related|recommend\w*|trending|popular|"
     r"menu\w*|nav|navbar|navigation|topnav|breadcrumb\w*|pagination|pager|toolbar|header|masthead|site-header|"
-    r"page-header|footer|site-footer|copyright|legal|disclaimer|share\w*|sharing|social\w*|tags?|tagcloud|byline-links|"
+    r"page-header|footer|site-footer|copyright|legal|disclaimer|share(?![_-]?(?:price|holder|market|capital|value))\w*|sharing|social\w*|tags?|tagcloud|byline-links|"
     r"hidden|skip-link|sr-only|toc|paywall|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
@@ -84,17 +87,24 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
+WIDE = re.compile("[\u2e80-\uffef]")
 
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Pass one. Lengths are characters, densities shares of words or characters."""
+    """Pass one. Lengths are characters (wide ones count twice), densities shares of words or characters.
+
+    So many neighbouring blocks of links, ``link_run``, are a menu wherever they are. A page with a smaller share of
+    stop words than ``no_stop_words`` is in a language that no list fits.
+    """
 
     max_link_density: float = 0.4
     short_chars: int = 70
     long_chars: int = 200
     low_stop_words: float = 0.15
     high_stop_words: float = 0.25
+    no_stop_words: float = 0.05
+    link_run: int = 3
 
 
 @dataclass
@@ -134,12 +144,75 @@ def _place(name: str, attrs: str, above: str, depth_in_article: bool) -> str:
     return above
 
 
+class _Open:
+    """The open elements of a page, innermost last. Every question is answered in constant time.
+
+    Elements that end in the middle of the stack stay there as dead entries until those inside them have ended.
+    """
+
+    def __init__(self) -> None:
+        self.entries: list[list] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, place: str) -> None:
+        k = len(self.entries)
+        self.entries.append([name, place, True])
+        self.at.setdefault(name, []).append(k)
+        if name in BLOCKS:
+            self.blocks.append(k)
+
+    def place(self) -> str:
+        return self.entries[-1][1] if self.entries else ""
+
+    def count(self, name: str) -> int:
+        return len(self.at.get(name, ()))
+
+    def in_heading(self) -> bool:
+        return any(alive and name in HEADINGS for name, _, alive in self.entries[-4:])
+
+    def _end_one(self, k: int) -> None:
+        name = self.entries[k][0]
+        self.entries[k][2] = False
+        places = self.at[name]
+        # It is the innermost of its name, but for elements that an outer end tag closes from the inside out.
+        places.pop() if places[-1] == k else places.remove(k)
+        if self.blocks and self.blocks[-1] == k:
+            self.blocks.pop()
+
+    def _trim(self) -> None:
+        while self.entries and not self.entries[-1][2]:
+            self.entries.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost element of the name and what is open in it, unless that crosses a block."""
+        places = self.at.get(name)
+        if not places:
+            return
+        deep = places[-1]
+        inner_block = self.blocks[-1] if self.blocks else -1
+        if name in BLOCKS or inner_block < deep:
+            while len(self.entries) > deep:
+                if self.entries[-1][2]:
+                    self._end_one(len(self.entries) - 1)
+                self.entries.pop()
+            self._trim()
+        elif name == "a":
+            self._end_one(deep)
+
+    def imply_end(self, name: str) -> None:
+        """A start tag that ends open paragraphs, items or cells. Inline elements in them stay open."""
+        ended = ENDS.get(name, {"p"} if name in BLOCKS else frozenset())
+        while self.blocks and self.entries[self.blocks[-1]][0] in ended:
+            self._end_one(self.blocks[-1])
+        self._trim()
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. Unclosed and stray tags are tolerated, as browsers do."""
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[str, str]] = []
-    links = articles = 0
+    opened = _Open()
 
     def close_block() -> None:
         nonlocal now
@@ -148,19 +221,20 @@ def blocks(page: str) -> list[Block]:
         now = Block()
 
     def add(raw: str) -> None:
-        place = stack[-1][1] if stack else ""
+        place = opened.place()
         if place == "hidden" or not raw:
             return
         if now.parts and now.place != place:
             close_block()
         text = html.unescape(raw)
         now.place = place
-        now.heading = now.heading or any(n in HEADINGS for n, _ in stack[-4:])
+        now.heading = now.heading or opened.in_heading()
         now.parts.append(text)
-        if links:
+        if opened.count("a"):
             now.link_chars += len(SPACE.sub("", text))
 
     at, size = 0, len(page)
+    raw_ends: dict[str, int] = {}
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -184,30 +258,21 @@ def blocks(page: str) -> list[Block]:
             now.parts.append(" " if name == "br" else "")
             continue
         if token["close"]:
-            deep = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if deep is not None and (name in BLOCKS or not any(n in BLOCKS for n, _ in stack[deep:])):
-                for n, _ in stack[deep:]:
-                    links -= n == "a"
-                    articles -= n in ("article", "main")
-                del stack[deep:]
-            elif name == "a" and links and deep is not None:
-                links -= 1
-                del stack[deep]
+            opened.end(name)
             continue
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if raw_ends.get(name) != size else None
             at = end.end() if end else size
+            raw_ends[name] = at
             continue
         attrs = token["attrs"]
         if attrs.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        _imply_end(name, stack)
-        above = stack[-1][1] if stack else ""
-        stack.append((name, _place(name, attrs, above, articles > 0)))
-        links += name == "a"
-        articles += name in ("article", "main")
+        opened.imply_end(name)
+        in_article = opened.count("article") + opened.count("main") > 0
+        opened.push(name, _place(name, attrs, opened.place(), in_article))
     close_block()
     return out
 
@@ -219,89 +284,112 @@ ENDS = {
 }
 
 
-def _imply_end(name: str, stack: list[tuple[str, str]]) -> None:
-    ended = ENDS.get(name, {"p"} if name in BLOCKS else frozenset())
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in ended:
-            # Inline elements stay open over an implied end, but add nothing to a place.
-            del stack[k]
-        elif stack[k][0] in BLOCKS:
-            return
+@dataclass(frozen=True)
+class _Told:
+    """What pass one looks at: a block's length, its link density, its share of stop words, and its place."""
+
+    chars: int
+    links: float
+    stops: float
+    place: str
+    heading: bool
+    site_line: bool
+
+
+def _tell(found: list[tuple[Block, str]], rules: BlockRules) -> list[_Told]:
+    """The signals of each block. Where no stop list fits the page, every block has as many as it takes."""
+    words = [WORD.findall(text.lower()) if block.place != "outside" else [] for block, text in found]
+    stops = [sum(w in STOP_WORDS for w in some) for some in words]
+    fits = sum(stops) >= rules.no_stop_words * sum(map(len, words))
+    out = []
+    for (block, text), some, n in zip(found, words, stops, strict=True):
+        chars = len(text) if text.isascii() else 2 * len(text) - len(WIDE.sub("", text))
+        links = block.link_chars / max(1, len(text) - text.count(" ")) if block.link_chars else 0.0
+        share = n / max(1, len(some)) if fits else rules.high_stop_words
+        out.append(_Told(chars, links, share, block.place, block.heading, chars < rules.short_chars and bool(SITE_LINE.match(text))))
+    return out
 
 
-def _first_pass(block: Block, text: str, rules: BlockRules, in_article: bool) -> str:
-    if block.place == "outside":
-        return "bad"
-    chars = len(SPACE.sub("", text))
-    links = block.link_chars / max(1, chars)
-    if links > rules.max_link_density and not (in_article and len(text) < rules.short_chars and links < 1):
-        return "bad"
-    if in_article and block.place == "inside":
-        return "short" if len(text) < rules.short_chars else "good"
-    if len(text) < rules.short_chars and SITE_LINE.match(text):
-        return "bad"
-    words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) < rules.short_chars:
-        return "short"
-    if stops >= rules.high_stop_words:
-        return "good" if len(text) > rules.long_chars else "near"
-    if stops >= rules.low_stop_words:
-        return "near"
-    return "bad"
-
-
-def _second_pass(labels: list[str], kinds: list[Block], in_article: bool) -> list[bool]:
-    """Undecided blocks take their nearest decided neighbours' label; of two that differ, see below.
+def _first_pass(told: list[_Told], rules: BlockRules, article: bool | None) -> list[str]:
+    """A label for each block; ``article`` tells whether marked elements are the article, teasers, or (None) plain blocks."""
+    out = []
+    for t in told:
+        inside = t.place == "inside" and article is True
+        if t.place == "outside" or (article is True and not inside):
+            out.append("bad")
+        elif t.links > rules.max_link_density:
+            out.append("links" if inside else "bad")
+        elif t.chars < rules.short_chars:
+            teaser = t.place == "inside" and article is False
+            out.append("bad" if teaser or (t.site_line and not inside) else "short")
+        elif t.stops >= (rules.low_stop_words if inside else rules.high_stop_words):
+            out.append("good" if inside or t.chars > rules.long_chars else "near")
+        elif t.stops >= rules.low_stop_words or inside:
+            out.append("near")
+        else:
+            out.append("bad")
+    # Links in an article are its own, unless several blocks of nothing else follow each other.
+    at = 0
+    while at < len(out):
+        run = at
+        while run < len(out) and out[run] == "links":
+            run += 1
+        if run > at:
+            label = "bad" if run - at >= rules.link_run and all(t.links > 0.99 for t in told[at:run]) else "short"
+            out[at:run] = [label] * (run - at)
+        at = max(run, at + 1)
+    return out
 
-    Between a good and a bad neighbour a *near* block (long enough, some stop words) is good and a short one
-    goes with the nearer. Headings look ahead: they belong to what follows. Where nothing is decided, all is good.
-    """
-    decided = [x if x in ("good", "bad") else None for x in labels]
 
-    def look(i: int, step: int) -> tuple[str | None, int]:
-        k = i + step
-        while 0 <= k < len(labels):
-            if decided[k]:
-                return decided[k], abs(k - i)
-            k += step
-        return None, len(labels)
+def _second_pass(labels: list[str], told: list[_Told]) -> list[bool]:
+    """Undecided blocks take their nearest decided neighbours' label; of two that differ, see below.
 
+    A neighbour on the other side of an article's border is no neighbour. Between a good and a bad one a *near* block is
+    good and a short one goes with the nearer. Headings look ahead: they belong to what follows. Where nothing is
+    decided, all is good.
+    """
+    n = len(labels)
+    before: list[int | None] = [None] * n
+    after: list[int | None] = [None] * n
+    for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last: dict[str, int] = {}
+        for i in order:
+            side = "inside" if told[i].place == "inside" else ""
+            found[i] = last.get(side)
+            if labels[i] in ("good", "bad"):
+                last[side] = i
     out = []
     for i, label in enumerate(labels):
-        if decided[i]:
+        if label in ("good", "bad"):
             out.append(label == "good")
             continue
-        if in_article and kinds[i].place == "inside":
-            out.append(True)
-            continue
-        (before, far_before), (after, far_after) = look(i, -1), look(i, 1)
-        if before == after:
-            out.append(before != "bad")
-        elif kinds[i].heading:
-            out.append(after == "good")
+        b, a = before[i], after[i]
+        one, two = labels[b] if b is not None else None, labels[a] if a is not None else None
+        if one == two:
+            out.append(one != "bad")
+        elif told[i].heading:
+            out.append(two == "good")
         elif label == "near":
-            out.append("good" in (before, after))
-        elif before is None or after is None:
-            out.append((before or after) == "good" and not in_article)
+            out.append("good" in (one, two))
+        elif one is None or two is None:
+            out.append((one or two) == "good")
         else:
-            nearer = before if far_before <= far_after else after
-            out.append(nearer == "good" and not in_article)
+            out.append((one if i - b <= a - i else two) == "good")
     return out
 
 
-def _marked(found: list[tuple[Block, str]], rules: BlockRules) -> bool:
-    """Whether the markup names the article: elements inside it hold most of the text that pass one calls good.
+def _article(told: list[_Told], rules: BlockRules) -> bool | None:
+    """Whether elements that the markup names as the article hold most of the text that pass one calls good.
 
-    Without good blocks, of that of near ones, and without these of short ones.
+    Without good blocks, of that of near ones, and without these of short ones. None if it names none.
     """
-    if not any(b.place == "inside" for b, _ in found):
-        return False
-    labels = [_first_pass(b, t, rules, False) for b, t in found]
+    if not any(t.place == "inside" for t in told):
+        return None
+    labels = _first_pass(told, rules, None)
     for label in ("good", "near", "short"):
-        every = sum(len(t) for x, (_, t) in zip(labels, found, strict=True) if x == label)
+        every = sum(t.chars for x, t in zip(labels, told, strict=True) if x == label)
         if every:
-            inside = sum(len(t) for x, (b, t) in zip(labels, found, strict=True) if x == label and b.place == "inside")
+            inside = sum(t.chars for x, t in zip(labels, told, strict=True) if x == label and t.place == "inside")
             return 2 * inside > every
     return True
 
@@ -310,11 +398,8 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The article's blocks in page order, white space collapsed, joined by an empty line; '' without any."""
     found = [(b, b.text()) for b in blocks(page or "")]
     found = [(b, t) for b, t in found if t]
-    in_article = _marked(found, rules)
-    labels = [_first_pass(b, t, rules, in_article) for b, t in found]
-    good = _second_pass(labels, [b for b, _ in found], in_article)
-    if in_article:
-        good = [g and b.place == "inside" for g, (b, _) in zip(good, found, strict=True)]
+    told = _tell(found, rules)
+    good = _second_pass(_first_pass(told, rules, _article(told, rules)), told)
     return "\n\n".join(t for g, (_, t) in zip(good, found, strict=True) if g)
 
 
@@ -323,7 +408,7 @@ def extract_text(df: DataFrame, html_col: str = "html", rules: BlockRules = Bloc
 
     Null and empty pages have an empty text; rows that repeat come out as often; an empty table gives an empty
     table; columns of ``df`` pass through, ``text`` and ``n_chars`` of the input are replaced. No row leaves
-    its task; a page is parsed in time linear in its length.
+    its task; a page of any length is read whole, in time linear in it.
     """
     bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("text", "n_chars")]
