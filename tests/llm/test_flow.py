@@ -1,5 +1,6 @@
 """Mixing, archives, tokens and the pipeline."""
 
+import base64
 import hashlib
 import random
 
@@ -70,8 +71,48 @@ def test_archives_round_trip(spark, tmp_path):
     big = warc.resolve_revisits(pages, least_bytes=5)
     assert big.where("record_type = 'revisit'").count() == 0
     assert warc.warc_report(pages.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n", b"x", b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(broken))
+
+
+def test_revisits_of_repeated_ids(spark):
+    """Rows that share a page id but not a payload have records of their own."""
+    rows = [(1, "A"), (2, "A"), (1, "BBBB"), (3, "BBBB"), (None, "A"), (None, "own"), (None, "own"), (4, None)]
+    pages = spark.createDataFrame([(i, f"http://{k}", t) for k, (i, t) in enumerate(rows)], "page_id long, url string, html string")
+    got = sorted(map(str, (tuple(r) for r in warc.warc_report(pages).collect())))
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        ids = [k for k, u in rows if (u or "") == (t or "") and k is not None]
+        again = bool(ids) and i != min(ids)
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want.append(str((i, len(data), digest, "revisit" if again else "response", min(ids) if again else None)))
+    assert got == sorted(want)
+
+
+def test_archive_headers(spark, tmp_path):
+    texts = ["WARC/1.1\r\n" * 3, "WARC/WARC/1.1\r\nWARC/1.1\r", "x" * 3_000_000, "WARC/1.1\r\n" * 3]
+    pages = spark.createDataFrame([(i, f"http://{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    records = warc.warc_records(warc.resolve_revisits(pages), date="2021-02-03T04:05:06Z")
+    warc.write_warc(records, str(tmp_path / "a"))
+    read = warc.read_warc(spark, str(tmp_path / "a")).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in read if r["record_type"] == "response"} == {str(i): t for i, t in enumerate(texts[:3])}
+    assert sorted(r["record_type"] for r in read) == ["response", "response", "response", "revisit", "warcinfo"]
+    assert len({r["record_id"] for r in read}) == 5
+    head = next(r["record"] for r in records.collect() if "\nWARC-Type: revisit" in r["record"])
+    assert "WARC-Refers-To-Target-URI: http://0\r\nWARC-Refers-To-Date: 2021-02-03T04:05:06Z\r\n" in head
+    wrong = spark.createDataFrame([(head.replace("sha1:", "sha1:X"),)], "record string")
+    warc.write_warc(wrong, str(tmp_path / "b"))
+    assert warc.read_warc(spark, str(tmp_path / "b")).collect()[0]["payload_digest"].startswith("X")
+
+
+def test_a_wrong_digest_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    whole = warc.warc_records
+    monkeypatch.setattr(warc, "warc_records", lambda df: whole(df.withColumn("payload_digest", F.lit("WRONG"))))
+    with pytest.raises(Exception, match="no payload with the stated digest"):
+        warc.warc_report(pages).collect()
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +138,58 @@ def test_tokens_equal_the_library(spark, ranks, sf_dir, odd_docs, no_docs):
     assert bpe.bpe_report(no_docs).count() == 0
 
 
+def test_few_buckets_and_a_very_long_text(spark, ranks, no_docs):
+    """More partitions than buckets are allowed, and words that a task forgets on its way."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(200)))) for i in range(300)]
+    rows.append((300, "abc déf, " * 60_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    key, before = "spark.sql.sources.bucketing.maxBuckets", spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    try:
+        spark.conf.set(key, "4")
+        got = {r["doc_id"]: r["ids"] for r in bpe.encode_bpe(docs, ranks, public_tokenizers.PATTERN, block_chars=20_000).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_inclusion_rates_follow_their_odds(spark):
+    """Over many like sources a document is drawn as often as its expected copies say; all come near their targets."""
+    rng, kinds = random.Random(3), (20, 60, 200, 500)
+    line = [rng.choice(kinds) for _ in range(600)]
+    rows = [(1000 * s + i, f"s{s:03d}", z) for s in range(30) for i, z in enumerate(line)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix_sources(docs, share=0.9).collect()
+    size, mean = sum(line), sum(line) // len(line)
+    merit = {z: mean * mixing.MERITS // (mean + z) for z in kinds}
+    average = sum(merit[z] * z for z in line) / size
+    for turn in range(3):
+        mine = [r for r in out if int(r["source"][1:]) % 3 == turn]
+        ratio = mine[0]["target"] / size
+        want = {z: ratio * (1 + min(mixing.SPREAD, 2 / ratio - 1) * (merit[z] - average) / mixing.MERITS) for z in kinds}
+        assert sum(want[z] * z for z in line) == pytest.approx(mine[0]["target"]) and len(set(want.values())) == 4
+        for z in kinds:
+            got = [r["copies"] for r in mine if r["size"] == z]
+            assert abs(sum(got) / len(got) - want[z]) < 0.05 and set(got) <= {int(want[z]), int(want[z]) + 1}
+        taken = dict.fromkeys((r["source"] for r in mine), 0)
+        for r in mine:
+            taken[r["source"]] += r["taken"]
+        assert all(0 <= r["target"] - taken[r["source"]] < 60 for r in mine)
+
+
+def test_a_very_long_document_does_not_keep_its_source_from_the_target(spark):
+    rng = random.Random(7)
+    missed = []
+    for seed in range(6):
+        rows = [(i, "s", rng.randrange(50, 1000)) for i in range(400)] + [(400 + i, "s", 100_000) for i in range(3)] + [(900, "t", 10**6), (901, None, 0)]
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), seed=seed, share=0.4).collect()
+        mine = [r for r in out if r["source"] == "s"]
+        missed.append(mine[0]["target"] - sum(r["taken"] for r in mine))
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    assert max(missed) < 50 and min(missed) >= 0
+
+
 def test_stages_in_order(spark, sf_dir, odd_docs, no_docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "minhash_dedup", "mix_sources", "byte_bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
