@@ -9,7 +9,8 @@ never paired out. Its members meet instead under pairs of hot values, which leav
 short. Lists that are still hot are near copies of one text: their members are compared with the
 list's hub, the member whose sketch holds the group's commonest values. Links that join components are all that
 matters there. What then is outside its list's largest component is settled exactly: a prefix filter over the
-shingles that it shares with any member of a hot list finds all members that could still be linked.
+shingles that it shares with other components finds those that could still be linked to it, and each large one is
+asked through one pivot, whose distances leave out all members that cannot be.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SKETCH, LISTED = 128, 16
 SHORT = 32
 #: Lowest hot values that form keys of two, and keys under which a set of a hot list meets hubs.
 HOT_VALUES, HOT_KEYS = 12, 4
+#: Hot values that each one forms keys with.
+NEXT = 3
 #: Listed values that a pair must share: of 16, a pair at 0.8 shares fewer with a chance below 1e-6.
 SHARED = 4
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
@@ -173,6 +176,7 @@ class _Search:
         )
         sets = self.rows.where("digest IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("rep_id"),
+            F.min(F.struct("doc_id", "text_hash")).alias("place"),
             F.count(F.lit(1)).alias("n_rows"),
             F.first("n").alias("n"),
             F.first("sketch").alias("sketch"),
@@ -221,15 +225,16 @@ class _Search:
     def full_sets(self, involved: DataFrame) -> DataFrame:
         """Whole shingle sets of some vertices, from the text of one document each.
 
-        A Bloom filter of the wanted ids (bounded) is broadcast, so that only texts it lets through shuffle.
+        Documents are told by id and text, so that rows without an id, or with one that repeats, are found like others.
+        A Bloom filter of the wanted ones (bounded) is broadcast, so that only texts it lets through shuffle.
         """
-        wanted = self.sets.join(involved, "v", "left_semi").select("v", "digest", F.col("rep_id").alias("doc_id"))
+        wanted = self.sets.join(involved, "v", "left_semi").select("v", "digest", "place.doc_id", "place.text_hash")
         wanted = scratch_table(wanted, "wanted")
         bits = filter_bits(max(1, wanted.count()))
-        blocks = scratch_table(repeat_filter(wanted.select(F.xxhash64("doc_id").alias("h")), "h", bits, 1), "wanted-bits")
-        some = may_repeat(self.docs.withColumn("__h", F.xxhash64("doc_id")), "__h", blocks, bits, "__in").where("__in")
-        same = F.expr("s.doc_id <=> w.doc_id")
-        texts = some.select("doc_id", "text").alias("s").join(wanted.alias("w"), same, "left_semi").select("text")
+        blocks = scratch_table(repeat_filter(wanted.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h", bits, 1), "wanted-bits")
+        some = may_repeat(self.docs.withColumn("__h", F.xxhash64("doc_id", "text_hash")), "__h", blocks, bits, "__in").where("__in")
+        same = F.expr("s.text_hash = w.text_hash AND s.doc_id <=> w.doc_id")
+        texts = some.select("doc_id", "text", "text_hash").alias("s").join(wanted.alias("w"), same, "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.size), "digest binary, hashes array<bigint>").dropDuplicates(["digest"])
         return sets.join(wanted.select("v", "digest"), "digest").select("v", "hashes")
 
@@ -245,7 +250,7 @@ def _hot_members(search: _Search, listed: DataFrame) -> DataFrame:
 
     Other listed values do not excuse a set from this search, however many: in a crowd that shares one text they
     are the set's own, and no similar set has them. A key takes two hot values: of 16 listed values fewer than
-    two are common to a pair at 0.8 with a chance below 1e-9.
+    two are common to a pair at 0.8 with a chance below 1e-9 (if none but hot ones are common; any other pairs them out).
     """
     hot = listed.where(F.col("f") > SHORT).groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("value")).alias("hot"))
     hot = scratch_table(hot.where(F.size("hot") > 1), "hot-sets")
@@ -259,13 +264,14 @@ def _hot_members(search: _Search, listed: DataFrame) -> DataFrame:
 
 
 def _twos(hot: Column) -> Column:
-    """Keys of each hot value with the next and the next but one.
+    """Keys of each hot value with the next ``NEXT`` ones.
 
-    Two similar sets hold two common hot values with at most one of its own between them in either, but for a
-    chance of some 1e-5 at the threshold.
+    Two similar sets hold two common hot values with fewer than ``NEXT`` of its own between them in either. At the
+    threshold that fails most often where one set is part of the other and all values of its own are hot as well:
+    README states the measured chance.
     """
     first = F.slice(hot, 1, HOT_VALUES)
-    next_ones = F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.lit(2)), lambda y: F.xxhash64(x, y)))
+    next_ones = F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.lit(NEXT)), lambda y: F.xxhash64(x, y)))
     return F.flatten(next_ones)
 
 
@@ -277,7 +283,7 @@ def near_duplicate_links(search: _Search) -> DataFrame:
 
     hot = _hot_members(search, listed)
     keyed = hot.select("v", "n", F.explode(_twos(F.col("hot"))).alias("key"))
-    keyed = _by_length(keyed, "key", max(1, hot.count()) * 2 * HOT_VALUES)
+    keyed = _by_length(keyed, "key", max(1, hot.count()) * NEXT * HOT_VALUES)
     pairs = pairs.unionByName(search.paired(keyed.where(F.col("f") <= SHORT), "key"))
     crowd = keyed.where(F.col("f") > SHORT).select("v", "n", "key")
     pairs = scratch_table(search.possible(pairs.unionByName(_hub_pairs(search, crowd, hot))), "pairs")
@@ -315,33 +321,97 @@ def _unsettled(crowd: DataFrame, links: DataFrame) -> DataFrame:
     return scratch_table(members, "members")
 
 
-def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
-    """All pairs that could link an open member to any member of an open list.
+def _viable(search: _Search, sides: DataFrame) -> DataFrame:
+    """``sides(v, n, root, open, hashes)`` that another component could be linked to, with ``hs``, ``c`` and ``least``.
+
+    ``hs`` are a member's shingles that a member of another component has, those of few components first, ``c`` their
+    number. A link takes ``num / den`` of the larger set: a member with fewer of them has none. So members that share a
+    passage but not enough of it drop out before anything is joined.
+    """
+    every = sides.select("v", "root", F.explode("hashes").alias("h"))
+    common = every.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.sum("m").alias("m"))
+    common = scratch_table(common.where("f > 1"), "crowd-common")
+    every = scratch_table(every, "crowd-shingles")
+    shared = attach_by_key(every, common, "h", "m", max(1, every.count())).where("f IS NOT NULL")
+    found = shared.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    out = sides.join(found, "v").withColumns({"c": F.size("hs"), "least": F.ceil(F.lit(search.num) * F.col("n") / F.lit(search.den)).cast("int")})
+    return scratch_table(out.where("c >= least"), "viable")
 
-    Of an open member's shingles only those count that another member has, rarest first. A linked pair has at
-    least ``num / (num + den)`` of both sizes in common, so from its first common shingle on the open member must
-    hold as many. Heavily edited copies share too little and drop out at once; others meet few partners.
+
+def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
+    """All pairs that could link an open member to a member of another component.
+
+    Members first meet components, not each other. From its first shingle in common with a partner on, rarest first, an
+    open member must hold ``num / (num + den)`` of both sizes, and the partner as many shared ones: a prefix of few
+    shingles finds the components, in classes of like size, that have such partners. A component of one member is a
+    pair. One of many is asked through its pivot: Jaccard distance is a metric, so only members whose distance from
+    the pivot is within ``1 - num / den`` of the asking one's can be linked to it. Two families that overlap by less
+    than a link are told apart by one comparison a member.
     """
     num, den = search.num, search.den
+    bound = 1 - num / den
     full = scratch_table(search.full_sets(members.select("v")).join(members, "v"), "crowd-sets")
-    every = full.select("v", "n", "root", F.explode("hashes").alias("h"))
-    common = scratch_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "crowd-common")
-    own = scratch_table(full.where("open").select("v", "n", "root", F.explode("hashes").alias("h")), "open-shingles")
-    shared = attach_by_key(own, common, "h", "f", max(1, own.count())).where("f IS NOT NULL")
-    ordered = shared.groupBy("v", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
-    ordered = ordered.withColumns({"c": F.size("hs"), "least": F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("int")})
-    ordered = ordered.where("c >= least").withColumn("hs", F.expr("slice(hs, 1, c - least + 1)"))
-    asked = ordered.select(
-        F.col("v").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "c", F.posexplode("hs").alias("i", "s")
+    sides = _viable(search, _viable(search, full).select(*full.columns))
+    sides = sides.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int"))
+    bands = sides.groupBy("root", "band").agg(
+        F.count(F.lit(1)).alias("m"), F.min("v").alias("only"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("most")
+    )
+    bands = scratch_table(bands, "bands")
+    told = sides.select("root", "band", F.explode("hs").alias("s")).select("root", "band", F.col("s.h").alias("h")).distinct()
+    told = told.withColumnRenamed("root", "of").join(bands.withColumnRenamed("root", "of"), ["of", "band"])
+    asked = sides.where("open").select(
+        F.col("v").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "c", F.expr("posexplode(slice(hs, 1, c - least + 1)) AS (i, s)")
     )
-    asked = scratch_table(asked.select("x", "nx", "rx", (F.col("c") - F.col("i")).alias("left"), F.col("s.h").alias("h")), "asked")
+    asked = asked.select("x", "nx", "rx", (F.col("c") - F.col("i")).alias("left"), F.col("s.h").alias("h"))
     fits = (
-        (F.col("root") != F.col("rx"))
-        & search.sizes_fit("n", "nx")
-        & (F.lit(num + den) * F.col("left") >= F.lit(num) * (F.col("n") + F.col("nx")))
+        (F.col("of") != F.col("rx"))
+        & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("nx"))
+        & (F.lit(den) * F.col("nx") >= F.lit(num) * F.col("low"))
+        & (F.lit(num + den) * F.least("left", "most") >= F.lit(num) * (F.col("low") + F.col("nx")))
     )
-    pairs = every.join(asked, "h").where(fits)
-    return scratch_table(search.possible(pairs.select(F.col("x").alias("a"), F.col("v").alias("b"))), "pairs")
+    met = asked.join(told, "h").where(fits).select("x", "nx", "of", "band", "m", "only").distinct()
+    met = scratch_table(met, "met")
+    single = met.where("m = 1").select(F.col("x").alias("a"), F.col("only").alias("b"))
+    many = met.where("m > 1")
+
+    involved = scratch_table(many.select(F.col("of").alias("root")).distinct(), "asked-components")
+    inside = sides.join(involved, "root", "left_semi").select("v", "n", "c", "root", "band")
+    pivots = scratch_table(inside.groupBy("root").agg(F.max_by("v", F.struct("c", "v")).alias("pivot")), "pivots")
+    to_pivot = inside.select("root", "v").unionByName(many.select(F.col("of").alias("root"), F.col("x").alias("v"))).distinct()
+    to_pivot = to_pivot.join(pivots, "root").select("root", F.col("v").alias("a"), F.col("pivot").alias("b"))
+    far = scratch_table(_distances(to_pivot, full), "pivot-distances")
+    near = far.where(F.col("d") <= bound + 1e-9).where("a <> b").select("a", "b")
+    step = F.lit(16.0)
+    stand = inside.join(far.select("root", F.col("a").alias("v"), "d"), ["root", "v"])
+    stand = stand.select("root", "band", F.floor(F.col("d") * step).alias("ring"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("d").alias("dy"))
+    ask = many.select("x", "nx", F.col("of").alias("root"), "band").join(far.select("root", F.col("a").alias("x"), F.col("d").alias("dx")), ["root", "x"])
+    ask = ask.where(F.col("dx") > bound + 1e-9).join(sides.select(F.col("v").alias("x"), F.col("c").alias("cx")), "x")
+    rings = F.sequence(F.floor((F.col("dx") - bound - 1e-9) * step), F.floor(F.least(F.col("dx") + bound + 1e-9, F.lit(1.0)) * step))
+    ask = ask.withColumn("ring", F.explode(rings))
+    close = (
+        (F.abs(F.col("dx") - F.col("dy")) <= bound + 1e-9)
+        & search.sizes_fit("nx", "ny")
+        & (F.lit(num + den) * F.least("cx", "cy") >= F.lit(num) * (F.col("nx") + F.col("ny")))
+    )
+    ringed = ask.join(stand, ["root", "band", "ring"]).where(close).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return scratch_table(search.possible(single.unionByName(near).unionByName(ringed)), "pairs")
+
+
+def _distances(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """``root, a, b, d``: the Jaccard distance of the full sets of each pair."""
+    both = pairs.join(full.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(full.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b").select("root", "a", "b", "x", "y")
+    return both.mapInArrow(_apart, "root bigint, a bigint, b bigint, d double")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column(3), batch.column(4), strict=True):
+            x, y = a.values.to_numpy(), b.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(1 - both / (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], names=["root", "a", "b", "d"])
 
 
 def _by_row(df: DataFrame, id_col: str, text_col: str, shingle_words: int, num: int, den: int) -> DataFrame:
@@ -384,7 +454,8 @@ def near_dedup(
 
     Defined results: null and empty texts, and texts without words, have no shingles and stand alone; rows
     that repeat an id and text share its class and are all kept or not; null ids belong to their text's
-    class; an empty table gives an empty table; other columns of ``df`` are not read.
+    class, which has a null ``component_id`` if no member has an id; texts of any length are sketched and compared
+    whole; an empty table gives an empty table; other columns of ``df`` are not read.
     """
     return _by_row(df, id_col, text_col, shingle_words, num, den).drop("text_hash")
 
