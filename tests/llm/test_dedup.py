@@ -132,6 +132,80 @@ def test_own_values_do_not_hide_a_set_of_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup_report(docs).collect()} == want
 
 
+def classes_by_pairs_of_kinds(spark, rows):
+    return {r["doc_id"]: r["component_id"] for r in minhash.near_dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_a_crowd_of_supersets_is_one_class(spark):
+    """One text of 400 shingles, and documents that are that text with up to 100 words of their own: all are linked."""
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(403)]
+    rows = [(0, " ".join(common))]
+    for i in range(1, 700):
+        own = [f"o{i}x{j}" for j in range(100)]
+        cut = rng.choice((0, 50, 100))
+        rows.append((i, " ".join([*own[:cut], *common, *own[cut:]]) if cut in (0, 100) else " ".join([*common, *own[: rng.randrange(60, 100)]])))
+    got = classes_by_pairs_of_kinds(spark, rows)
+    assert set(got.values()) == {0}
+
+
+def test_two_families_below_the_threshold_stay_apart(spark, monkeypatch):
+    """One-word edits inside each family, two thirds of the shingles in common: pairs grow with documents, not with their square."""
+    rng = random.Random(22)
+    common, counted = [f"c{i}" for i in range(160)], []
+    possible = minhash._Search.possible
+
+    def count(self, pairs):
+        counted.append(pairs.count())
+        return possible(self, pairs)
+
+    monkeypatch.setattr(minhash._Search, "possible", count)
+    sizes = []
+    for n in (150, 300):
+        rows = []
+        for i in range(2 * n):
+            words = [*common, *(f"{'ab'[i % 2]}{j}" for j in range(38))]
+            words[rng.randrange(len(words))] = f"e{i}"
+            rows.append((i, " ".join(words)))
+        counted.clear()
+        got = classes_by_pairs_of_kinds(spark, rows)
+        want, _ = brute_classes(rows, 4)
+        assert got == want and 0 in want.values() and 1 in want.values()
+        sizes.append(sum(counted))
+    assert sizes[1] < 3 * sizes[0], sizes
+
+
+def test_members_of_a_crowd_far_from_its_pivot_are_found(spark):
+    """A chain of texts, each linked to the next only, inside a crowd that shares most of them."""
+    rng = random.Random(23)
+    base = [f"c{i}" for i in range(300)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(40)]
+    now, n = list(base), 100
+    for step in range(12):
+        at = step * 20
+        now = [*now[:at], *(f"s{step}w{j}" for j in range(20)), *now[at + 20 :]]
+        rows.append((n + step, " ".join(now)))
+    rows += [(200 + i, " ".join(edited(rng, base, 0.05))) for i in range(60)]
+    got = classes_by_pairs_of_kinds(spark, rows)
+    want, _ = brute_classes(rows, 4)
+    assert got == want
+
+
+def test_null_ids_link_by_their_text(spark):
+    text = [f"t{i}" for i in range(200)]
+    rows = [(None, " ".join(text)), (7, " ".join([*text[:-1], "other"])), (None, " ".join(f"u{i}" for i in range(50)))]
+    out = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["component_id"]) for r in out) == ["7", "7", "None"]
+
+
+def test_a_very_long_text_is_compared_whole(spark):
+    text = [f"w{i}" for i in range(60_000)]
+    other = [*text[:50_000], *(f"v{i}" for i in range(10_000))]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "end"])), (3, " ".join(other)), (4, " ".join(other[:-1]))]
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_only_near_copies_go_where_ids_repeat_or_miss(spark):
     one, two, other, more = ([f"{k}{i}" for i in range(60)] for k in "abcd")
     rows = [(1, one), (7, [*one, "end"]), (7, other), (20, two), (None, [*two, "end"]), (None, more)]
