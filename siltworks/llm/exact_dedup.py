@@ -53,6 +53,13 @@ def dedup_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return exact_dedup(df.withColumn("text_sha256", text_digest(F.col(text_col))), id_col)
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``dedup_texts`` keeps, with all their columns, whatever their names."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
+    out = dedup_texts(own, f"__doc_{id_col}", f"__doc_{text_col}").where("kept")
+    return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
+
+
 def dedup_report(docs: DataFrame) -> DataFrame:
     """One row a document. Texts are read once; their digests (some 60 bytes a row) go to the shared folder."""
     digests = scratch_table(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")

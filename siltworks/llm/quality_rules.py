@@ -35,13 +35,21 @@ class LineRules:
 SYMBOLS = r"[#*$%&|<>{}~^\\_=!]"
 CLOSED = r"[.!?:;,…。！？؟।][\"'”’»)\]]*$"
 SEPARATOR = r"( [|»›•·>/] )"
+#: How menu lines begin and what boilerplate says, in English, German, French and Spanish. A dot stands for
+#: an accented letter, whose case the engines fold differently.
 MENU = (
     r"(?i)^(home|menu|log ?in|sign ?(in|up)|register|contact( us)?|about( us)?|site ?map|search|next|previous|"
-    r"back to top|skip to|share|tweet|print|read more|subscribe)\b"
+    r"back to top|skip to|share|tweet|print|read more|subscribe|"
+    r"startseite|suche|anmelden|abmelden|registrieren|kontakt|impressum|weiterlesen|nach oben|teilen|drucken|"
+    r"accueil|recherche|connexion|s'inscrire|contactez|plan du site|lire la suite|partager|imprimer|"
+    r"inicio|buscar|iniciar|registrarse|contacto|mapa del sitio|leer m.s|compartir|imprimir)\b"
 )
 BOILER = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|use cookies|cookie policy|enable javascript|"
-    r"lorem ipsum|powered by|click here|page not found|©|\(c\) \d{4})"
+    r"lorem ipsum|powered by|click here|page not found|©|\(c\) \d{4}|"
+    r"alle rechte vorbehalten|datenschutzerkl.rung|verwendet cookies|nutzungsbedingungen|seite nicht gefunden|"
+    r"tous droits r.serv.s|politique de confidentialit|utilise des cookies|conditions d'utilisation|page introuvable|"
+    r"todos los derechos reservados|pol.tica de privacidad|utiliza cookies|condiciones de uso|p.gina no encontrada)"
 )
 
 
@@ -116,7 +124,7 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     lines' characters that is left. A document is kept if the base rules hold (ten words or more, at most a
     fifth of them in repeated windows) and at least ``min_kept_share`` is left.
 
-    No row leaves its task: nothing shuffles. Null and empty texts have zero counts, share 0 and are not
+    No row leaves its task: nothing shuffles. Texts of any length are read whole, in memory linear in them. Null and empty texts have zero counts, share 0 and are not
     kept; an empty table gives an empty table; rows that repeat are judged alike; columns of ``df`` whose
     names clash with added ones are replaced.
     """
@@ -142,20 +150,22 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with failed lines removed from ``text`` and ``n_chars`` (if present) counted anew."""
+    """Documents that pass, with failed lines removed from ``text`` and ``n_chars`` (if present) counted anew.
+
+    Other columns of ``docs`` come out as they were, whatever their names.
+    """
     # The id that each row gets is no part of the rule: it only keeps the filter above the projection, where
     # the optimizer would otherwise evaluate all rules once more.
-    out = clean_lines(docs).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
-    out = out.withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
+    out = clean_lines(own, "__doc_doc_id", "__doc_text").withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
+    anew = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return out.select(*[anew.get(c, F.col(f"`__doc_{c}`")).alias(c) for c in docs.columns])
 
 
 #: The same rules for RE2, whose escapes differ.
 _SQL_CLOSED = "[.!?:;,\\x{2026}\\x{3002}\\x{FF01}\\x{FF1F}\\x{061F}\\x{0964}][\"''\\x{201D}\\x{2019}\\x{00BB})\\]]*$"
 _SQL_SEPARATOR = "( [|\\x{00BB}\\x{203A}\\x{2022}\\x{00B7}>/] )"
-_SQL_BOILER = BOILER.replace("\\u00A9", "\\x{00A9}")
+_SQL_MENU, _SQL_BOILER = MENU.replace("'", "''"), BOILER.replace("'", "''").replace("\\u00A9", "\\x{00A9}")
 
 ORACLE = f"""
 WITH t AS (
@@ -178,7 +188,7 @@ WITH t AS (
 ), good AS (
   SELECT rid, sum(CASE WHEN sym > 0.1 * length(l) OR (open_end AND n <= 3)
       OR (seps >= 2 AND seps >= 0.2 * n)
-      OR (open_end AND n <= 8 AND regexp_matches(ltrim(l, ' '), '{MENU}'))
+      OR (open_end AND n <= 8 AND regexp_matches(ltrim(l, ' '), '{_SQL_MENU}'))
       OR (n <= 30 AND regexp_matches(l, '{_SQL_BOILER}'))
     THEN 0 ELSE length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) END) AS chars,
     count(*) - count(DISTINCT l) AS dup

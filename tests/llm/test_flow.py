@@ -206,4 +206,44 @@ def test_stages_in_order(spark, sf_dir, odd_docs, no_docs):
     assert len({t.lower() for t in texts}) == len(texts)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs.withColumn("n_chars", F.lit(0).cast("long")), sf_dir).count() == 0
-        assert stage(spark, odd_docs, sf_dir).count() <= 2 * odd_docs.count()
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd_docs):
+    """Nulls, empties, ties, repeated rows and columns that clash with the operators': what each stage makes of them."""
+    clash = odd_docs.withColumns({"copies": F.lit(9), "taken": F.lit(9), "keep_id": F.lit("x"), "__row": F.lit(1), "clean_text": F.lit("y"), "text_sha256": F.lit("z")})
+    good = "This is a proper line of text with its own words and a mark at the end."
+    more = spark.createDataFrame([(60, good), (61, good), (61, good), (None, good), (62, good.upper()), (63, good[:-1] + " too."), (64, None)], "doc_id long, text string")
+    docs = clash.unionByName(more, allowMissingColumns=True)
+    clean = corpus_pipeline.clean(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert rows_of(clean, "doc_id") == sorted([(60,), (61,), (61,), (None,), (62,), (63,)], key=str)
+    assert {(r["copies"], r["text_sha256"]) for r in corpus_pipeline.distinct_texts(spark, clash, sf_dir).collect()} == {(9, "z")}
+    distinct = corpus_pipeline.distinct_texts(spark, docs, sf_dir)
+    assert distinct.columns == docs.columns
+    assert rows_of(distinct.where("doc_id >= 60 OR doc_id IS NULL"), "doc_id") == sorted([(62,), (63,), (64,), (None,)], key=str)
+    near = corpus_pipeline.distinct_enough(spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    assert rows_of(near.where("doc_id >= 60"), "doc_id") == [(60,), (64,)] and near.where("doc_id < 3").count() == 3
+    mixed = corpus_pipeline.mix(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and {r["copies"] for r in mixed.where("doc_id < 60").collect()} <= {9}
+    times = dict(mixed.groupBy("doc_id", "text").count().rdd.map(lambda r: ((r[0], r[1]), r[2])).collect())
+    assert all(n <= 2 * docs.where(F.col("doc_id").eqNullSafe(i) & F.col("text").eqNullSafe(t)).count() for (i, t), n in times.items())
+    ids = corpus_pipeline.tokens(spark, docs, sf_dir)
+    assert ids.count() == docs.count() and {r["n_tokens"] for r in ids.where("doc_id = 64").collect()} == {0}
+
+
+def test_stages_keep_long_texts_whole(spark, sf_dir):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) + "."
+    text = "\n".join(line() for _ in range(20_000))
+    docs = spark.createDataFrame([(i, f"{text}\n{i}.", "s", "en", 0) for i in range(3)] + [(3, line(), "s", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long")
+    clean = corpus_pipeline.clean(spark, docs, sf_dir)
+    assert {r["doc_id"]: len(r["text"]) for r in clean.collect()} == {r["doc_id"]: len(r["text"]) for r in docs.collect()}
+    assert corpus_pipeline.distinct_texts(spark, clean, sf_dir).count() == 4
+    kept = corpus_pipeline.distinct_enough(spark, clean, sf_dir)
+    assert rows_of(kept, "doc_id") == [(0,), (3,)]
+    assert {r["decoded_sha256"] for r in corpus_pipeline.tokens(spark, kept, sf_dir).collect()} == {hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()}

@@ -45,6 +45,13 @@ def test_failed_lines_go_and_little_left_rejects(spark):
     assert set(got) == {1, 3} and got[1]["text"] == f"{good}\n\n{more}" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+@pytest.mark.parametrize("line", ["Impressum und Kontakt", "Alle Rechte vorbehalten, Firma und Partner.", "Lire la suite de l'article", "Tous droits réservés par nous.", "Página no encontrada en el sitio."])
+def test_menus_and_notices_of_other_languages(spark, line):
+    good = "Dies ist eine ordentliche Zeile mit genug Wörtern und einem Punkt am Ende."
+    docs = spark.createDataFrame([(1, f"{good}\n{line}")], "doc_id long, text string")
+    assert quality_rules.keep_clean(docs).first()["text"] == good
+
+
 def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     out = quality_rules.clean_lines(docs).where("quality = 1 AND NOT base_failed")
