@@ -56,9 +56,10 @@ def slug(text: Column) -> Column:
 
 
 def escape_chars(text: Column, table: Mapping[str, str] = TYPESET) -> Column:
-    """Each character replaced by what ``table`` has for it."""
+    """Each character replaced by what ``table`` has for it. Texts without any such character are left alone."""
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(pairs[c], c)), "")
+    some = "[" + "".join("\\" + c for c in table) + "]"
+    return F.when(~text.rlike(some), text).otherwise(F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(pairs[c], c)), ""))
 
 
 def uri_scheme(uri: Column) -> Column:

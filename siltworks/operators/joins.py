@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.hashing import hamming
 from siltworks.operators.skew import attach_by_key
 from siltworks.scratch import scratch_table
+from siltworks.ship import ship_code
 
 #: Vectors in one block of a blocked search.
 BLOCK = 2_048
+#: Random hashes that may share a bucket of a Hamming search, and the most masks that it tries.
+BUCKET, MAX_MASKS = 64, 256
 
 
 def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,28 +28,40 @@ def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return ends.where(F.col(a) < F.col(b)).distinct()
 
 
+def band_masks(radius: int, within: int, n: int) -> list[int]:
+    """Masks of ``within`` bits such that two numbers that differ in at most ``radius`` of them agree under one at least.
+
+    The bits are cut into ``radius + m`` bands, of which ``m`` agree; a mask is ``m`` bands. ``m`` grows with the number
+    of hashes, so that a mask has enough bits to leave few of ``n`` random numbers alike, up to ``MAX_MASKS`` masks.
+    """
+    m = 1
+    while m * within // (radius + m) < np.log2(max(2, n)) - np.log2(BUCKET) and math.comb(radius + m + 1, m + 1) <= MAX_MASKS and radius + m < within:
+        m += 1
+    edges = np.linspace(0, within, radius + m + 1).astype(int).tolist()
+    bands = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    masks = [sum(some) for some in itertools.combinations(bands, m)]
+    return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
+
+
 def hamming_join(df: DataFrame, key: str, bits: str, radius: int, within: int = 64) -> DataFrame:
     """All pairs ``a < b`` whose ``bits`` differ in at most ``radius`` of the lowest ``within`` places, exactly.
 
-    ``radius + 1`` bands split the bits: a pair that differs in ``radius`` places agrees on a band whole. Equal
-    hashes are one row of the search and are paired out only at the end, each once with its group's least key;
-    so a hash that fills the table is compared once. ``same_as`` rows link the copies.
+    Hashes meet under the masks of ``band_masks``: the more hashes there are, the more bits a meeting takes, so that a
+    bucket of random hashes stays small. Equal hashes are one row of the search and are paired out only at the end,
+    each once with its group's least key; so a hash that fills the table is compared once.
     """
-    whole = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("x"))
-    reps = scratch_table(whole.groupBy("x").agg(F.min("k").alias("rep")), "hash-reps")
-    edges = np.linspace(0, within, radius + 2).astype(int).tolist()
-    bands = F.array(
-        *[
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("x", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("part"))
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
-    side = reps.select("x", "rep", F.explode(bands).alias("at")).select("x", "rep", "at.band", "at.part")
+    low = F.lit((1 << within) - 1 if within < 63 else -1)
+    whole = scratch_table(df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("x")), "hashes")
+    reps = scratch_table(whole.groupBy("x").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")), "hash-reps")
+    masks = band_masks(radius, within, reps.count())
+    parts = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("x").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)])
+    side = reps.select("x", "rep", F.explode(parts).alias("at")).select("x", "rep", "at.mask", "at.part")
     one, two = side.alias("p"), side.alias("q")
-    near = one.join(two, F.expr("p.band = q.band AND p.part = q.part AND p.rep < q.rep"))
-    near = near.withColumn("hamming", hamming(F.col("p.x"), F.col("q.x"))).where(F.col("hamming") <= radius)
+    near = one.join(two, F.expr("p.mask = q.mask AND p.part = q.part AND p.rep < q.rep"))
+    differ = hamming(F.col("p.x").bitwiseAND(low), F.col("q.x").bitwiseAND(low))
+    near = near.withColumn("hamming", differ).where(F.col("hamming") <= radius)
     near = near.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), "hamming").distinct()
-    counts = scratch_table(whole.groupBy("x").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hash-copies")
+    counts = scratch_table(reps.where("n > 1").select("x", "rep", "n"), "hash-copies")
     copies = attach_by_key(whole, counts, "x", "n", max(1, whole.count())).where("rep IS NOT NULL AND k <> rep")
     same = copies.select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(0).alias("hamming"))
     return near.unionByName(same)
@@ -64,83 +81,148 @@ def expand_copies(edges: DataFrame, df: DataFrame, key: str, bits: str) -> DataF
     return ends.unionByName(inside)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, group: str | None, name: str) -> DataFrame:
-    """Vectors packed in blocks: ``block, keys, groups, values`` rows of at most a few thousand vectors."""
-    n = max(1, -(-df.count() // BLOCK))
-    at = F.pmod(F.xxhash64(key), F.lit(n))
+BLOCK_SCHEMA = "cell int, n int, keys binary, groups array<string>, vectors binary"
+
+
+def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str, cells: Cells | None = None, probes: int = 1) -> DataFrame:
+    """Vectors packed in blocks of bytes, where they lie: nothing shuffles. With ``cells`` a block has one cell's vectors.
+
+    With ``probes`` a vector is in the blocks of so many cells, the nearest ones.
+    """
+    ship_code(df.sparkSession)
     slim = df.where(F.col(vector).isNotNull()).select(
-        at.alias("block"), F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"),
-        (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"),
+        F.col(key).cast("long").alias("k"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"),
+        F.col(vector).cast("array<float>").alias("v"),
     )
-    rows = slim.groupBy("block").agg(F.collect_list(F.struct("k", "g", "v")).alias("rows"))
-    return scratch_table(rows, name)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
 
-def _scored(found, keep):
-    """Score all vectors of two blocks and let ``keep`` choose cells."""
+        def block(cell: int) -> pa.RecordBatch:
+            ks, gs, vs = zip(*held.pop(cell), strict=True)
+            keys, groups, vectors = np.concatenate(ks), [x for one in gs for x in one], np.concatenate(vs)
+            columns = [
+                pa.array([cell], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([keys.tobytes()], pa.binary()),
+                pa.array([groups], pa.list_(pa.string())), pa.array([vectors.tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "n", "keys", "groups", "vectors"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                a = np.array([np.asarray(r["v"], np.float64) for r in left])
-                b = np.array([np.asarray(r["v"], np.float64) for r in right])
-                sims = a @ b.T
-                ka, kb = np.array([r["k"] for r in left]), np.array([r["k"] for r in right])
-                ga, gb = np.array([r["g"] for r in left], object), np.array([r["g"] for r in right], object)
-                yield keep(sims, ka, kb, ga, gb)
+            if not len(batch):
+                continue
+            keys, groups = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            lists = batch.column(2)
+            vectors = lists.flatten().to_numpy().reshape(len(batch), -1).astype(np.float32)
+            where = cells.nearest(vectors, probes) if cells else np.zeros((len(batch), 1), int)
+            for cell in np.unique(where):
+                rows = (where == cell).any(1)
+                held.setdefault(int(cell), []).append((keys[rows], groups[rows].tolist(), vectors[rows]))
+                if sum(len(k) for k, _, _ in held[int(cell)]) >= BLOCK:
+                    yield block(int(cell))
+        for cell in list(held):
+            yield block(cell)
+
+    return scratch_table(slim.mapInArrow(run, BLOCK_SCHEMA), name)
+
+
+class Cells:
+    """Centres of an inverted file over unit vectors, fitted on a bounded sample."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def nearest(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        return np.argsort(-(vectors @ self.centres.T), axis=1, kind="stable")[:, :probes]
+
+
+def fit_cells(df: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 3) -> Cells:
+    """Centres by spherical k-means on at most ``sample`` vectors, those with the least hash of key and seed.
+
+    The bound is a parameter: it limits what reaches the driver. Every vector is assigned to a cell, in the sample or not.
+    """
+    some = df.where(F.col(vector).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), key, F.col(vector).cast("array<float>").alias("v"))
+    rows = some.orderBy("h", key).limit(sample).collect()
+    points = np.array([r["v"] for r in rows], np.float32) if rows else np.zeros((1, 1), np.float32)
+    centres = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)].copy()
+    for _ in range(rounds):
+        own = (points @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centre = points[own == c].sum(0)
+                centres[c] = centre / max(1e-12, float(np.linalg.norm(centre)))
+    return Cells(centres)
+
+
+def _scored(keep):
+    """Score all vectors of two packed blocks and let ``keep`` choose cells of the matrix."""
+
+    def unpack(batch: pa.RecordBatch, at: int, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.frombuffer(batch.column(at)[row].as_py(), np.int64)
+        groups = np.array(batch.column(at + 1)[row].as_py(), object)
+        return keys, groups, np.frombuffer(batch.column(at + 2)[row].as_py(), np.float32).reshape(len(keys), -1).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                ka, ga, a = unpack(batch, 0, row)
+                kb, gb, b = unpack(batch, 3, row)
+                yield keep(a @ b.T, ka, kb, ga, gb)
 
     return run
 
 
+def _meet(left: DataFrame, right: DataFrame, cells: bool) -> DataFrame:
+    """Pairs of blocks: of the same cell, or all of them. Blocks of the right side are what travels."""
+    names = ("keys", "groups", "vectors")
+    one = left.select("cell", *[F.col(c).alias(f"a_{c}") for c in names])
+    two = right.select("cell", *[F.col(c).alias(f"b_{c}") for c in names])
+    both = one.join(two, "cell") if cells else one.drop("cell").crossJoin(two.drop("cell"))
+    return both.select(*[f"a_{c}" for c in names], *[f"b_{c}" for c in names])
+
+
 def neighbours(
-    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, group: str | None = None
+    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, group: str | None = None, cells: int = 0, probes: int = 8
 ) -> DataFrame:
     """The ``k`` reference vectors with the largest dot product for each query, never of its own group.
 
-    ``query, ref, similarity, rank`` rows; fewer where fewer are eligible; ties go to the lesser key. The search
-    is exact: blocks of queries meet blocks of the reference, each pair of blocks is one matrix product and
-    returns ``k`` rows a query. Null vectors neither ask nor answer; a null group is no group.
+    ``query, ref, similarity, rank`` rows; fewer where fewer are eligible; ties go to the lesser key. Without ``cells``
+    the search is exact: blocks of queries meet blocks of the reference, each pair of blocks is one matrix product and
+    returns ``k`` rows a query. That is work in proportion to both tables. With ``cells`` the reference is divided
+    among so many cells (``fit_cells``) and a query meets those of its ``probes`` nearest ones only; more probes
+    find more, all of them everything. Null vectors neither ask nor answer; a null group is no group.
     """
-    q, r = _blocks(queries, key, vector, group, "query-blocks"), _blocks(reference, key, vector, group, "reference-blocks")
-    n_q = q.agg(F.max("block")).first()[0]
-    if n_q is None:
-        n_q = 0
-    r = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n_q)).cast("long"))).alias("block"), F.col("rows").alias("right"))
+    fitted = fit_cells(reference, key, vector, cells) if cells else None
+    q = _packed(queries, key, vector, group, "query-blocks", fitted, probes)
+    r = _packed(reference, key, vector, group, "reference-blocks", fitted, 1)
 
     def keep(sims, ka, kb, ga, gb):
         if group:
             same = (ga[:, None] == gb[None, :]) & np.array([g is not None for g in ga])[:, None]
             sims = np.where(same, -np.inf, sims)
         order = np.lexsort((np.broadcast_to(kb, sims.shape), -sims), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ka)), order.shape[1])
-        cols = order.ravel()
-        out = pd.DataFrame({"query": ka[rows], "ref": kb[cols], "similarity": sims[rows, cols]})
-        return out[np.isfinite(out["similarity"])]
+        rows, cols = np.repeat(np.arange(len(ka)), order.shape[1]), order.ravel()
+        found = np.isfinite(sims[rows, cols])
+        rows, cols = rows[found], cols[found]
+        return pa.RecordBatch.from_arrays([pa.array(ka[rows]), pa.array(kb[cols]), pa.array(sims[rows, cols])], names=["query", "ref", "similarity"])
 
-    pairs = q.withColumnRenamed("rows", "left").join(r, "block").select("left", "right")
-    found = pairs.mapInPandas(_scored(None, keep), "query bigint, ref bigint, similarity double")
+    found = _meet(q, r, bool(cells)).mapInArrow(_scored(keep), "query bigint, ref bigint, similarity double")
     line = Window.partitionBy("query").orderBy(F.desc("similarity"), "ref")
     return found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
 
 
-def pairs_above(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """All pairs ``a < b`` with a dot product of at least ``threshold``, exactly, by blocks."""
-    blocks = _blocks(df, key, vector, None, "vector-blocks")
-    top = blocks.agg(F.max("block")).first()[0] or 0
-    left = blocks.withColumnRenamed("rows", "left")
-    right = blocks.select(
-        F.col("block").alias("other"), F.col("rows").alias("right"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(top)).cast("long"))).alias("block"),
-    ).where("block <= other")
+def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, cells: int = 0, probes: int = 8) -> DataFrame:
+    """All pairs ``a < b`` with a dot product of at least ``threshold``, exactly, by blocks; see ``neighbours`` for ``cells``."""
+    fitted = fit_cells(df, key, vector, cells) if cells else None
+    left = _packed(df, key, vector, None, "vector-blocks", fitted, probes)
+    right = _packed(df, key, vector, None, "vector-blocks", fitted, 1) if cells else left
 
     def keep(sims, ka, kb, ga, gb):
-        i, j = np.nonzero(sims >= threshold)
+        i, j = np.nonzero((sims >= threshold) & ((ka[:, None] < kb[None, :]) if not cells else (ka[:, None] != kb[None, :])))
         a, b = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
-        out = pd.DataFrame({"a": a, "b": b, "similarity": sims[i, j]})
-        return out[out["a"] < out["b"]].drop_duplicates(["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sims[i, j])], names=["a", "b", "similarity"])
 
-    pairs = left.join(right, "block").select("left", "right")
-    return pairs.mapInPandas(_scored(None, keep), "a bigint, b bigint, similarity double")
+    found = _meet(left, right, bool(cells)).mapInArrow(_scored(keep), "a bigint, b bigint, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")) if cells else found
 
 
 def pair_scores(pairs: DataFrame, features: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
