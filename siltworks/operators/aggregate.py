@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.numbers import known
 from siltworks.functions.text import slug
-from siltworks.operators.prefix import with_running
+from siltworks.operators.prefix import group_quantiles, with_running
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -94,11 +95,10 @@ def width_histogram(df: DataFrame, keys: Sequence[str], column: str, low: float,
 
 
 def linear_quantiles(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row a point."""
-    value = known(F.col(column).cast("double"))
-    row = df.agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in points])).alias("q"))
-    both = F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("p"), F.col("q"))
-    return row.select(F.explode(both).alias("x")).select(F.col("x.p").alias("point"), F.col("x.q").alias("value"))
+    """Exact quantiles with linear interpolation, one row a point; no rows without values."""
+    values = df.select(known(F.col(column).cast("double")).alias("x"))
+    found = [group_quantiles(values, [], "x", p, "value").select(F.lit(float(p)).alias("point"), "value") for p in points]
+    return reduce(DataFrame.unionByName, found).where("value IS NOT NULL")
 
 
 def index_quantile(df: DataFrame, column: str, key: str, point: float) -> DataFrame:

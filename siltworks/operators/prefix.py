@@ -34,3 +34,24 @@ def with_running(df: DataFrame, order: list[Column], sums: Mapping[str, Column]
         (F.col("__before") + F.col("__r")).alias(rank),
         *[(F.col(f"__b_{k}") + F.coalesce(F.col(f"__s_{k}"), F.lit(0))).alias(k) for k in sums],
     )
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float, name: str) -> DataFrame:
+    """``keys`` and ``name``: the exact quantile of each group's values with linear interpolation; nulls do not count.
+
+    Equal values are counted first; the distinct ones are ranked over range partitions, so that a group of any size, or
+    the whole table (no keys), is never held by one task. Null keys are a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = scratch_table(with_running(counts, [*[F.col(k) for k in keys], F.col("__v")], {"__upto": F.col("__c")}, "__rank"), "value-counts")
+    whole = counts.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.max("__upto").alias("__end"))
+    at = F.lit(float(point)) * (F.col("__end") - F.col("__start") - 1)
+    whole = whole.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__start", F.floor(at).alias("__low"), F.ceil(at).alias("__high"), (at - F.floor(at)).alias("__part"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    placed = counts.join(whole, same) if keys else counts.join(F.broadcast(whole))  # a single row
+    first = F.col("__upto") - F.col("__c") - F.col("__start")
+    holds = lambda c: (first <= F.col(c)) & (F.col(c) < first + F.col("__c"))
+    low, high = F.max(F.when(holds("__low"), F.col("__v"))), F.max(F.when(holds("__high"), F.col("__v")))
+    return placed.groupBy(*keys).agg((low + (high - low) * F.max("__part")).alias(name))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.numbers import clamp, known
+from siltworks.operators.prefix import group_quantiles
 
 #: Limits of the quality filter.
 FILTER = {"min_side": 256, "min_std": 8.0, "max_letterbox": 0.35, "min_sharpness_still": 20.0, "min_sharpness_seq": 5.0}
@@ -56,12 +58,12 @@ def edge_rule(cos: Column, ham: Column, dham: Column, cells: Column, textured: C
     return rule.when(exact, "exact_hash").otherwise("")
 
 
-def worst(value: Column, kind: Column, high: bool = True) -> Column:
-    """The most duplicate-like negative: the extreme hard one or the 99.9th percentile of the random ones."""
-    value = value.cast("double")
-    rand = F.percentile(F.when(kind != "hard", value), 0.999 if high else 0.001)
-    hard = F.when(kind == "hard", value)
-    return F.greatest(rand, F.max(hard)) if high else F.least(rand, F.min(hard))
+def worst(scores: DataFrame, value: str, name: str, high: bool = True) -> DataFrame:
+    """One row: the most duplicate-like negative, the extreme hard one or the 99.9th percentile of the random ones."""
+    rand = group_quantiles(scores.where("kind <> 'hard'"), [], value, 0.999 if high else 0.001, "__rand")
+    hard = scores.where("kind = 'hard'").agg((F.max if high else F.min)(F.col(value).cast("double")).alias("__hard"))
+    pick = F.greatest if high else F.least
+    return rand.join(F.broadcast(hard)).select(pick("__rand", "__hard").alias(name))  # two single rows
 
 
 def calibrate(scores: DataFrame, retrieval_recall: float = 0.98) -> DataFrame:
@@ -70,16 +72,14 @@ def calibrate(scores: DataFrame, retrieval_recall: float = 0.98) -> DataFrame:
     Kinds of copies are ``light`` and ``heavy``, of negatives ``random`` and ``hard``.
     """
     pos, neg = scores.where("label = 1"), scores.where("label = 0")
-    copies = pos.agg(
-        F.percentile(F.col("cosine").cast("double"), 1 - retrieval_recall).alias("low_cosine"),
-        F.percentile(F.when(F.col("kind") == "light", F.col("hamming").cast("double")), 0.95).alias("light_hamming"),
-    )
-    others = neg.agg(
-        worst(F.col("cosine"), F.col("kind")).alias("worst_cosine"),
-        worst(F.col("cells"), F.col("kind")).alias("worst_cells"),
-        worst(F.col("hamming"), F.col("kind"), high=False).alias("worst_hamming"),
-    )
-    row = copies.join(F.broadcast(others))  # two single rows
+    rows = [
+        group_quantiles(pos, [], "cosine", 1 - retrieval_recall, "low_cosine"),
+        group_quantiles(pos.where("kind = 'light'"), [], "hamming", 0.95, "light_hamming"),
+        worst(neg, "cosine", "worst_cosine"),
+        worst(neg, "cells", "worst_cells"),
+        worst(neg, "hamming", "worst_hamming", high=False),
+    ]
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # single rows
     row = row.select(
         clamp(F.col("low_cosine"), 0.5, 0.9).alias("t_ret"),
         clamp(F.col("worst_cosine") + 0.03, 0.92, 0.995).alias("t_strong"),

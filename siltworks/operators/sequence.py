@@ -2,33 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltworks.operators.prefix import group_quantiles, with_running
+from siltworks.operators.skew import attach_by_key
+from siltworks.scratch import scratch_table
+from siltworks.ship import ship_code
 
 MODES = ("native", "interp", "extrap", "extrap_late")
 
 
-def ema(values: Column, decay: float) -> Column:
-    """Running average of an ordered array: the decay of step n is the lesser of ``decay`` and (1 + n) / (10 + n)."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+def last_ema(df: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
+    """``key, last``: the last running average of each key's values in order; step n decays by the lesser of ``decay``
+    and (1 + n) / (10 + n).
 
-    def step(state: Column, x: Column) -> Column:
-        n = state["n"] + 1
-        d = F.least(F.lit(decay), (1.0 + n) / (10.0 + n))
-        s = F.when(state["n"] == 0, x.cast("double")).otherwise(d * state["s"] + (1 - d) * x)
-        return F.struct(n.alias("n"), s.alias("s"), F.concat(state["out"], F.array(s)).alias("out"))
+    The average is linear in the values. What a value weighs at the end follows from its place and the length of its
+    history alone, as the growing decays telescope; so a history of any length is ranked over range partitions and
+    summed in parts. Null values are no steps; null keys are a key.
+    """
+    warm = max(1, math.floor((10 * decay - 1) / (1 - decay) + 1e-9)) if decay < 1 else 1 << 60
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key), F.col(order), F.col(value).cast("double").alias("x"))
+    rows = rows.withColumn("none", F.col(key).isNull()).withColumn("key", F.struct("none", F.col(key).alias("k")))
+    ranked = scratch_table(with_running(rows, [F.asc("key"), F.asc(order)], {}, "at"), "history-ranks")
+    starts = scratch_table(ranked.groupBy("key").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("length")), "history-starts")
+    placed = attach_by_key(ranked, starts, "key", "length", max(1, ranked.count()))
+    at = (F.col("at") - F.col("start") + 1).cast("double")
+
+    def passed(n: Column) -> Column:
+        """Logarithm of all decays of steps 2 to n."""
+        upto = F.least(n, F.lit(float(warm)))
+        grown = sum((math.log(1 + i) - F.log(upto + i) for i in range(2, 11)), F.lit(0.0))
+        return grown + F.greatest(n - float(warm), F.lit(0.0)) * math.log(decay)
+
+    share = F.when(at == 1, 1.0).otherwise(1 - F.least(F.lit(decay), (1.0 + at) / (10.0 + at)))
+    weight = share * F.exp(passed(F.col("length").cast("double")) - passed(at))
+    return placed.groupBy("key").agg(F.sum(F.col("x") * weight).alias("last")).select(F.col("key.k").alias(key), "last")
+
+
+def recurrent(df: DataFrame, key: str, order: str, value: str, step: Callable[[float | None, float], float], out: str) -> DataFrame:
+    """``key, order, out``: a state that each row of a key, in order, makes of the last one (None at first) and its value.
+
+    For recurrences that are no sums. Rows are sorted in their partitions and streamed through Python batch by batch: a
+    task holds one batch and one state, whatever the length of a history, but a history is one task's work.
+    """
+    ship_code(df.sparkSession)
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "o")
 
-    return F.aggregate(values, start, step, lambda state: state["out"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            found = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != last:
+                    last, state = k, None
+                state = state if x is None else step(state, x)
+                found.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["k", "o", "s"])
 
+    schema = T.StructType([rows.schema["k"], rows.schema["o"], T.StructField("s", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(F.col("k").alias(key), F.col("o").alias(order), F.col("s").alias(out))
 
-def blend(values: Column, low: Column, high: Column, alpha: float) -> Column:
-    """Exponential blend of an ordered array with its history, clamped to a range before each step."""
-    clamp = lambda x: F.least(F.greatest(x, low), high)
-    start = F.struct(F.lit(None).cast("double").alias("h"))
-    step = lambda s, x: F.struct(F.when(s["h"].isNull(), x.cast("double")).otherwise(clamp(s["h"]) * (1 - alpha) + x * alpha).alias("h"))
-    return F.aggregate(values, start, step, lambda s: s["h"])
+
+def blended(df: DataFrame, key: str, order: str, value: str, low: float, high: float, alpha: float) -> DataFrame:
+    """``key, order, blended``: exponential blend of each value with the history, which is clamped before each step."""
+    step = lambda h, x: x if h is None else min(max(h, low), high) * (1 - alpha) + x * alpha
+    return recurrent(df, key, order, value, step, "blended")
 
 
 def reset_segments(df: DataFrame, keys: Sequence[str], order: str, reset: Column) -> DataFrame:
@@ -60,41 +106,48 @@ def frame_pacing(costs: DataFrame, sr_ms: float, fg_ms: float, cpu_ms: float, pr
     A frame's period is the slower of CPU and GPU; its input is sampled when the last period ends. Generated frames
     come before the real one (``interp``, which holds it for half a period) or after it (``extrap``, whose camera
     may be sampled late). Statistics are means and 95th percentiles; the first tenth of the shown frames does
-    not count for the frame rate.
+    not count for the frame rate. Frames of one number are in order of their cost. Running sums, order and
+    quantiles are over range partitions: a run of any length is not one task's.
     """
+    keys = ["run", "mode"]
     modes = F.explode(F.array(*[F.lit(m) for m in MODES]))
     rows = costs.select("run", "frame", "render_ms", modes.alias("mode"))
-    line = Window.partitionBy("run", "mode").orderBy("frame")
     gpu = F.col("render_ms") + sr_ms + F.when(F.col("mode") == "native", 0.0).otherwise(fg_ms)
     rows = rows.withColumn("period", F.greatest(F.lit(cpu_ms), gpu))
-    rows = rows.withColumn("t", F.coalesce(F.sum("period").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = scratch_table(with_running(rows, [F.col("run"), F.col("mode"), F.col("frame"), F.col("render_ms")], {"upto": F.col("period")}), "frame-periods")
+    starts = rows.groupBy(*keys).agg(F.min(F.col("upto") - F.col("period")).alias("start"))
+    rows = rows.join(F.broadcast(starts), keys).withColumn("t", F.col("upto") - F.col("period") - F.col("start"))  # a row a run and mode
     ready = F.col("t") + cpu_ms + F.col("render_ms") + sr_ms
     real = F.when(F.col("mode") == "interp", ready + fg_ms + present_ms + F.col("period") / 2).otherwise(ready + present_ms)
     made = F.when(F.col("mode") == "interp", ready + fg_ms + present_ms).when(
         F.col("mode") != "native", ready + present_ms + F.col("period") / 2
     )
-    rows = rows.withColumns({"real": real, "made": made})
+    rows = scratch_table(rows.withColumns({"real": real, "made": made}).select(*keys, "t", "real", "made"), "frame-times")
     late = F.when(F.col("mode") == "extrap_late", F.lit(fg_ms + present_ms)).otherwise(F.col("made") - F.col("t"))
     camera = F.when(F.col("mode") == "native", F.array(F.col("real") - F.col("t"))).when(
         F.col("mode") == "interp", F.array(F.col("made") - F.col("t"))
     ).otherwise(F.array(F.col("real") - F.col("t"), late))
-    shown = F.array_compact(F.array("real", "made"))
-    latency = rows.groupBy("run", "mode").agg(
-        F.avg(F.col("real") - F.col("t")).alias("game_latency_ms"),
-        F.percentile(F.col("real") - F.col("t"), 0.95).alias("game_latency_p95_ms"),
-    )
-    cameras = rows.select("run", "mode", F.explode(camera).alias("x")).groupBy("run", "mode").agg(
-        F.avg("x").alias("camera_latency_ms"), F.percentile("x", 0.95).alias("camera_latency_p95_ms")
+    # Differences of running sums: nine decimals keep equal latencies equal.
+    game = rows.select(*keys, F.round(F.col("real") - F.col("t"), 9).alias("x"))
+    seen = rows.select(*keys, F.explode(camera).alias("x")).withColumn("x", F.round("x", 9))
+    latency = game.groupBy(*keys).agg(F.avg("x").alias("game_latency_ms"))
+    cameras = seen.groupBy(*keys).agg(F.avg("x").alias("camera_latency_ms"))
+    frames = rows.select(*keys, "t", F.explode(F.array_compact(F.array("real", "made"))).alias("at"))
+    ranked = scratch_table(with_running(frames, [F.col("run"), F.col("mode"), F.col("at")]), "shown-frames")
+    ages = ranked.groupBy(*keys).agg(
+        F.avg(F.col("at") - F.col("t")).alias("content_age_ms"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")
     )
-    frames = rows.select("run", "mode", "t", F.explode(shown).alias("at"))
-    ages = frames.groupBy("run", "mode").agg(F.avg(F.col("at") - F.col("t")).alias("content_age_ms"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("run", "mode").orderBy("at")
-    ranked = frames.join(ages.select("run", "mode", "n"), ["run", "mode"]).withColumn("rn", F.row_number().over(order))
-    gaps = ranked.where(F.col("rn") > F.floor(F.col("n") / 10)).withColumn("gap", F.col("at") - F.lag("at").over(order))
-    paced = gaps.groupBy("run", "mode").agg(
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("last"))
+    counted = ranked.join(F.broadcast(ages.select(*keys, "n", "first")), keys).where(F.col("rank") - F.col("first") > F.floor(F.col("n") / 10))
+    gaps = counted.join(before, "rank").withColumn("gap", F.col("at") - F.col("last"))
+    paced = gaps.groupBy(*keys).agg(
         (F.lit(1000.0) / F.avg("gap")).alias("displayed_fps"), (F.stddev_pop("gap") / F.avg("gap")).alias("frame_gap_cv")
     )
-    return latency.join(cameras, ["run", "mode"]).join(ages.drop("n"), ["run", "mode"]).join(paced, ["run", "mode"])
+    out = [
+        latency, group_quantiles(game, keys, "x", 0.95, "game_latency_p95_ms"), cameras,
+        group_quantiles(seen, keys, "x", 0.95, "camera_latency_p95_ms"), ages.drop("n", "first"), paced,
+    ]
+    return reduce(lambda a, b: a.join(b, keys), out)
 
 
 def stage_times(log: DataFrame, line: str = "value") -> DataFrame:
