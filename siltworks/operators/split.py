@@ -23,12 +23,6 @@ def group_edges(items: DataFrame) -> DataFrame:
     return out.where("root IS NOT NULL AND idx <> root").select(F.col("root").alias("a"), F.col("idx").alias("b"))
 
 
-def roots_of(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """``idx, root`` for all items: the least member of the component; an item without edges is its own."""
-    stars = component_stars(edges).select(F.col("vertex").alias("idx"), "root")
-    return items.select("idx").join(stars, "idx", "left").withColumn("root", F.coalesce("root", "idx"))
-
-
 def reached_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Items connected to a seed over edges, seeds included: the components that hold a seed."""
     stars = component_stars(edges).select(F.col("vertex").alias("idx"), "root")
@@ -37,6 +31,20 @@ def reached_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(hit, "root", "left_semi").select("idx").unionByName(seeds.select("idx")).distinct()
 
 
+def _joined_roots(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """``idx, root`` for all items when groups join what ``roots(idx, root)`` holds together already.
+
+    Components are contracted to their least member first, so that groups are joined on a smaller graph.
+    """
+    held = scratch_table(items.select("idx", "group").join(roots, "idx", "left").withColumn("root", F.coalesce("root", "idx")), "contracted")
+    ends = held.where("group IS NOT NULL").select("group", F.col("root").alias("idx")).distinct()
+    stars = component_stars(group_edges(ends)).select(F.col("vertex").alias("root"), F.col("root").alias("top"))
+    stars = scratch_table(stars, "joined-roots")
+    sizes = held.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(stars, "root")
+    out = attach_by_key(held, scratch_table(sizes, "joined-sizes"), "root", "n", max(1, held.count()))
+    return out.select("idx", F.coalesce("top", "root").alias("root"))
+
+
 def assign_splits(items: DataFrame, edges: DataFrame, val_fraction: float, seed: int) -> DataFrame:
     """``items(idx, item_id, group, role, active)`` with ``split, reason, component``; ``edges(a, b)`` of indices.
 
@@ -44,16 +52,28 @@ def assign_splits(items: DataFrame, edges: DataFrame, val_fraction: float, seed:
     dropped; items that duplicate one, over any number of edges but never through groups, are dropped; the
     rest goes by component (shared groups and edges among the rest) to validation or training, by a hash of
     the component's least item. ``component`` is over all active items, groups and edges; -1 when inactive.
+
+    Duplicate components (``duplicate_root``, null when inactive) are found once; they say what a test item reaches,
+    and groups join them on the contracted graph. Only those that lose a member to a test group are found anew.
     """
     items = scratch_table(items, "split-items")
+    n_items = max(1, items.count())
     on = items.where("active")
     ends = edges.select("a", "b").where("a <> b")
     live = ends.join(on.select(F.col("idx").alias("a")), "a", "left_semi").join(on.select(F.col("idx").alias("b")), "b", "left_semi")
     live = scratch_table(live.distinct(), "split-edges")
-    tests = on.where("role = 'test'")
-    groups = tests.select("group").distinct().withColumn("test_group", F.lit(True))
-    reached = reached_from(tests, live).withColumn("reached", F.lit(True))
-    marked = items.join(F.broadcast(groups), "group", "left").join(reached, "idx", "left")
+    stars = component_stars(live).select(F.col("vertex").alias("idx"), "root")
+    copies = scratch_table(stars.unionByName(stars.select(F.col("root").alias("idx"), "root").distinct()), "duplicate-roots")
+
+    groups = on.groupBy("group").agg(F.bool_or(F.col("role") == "test").alias("test_group"), F.count(F.lit(1)).alias("n"))
+    groups = scratch_table(groups.where("test_group AND group IS NOT NULL"), "test-groups")
+    marked = attach_by_key(items, groups, "group", "n", n_items).drop("n")
+    marked = scratch_table(marked.join(copies.withColumnRenamed("root", "duplicate_root"), "idx", "left"), "split-groups")
+    per = marked.where("active AND duplicate_root IS NOT NULL").groupBy("duplicate_root").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("role") == "test").alias("reached"), F.bool_or(F.coalesce("test_group", F.lit(False))).alias("thinned")
+    )
+    per = scratch_table(per.where("reached OR thinned"), "touched-duplicates")
+    marked = attach_by_key(marked, per, "duplicate_root", "n", n_items).drop("n")
     first = (
         F.when(~F.col("active"), "filtered")
         .when(F.col("role") == "test", "test")
@@ -61,29 +81,36 @@ def assign_splits(items: DataFrame, edges: DataFrame, val_fraction: float, seed:
         .when(F.col("reached"), "drop")
     )
     reason = F.when(first == "drop", F.when(F.col("test_group"), "test_group").otherwise("test_duplicate"))
-    marked = scratch_table(marked.withColumn("split", first).withColumn("reason", reason).drop("test_group", "reached"), "split-marked")
+    marked = scratch_table(marked.withColumn("split", first).withColumn("reason", reason), "split-marked")
 
     rest = marked.where("split IS NULL")
-    inner = live.join(rest.select(F.col("idx").alias("a")), "a", "left_semi").join(rest.select(F.col("idx").alias("b")), "b", "left_semi")
-    roots = roots_of(rest, inner.unionByName(group_edges(rest)))
+    thinned = rest.where("thinned").select("idx")
+    inner = live.join(thinned.withColumnRenamed("idx", "a"), "a", "left_semi").join(thinned.withColumnRenamed("idx", "b"), "b", "left_semi")
+    anew = component_stars(inner).select(F.col("vertex").alias("idx"), "root")
+    whole = rest.where("duplicate_root IS NOT NULL AND NOT coalesce(thinned, false)").select("idx", F.col("duplicate_root").alias("root"))
+    roots = _joined_roots(rest, whole.unionByName(anew))
     names = rest.select(F.col("idx").alias("root"), F.col("item_id").alias("root_id"))
-    roots = roots.join(names, "root").select("idx", "root", F.when(seeded_bucket(F.col("root_id"), seed) / 10_000 < val_fraction, "val").otherwise("train").alias("side"))
-    whole = roots_of(on, live.unionByName(group_edges(on))).withColumnRenamed("root", "component")
-    out = marked.join(roots.withColumnRenamed("root", "split_root"), "idx", "left").join(whole, "idx", "left")
-    return out.select(
+    sizes = scratch_table(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(names, "root"), "split-roots")
+    roots = attach_by_key(scratch_table(roots, "split-members"), sizes, "root", "n", n_items)
+    side = F.when(seeded_bucket(F.col("root_id"), seed) / 10_000 < val_fraction, "val").otherwise("train")
+    roots = roots.select("idx", F.col("root").alias("split_root"), side.alias("side"))
+    components = _joined_roots(on, copies).withColumnRenamed("root", "component")
+    out = marked.join(roots, "idx", "left").join(components, "idx", "left")
+    out = out.select(
         *items.columns,
         F.coalesce("split", "side").alias("split"),
         "reason",
         F.coalesce("component", F.lit(-1)).cast("long").alias("component"),
         "split_root",
+        F.when(F.col("active"), F.coalesce("duplicate_root", "idx")).alias("duplicate_root"),
     )
+    return scratch_table(out, "split")
 
 
-def split_report(done: DataFrame, edges: DataFrame) -> DataFrame:
+def split_report(done: DataFrame) -> DataFrame:
     """One row of counts: items, splits, drops by reason, largest duplicate cluster and component."""
-    on = done.where("active")
-    clusters = roots_of(on, edges.select("a", "b").join(on.select(F.col("idx").alias("a")), "a", "left_semi").join(on.select(F.col("idx").alias("b")), "b", "left_semi"))
-    largest = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest_duplicate_cluster"))
+    clusters = done.where("active").groupBy("duplicate_root").agg(F.count(F.lit(1)).alias("n"))
+    largest = clusters.agg(F.max("n").alias("largest_duplicate_cluster"))
     rest = done.where("split_root IS NOT NULL").groupBy("split_root").agg(F.count(F.lit(1)).alias("n"))
     rest = rest.agg(F.count(F.lit(1)).alias("trainval_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_trainval_component"))
     counts = done.agg(

@@ -35,7 +35,7 @@ def test_split_fixture(spark):
     assert [done[i]["reason"] for i in range(9)] == [None, None, None, "test_group", "test_duplicate", None, "test_duplicate", None, None]
     assert [done[i]["component"] for i in range(9)] == [0, 0, 2, 2, 2, 2, 2, 7, 7]
     assert done[5]["split_root"] == 5
-    report = split.split_report(split.assign_splits(items, edges, 0.5, 7), edges).first()
+    report = split.split_report(split.assign_splits(items, edges, 0.5, 7)).first()
     assert (report["largest_duplicate_cluster"], report["trainval_components"], report["n_drop"]) == (3, 3, 3)
 
 
