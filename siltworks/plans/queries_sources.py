@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from siltworks.operators.window import first_island, full_segments
@@ -204,12 +206,17 @@ def snapshot_scan(spark, sf_dir):
 
 @query(
     "integrity_check", "S24",
-    """SELECT doc_id, doc_id % 2 = 0 AS ok FROM documents""",
+    """SELECT n_nationkey, n_nationkey % 3 <> 0 AS ok FROM nation""",
 )
 def integrity_check(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    claimed = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.concat("text", F.lit("!")), 256))
-    return docs.select("doc_id", (F.sha2("text", 256) == claimed).alias("ok"))
+    """One file a nation, written and read back as bytes; every third is listed with the digest of other bytes."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    path = scratch_path(spark, "weights")
+    nation.write.partitionBy("n_nationkey").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("n_nationkey", "content")
+    rows = [(r["n_nationkey"], r["n_name"] + ("\n" if r["n_nationkey"] % 3 else "?")) for r in nation.collect()]  # 25 rows
+    expected = spark.createDataFrame([(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in rows], "n_nationkey int, sha256 string")
+    return tables.integrity(files, expected, "n_nationkey")
 
 
 @query(
@@ -245,7 +252,7 @@ def sampled_batch(spark, sf_dir):
     return sinks.sampled_batch(docs, "doc_id", docs.count(), 64, 9)
 
 
-@query("bounded_cache", "K2 K3", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id)::INT - 1 AS row_id FROM documents WHERE n_chars > 1000 ORDER BY doc_id LIMIT 100")
+@query("bounded_cache", "K2", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id)::INT - 1 AS row_id FROM documents WHERE n_chars > 1000 ORDER BY doc_id LIMIT 100")
 def bounded_cache(spark, sf_dir):
     return sinks.bounded_cache(table(spark, sf_dir, "documents").where("n_chars > 1000").select("doc_id", "n_chars"), "doc_id", 100)
 

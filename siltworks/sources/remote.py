@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import http.client
 import io
 import json
 import re
+import threading
 import time
 import urllib.error
 import urllib.parse
@@ -35,6 +37,46 @@ def get(url: str, headers: Mapping[str, str] | None = None, retries: int = 4, ti
     raise AssertionError("unreachable")
 
 
+class Session:
+    """Requests to one server over a connection that stays open: one a thread, as connections are not shared.
+
+    ``token`` becomes the authorisation header of every request, if there is one. A connection that the server has closed
+    is opened anew once; answers of 500 and more, and 429, are retried like those of ``get``.
+    """
+
+    def __init__(self, base: str, token: str | None = None, timeout: float = 60, retries: int = 4):
+        self.base, self.timeout, self.retries = urllib.parse.urlsplit(base), timeout, retries
+        self.headers = {"Connection": "keep-alive"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        self._own = threading.local()
+
+    def _connection(self, anew: bool = False) -> http.client.HTTPConnection:
+        if anew or getattr(self._own, "connection", None) is None:
+            kind = http.client.HTTPSConnection if self.base.scheme == "https" else http.client.HTTPConnection
+            self._own.connection = kind(self.base.netloc, timeout=self.timeout)
+        return self._own.connection
+
+    def get(self, path: str, headers: Mapping[str, str] | None = None) -> tuple[bytes, dict]:
+        """Body and headers of a path on the server."""
+        pause = 0.5
+        for attempt in range(self.retries):
+            last = attempt == self.retries - 1
+            try:
+                link = self._connection(anew=attempt > 0)
+                link.request("GET", path, headers=self.headers | dict(headers or {}))
+                answer = link.getresponse()
+                body = answer.read()
+                if answer.status < 400:
+                    return body, {k.lower(): v for k, v in answer.getheaders()}
+                if last or (answer.status < 500 and answer.status != 429):
+                    raise urllib.error.HTTPError(path, answer.status, answer.reason, answer.headers, None)
+            except (http.client.HTTPException, ConnectionError, TimeoutError):
+                if last:
+                    raise
+            time.sleep(pause)
+            pause *= 2
+        raise AssertionError("unreachable")
+
+
 def next_page(link: str | None) -> str | None:
     """The address that a Link header names as next."""
     found = re.search(r'<([^>]+)>\s*;\s*rel="?next"?', link or "")

@@ -112,11 +112,10 @@ def flatten_json(lines: DataFrame, key: str, text: str, base: str) -> DataFrame:
     return out.select(F.col("doc").alias(key), F.array_join(F.concat(F.array(F.lit(base)), "path"), ".").alias("path"), "number")
 
 
-def integrity(files: DataFrame, expected: Mapping[str, str]) -> DataFrame:
-    """``path, ok`` of binary files against their SHA-256 by file name; unknown names are not ok."""
-    table = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair]) if expected else F.create_map().cast("map<string,string>")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.coalesce(F.sha2("content", 256) == table[name], F.lit(False)).alias("ok"))
+def integrity(files: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """``name, ok`` of binary files (``content``) against the ``sha256`` that is expected by name; unknown names are not ok."""
+    found = files.select(name, F.sha2("content", 256).alias("found")).join(expected.select(name, "sha256"), name, "left")
+    return found.select(name, F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
 def record_json(df: DataFrame, columns: Sequence[str]) -> Column:

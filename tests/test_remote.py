@@ -12,6 +12,10 @@ from siltworks.operators.external import NEEDS, Unavailable, external
 from siltworks.sources import catalogue, remote
 
 
+#: Client address and authorisation of every request.
+seen = []
+
+
 @pytest.fixture(scope="module")
 def server():
     archive = io.BytesIO()
@@ -19,12 +23,16 @@ def server():
         z.writestr("a.txt", "hello")
         z.writestr("b.txt", "x" * 100_000)
     data, failures = archive.getvalue(), {"n": 0}
+    seen.clear()
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def log_message(self, *args):
             pass
 
+        protocol_version = "HTTP/1.1"
+
         def do_GET(self):
+            seen.append((self.client_address, self.headers.get("Authorization")))
             if self.path.startswith("/flaky") and failures["n"] < 1:
                 failures["n"] += 1
                 self.send_error(503)
@@ -64,6 +72,22 @@ def test_requests_retry_and_give_up(server):
         remote.get(f"{server}/whole", retries=1, length=99)
 
 
+def test_a_session_keeps_its_connection_and_header(server):
+    session = remote.Session(server, token="abc")
+    seen.clear()
+    assert session.get("/one")[0] == b"whole" and session.get("/two")[0] == b"whole"
+    assert len({who for who, _ in seen}) == 1 and {auth for _, auth in seen} == {"Bearer abc"}
+    other = threading.Thread(target=session.get, args=("/three",))
+    other.start()
+    other.join()
+    assert len({who for who, _ in seen}) == 2
+    with pytest.raises(OSError):
+        session.get("/missing")
+    seen.clear()
+    remote.Session(server).get("/four")
+    assert seen[0][1] is None
+
+
 def test_paged_listing(spark, server):
     spark.dataSource.register(remote.ListingSource)
     got = spark.read.format("paged_listing").option("urls", f"{server}/list").load()
