@@ -1,0 +1,245 @@
+"""Images as arrays: decoding without an image library, geometric match scores, windows, warps and fused kernels."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltworks.operators.arrays import backward_warp
+from siltworks.operators.media import GRID
+from siltworks.ship import ship_code
+
+#: How the two formats begin, and the channels of each colour type.
+PNG_TAG = b"\x89PNG\r\n\x1a\n"
+PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _unfilter(rows: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
+    """Undo the five scan line filters; ``step`` is the distance to the byte of the pixel before."""
+    out = np.zeros(rows.shape, np.int64)
+    above = np.zeros(rows.shape[1], np.int64)
+    for y, (kind, line) in enumerate(zip(kinds.tolist(), rows.astype(np.int64), strict=True)):
+        if kind == 0:
+            now = line
+        elif kind == 1:
+            now = np.concatenate([line[c::step].cumsum()[:, None] for c in range(step)], axis=1).ravel() if len(line) % step == 0 else line
+        elif kind == 2:
+            now = line + above
+        else:
+            now = line.copy()
+            for x in range(len(line)):
+                left, up, corner = (now[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                now[x] = (line[x] + guess) & 255
+        above = out[y] = now & 255
+    return out.astype(np.uint8)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """A PNG of 8 bits a channel without interlacing as (h, w, channels); palettes are looked up; raises otherwise."""
+    if not data.startswith(PNG_TAG):
+        raise ValueError("not a PNG file")
+    at, packed, palette, head = 8, [], None, b""
+    while at + 8 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    if len(head) != 13 or head[8] != 8 or head[9] not in PNG_CHANNELS or head[12]:
+        raise ValueError("only PNG files of 8 bits a channel without interlacing are read")
+    w, h, channels = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), PNG_CHANNELS[head[9]]
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * channels)
+    except zlib.error as bad:
+        raise ValueError(f"broken PNG data: {bad}") from bad
+    pixels = _unfilter(raw[:, 1:], raw[:, 0], channels).reshape(h, w, channels)
+    return palette[pixels[..., 0]] if head[9] == 3 and palette is not None else pixels
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """A binary grey (P5) or colour (P6) map of 8 bits as (h, w, channels)."""
+    fields, at = [], 2
+    while len(fields) < 3:
+        while at < len(data) and data[at : at + 1].isspace():
+            at += 1
+        if data[at : at + 1] == b"#":
+            at = data.index(b"\n", at)
+            continue
+        end = at
+        while data[end : end + 1].isdigit():
+            end += 1
+        if end == at:
+            raise ValueError("broken map header")
+        fields.append(int(data[at:end]))
+        at = end
+    w, h, top = fields
+    channels = {b"P5": 1, b"P6": 3}.get(data[:2])
+    if channels is None or top != 255:
+        raise ValueError("only binary maps of 8 bits are read")
+    return np.frombuffer(data, np.uint8, w * h * channels, at + 1).reshape(h, w, channels)
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    return decode_png(data) if data.startswith(PNG_TAG) else decode_netpbm(data)
+
+
+def thumbnail(image: np.ndarray, size: int) -> np.ndarray:
+    """Grey means over a grid of ``size`` by ``size`` boxes of nearly equal extent, in 0 to 255."""
+    grey = image[..., :3].astype(float) @ [0.299, 0.587, 0.114] if image.shape[-1] >= 3 else image[..., 0].astype(float)
+    ys, xs = (np.linspace(0, n, size + 1).astype(int) for n in grey.shape)
+    sums = np.pad(grey.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    y0, y1, x0, x1 = ys[:-1], np.maximum(ys[1:], ys[:-1] + 1), xs[:-1], np.maximum(xs[1:], xs[:-1] + 1)
+    y1, x1 = np.minimum(y1, grey.shape[0]), np.minimum(x1, grey.shape[1])
+    box = sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]
+    return box / np.maximum(1, np.outer(y1 - y0, x1 - x0))
+
+
+IMAGE_SCHEMA = "path string, width int, height int, channels int, thumb array<double>, error string"
+
+
+def decode_images(files: DataFrame, size: int = 32) -> DataFrame:
+    """``path, width, height, channels, thumb, error`` of image files (``path, content``); a bad file gives its error.
+
+    ``thumb`` is a flat grey image of ``size`` by ``size``. A file is decoded whole in its task; null contents are bad.
+    """
+    ship_code(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    image = decode_image(data or b"")
+                    rows.append((path, image.shape[1], image.shape[0], image.shape[2], thumbnail(image, size).ravel().tolist(), None))
+                except (ValueError, IndexError) as bad:
+                    rows.append((path, None, None, None, None, str(bad)[:200]))
+            schema = schema or pa.schema(
+                [("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("thumb", pa.list_(pa.float64())), ("error", pa.string())]
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, IMAGE_SCHEMA)
+
+
+def affine_inliers(src: np.ndarray, dst: np.ndarray, reach: float = 4.0, draws: int = 500, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The affine map (2 x 3) that most point pairs agree on within ``reach``, refitted on them, and who they are.
+
+    Triples are drawn by seed, all maps are fitted and judged at once: the result does not depend on anything else.
+    """
+    n = len(src)
+    picks = np.random.default_rng(seed).integers(0, n, (draws, 3))
+    one = np.concatenate([src, np.ones((n, 1))], axis=1)
+    tri = one[picks]
+    sound = np.abs(np.linalg.det(tri)) > 1e-6
+    if not sound.any():
+        return np.zeros((2, 3)), np.zeros(n, bool)
+    maps = np.linalg.solve(tri[sound], dst[picks[sound]]).transpose(0, 2, 1)
+    error = np.linalg.norm(np.einsum("mij,nj->mni", maps, one) - dst[None], axis=2)
+    near = error <= reach
+    best = near[near.sum(1).argmax()]
+    fitted = np.linalg.lstsq(one[best], dst[best], rcond=None)[0].T
+    return fitted, np.linalg.norm(one @ fitted.T - dst, axis=1) <= reach
+
+
+def match_cells(a: tuple, b: tuple, size: float = 256.0, ratio: float = 0.8, least: int = 6) -> int:
+    """Grid cells of the first image that matches under one affine map cover; features are (points, descriptors).
+
+    A match is a descriptor whose nearest is nearer than ``ratio`` times the second. Fewer than ``least`` matches or inliers,
+    maps that mirror, and scales below 0.2 or above 5 score 0.
+    """
+    (pa_, da), (pb, db) = a, b
+    if len(da) < 3 or len(db) < 3:
+        return 0
+    far = np.linalg.norm(da[:, None] - db[None], axis=2)
+    order = np.argsort(far, axis=1, kind="stable")
+    first, second = far[np.arange(len(da)), order[:, 0]], far[np.arange(len(da)), order[:, 1]]
+    good = first < ratio * second
+    if good.sum() < least:
+        return 0
+    src, dst = pa_[good], pb[order[good, 0]]
+    m, inside = affine_inliers(src, dst)
+    scales = np.linalg.svd(m[:, :2], compute_uv=False)
+    if inside.sum() < least or np.linalg.det(m[:, :2]) <= 0 or scales.min() < 0.2 or scales.max() > 5.0:
+        return 0
+    cells = np.clip((src[inside] * GRID / size).astype(int), 0, GRID - 1)
+    return len({tuple(c) for c in cells.tolist()})
+
+
+def with_match_cells(pairs: DataFrame, width: int) -> DataFrame:
+    """Add ``cells``: the better of the direct and the mirrored match of both ends' features.
+
+    Features are flat arrays: ``points_a, points_b, points_m`` of x, y and ``features_a, features_b, features_m`` of
+    ``width`` numbers a point, where m is the second image mirrored. Null features score 0.
+    """
+    ship_code(pairs.sparkSession)
+    names = [f"{kind}_{end}" for end in ("a", "b", "m") for kind in ("points", "features")]
+    keep = [c for c in pairs.columns if c not in names and c != "cells"]
+    slim = pairs.select(*[F.col(c).cast("array<double>") for c in names], *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in zip(*[batch.column(k) for k in range(6)], strict=True):
+                flat = [np.asarray(x.as_py() if x.is_valid else [], float) for x in row]
+                ends = [(flat[k].reshape(-1, 2), flat[k + 1].reshape(-1, width)) for k in (0, 2, 4)]
+                found.append(max(match_cells(ends[0], ends[1]), match_cells(ends[0], ends[2])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[6:], pa.array(found, pa.int32())], names=[*keep, "cells"])
+
+    return slim.mapInArrow(run, T.StructType([*[slim.schema[c] for c in keep], T.StructField("cells", T.IntegerType())]))
+
+
+def cropped_windows(frames: DataFrame, key: str, order: str, image: str, width: int, size: int, seed: int) -> DataFrame:
+    """``key, order, y, x, crop``: the same crop of ``size``, its place drawn by key and seed, from every frame of a key.
+
+    Frames are flat arrays with rows of ``width``, at least ``size`` high and wide; a null frame gives a null crop.
+    """
+    from siltworks.functions.hashing import draw
+
+    height = F.floor(F.size(image) / width)
+    place = lambda axis, room: F.floor(draw(F.concat_ws("/", F.lit(axis), key), seed) * (room - size + 1)).cast("int")
+    rows = frames.select(key, order, image, place("y", height).alias("y"), place("x", F.lit(width)).alias("x"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice(F.col(image), (F.col("y") + i) * width + F.col("x") + 1, F.lit(size)))
+    return rows.select(key, order, "y", "x", F.flatten(lines).alias("crop"))
+
+
+def with_flow_warp(df: DataFrame, image: str, flow: str, width: int) -> DataFrame:
+    """Add ``warped``: a flat grey image with rows of ``width`` gathered along a flat field of x, y; null where either is."""
+    ship_code(df.sparkSession)
+    slim = df.select(F.col(image).cast("array<double>").alias("__i"), F.col(flow).cast("array<double>").alias("__f"), *[c for c in df.columns if c != "warped"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = None if i is None or f is None else backward_warp(np.reshape(i, (-1, width)), np.reshape(f, (-1, width, 2)))
+                found.append(None if whole is None else whole.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names[2:], "warped"])
+
+    schema = T.StructType([*slim.schema.fields[2:], T.StructField("warped", T.ArrayType(T.DoubleType()))])
+    return slim.mapInArrow(run, schema)
+
+
+def fused_kernels(layers: DataFrame) -> DataFrame:
+    """``layer, c_out, c_in, kernel``: a 3 x 3, a 1 x 1 and an identity branch of a layer as one 3 x 3 convolution.
+
+    Rows are one pair of channels: ``k3`` an array of nine, ``k1`` a number, ``identity`` whether the layer adds its input.
+    """
+    centre = F.coalesce("k1", F.lit(0.0)) + F.when(F.col("identity") & (F.col("c_out") == F.col("c_in")), 1.0).otherwise(0.0)
+    kernel = F.transform("k3", lambda x, i: x + F.when(i == 4, centre).otherwise(0.0))
+    return layers.select("layer", "c_out", "c_in", kernel.alias("kernel"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.functions import hashing, vectors
-from siltworks.operators import arrays, duplicates, joins, media
+from siltworks.operators import arrays, duplicates, images, joins, media
 from siltworks.plans.queries_curation import LIMITS
 from siltworks.plans.queries_sources import DUCK_FILES, _files
 from siltworks.plans.registry import duck_draw, query
@@ -17,7 +17,7 @@ _GREY = "(SELECT vec_id, i // 8 AS y, i % 8 AS x, abs(embedding[i + 1]::DOUBLE)
 
 
 @query(
-    "thumb_statistics", "D1",
+    "thumb_statistics", "D1 D2",
     f"""WITH p AS {_GREY}, l AS (SELECT c.vec_id, u.v + d.v + a.v + b.v - 4 * c.v AS lap FROM p c JOIN p u ON u.vec_id = c.vec_id AND u.y = c.y - 1 AND u.x = c.x
       JOIN p d ON d.vec_id = c.vec_id AND d.y = c.y + 1 AND d.x = c.x JOIN p a ON a.vec_id = c.vec_id AND a.y = c.y AND a.x = c.x - 1 JOIN p b ON b.vec_id = c.vec_id AND b.y = c.y AND b.x = c.x + 1),
     r AS (SELECT vec_id, y, avg(v) AS m FROM p GROUP BY vec_id, y), b AS (SELECT vec_id, coalesce(1 - (max(y) FILTER (m >= 8) - min(y) FILTER (m >= 8) + 1) / 8.0::DOUBLE, 1.0) AS letterbox FROM r GROUP BY vec_id),
@@ -101,6 +101,65 @@ def image_subset(spark, sf_dir):
     return media.image_subset(files, "source", 5, 4).select("source", "path")
 
 
+@query(
+    "flow_warps", "G9",
+    f"""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, abs(embedding[i + 1]::DOUBLE) AS v, least(greatest(i % 8 + (vec_id % 5) * 0.25::DOUBLE - 0.5, 0), 7) AS sx, least(greatest(i // 8 + (i % 3) * 0.5::DOUBLE - 0.5, 0), 7) AS sy FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
+    g AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM p),
+    w AS (SELECT g.vec_id, g.y, g.x, (a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy AS v FROM g
+      JOIN p a ON a.vec_id = g.vec_id AND a.x = x0 AND a.y = y0 JOIN p b ON b.vec_id = g.vec_id AND b.x = least(x0 + 1, 7) AND b.y = y0
+      JOIN p c ON c.vec_id = g.vec_id AND c.x = x0 AND c.y = least(y0 + 1, 7) JOIN p d ON d.vec_id = g.vec_id AND d.x = least(x0 + 1, 7) AND d.y = least(y0 + 1, 7))
+    SELECT vec_id, y * 8 + x AS place, round(v, 6) AS v FROM w""",
+)
+def flow_warps(spark, sf_dir):
+    """A field that varies by pixel: a quarter step across by vector, half a step down by column of three."""
+    place = F.sequence(F.lit(0), F.lit(63))
+    across = (F.col("vec_id") % 5) * 0.25 - 0.5
+    field = F.flatten(F.transform(place, lambda i: F.array(across, F.pmod(i, F.lit(3)) * 0.5 - 0.5)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("image"), field.alias("flow"))
+    w = images.with_flow_warp(e, "image", "flow", 8).select("vec_id", F.posexplode("warped").alias("place", "v"))
+    return w.select("vec_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
+
+
+@query(
+    "cropped_windows", "D11",
+    f"""WITH c AS (SELECT vec_id, floor({duck_draw("'6/y/' || vec_id // 4")} * 5)::INT AS y, floor({duck_draw("'6/x/' || vec_id // 4")} * 5)::INT AS x, embedding FROM embeddings)
+    SELECT vec_id // 4 AS clip, vec_id AS frame, y, x, round(list_sum(list_transform(range(0, 16), lambda i: embedding[(y + i // 4) * 8 + x + i % 4 + 1]::DOUBLE * (i + 1))), 6) AS marked FROM c""",
+)
+def cropped_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("clip"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double")).alias("image"))
+    w = images.cropped_windows(e, "clip", "frame", "image", 8, 4, 6)
+    marked = F.aggregate(F.transform("crop", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return w.select("clip", "frame", "y", "x", F.round(marked, 6).alias("marked"))
+
+
+@query(
+    "fused_kernels", "N1",
+    """SELECT p_partkey % 16 AS c_out, p_size % 16 AS c_in, p_partkey, round(p_size / 10.0 + p_retailprice / 1000 + CASE WHEN p_partkey % 2 = 0 AND p_partkey % 16 = p_size % 16 THEN 1 ELSE 0 END, 6) AS centre, round(p_size / 10.0, 6) AS corner FROM part""",
+)
+def fused_kernels(spark, sf_dir):
+    k = F.col("p_size") / 10.0
+    layers = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("layer"), (F.col("p_partkey") % 16).alias("c_out"), (F.col("p_size") % 16).alias("c_in"), F.array_repeat(k, 9).alias("k3"),
+        (F.col("p_retailprice") / 1000).alias("k1"), (F.col("p_partkey") % 2 == 0).alias("identity"),
+    )
+    f = images.fused_kernels(layers)
+    return f.select("c_out", "c_in", F.col("layer").alias("p_partkey"), F.round(F.get("kernel", F.lit(4)), 6).alias("centre"), F.round(F.get("kernel", F.lit(0)), 6).alias("corner"))
+
+
+@query(
+    "decoded_images", "S17 D2",
+    """WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(255, floor(abs(embedding[i + 1]::DOUBLE) * 400))::INT AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i))
+    SELECT vec_id, 8 AS width, 8 AS height, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM p GROUP BY vec_id""",
+)
+def decoded_images(spark, sf_dir):
+    """Vectors as binary grey maps, decoded, and the statistics of their thumbnails."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 400)).cast("int"))
+    body = F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.concat(F.encode(F.lit("P5\n# grey\n8 8 255\n"), "UTF-8"), body).alias("content"))
+    d = media.with_thumb_statistics(images.decode_images(files, 8).where("error IS NULL"), "thumb", 8)
+    return d.select(F.col("path").cast("long").alias("vec_id"), "width", "height", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
 # Metric rows -------------------------------------------------------------------------------------------------------
 
 _MASKED = "CASE WHEN sum({m}) > {n} THEN round(10 * log10(1 / greatest(sum(e * {m}) / sum({m}), 1e-10)), 5) END"
