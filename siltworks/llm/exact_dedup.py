@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.scale import attach_by_key, filter_bits, may_repeat, repeat_filter, scratch_table
+from siltworks.llm.scale import (
+    MAX_FILTER_BITS, MIN_FILTER_BITS, attach_by_key, filter_bits, may_repeat, repeat_filter, scratch_path, scratch_table,
+)
 from siltworks.llm.text import ascii_lower
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
@@ -16,7 +18,9 @@ def text_digest(text):
     return F.sha2(F.encode(ascii_lower(F.coalesce(text, F.lit(""))), "UTF-8"), 256)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", digest_col: str = "text_sha256") -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_col: str = "doc_id", digest_col: str = "text_sha256", max_bits: int = MAX_FILTER_BITS
+) -> DataFrame:
     """Mark, of rows with equal digests, the one with the largest id as kept.
 
     Adds ``keep_id``, ``group_size`` (rows of the group) and ``kept`` to the columns of ``df``, which must
@@ -25,15 +29,33 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", digest_col: str = "text_s
     through. Only the others are grouped: by digest, pre-aggregated, so a group of any size is counted in
     parts, and its facts go back by ``attach_by_key``.
 
+    A filter has sixteen bits a row and ``max_bits`` at most, as it is broadcast. More rows than that allows are
+    divided by ranges of their hash, each with a filter of its own, one after the other: rows are written once,
+    where they are, and each range is read by itself. So the share of rows that shuffle does not grow with the table.
+
     Defined results: null texts equal empty ones; a null id loses to any other; rows that repeat the
-    largest id of a group are the same document and all stay; an empty table gives an empty table. Other
-    columns pass through, but ``keep_id``, ``group_size`` and ``kept`` of the input are replaced.
+    largest id of a group are the same document and all stay; texts of any length are digested whole; an empty
+    table gives an empty table. Other columns pass through, but ``keep_id``, ``group_size`` and ``kept`` of the
+    input are replaced.
     """
-    rows = df.drop("keep_id", "group_size", "kept", "__h", "__maybe").withColumn(
+    rows = df.drop("keep_id", "group_size", "kept", "__h", "__maybe", "__range").withColumn(
         "__h", F.conv(F.substring(digest_col, 1, 16), 16, -10).cast("long")
     )
     n_rows = rows.select("__h").count()
-    bits = filter_bits(n_rows)
+    ranges = -(-16 * n_rows // max_bits)
+    if ranges <= 1:
+        return _dedup_range(rows, id_col, digest_col, n_rows, max_bits)
+    whole = rows.withColumn("__range", F.pmod(F.shiftright("__h", 40), F.lit(ranges)).cast("int"))
+    parted = scratch_table(whole, "hash-ranges", by="__range")
+    path = scratch_path(df.sparkSession, "deduplicated")
+    for k in range(ranges):
+        out = _dedup_range(parted.where(F.col("__range") == k).drop("__range"), id_col, digest_col, n_rows // ranges, max_bits)
+        out.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _dedup_range(rows: DataFrame, id_col: str, digest_col: str, n_rows: int, max_bits: int) -> DataFrame:
+    bits = min(filter_bits(n_rows), max(MIN_FILTER_BITS, max_bits))
     blocks = scratch_table(repeat_filter(rows.select("__h"), "__h", bits), "repeat-bits")
     marked = may_repeat(rows, "__h", blocks, bits, "__maybe").drop("__h")
     maybe = scratch_table(marked.where("__maybe").drop("__maybe"), "maybe-repeated")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltworks.llm import exact_dedup, minhash, scale
 from siltworks.llm.text import ascii_lower
@@ -75,6 +76,20 @@ def test_exact_dedup_of_one_large_group(spark):
     assert out == {i: (2999, 2000) if i % 3 else (i, 1) for i in range(3000)}
 
 
+def test_exact_dedup_by_ranges_of_hashes(spark, odd_docs):
+    """More rows than a filter may have bits for: each range has its own, and the result is the same."""
+    docs = spark.createDataFrame([(i, f"text {i // 3 if i % 2 else i}") for i in range(2000)] + [(None, "text 4"), (5000, None)], "doc_id long, text string")
+    digests = docs.withColumns({"text_sha256": exact_dedup.text_digest(docs.text), "kept": F.lit(7)})
+    one, many = exact_dedup.exact_dedup(digests), exact_dedup.exact_dedup(digests, max_bits=8_000)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.select(*one.columns).collect()))
+
+
+def test_long_texts_are_digested_whole(spark):
+    long = "Wörter und Worte " * 300_000
+    docs = spark.createDataFrame([(1, long), (2, long.upper().replace("Ö", "ö")), (3, long + "."), (4, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup_report(docs).collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
+
+
 def test_filter_never_misses_a_repeat(spark):
     hashes = spark.range(5000).selectExpr("xxhash64(id % 4000) AS h")
     blocks = scale.repeat_filter(hashes, "h", 1 << 20)

@@ -46,6 +46,12 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 3 for s in target)
 
 
+def test_long_texts_count_whole(spark):
+    docs = spark.createDataFrame([(1, "w " * 1_500_000, "s"), (2, "a b c", "s"), (3, "d\x0be", "t")], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
+    assert {i: r["size"] for i, r in out.items()} == {1: 1_500_000, 2: 3, 3: 2} and out[3]["target"] == 4.0 and out[3]["taken"] == 4
+
+
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     out = mixing.mix_report(odd_docs)
     assert out.count() == odd_docs.count() and out.where("taken > 2 * size OR taken < 0 OR target IS NULL").count() == 0

@@ -346,6 +346,14 @@ def test_words_alone_carry_the_scorer(spark, sf_dir):
     assert above > 0.85, above
 
 
+def test_long_texts_are_scored_whole(spark):
+    good = "The people of the town were in the square and they had come to see what it was that he would say to them. "
+    rows = [(i, good.replace("town", f"town{i}") * 3) for i in range(40)] + [(50, good * 20_000), (51, good * 10_000 + "### $$$ !!! " * 150_000)]
+    rows += [(100 + i, f"### $$$ {i} !!! *** " * 30) for i in range(40)]
+    out = {r["doc_id"]: r for r in classifier.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[50]["votes"][0] == "1" and out[51]["votes"][0] == "0" and out[50]["score"] > out[51]["score"]
+
+
 def test_the_sample_does_not_depend_on_tasks(spark):
     """Null and repeated ids, more rows of one id than the sample holds."""
     rows = [(None, f"some words of text number {i} " * 4) for i in range(300)] + [(1, "!!! ### " * 5)] * 200
