@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.hashing import draw, short_id
 from siltworks.functions.text import ORIGINAL, is_clean, natural_key, path_tokens
+from siltworks.operators.prefix import with_running
 
 #: File name extensions of images.
 IMAGES = "png jpg jpeg bmp webp tif tiff ppm".split()
@@ -34,8 +35,8 @@ def image_files(files: DataFrame) -> DataFrame:
 def capped_folders(files: DataFrame, cap: int, seed: int) -> DataFrame:
     """Files of whole folders, in an order by hash of the folder, until ``cap`` is reached; none is cut in half."""
     dirs = files.withColumn("folder", folder_of(F.col("path"))).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
-    line = Window.orderBy(draw(F.col("folder"), seed), "folder").rowsBetween(Window.unboundedPreceding, -1)
-    taken = dirs.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).where(F.col("before") < cap).select("folder")
+    ordered = with_running(dirs, [draw(F.col("folder"), seed), F.col("folder")], {"upto": F.col("n")})
+    taken = ordered.where(F.col("upto") - F.col("n") < cap).select("folder")
     return files.withColumn("folder", folder_of(F.col("path"))).join(taken, "folder", "left_semi")
 
 
