@@ -41,14 +41,16 @@ def loss_values(spark, sf_dir):
 
 @query(
     "gradient_losses", "M12",
-    f"""WITH p AS (SELECT vec_id, y, x, v / 400.0::DOUBLE - 0.1::DOUBLE * x AS d FROM {_GREY}), a AS (SELECT c.vec_id, avg(abs(r.d - c.d)) AS m FROM p c JOIN p r ON r.vec_id = c.vec_id AND r.y = c.y AND r.x = c.x + 1 GROUP BY c.vec_id),
-    b AS (SELECT c.vec_id, avg(abs(r.d - c.d)) AS m FROM p c JOIN p r ON r.vec_id = c.vec_id AND r.x = c.x AND r.y = c.y + 1 GROUP BY c.vec_id)
-    SELECT vec_id, round((a.m + b.m) / 2, 6) AS gradient FROM a JOIN b USING (vec_id)""",
+    f"""WITH p AS (SELECT vec_id, y, x, v / 400.0::DOUBLE AS v, 0.1::DOUBLE * x AS w FROM {_GREY}), a AS (SELECT c.vec_id, avg(abs(r.v - r.w - c.v + c.w)) AS m FROM p c JOIN p r ON r.vec_id = c.vec_id AND r.y = c.y AND r.x = c.x + 2 GROUP BY c.vec_id),
+    b AS (SELECT c.vec_id, avg(abs(r.v - r.w - c.v + c.w)) AS m FROM p c JOIN p r ON r.vec_id = c.vec_id AND r.x = c.x AND r.y = c.y + 2 GROUP BY c.vec_id),
+    n AS (SELECT c.vec_id, c.y, c.x, r.v - c.v AS dv, r.w - c.w AS dw FROM p c JOIN p r ON r.vec_id = c.vec_id AND abs(r.x - c.x) <= 3 AND abs(r.y - c.y) <= 3 WHERE c.x BETWEEN 3 AND 4 AND c.y BETWEEN 3 AND 4),
+    g AS (SELECT vec_id, pow(dv / sqrt(0.81::DOUBLE + dv * dv) - dw / sqrt(0.81::DOUBLE + dw * dw), 2) AS s FROM n), e AS (SELECT vec_id, avg(s / (0.1::DOUBLE + s)) AS m FROM g GROUP BY vec_id)
+    SELECT vec_id, round(a.m + b.m, 6) AS gradient, round(e.m, 6) AS census FROM a JOIN b USING (vec_id) JOIN e USING (vec_id)""",
 )
 def gradient_losses(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("a"))
     e = e.withColumn("b", F.transform("a", lambda _, i: F.pmod(i, F.lit(8)) * 0.1))
-    return media.with_losses(e, "a", "b", 8).select("vec_id", F.round("gradient", 6).alias("gradient"))
+    return media.with_losses(e, "a", "b", 8).select("vec_id", F.round("gradient", 6).alias("gradient"), F.round("census", 6).alias("census"))
 
 
 @query(
@@ -120,6 +122,19 @@ def flow_warps(spark, sf_dir):
     return w.select("vec_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
 
 
+@query(
+    "block_motion", "G7",
+    """WITH p AS (SELECT vec_id, i // 16 AS y, (i // 2) % 8 AS x, embedding[i + 1]::DOUBLE AS mx, embedding[i + 2]::DOUBLE AS my, (vec_id + i // 2) % 9 <> 0 AS valid FROM embeddings, (SELECT unnest(range(0, 64, 2)) AS i))
+    SELECT vec_id, y // 2 AS by, x // 2 AS bx, round(avg(mx) / 2, 6) AS mx, round(avg(my) / 2, 6) AS my, bool_and(valid) AS valid FROM p GROUP BY ALL""",
+)
+def block_motion(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    at = lambda k: F.get("embedding", 2 * F.col("i") + k).cast("double")
+    pixels = e.select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), at(0).alias("mx"), at(1).alias("my"), ((F.col("vec_id") + F.col("i")) % 9 != 0).alias("valid"))
+    b = media.block_motion(pixels, ["vec_id"], 2)
+    return b.select("vec_id", "by", "bx", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"), "valid")
+
+
 @query(
     "cropped_windows", "D11",
     f"""WITH c AS (SELECT vec_id, floor({duck_draw("'6/y/' || vec_id // 4")} * 5)::INT AS y, floor({duck_draw("'6/x/' || vec_id // 4")} * 5)::INT AS x, embedding FROM embeddings)
@@ -167,18 +182,19 @@ _MASKED = "CASE WHEN sum({m}) > {n} THEN round(10 * log10(1 / greatest(sum(e * {
 
 @query(
     "frame_metric_rows", "M10",
-    f"""WITH p AS (SELECT l_returnflag AS sample, l_linenumber - 1 AS frame, l_tax AS o, l_discount AS r, pow(l_tax - l_discount, 2) AS e, l_tax - l_quantity / 100 AS le, (l_suppkey % 3 <> 0)::INT::DOUBLE AS valid,
+    f"""WITH p AS (SELECT l_returnflag AS sample, l_linenumber - 1 AS frame, l_tax AS o, l_discount AS r, pow(l_tax - l_discount, 2) AS e, l_tax - l_quantity / 100 AS le, l_discount - l_quantity / 200 AS ce, (l_suppkey % 3 <> 0)::INT::DOUBLE AS valid,
       (l_quantity > 40)::INT::DOUBLE AS detail, (CASE WHEN l_partkey % 5 = 0 THEN 1.0 ELSE 0.0 END) AS reactive, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.0 END AS quality FROM lineitem)
     SELECT sample, frame, round(10 * log10(1 / greatest(avg(e), 1e-10)), 5) AS psnr_y, {_MASKED.format(m="(1 - valid)", n=50)} AS psnr_disocc, round(10 * log10(1 / greatest(sum(e * detail) / greatest(sum(detail), 1), 1e-10)), 5) AS psnr_detail,
       {_MASKED.format(m="(reactive > 0.1)::INT", n=50)} AS psnr_particles, CASE WHEN frame > 0 AND max(quality) >= 1 THEN round(sum(abs(le) * valid) / sum(valid), 6) END AS warp_err,
-      CASE WHEN frame > 0 AND max(quality) > 0 THEN round(sum(abs(le) * valid) / sum(valid), 6) END AS temporal_err, CASE WHEN frame > 0 AND frame % 4 = 0 THEN round(avg(r), 6) END AS tof
+      CASE WHEN frame > 0 AND max(quality) > 0 THEN round(sum(abs(ce) * valid) / sum(valid), 6) END AS temporal_err, CASE WHEN frame > 0 AND frame % 4 = 0 THEN round(avg(r), 6) END AS tof
     FROM p WHERE frame >= 1 GROUP BY sample, frame""",
 )
 def frame_metric_rows(spark, sf_dir):
     quality = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.5).otherwise(0.0)
     p = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("sample"), (F.col("l_linenumber") - 1).alias("frame"), F.col("l_tax").alias("out"), F.col("l_discount").alias("ref"),
-        (F.col("l_tax") - F.col("l_quantity") / 100).alias("last_error"), (F.col("l_suppkey") % 3 != 0).cast("double").alias("valid"),
+        (F.col("l_tax") - F.col("l_quantity") / 100).alias("last_error"), (F.col("l_discount") - F.col("l_quantity") / 200).alias("change_error"),
+        (F.col("l_suppkey") % 3 != 0).cast("double").alias("valid"),
         (F.col("l_quantity") > 40).cast("double").alias("detail"), F.when(F.col("l_partkey") % 5 == 0, 1.0).otherwise(0.0).alias("reactive"),
         quality.alias("quality"), F.col("l_discount").alias("tof"),
     )

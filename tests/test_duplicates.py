@@ -172,15 +172,24 @@ def test_states_stream_over_batches(spark):
 
 
 def test_losses_by_hand():
-    a, b = np.arange(30.0).reshape(5, 6), np.zeros((5, 6))
-    assert media.gradient_loss(a, b) == pytest.approx((1 + 6) / 2)
-    assert media.census_loss(a, a) == 0 and media.census_loss(a, b) == pytest.approx(4 / 8)
+    a, b = np.arange(90.0).reshape(9, 10) / 90, np.zeros((9, 10))
+    assert media.gradient_loss(a, b) == pytest.approx((2 + 20) / 90)
     assert media.spectrum_loss(a, a) == 0 and media.spectrum_loss(np.ones((4, 4)), np.zeros((4, 4))) == pytest.approx(4 / 12)
+    total = 0.0
+    for y in range(3, 6):
+        for x in range(3, 7):
+            for v in range(-3, 4):
+                for u in range(-3, 4):
+                    d = a[y + v, x + u] - a[y, x]
+                    s = (d / (0.81 + d * d) ** 0.5) ** 2
+                    total += s / (0.1 + s) / (12 * 49)
+    assert media.census_loss(a, b) == pytest.approx(total) and media.census_loss(a, a) == 0
 
 
 def test_losses_of_missing_images(spark):
-    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0] * 3, [0.0] * 9), (2, None, [0.0] * 9)], "k long, a array<double>, b array<double>")
-    out = {r["k"]: (r["gradient"], r["census"]) for r in media.with_losses(df, "a", "b", 3).collect()}
-    assert out[1][0] == pytest.approx(0.5) and out[2] == (None, None)
+    flat = [float(i % 8) for i in range(64)]
+    df = spark.createDataFrame([(1, flat, [0.0] * 64), (2, None, [0.0] * 64)], "k long, a array<double>, b array<double>")
+    out = {r["k"]: (r["gradient"], r["spectrum"], r["census"]) for r in media.with_losses(df, "a", "b", 8).collect()}
+    assert out[1][0] == pytest.approx(2.0) and out[1][2] > 0 and out[2] == (None, None, None)
     same = media.batches_of(df.select("k"), lambda b: b.assign(k=b["k"] * 2), "k long")
     assert sorted(r["k"] for r in same.collect()) == [2, 4] and same.agg(F.sum("k")).first()[0] == 6
