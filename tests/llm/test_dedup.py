@@ -206,6 +206,42 @@ def test_members_of_a_crowd_far_from_its_pivot_are_found(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_the_last_step_joins_all_that_is_linked(spark, seed):
+    """Components cut at random: what the exact step finds joins every link between an open member and another component."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" if rng.random() < 0.3 else f"c{i}" for i in range(120)]
+        rows += [(100 * f + i, " ".join(edited(rng, base, rng.choice((0.0, 0.01, 0.02, 0.03, 0.05))) + [f"own{f}x{i}"] * rng.randrange(3))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    search = minhash._Search(docs, 4, 80, 100)
+    of = {r["doc_id"]: r["v"] for r in search.sets.select("v", "place.doc_id").collect()}
+    sets = {v: shingles(dict(rows)[i], 4) for i, v in of.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = {v: v for v in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(pairs):
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+
+    join(x for x in links if rng.random() < 0.03)
+    start = {v: find(v) for v in sets}
+    open_ = {v: rng.random() < 0.7 for v in sets}
+    members = spark.createDataFrame([(v, len(sets[v]), start[v], open_[v]) for v in sets], "v long, n long, root long, open boolean")
+    asked = [x for x in links if start[x[0]] != start[x[1]] and (open_[x[0]] or open_[x[1]])]
+    found = [(r["a"], r["b"]) for r in search.confirmed(minhash._rest_pairs(search, members)).collect()]
+    assert set(tuple(sorted(x)) for x in found) <= set(links) and asked
+    join(found)
+    assert all(find(a) == find(b) for a, b in asked)
+
+
 def test_null_ids_link_by_their_text(spark):
     text = [f"t{i}" for i in range(200)]
     rows = [(None, " ".join(text)), (7, " ".join([*text[:-1], "other"])), (None, " ".join(f"u{i}" for i in range(50)))]
