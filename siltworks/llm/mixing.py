@@ -227,8 +227,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it was taken, with the columns of ``docs``, whatever their names."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
     sized = own.withColumn("__words", F.size(words(F.col("__doc_text"))).cast("long"))
-    out = mix_sources(sized, "__doc_doc_id", "__words", "__doc_source").where("copies > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = mix_sources(sized, "__doc_doc_id", "__words", "__doc_source")
+    # No copies make no rows. A filter on copies would repeat their whole expression, in a method too large to compile.
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
 
 
