@@ -331,8 +331,8 @@ def _viable(search: _Search, sides: DataFrame) -> DataFrame:
     every = sides.select("v", "root", F.explode("hashes").alias("h"))
     common = every.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.sum("m").alias("m"))
     common = scratch_table(common.where("f > 1"), "crowd-common")
-    every = scratch_table(every, "crowd-shingles")
-    shared = attach_by_key(every, common, "h", "m", max(1, every.count())).where("f IS NOT NULL")
+    n = sides.agg(F.sum(F.size("hashes"))).first()[0] or 1
+    shared = attach_by_key(every, common, "h", "m", n).where("f IS NOT NULL")
     found = shared.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
     out = sides.join(found, "v").withColumns({"c": F.size("hs"), "least": F.ceil(F.lit(search.num) * F.col("n") / F.lit(search.den)).cast("int")})
     return scratch_table(out.where("c >= least"), "viable")
