@@ -10,29 +10,43 @@ from pyspark.sql import functions as F
 from siltworks.scratch import scratch_table
 
 
-def with_running(df: DataFrame, order: list[Column], sums: Mapping[str, Column] | None = None, rank: str = "rank") -> DataFrame:
+def with_running(
+    df: DataFrame, order: list[Column], sums: Mapping[str, Column] | None = None, rank: str = "rank", lags: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Add the 1-based ``rank`` of each row in ``order`` and a running sum, itself included, for each of ``sums``.
 
-    Rows are range-partitioned and ranked inside their partition; what comes before a partition is one row a
-    partition, which is broadcast. ``order`` must leave no ties that matter.
+    ``lags`` are values of the row before, null for the first. Rows are range-partitioned and ranked inside their
+    partition; what comes before a partition is one row a partition, which is broadcast. ``order`` must leave no ties
+    that matter.
     """
-    sums = dict(sums or {})
-    parts = df.repartitionByRange(*order).withColumns({f"__{k}": c for k, c in sums.items()} | {"__p": F.spark_partition_id()})
+    sums, lags = dict(sums or {}), dict(lags or {})
+    extra = {f"__{k}": c for k, c in sums.items()} | {f"__l_{k}": c for k, c in lags.items()}
+    parts = df.repartitionByRange(*order).withColumns(extra | {"__p": F.spark_partition_id()})
     parts = scratch_table(parts, "ranges")
-    line = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__p").orderBy(*order)
+    line = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumn("__r", F.row_number().over(inside)).withColumns({f"__s_{k}": F.sum(f"__{k}").over(line) for k in sums})
+    if lags:
+        out = out.withColumns({f"__b4_{k}": F.lag(f"__l_{k}").over(inside) for k in lags})
+        out = out.withColumn("__last", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) == F.count(F.lit(1)).over(Window.partitionBy("__p")))
+        out = scratch_table(out, "ranges-in-order")
     totals = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
+    if lags:
+        ends = out.where("__last").select("__p", *[F.col(f"__l_{k}").alias(f"__e_{k}") for k in lags])
+        totals = totals.join(F.broadcast(ends), "__p")  # a row a partition
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "__p",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums],
+        *[F.lag(f"__e_{k}").over(Window.orderBy("__p")).alias(f"__o_{k}") for k in lags],
     )
-    out = parts.withColumn("__r", F.row_number().over(line)).withColumns({f"__s_{k}": F.sum(f"__{k}").over(line) for k in sums})
     out = out.join(F.broadcast(totals), "__p")
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("__before") + F.col("__r")).alias(rank),
         *[(F.col(f"__b_{k}") + F.coalesce(F.col(f"__s_{k}"), F.lit(0))).alias(k) for k in sums],
+        *[F.when(F.col("__r") == 1, F.col(f"__o_{k}")).otherwise(F.col(f"__b4_{k}")).alias(k) for k in lags],
     )
 
 

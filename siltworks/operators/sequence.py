@@ -133,13 +133,13 @@ def frame_pacing(costs: DataFrame, sr_ms: float, fg_ms: float, cpu_ms: float, pr
     latency = game.groupBy(*keys).agg(F.avg("x").alias("game_latency_ms"))
     cameras = seen.groupBy(*keys).agg(F.avg("x").alias("camera_latency_ms"))
     frames = rows.select(*keys, "t", F.explode(F.array_compact(F.array("real", "made"))).alias("at"))
-    ranked = scratch_table(with_running(frames, [F.col("run"), F.col("mode"), F.col("at")]), "shown-frames")
+    ranked = with_running(frames, [F.col("run"), F.col("mode"), F.col("at")], lags={"last": F.col("at")})
     ages = ranked.groupBy(*keys).agg(
         F.avg(F.col("at") - F.col("t")).alias("content_age_ms"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")
     )
-    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("last"))
-    counted = ranked.join(F.broadcast(ages.select(*keys, "n", "first")), keys).where(F.col("rank") - F.col("first") > F.floor(F.col("n") / 10))
-    gaps = counted.join(before, "rank").withColumn("gap", F.col("at") - F.col("last"))
+    ages = scratch_table(ages, "frame-ages")
+    counted = ranked.join(F.broadcast(ages), keys).where(F.col("rank") - F.col("first") > F.floor(F.col("n") / 10))  # a row a run and mode
+    gaps = counted.withColumn("gap", F.col("at") - F.col("last"))
     paced = gaps.groupBy(*keys).agg(
         (F.lit(1000.0) / F.avg("gap")).alias("displayed_fps"), (F.stddev_pop("gap") / F.avg("gap")).alias("frame_gap_cv")
     )

@@ -137,6 +137,16 @@ def test_hamming_join_by_brute_force(spark):
     assert got == {(i, j, d) for i in range(len(xs)) for j in range(i + 1, len(xs)) if (d := bin((xs[i] ^ xs[j]) & mask).count("1")) <= 2}
 
 
+def test_the_row_before_in_a_global_order(spark):
+    rows = [(i, (i * 7919) % 1009) for i in range(1009)]
+    df = spark.createDataFrame(rows, "k long, x long").repartition(5)
+    out = sorted(prefix.with_running(df, [F.col("x")], {"upto": F.col("x")}, lags={"last": F.col("k")}).collect(), key=lambda r: r["x"])
+    order = sorted(rows, key=lambda r: r[1])
+    assert [r["rank"] for r in out] == list(range(1, 1010)) and [r["upto"] for r in out] == list(np.cumsum([x for _, x in order]))
+    assert [r["last"] for r in out] == [None, *(k for k, _ in order[:-1])]
+    assert prefix.with_running(df.where("false"), [F.col("x")], lags={"last": F.col("k")}).count() == 0
+
+
 def test_quantiles_of_groups(spark):
     rng = np.random.default_rng(6)
     rows = [(g, float(x)) for g, n in (("a", 400), ("b", 1), ("c", 7)) for x in rng.integers(0, 30, n)] + [("a", None), (None, 3.0)]
