@@ -124,8 +124,9 @@ def mix_sources(
     (Pareto order sampling). The sample's size is fixed in words, as targets are: what the certain copies leave of
     the target. Documents are taken in rank order up to the first that does not fit. The gap that it leaves is
     filled by the documents behind it, in rank order, each taken if it fits still: those that were short enough
-    for the gap, as far as ``POOL`` times its words reach. So a very long document at the cut is passed over and
-    does not keep its source from the target.
+    for the gap, as far as ``POOL`` times its words reach. One more document, the one whose words come nearest, closes
+    what is left if it narrows it. So a very long document at the cut is passed over and does not keep its source from
+    the target.
 
     Ranks are summed in bins a source; only documents of the bin where the target falls, and the pool behind it, are
     ordered, so a source with a third of all rows is never sorted in one task. Results depend on ids, sizes and
@@ -192,8 +193,17 @@ def mix_sources(
     lined = F.array_sort(F.collect_list(F.struct("place", F.col("all").alias("size"))))
     picked = pool.groupBy("source", "gap").agg(lined.alias("line"))
     picked = picked.select("source", F.explode(_fill(F.col("line"), F.col("gap"))).alias("place"))
-    closing = pool.alias("p").join(picked.alias("k"), F.expr("p.source <=> k.source AND p.place = k.place")).select("p.source", "p.id", "p.size")
-    picks = scratch_table(taken.select("source", "id", "size").unionByName(closing), "picks")
+    closing = pool.alias("p").join(picked.alias("k"), F.expr("p.source <=> k.source AND p.place = k.place")).select("p.source", "p.id", "p.size", "p.all")
+    closing = scratch_table(closing, "closing")
+    spent = closing.groupBy("source").agg(F.sum("all").alias("spent"))
+    rooms = gaps.alias("g").join(spent.alias("s"), F.expr("g.source <=> s.source"), "left").select("g.*", (F.col("gap") - F.coalesce("spent", F.lit(0))).alias("room"))
+    rooms = scratch_table(rooms.where("room > 0"), "rooms")
+    picks = scratch_table(taken.select("source", "id", "size").unionByName(closing.select("source", "id", "size")), "picks")
+    ends = judged(slim, rooms).where("bin >= cut_bin AND size > 0 AND size < 2 * room").groupBy(*same, "room").agg((F.col("size") * F.count(F.lit(1))).alias("all"))
+    ends = ends.where("all < 2 * room").alias("e").join(picks.alias("t"), F.expr("e.source <=> t.source AND e.id <=> t.id AND e.size = t.size"), "left_anti")
+    nearest = F.min(F.struct(F.abs(F.col("room") - F.col("all")).alias("off"), "rank", F.col("id"), F.col("size")))
+    ends = ends.groupBy("source").agg(nearest.alias("x")).select("source", F.col("x.id").alias("id"), F.col("x.size").alias("size"))
+    picks = scratch_table(picks.unionByName(ends), "all-picks")
 
     picks = picks.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("size").alias("__z"), F.lit(1).alias("__pick"))
     facts = cuts.select(F.col("source").alias("__source"), *[F.col(c).alias(c if c in added else f"__{c}") for c in ("source_size", "target", "mean", "merit_words", "cut_bin")])
@@ -292,9 +302,16 @@ WITH RECURSIVE s AS (
   SELECT z.source, pool.place, z.room - CASE WHEN pool.size <= z.room THEN pool.size ELSE 0 END, pool.size <= z.room
   FROM z JOIN pool ON pool.source IS NOT DISTINCT FROM z.source AND pool.place = z.place + 1
 ), c AS (
-  SELECT pool.doc_id FROM pool JOIN z ON pool.source IS NOT DISTINCT FROM z.source AND pool.place = z.place WHERE z.took
+  SELECT pool.source, pool.doc_id, pool.size FROM pool JOIN z ON pool.source IS NOT DISTINCT FROM z.source AND pool.place = z.place WHERE z.took
+), y AS (
+  SELECT g.source, g.gap - coalesce(s.spent, 0) AS room
+  FROM g LEFT JOIN (SELECT source, sum(size) AS spent FROM c GROUP BY source) s ON g.source IS NOT DISTINCT FROM s.source
+), v AS (
+  SELECT o.doc_id, row_number() OVER (PARTITION BY o.source ORDER BY abs(room - o.size), o.rank, o.doc_id) AS rn
+  FROM o JOIN y ON o.source IS NOT DISTINCT FROM y.source
+  WHERE o.upto > o.need AND o.size > 0 AND o.size < 2 * room AND o.doc_id NOT IN (SELECT doc_id FROM c)
 )
 SELECT q.doc_id, q.size, q.source_size, q.target,
-       q.size * (q.certain + CASE WHEN o.upto <= o.need OR q.doc_id IN (SELECT doc_id FROM c) THEN 1 ELSE 0 END) AS taken
+       q.size * (q.certain + CASE WHEN o.upto <= o.need OR q.doc_id IN (SELECT doc_id FROM c) OR q.doc_id IN (SELECT doc_id FROM v WHERE rn = 1) THEN 1 ELSE 0 END) AS taken
 FROM q LEFT JOIN o ON q.doc_id = o.doc_id
 """

@@ -181,7 +181,7 @@ def test_inclusion_rates_follow_their_odds(spark):
         taken = dict.fromkeys((r["source"] for r in mine), 0)
         for r in mine:
             taken[r["source"]] += r["taken"]
-        assert all(0 <= r["target"] - taken[r["source"]] < 60 for r in mine)
+        assert all(abs(r["target"] - taken[r["source"]]) < 30 for r in mine)
 
 
 def test_a_very_long_document_does_not_keep_its_source_from_the_target(spark):
@@ -193,7 +193,7 @@ def test_a_very_long_document_does_not_keep_its_source_from_the_target(spark):
         mine = [r for r in out if r["source"] == "s"]
         missed.append(mine[0]["target"] - sum(r["taken"] for r in mine))
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in out)
-    assert max(missed) < 50 and min(missed) >= 0
+    assert max(missed) < 50 and min(missed) > -50
 
 
 def test_stages_in_order(spark, sf_dir, odd_docs, no_docs):
