@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe, chat, classifier, exact_dedup, html_extract, licences, minhash, mixing, quality_rules, warc
+from siltworks.llm import bpe, chat, classifier, exact_dedup, html_extract, importance, licences, minhash, mixing, quality_rules, topk, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,14 @@ _register("op7_mix_sources", "documents", mixing.mix_report, mixing.ORACLE)
 _register("op8_warc_revisits", "pages", warc.warc_report, warc.ORACLE)
 _register("op9_quality_rules", "documents", quality_rules.quality_report, quality_rules.ORACLE)
 _register("op10_byte_bpe", "documents", bpe.bpe_report)
+_register("op12_top_inner_products", "embeddings", topk.search_report, topk.ORACLE)
+_register("op13_whitening", "embeddings", whitening.whitening_report)
+
+
+def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", "benchmark"))
+    return importance.importance_report(docs, target)
+
+
+QUERIES["op11_importance_draw"] = _importance
+ORACLES["op11_importance_draw"] = importance.ORACLE
