@@ -166,7 +166,7 @@ def match_cells(a: tuple, b: tuple, size: float = 256.0, ratio: float = 0.8, lea
     (pa_, da), (pb, db) = a, b
     if len(da) < 3 or len(db) < 3:
         return 0
-    far = np.linalg.norm(da[:, None] - db[None], axis=2)
+    far = np.sqrt(np.maximum((da**2).sum(1)[:, None] + (db**2).sum(1) - 2 * da @ db.T, 0.0))
     order = np.argsort(far, axis=1, kind="stable")
     first, second = far[np.arange(len(da)), order[:, 0]], far[np.arange(len(da)), order[:, 1]]
     good = first < ratio * second

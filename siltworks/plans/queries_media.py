@@ -105,12 +105,10 @@ def image_subset(spark, sf_dir):
 
 @query(
     "flow_warps", "G9",
-    f"""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, abs(embedding[i + 1]::DOUBLE) AS v, least(greatest(i % 8 + (vec_id % 5) * 0.25::DOUBLE - 0.5, 0), 7) AS sx, least(greatest(i // 8 + (i % 3) * 0.5::DOUBLE - 0.5, 0), 7) AS sy FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
-    g AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM p),
-    w AS (SELECT g.vec_id, g.y, g.x, (a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy AS v FROM g
-      JOIN p a ON a.vec_id = g.vec_id AND a.x = x0 AND a.y = y0 JOIN p b ON b.vec_id = g.vec_id AND b.x = least(x0 + 1, 7) AND b.y = y0
-      JOIN p c ON c.vec_id = g.vec_id AND c.x = x0 AND c.y = least(y0 + 1, 7) JOIN p d ON d.vec_id = g.vec_id AND d.x = least(x0 + 1, 7) AND d.y = least(y0 + 1, 7))
-    SELECT vec_id, y * 8 + x AS place, round(v, 6) AS v FROM w""",
+    f"""WITH p AS (SELECT vec_id, unnest(range(0, 64)) AS i, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS e FROM embeddings),
+    s AS (SELECT *, least(greatest(i % 8 + (vec_id % 5) * 0.25::DOUBLE - 0.5, 0), 7) AS sx, least(greatest(i // 8 + (i % 3) * 0.5::DOUBLE - 0.5, 0), 7) AS sy FROM p),
+    g AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy, least(floor(sx)::INT + 1, 7) AS x1, least(floor(sy)::INT + 1, 7) AS y1 FROM s)
+    SELECT vec_id, i AS place, round((e[y0 * 8 + x0 + 1] * (1 - fx) + e[y0 * 8 + x1 + 1] * fx) * (1 - fy) + (e[y1 * 8 + x0 + 1] * (1 - fx) + e[y1 * 8 + x1 + 1] * fx) * fy, 6) AS v FROM g""",
 )
 def flow_warps(spark, sf_dir):
     """A field that varies by pixel: a quarter step across by vector, half a step down by column of three."""
