@@ -1,12 +1,13 @@
 """Main text of web pages: two passes over text blocks.
 
-Pass one classifies each block by its stop-word density, its length and its link density, with its place in the
-markup as one signal more: *good*, *bad*, or, where these do not decide, *near* (some text, little to tell it by) or
-*short* (too little text to tell). Pass two lets each undecided block inherit the label of its nearest decided
-neighbours. Place works like this: navigation, forms, adverts and the like are bad; where elements that the markup
-names as the article hold most of the good text, blocks in them are judged more kindly and those beside them are
-bad; where such elements hold little of it, they are teasers, and their short blocks are bad. A page whose words
-are in none of the stop lists is judged by length and link density alone.
+Pass one classifies each block by its stop-word density, its length and its link density: *good*, *bad*, or, where these do
+not decide, *near* (some text, little to tell it by) or *short* (too little text to tell). Pass two lets each undecided block
+inherit the label of its nearest decided neighbours. Place moves the limits of pass one and never decides alone: blocks in
+elements that the markup names as the article are judged more kindly, those in navigation, footers, forms, adverts, comments and
+the like need more text with more stop words. Which part of a page is the main one follows from the text that
+pass one finds in each part, weighed by its place: where a part that is named as a sidebar holds the page's prose,
+the name is wrong, and where elements named as the article hold little of it, they are teasers. A page whose words are in
+none of the stop lists is judged by length and link density.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,16 +52,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a page that hold no main text.
 OUTSIDE = frozenset("nav footer aside form menu dialog button label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id attributes that name such parts, and words that name the article itself.
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|comment\w*|disqus|respon[ds]\w*|repl(?:y|ies)|"
-    r"discussion|feedback|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|"
-    r"subscri\w+|signup|sign-up|login|sidebar\w*|side-bar|rail|widget\w*|related|recommend\w*|trending|popular|"
-    r"menu\w*|nav|navbar|navigation|topnav|breadcrumb\w*|pagination|pager|toolbar|header|masthead|site-header|"
-    r"page-header|footer|site-footer|copyright|legal|disclaimer|share(?![_-]?(?:price|holder|market|capital|value))\w*|sharing|social\w*|tags?|tagcloud|byline-links|"
-    r"hidden|skip-link|sr-only|toc|paywall|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
+#: Parts of class and id names that name such parts, those of what readers write, and parts that tell nothing.
+BAD_PART = re.compile(
+    r"(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|"
+    r"overlay|newsletter|subscri\w+|signup|login|sidebar\w*|sidebar|rail|widget\w*|related|recommend\w*|trending|popular|menu\w*|nav|navbar|"
+    r"navigation|topnav|breadcrumb\w*|pagination|pager|toolbar|header|masthead|footer|copyright|legal|disclaimer|"
+    r"share(?!price|holder|market|capital|value)\w*|sharing|social\w*|tags?|tagcloud|hidden|toc|paywall|outbrain|taboola)"
+)
+READER_PART = re.compile(r"(?:comment\w*|disqus|respon[ds]\w*|repl(?:y|ies)|discussion|feedback)")
+PLAIN_PARTS = frozenset(
+    """
+    site page main top bottom left right inner outer container wrapper wrap box list section area block bar panel item items link links button
+    icon post posts article articles entry story stories content text body title head group row col column primary secondary global mobile
+    desktop fixed sticky form image user reader slot unit zone wide small large and up only skip sr sign side byline
+    """.split()
 )
+BAD_WHOLE = frozenset("sign-up side-bar skip-link sr-only byline-links".split())
 GOOD_NAME = re.compile(
     r"(?:^|[\s_-])(?:article\w*|post|post-body|post-content|entry|entry-content|story\w*|main-content|content-body|"
     r"page-content|body-text|article-body)(?:$|[\s_-])",
@@ -79,12 +86,10 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: How lines about the site, not the article, begin.
 SITE_LINE = re.compile(r"(copyright\b|©|\(c\)\s*\d{4}|all rights reserved|powered by\b|share this\b|skip to\b)", re.I)
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 WIDE = re.compile("[\u2e80-\uffef]")
@@ -105,6 +110,13 @@ class BlockRules:
     high_stop_words: float = 0.25
     no_stop_words: float = 0.05
     link_run: int = 3
+    #: How a part's place moves the limits of length and of stop words, and what its text weighs against other parts'.
+    places: tuple[tuple[str, float, float, float], ...] = (
+        ("inside", 1.0, 0.6, 1.0), ("", 1.0, 1.0, 1.0), ("beside", 2.0, 1.2, 1.0), ("named", 1.5, 1.2, 0.5), ("outside", 2.0, 1.4, 0.25),
+    )
+
+    def moved(self, place: str) -> tuple[float, float, float]:
+        return next((length, stops, weight) for name, length, stops, weight in self.places if name == place)
 
 
 @dataclass
@@ -118,14 +130,29 @@ class Block:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
+def _named(names: str) -> str:
+    """``named`` or ``outside`` where a class or id names a part beside the article: all its parts do, or tell nothing.
+
+    "related-posts" is such a name, "related-work" and "tags-of-war" are not.
+    """
+    found = ""
+    for token in names.lower().split():
+        parts = [p for p in re.split(r"[_-]+", token) if p and not p.isdigit()]
+        reader = [bool(READER_PART.fullmatch(p)) for p in parts]
+        bad = [bool(BAD_PART.fullmatch(p)) for p in parts]
+        if token in BAD_WHOLE or (any(bad) or any(reader)) and all(x or y or p in PLAIN_PARTS for x, y, p in zip(bad, reader, parts, strict=True)):
+            found = "outside" if any(reader) else found or "named"
+    return found
+
+
 def _place(name: str, attrs: str, above: str, depth_in_article: bool) -> str:
-    """What an element makes of its text: ``hidden``, ``outside``, ``inside`` (the article) or what is above."""
+    """What an element makes of its text: ``hidden``, ``outside``, ``named`` (beside the article), ``inside`` or what is above."""
     if above == "hidden" or name in HIDDEN:
         return "hidden"
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)} if "=" in attrs else {}
     if HIDDEN_STYLE.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true":
         return "hidden"
-    if re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attrs)):
+    if "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attrs)):
         return "hidden"
     if above == "outside":
         return "outside"
@@ -135,15 +162,38 @@ def _place(name: str, attrs: str, above: str, depth_in_article: bool) -> str:
         return "outside"
     names = STATE.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
     if name in ("article", "main"):
-        return "outside" if re.search(r"comment", names, re.I) else "inside"
+        return "outside" if re.search(r"comment", names, re.I) else "named" if above == "named" else "inside"
     if name not in ("body", "html") and names.strip():
-        if BAD_NAME.search(names):
-            return "outside"
-        if name not in HEADINGS and GOOD_NAME.search(ABOUT_NAME.sub(" ", names)):
+        beside = _named(names)
+        if beside:
+            return beside
+        if above != "named" and name not in HEADINGS and GOOD_NAME.search(ABOUT_NAME.sub(" ", names)):
             return "inside"
     return above
 
 
+def _tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag ends whose name ends at ``at``: behind the next ``>`` that no quoted value holds.
+
+    A quote counts after ``=`` only, and not if nothing closes it: ``lost`` keeps the quotes that are known not to come
+    again, so that a page is searched for each once.
+    """
+    while stop := TAG_STOP.search(page, at):
+        if stop[0] == ">":
+            return stop.end()
+        before = stop.start() - 1
+        while before >= at and page[before].isspace():
+            before -= 1
+        at = stop.end()
+        if stop[0] not in lost and before >= 0 and page[before] == "=":
+            close = page.find(stop[0], at)
+            if close < 0:
+                lost.add(stop[0])
+            else:
+                at = close + 1
+    return len(page)
+
+
 class _Open:
     """The open elements of a page, innermost last. Every question is answered in constant time.
 
@@ -235,23 +285,25 @@ def blocks(page: str) -> list[Block]:
 
     at, size = 0, len(page)
     raw_ends: dict[str, int] = {}
+    lost: set[str] = set()
     while at < size:
         start = page.find("<", at)
         if start < 0:
             add(page[at:])
             break
         add(page[at:start])
-        token = TOKEN.match(page, start)
+        if mark := COMMENT.match(page, start):
+            at = mark.end()
+            if mark["cdata"] is not None:
+                add(mark["cdata"].replace("&", "&amp;"))
+            continue
+        token = TAG.match(page, start)
         if not token:
             add("<")
             at = start + 1
             continue
-        at = token.end()
-        if token["cdata"] is not None:
-            add(token["cdata"].replace("&", "&amp;"))
-        name = (token["name"] or "").lower()
-        if not name:
-            continue
+        name = token["name"].lower()
+        at = _tag_end(page, token.end(), lost)
         if name in BLOCKS:
             close_block()
         elif name in ("br", "wbr"):
@@ -267,7 +319,7 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else size
             raw_ends[name] = at
             continue
-        attrs = token["attrs"]
+        attrs = page[token.end() : at].removesuffix(">")
         if attrs.rstrip().endswith("/") and name not in BLOCKS:
             continue
         opened.imply_end(name)
@@ -298,14 +350,14 @@ class _Told:
 
 def _tell(found: list[tuple[Block, str]], rules: BlockRules) -> list[_Told]:
     """The signals of each block. Where no stop list fits the page, every block has as many as it takes."""
-    words = [WORD.findall(text.lower()) if block.place != "outside" else [] for block, text in found]
+    words = [WORD.findall(text.lower()) for _, text in found]
     stops = [sum(w in STOP_WORDS for w in some) for some in words]
     fits = sum(stops) >= rules.no_stop_words * sum(map(len, words))
     out = []
     for (block, text), some, n in zip(found, words, stops, strict=True):
         chars = len(text) if text.isascii() else 2 * len(text) - len(WIDE.sub("", text))
         links = block.link_chars / max(1, len(text) - text.count(" ")) if block.link_chars else 0.0
-        share = n / max(1, len(some)) if fits else rules.high_stop_words
+        share = n / max(1, len(some)) if fits else 1.0
         out.append(_Told(chars, links, share, block.place, block.heading, chars < rules.short_chars and bool(SITE_LINE.match(text))))
     return out
 
@@ -315,16 +367,18 @@ def _first_pass(told: list[_Told], rules: BlockRules, article: bool | None) -> l
     out = []
     for t in told:
         inside = t.place == "inside" and article is True
-        if t.place == "outside" or (article is True and not inside):
-            out.append("bad")
-        elif t.links > rules.max_link_density:
+        place = t.place
+        if not inside and place in ("", "inside"):
+            place = "beside" if article is True else ""
+        longer, denser, _ = rules.moved(place)
+        if t.links > rules.max_link_density:
             out.append("links" if inside else "bad")
-        elif t.chars < rules.short_chars:
+        elif t.chars < rules.short_chars * longer:
             teaser = t.place == "inside" and article is False
             out.append("bad" if teaser or (t.site_line and not inside) else "short")
-        elif t.stops >= (rules.low_stop_words if inside else rules.high_stop_words):
-            out.append("good" if inside or t.chars > rules.long_chars else "near")
-        elif t.stops >= rules.low_stop_words or inside:
+        elif t.stops >= (rules.low_stop_words if inside else rules.high_stop_words) * denser:
+            out.append("good" if inside or t.chars > rules.long_chars * longer else "near")
+        elif t.stops >= rules.low_stop_words * denser or inside:
             out.append("near")
         else:
             out.append("bad")
@@ -341,12 +395,15 @@ def _first_pass(told: list[_Told], rules: BlockRules, article: bool | None) -> l
     return out
 
 
-def _second_pass(labels: list[str], told: list[_Told]) -> list[bool]:
+#: Which places share neighbours: a block on the other side of a part's border is no neighbour.
+SIDES = {"inside": "inside", "": "", "named": "out", "outside": "out"}
+
+
+def _second_pass(labels: list[str], told: list[_Told], main: set[str]) -> list[bool]:
     """Undecided blocks take their nearest decided neighbours' label; of two that differ, see below.
 
-    A neighbour on the other side of an article's border is no neighbour. Between a good and a bad one a *near* block is
-    good and a short one goes with the nearer. Headings look ahead: they belong to what follows. Where nothing is
-    decided, all is good.
+    Between a good and a bad one a *near* block is good and a short one goes with the nearer. Headings look ahead: they
+    belong to what follows. Where nothing is decided, blocks of a side in ``main`` are good, others are not.
     """
     n = len(labels)
     before: list[int | None] = [None] * n
@@ -354,7 +411,7 @@ def _second_pass(labels: list[str], told: list[_Told]) -> list[bool]:
     for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last: dict[str, int] = {}
         for i in order:
-            side = "inside" if told[i].place == "inside" else ""
+            side = SIDES[told[i].place]
             found[i] = last.get(side)
             if labels[i] in ("good", "bad"):
                 last[side] = i
@@ -365,7 +422,9 @@ def _second_pass(labels: list[str], told: list[_Told]) -> list[bool]:
             continue
         b, a = before[i], after[i]
         one, two = labels[b] if b is not None else None, labels[a] if a is not None else None
-        if one == two:
+        if one is None and two is None:
+            out.append(SIDES[told[i].place] in main)
+        elif one == two:
             out.append(one != "bad")
         elif told[i].heading:
             out.append(two == "good")
@@ -381,26 +440,59 @@ def _second_pass(labels: list[str], told: list[_Told]) -> list[bool]:
 def _article(told: list[_Told], rules: BlockRules) -> bool | None:
     """Whether elements that the markup names as the article hold most of the text that pass one calls good.
 
-    Without good blocks, of that of near ones, and without these of short ones. None if it names none.
+    Without good blocks, of that of near ones, and without these of short ones. Parts named otherwise do not count. None if
+    it names no article.
     """
     if not any(t.place == "inside" for t in told):
         return None
     labels = _first_pass(told, rules, None)
     for label in ("good", "near", "short"):
-        every = sum(t.chars for x, t in zip(labels, told, strict=True) if x == label)
-        if every:
-            inside = sum(t.chars for x, t in zip(labels, told, strict=True) if x == label and t.place == "inside")
-            return 2 * inside > every
+        mine = {side: sum(t.chars for x, t in zip(labels, told, strict=True) if x == label and t.place == side) for side in ("inside", "")}
+        if any(mine.values()):
+            return mine["inside"] > mine[""]
     return True
 
 
+#: What a block's characters count for the part it is in, by its label.
+EVIDENCE = {"good": 1.0, "near": 0.5, "short": 0.1, "links": 0.1, "bad": 0.0}
+
+
+def _main_part(told: list[_Told], rules: BlockRules) -> str:
+    """The part that holds the page's text: ``article`` (marked or plain blocks), ``named`` or ``outside``.
+
+    Each part's text is weighed by what pass one, with the limits of its place, calls it, and by its place. Of parts beside
+    the article only text that is surely good counts: an advert's sentence is not more than a short article.
+    """
+    labels = _first_pass(told, rules, _article(told, rules))
+    sums = {"article": 0.0, "named": 0.0, "outside": 0.0}
+    for label, t in zip(labels, told, strict=True):
+        part = t.place if t.place in sums else "article"
+        if part == "article" or label == "good":
+            sums[part] += t.chars * EVIDENCE[label] * rules.moved("" if part == "article" else part)[2]
+    return max(sums, key=lambda part: (sums[part], part == "article"))
+
+
+def judged(told: list[_Told], rules: BlockRules) -> list[bool]:
+    """Which blocks are the page's main text: the main part, then both passes.
+
+    If a part named otherwise is the main one, its blocks are judged as plain ones; if not, what pass one calls good in
+    it is not the article's.
+    """
+    part = _main_part(told, rules)
+    if part != "article":
+        told = [replace(t, place="") if t.place == part else t for t in told]
+    article = _article(told, rules)
+    labels = _first_pass(told, rules, article)
+    labels = ["bad" if t.place in ("named", "outside") and x in ("good", "near") else x for x, t in zip(labels, told, strict=True)]
+    main = {"inside"} if article is True else {"", "inside"}
+    return _second_pass(labels, told, main)
+
+
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The article's blocks in page order, white space collapsed, joined by an empty line; '' without any."""
     found = [(b, b.text()) for b in blocks(page or "")]
     found = [(b, t) for b, t in found if t]
-    told = _tell(found, rules)
-    good = _second_pass(_first_pass(told, rules, _article(told, rules)), told)
-    return "\n\n".join(t for g, (_, t) in zip(good, found, strict=True) if g)
+    return "\n\n".join(t for g, (_, t) in zip(judged(_tell(found, rules), rules), found, strict=True) if g)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", rules: BlockRules = BlockRules()) -> DataFrame:

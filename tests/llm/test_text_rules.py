@@ -1,5 +1,6 @@
 """Quality rules, licences, chat, classifier and HTML against plain Python."""
 
+import dataclasses
 import math
 import random
 import re
@@ -459,3 +460,143 @@ def test_time_is_linear_in_a_page(page):
     start = time.perf_counter()
     html_extract.main_text(page(100_000))
     assert time.perf_counter() - start < 8
+
+
+def _plain_passes(told, rules):
+    """Both passes of the block rules by the letter, block by block, neighbours looked for one at a time."""
+    moves = {name: (length, stops) for name, length, stops, _ in rules.places}
+    side = {"inside": "inside", "": "", "named": "out", "outside": "out"}
+
+    def label(t, article):
+        inside = article is True and t.place == "inside"
+        place = t.place if inside or t.place in ("named", "outside") else "beside" if article is True else ""
+        longer, denser = moves[place]
+        low, high = rules.low_stop_words * denser, rules.high_stop_words * denser
+        if t.links > rules.max_link_density:
+            return "links" if inside else "bad"
+        if t.chars < rules.short_chars * longer:
+            return "bad" if t.place == "inside" and article is False or t.site_line and not inside else "short"
+        if t.stops >= (low if inside else high):
+            return "good" if inside or t.chars > rules.long_chars * longer else "near"
+        return "near" if inside or t.stops >= low else "bad"
+
+    def first(blocks, article):
+        out = [label(t, article) for t in blocks]
+        for i, x in enumerate(list(out)):
+            if x == "links":
+                lo = hi = i
+                while lo > 0 and out[lo - 1] in ("links", "run", "menu"):
+                    lo -= 1
+                while hi + 1 < len(out) and out[hi + 1] == "links":
+                    hi += 1
+                menu = hi - lo + 1 >= rules.link_run and all(t.links > 0.99 for t in blocks[lo : hi + 1])
+                out[i] = "menu" if menu else "run"
+        return [{"menu": "bad", "run": "short"}.get(x, x) for x in out]
+
+    def article(blocks):
+        if all(t.place != "inside" for t in blocks):
+            return None
+        for name in ("good", "near", "short"):
+            sums = {"inside": 0, "": 0}
+            for x, t in zip(first(blocks, None), blocks, strict=True):
+                if x == name and t.place in sums:
+                    sums[t.place] += t.chars
+            if sums["inside"] or sums[""]:
+                return sums["inside"] > sums[""]
+        return True
+
+    worth = {"article": 0.0, "named": 0.0, "outside": 0.0}
+    for x, t in zip(first(told, article(told)), told, strict=True):
+        if t.place in ("named", "outside"):
+            worth[t.place] += t.chars * {"named": 0.5, "outside": 0.25}[t.place] * (x == "good")
+        else:
+            worth["article"] += t.chars * {"good": 1, "near": 0.5, "short": 0.1, "bad": 0}[x]
+    for part in ("named", "outside"):
+        if worth[part] > worth["article"] and worth[part] == max(worth.values()):
+            told = [dataclasses.replace(t, place="") if t.place == part else t for t in told]
+            break
+    marked = article(told)
+    labels = [("bad" if x in ("good", "near") and t.place in ("named", "outside") else x) for x, t in zip(first(told, marked), told, strict=True)]
+    out = []
+    for i, (x, t) in enumerate(zip(labels, told, strict=True)):
+        same = [j for j, u in enumerate(told) if side[u.place] == side[t.place] and labels[j] in ("good", "bad")]
+        b, a = max((j for j in same if j < i), default=None), min((j for j in same if j > i), default=None)
+        if x in ("good", "bad"):
+            out.append(x == "good")
+        elif a is None and b is None:
+            out.append(t.place == "inside" or t.place == "" and marked is not True)
+        elif a is not None and b is not None and labels[a] == labels[b]:
+            out.append(labels[a] == "good")
+        elif t.heading:
+            out.append(a is not None and labels[a] == "good")
+        elif x == "near":
+            out.append("good" in [labels[j] for j in (a, b) if j is not None])
+        elif a is None or b is None:
+            out.append(labels[b if a is None else a] == "good")
+        else:
+            out.append(labels[b if i - b <= a - i else a] == "good")
+    return out
+
+
+def _without_marks(page):
+    """A page whose elements no longer say what they are."""
+    page = re.sub(r'(</?)(?:article|nav|footer)\b', r"\1div", page or "")
+    return page.replace('<div class="ad">', "<div>")
+
+
+def test_passes_by_brute_force(spark, sf_dir):
+    rules, rng = html_extract.BlockRules(), random.Random(8)
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        for page in (row["html"], _without_marks(row["html"])):
+            found = [(b, b.text()) for b in html_extract.blocks(page or "")]
+            told = html_extract._tell([x for x in found if x[1]], rules)
+            assert html_extract.judged(told, rules) == _plain_passes(told, rules)
+    for _ in range(1500):
+        places = rng.choices(["inside", "", "named", "outside"], [rng.random() + 0.01 for _ in range(4)], k=rng.randint(0, 14))
+        told = [
+            html_extract._Told(rng.choice([5, 60, 80, 150, 260, 500, 900]), rng.choice([0, 0, 0.2, 0.5, 1.0]), rng.choice([0, 0.1, 0.2, 0.3, 0.5]), p, rng.random() < 0.1, rng.random() < 0.1)
+            for p in places
+        ]
+        assert html_extract.judged(told, rules) == _plain_passes(told, rules)
+
+
+def test_stop_words_decide_where_places_are_not_marked(spark, sf_dir):
+    """With marks, stop words change labels of pass one; without marks they change texts."""
+    rules, off = html_extract.BlockRules(), html_extract.BlockRules(low_stop_words=0.0, high_stop_words=0.0)
+    labels = texts = pages = 0
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        found = [(b, b.text()) for b in html_extract.blocks(row["html"] or "")]
+        told = html_extract._tell([x for x in found if x[1]], rules)
+        article = html_extract._article(told, rules)
+        labels += html_extract._first_pass(told, rules, article) != html_extract._first_pass(told, off, article)
+        bare = _without_marks(row["html"])
+        texts += html_extract.main_text(bare) != html_extract.main_text(bare, off)
+        pages += 1
+    assert labels > 0.05 * pages and texts > 0.05 * pages
+
+
+@pytest.mark.parametrize("name", ['class="tags-of-war"', 'class="legal news"', 'id="related-work"', 'class="sidebar"'])
+def test_prose_outweighs_a_name(name):
+    page = f"<body><nav><a href=1>Home</a></nav><div {name}><p>{LONG * 3}</p><p>{LONG * 2}</p></div><footer>© 2020</footer></body>"
+    assert html_extract.main_text(page) == f"{(LONG * 3).strip()}\n\n{(LONG * 2).strip()}"
+
+
+def test_names_of_parts_beside_the_article():
+    rest = f"<div><p>{LONG * 8}</p><p>{LONG * 5}</p></div>"
+    for name, stays in (("related-work", True), ("tags-of-war", True), ("related-posts", False), ("legal", False), ("comment-list", False), ("share-price", True), ("sidebar-left", False)):
+        text = html_extract.main_text(f'<body>{rest}<div class="{name}"><p>{LONG * 4}</p></div></body>')
+        assert text.count(LONG.strip()) == (17 if stays else 13), name
+
+
+@pytest.mark.parametrize("page", ["<a {}\"", "<a b=\"{}'", "<a {}>", '<p title="{}">x</p>'])
+def test_unclosed_quotes_take_linear_time(page):
+    for filling in ("<a ", '<a "> ', "<a b=' ", "b", "b ", 'c="'):
+        start = time.perf_counter()
+        html_extract.main_text(page.format(filling * 100_000))
+        assert time.perf_counter() - start < 4
+
+
+def test_quotes_in_tags():
+    assert html_extract.main_text('<p title="a > b">one</p>') == "one"
+    assert html_extract.main_text("<p don't>one</p><p>isn't</p>") == "one\n\nisn't"
+    assert html_extract.main_text('<p title="never closed>one</p><p>two</p>') == "one\n\ntwo"
