@@ -39,8 +39,10 @@ HOT_VALUES, HOT_KEYS = 12, 4
 NEXT = 3
 #: Listed values that a pair must share: of 16, a pair at 0.8 shares fewer with a chance below 1e-6.
 SHARED = 4
-#: Standard errors below the threshold at which an estimate still goes to the exact check.
-MARGIN = 4.5
+#: Components that share a shingle beyond which it is split among keys.
+CROWD = 1_000
+#: Standard errors below the threshold at which an estimate still goes to the exact check. See the README for what that loses.
+MARGIN = 6
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -357,19 +359,23 @@ def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("m"), F.min("v").alias("only"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("most")
     )
     bands = scratch_table(bands, "bands")
-    told = sides.select("root", "band", F.explode("hs").alias("s")).select("root", "band", F.col("s.h").alias("h")).distinct()
+    # A shingle of very many components is split: askers are dealt to parts, what they meet is in each part.
+    parts = F.floor(F.col("s.f") / CROWD).cast("int")
+    told = sides.select("root", "band", F.explode("hs").alias("s")).select("root", "band", F.col("s.h").alias("h"), parts.alias("parts")).distinct()
     told = told.withColumnRenamed("root", "of").join(bands.withColumnRenamed("root", "of"), ["of", "band"])
+    told = told.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
     asked = sides.where("open").select(
         F.col("v").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "c", F.expr("posexplode(slice(hs, 1, c - least + 1)) AS (i, s)")
     )
-    asked = asked.select("x", "nx", "rx", (F.col("c") - F.col("i")).alias("left"), F.col("s.h").alias("h"))
+    part = F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part")
+    asked = asked.select("x", "nx", "rx", (F.col("c") - F.col("i")).alias("left"), F.col("s.h").alias("h"), part)
     fits = (
         (F.col("of") != F.col("rx"))
         & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("nx"))
         & (F.lit(den) * F.col("nx") >= F.lit(num) * F.col("low"))
         & (F.lit(num + den) * F.least("left", "most") >= F.lit(num) * (F.col("low") + F.col("nx")))
     )
-    met = asked.join(told, "h").where(fits).select("x", "nx", "of", "band", "m", "only").distinct()
+    met = asked.join(told, ["h", "part"]).where(fits).select("x", "nx", "of", "band", "m", "only").distinct()
     met = scratch_table(met, "met")
     single = met.where("m = 1").select(F.col("x").alias("a"), F.col("only").alias("b"))
     many = met.where("m > 1")
