@@ -10,6 +10,8 @@ from siltworks.llm.scale import (
 )
 from siltworks.llm.text import ascii_lower
 
+#: Files that a range of hashes is written in: 2^26 rows of some 60 bytes are 16 files of 250 MB.
+RANGE_FILES = 16
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -30,8 +32,9 @@ def exact_dedup(
     parts, and its facts go back by ``attach_by_key``.
 
     A filter has sixteen bits a row and ``max_bits`` at most, as it is broadcast. More rows than that allows are
-    divided by ranges of their hash, each with a filter of its own, one after the other: rows are written once,
-    where they are, and each range is read by itself. So the share of rows that shuffle does not grow with the table.
+    divided by ranges of their hash, each with a filter of its own, one after the other: rows move to their range once, in
+    ``RANGE_FILES`` files each whatever the number of tasks, and each range is read by itself. So ``df`` should be slim:
+    ``drop_copies`` hands over ids and digests, never texts. The share of rows that are grouped does not grow with the table.
 
     Defined results: null texts equal empty ones; a null id loses to any other; rows that repeat the
     largest id of a group are the same document and all stay; texts of any length are digested whole; an empty
@@ -46,7 +49,9 @@ def exact_dedup(
     if ranges <= 1:
         return _dedup_range(rows, id_col, digest_col, n_rows, max_bits)
     whole = rows.withColumn("__range", F.pmod(F.shiftright("__h", 40), F.lit(ranges)).cast("int"))
-    parted = scratch_table(whole, "hash-ranges", by="__range")
+    # Rows of one digest are dealt by id too: a group of any size is in all files of its range.
+    spread = F.pmod(F.xxhash64(id_col, "__h"), F.lit(RANGE_FILES))
+    parted = scratch_table(whole.repartition(ranges * RANGE_FILES, "__range", spread), "hash-ranges", by="__range")
     path = scratch_path(df.sparkSession, "deduplicated")
     for k in range(ranges):
         out = _dedup_range(parted.where(F.col("__range") == k).drop("__range"), id_col, digest_col, n_rows // ranges, max_bits)
@@ -75,10 +80,23 @@ def dedup_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return exact_dedup(df.withColumn("text_sha256", text_digest(F.col(text_col))), id_col)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``dedup_texts`` keeps, with all their columns, whatever their names."""
-    own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
-    out = dedup_texts(own, f"__doc_{id_col}", f"__doc_{text_col}").where("kept")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` that ``dedup_texts`` keeps, with all their columns, whatever their names.
+
+    Copies are found on ids and digests. A Bloom filter of those that go (bounded) is broadcast: texts that it does not
+    let through stay where they are; the others shuffle to be told from what goes, by digest and id, so that a group of
+    any size is spread.
+    """
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns], text_digest(F.col(text_col)).alias("__digest"))
+    mine = F.col(f"__doc_{id_col}")
+    slim = scratch_table(own.select(mine.alias("id"), F.col("__digest").alias("digest")), "digests")
+    gone = exact_dedup(slim, "id", "digest", max_bits).where(~F.col("kept")).select("id", "digest").distinct()
+    gone = scratch_table(gone, "dropped-copies")
+    bits = min(filter_bits(max(1, gone.count())), max(MIN_FILTER_BITS, max_bits))
+    blocks = scratch_table(repeat_filter(gone.select(F.xxhash64("digest", "id").alias("h")), "h", bits, 1), "dropped-bits")
+    marked = may_repeat(own.withColumn("__h", F.xxhash64("__digest", mine)), "__h", blocks, bits, "__maybe")
+    told = marked.where("__maybe").join(gone, (F.col("__digest") == F.col("digest")) & mine.eqNullSafe(F.col("id")), "left_anti")
+    out = marked.where(~F.col("__maybe")).unionByName(told)
     return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
 
 

@@ -1,8 +1,11 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +283,73 @@ def test_shingle_hashes_tell_order_and_length():
     assert len(one) == 1 and one[0] != two[0]
     assert minhash.shingle_hashes("a b", 4, known)[0] != minhash.shingle_hashes("b a", 4, known)[0]
     assert len(minhash.shingle_hashes("a a a a a a", 4, known)) == 1
+
+
+def _newest(spark, name):
+    """Files of the scratch table of this name that was written last, by folder of its range."""
+    top = os.path.join(spark.conf.get("spark.checkpoint.dir"), "siltworks")
+    path = max((os.path.join(top, d) for d in os.listdir(top) if d.startswith(name)), key=os.path.getmtime)
+    return [os.path.join(d, f) for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")], path
+
+
+def test_ranges_are_few_files_and_hold_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_FILES", 2)
+    rows = [(i, f"text number {i % 700} " * 20, "e") for i in range(1000)] + [(5, "text number 5 " * 20, "e"), (None, "x", "f"), (None, "text number 6 " * 20, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(20)
+    out = sorted(map(str, map(tuple, exact_dedup.drop_copies(docs, max_bits=4_000).collect())))
+    files, path = _newest(spark, "hash-ranges")
+    ranges = [d for d in os.listdir(path) if d.startswith("__range=")]
+    assert len(ranges) == 5 and len(files) <= 2 * len(ranges)  # not one for each of 20 tasks
+    assert "text" not in spark.read.parquet(path).columns
+    best = {}
+    for i, t, _ in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert out == sorted(str(r) for r in rows if (-1 if r[0] is None else r[0]) == best[r[1]])
+
+
+def test_texts_without_copies_do_not_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 9) for i in range(500)], "doc_id long, text string")
+    out = exact_dedup.drop_copies(docs)
+    assert out.count() == 500 and spark.read.parquet(_newest(spark, "dropped-copies")[1]).count() == 0
+    # of the two branches only the one behind the filter, here empty, joins
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+
+
+def test_margin_of_the_union_sketch():
+    """The chance that the filter loses a pair at exactly 0.8, by the hypergeometric law, stays below the stated 3e-8."""
+    least = 0.8 - minhash.MARGIN * math.sqrt(0.8 * 0.2 / minhash.SKETCH)
+    most = math.ceil(least * minhash.SKETCH) - 1
+    log_c = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for union in (500, 1000, 5000, 50_000, 10**6):
+        common, k = int(0.8 * union), minhash.SKETCH
+        lost = sum(math.exp(log_c(common, i) + log_c(union - common, k - i) - log_c(union, k)) for i in range(max(0, k - union + common), most + 1))
+        assert lost < 3e-8
+    rng, lost = np.random.default_rng(2), 0
+    for _ in range(20_000):  # and by drawing sketches
+        lost += int(rng.hypergeometric(4000, 1000, 128)) <= most
+    assert lost == 0
+
+
+def test_form_letters_that_share_one_passage(spark, monkeypatch):
+    """A shingle of every letter of a crowd is split among keys; classes equal brute force."""
+    monkeypatch.setattr(minhash, "CROWD", 40)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([18, 19, 25]))])) for i in range(180)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_dedup_report(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in sets}
