@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.operators.prefix import group_quantiles, with_running
+from siltworks.operators.recurrence import blended_frames
 from siltworks.operators.skew import attach_by_key
 from siltworks.scratch import scratch_table
 from siltworks.ship import ship_code
@@ -72,9 +73,13 @@ def recurrent(df: DataFrame, key: str, order: str, value: str, step: Callable[[f
 
 
 def blended(df: DataFrame, key: str, order: str, value: str, low: float, high: float, alpha: float) -> DataFrame:
-    """``key, order, blended``: exponential blend of each value with the history, which is clamped before each step."""
-    step = lambda h, x: x if h is None else min(max(h, low), high) * (1 - alpha) + x * alpha
-    return recurrent(df, key, order, value, step, "blended")
+    """``key, order, blended``: exponential blend of each value with the history, which is clamped before each step.
+
+    Frames of one pixel: see ``blended_frames``. A history of any length is the work of all tasks.
+    """
+    one = F.when(F.col(value).isNotNull(), F.array(F.col(value).cast("double")))
+    out = blended_frames(df.select(key, order, one.alias("__x")), key, order, "__x", alpha, low, high)
+    return out.select(key, order, F.get("state", F.lit(0)).alias("blended"))
 
 
 def reset_segments(df: DataFrame, keys: Sequence[str], order: str, reset: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.operators import features, resample
+from siltworks.operators import features, recurrence, resample
 from siltworks.plans.registry import duck_draw, query
 from siltworks.scratch import scratch_table
 from siltworks.ship import ship_code
@@ -67,3 +67,20 @@ def resampled_windows(spark, sf_dir):
     w = resample.resampled_windows(e, "clip", "at", 4, 8, 4, (0.5, 1.0), 8, "area")
     marked = F.aggregate(F.transform("image", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return w.select("clip", "frame", "height", "y", "x", F.round(marked, 6).alias("marked"))
+
+
+@query(
+    "blended_maps", "T3 T5",
+    """WITH RECURSIVE v AS (SELECT vec_id // 500 AS k, vec_id % 500 AS o, list_transform(embedding, lambda z: z::DOUBLE) AS x, [(vec_id % 3) - 1, (vec_id // 3) % 3 - 1] AS m FROM embeddings),
+    s(k, o, h) AS (SELECT k, o, x FROM v WHERE o = 0 UNION ALL
+      SELECT v.k, v.o, list_transform(range(0, 64), lambda i: 0.7::DOUBLE * least(greatest(s.h[least(greatest(i // 8 + v.m[2], 0), 7) * 8 + least(greatest(i % 8 + v.m[1], 0), 7) + 1], -0.2::DOUBLE), 0.2::DOUBLE) + 0.3::DOUBLE * v.x[i + 1]) FROM s JOIN v ON v.k = s.k AND v.o = s.o + 1)
+    SELECT k * 500 + o AS vec_id, round(list_sum(list_transform(range(0, 64), lambda i: h[i + 1] * (i + 1))), 6) AS marked FROM s""",
+)
+def blended_maps(spark, sf_dir):
+    """Vectors as 8 x 8 frames of clips of 500, each moved by up to a pixel, blended into their clamped history."""
+    k, step = F.col("vec_id"), lambda i: (F.pmod(F.floor(F.col("vec_id") / i), F.lit(3)) - 1).cast("double")
+    motion = F.flatten(F.array_repeat(F.array(step(1), step(3)), 64))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 500).alias("k"), (k % 500).alias("o"), "embedding", motion.alias("m"))
+    b = recurrence.blended_frames(e, "k", "o", "embedding", 0.3, -0.2, 0.2, motion="m", width=8)
+    marked = F.aggregate(F.transform("state", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return b.select((F.col("k") * 500 + F.col("o")).alias("vec_id"), F.round(marked, 6).alias("marked"))
