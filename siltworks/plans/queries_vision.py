@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import features, recurrence, resample
 from siltworks.plans.registry import duck_draw, query
-from siltworks.scratch import scratch_table
+from siltworks.scratch import scratch_path, scratch_table
 from siltworks.ship import ship_code
 from siltworks.sources.tables import table
+from siltworks.streaming import jobs
 
 #: Side of the pictures that vectors are shown as, and the frames of a shot, which show one picture.
 SIDE, SHOT = 96, 4
@@ -84,3 +85,35 @@ def blended_maps(spark, sf_dir):
     b = recurrence.blended_frames(e, "k", "o", "embedding", 0.3, -0.2, 0.2, motion="m", width=8)
     marked = F.aggregate(F.transform("state", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return b.select((F.col("k") * 500 + F.col("o")).alias("vec_id"), F.round(marked, 6).alias("marked"))
+
+
+@query(
+    "job_stream", "T1",
+    """WITH e AS (SELECT user_id::VARCHAR AS job, event_id, event_id % 5 AS kind, value FROM events),
+    l AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY event_id DESC) AS back FROM e)
+    SELECT job, count(*) AS n_lines, count(*) FILTER (kind = 2) AS n_bad, count(*) FILTER (kind = 1) AS n_rounds, round(arg_max(value, event_id) FILTER (kind = 0), 6) AS progress,
+      arg_max(event_id // 10, event_id) FILTER (kind = 1) AS round, round(arg_max(value, event_id) FILTER (kind = 1), 6) AS score, bool_or(kind = 4 AND event_id % 7 = 0) AS done,
+      string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) FILTER (back <= 40) AS tail FROM l GROUP BY job""",
+)
+def job_stream(spark, sf_dir):
+    """Events as lines of one job a user, in files; two runs of the stream, the second over files that came after the first ended."""
+    k = F.col("event_id")
+    bodies = {
+        0: F.concat(F.lit("PROGRESS "), F.to_json(F.struct(F.col("value").alias("progress")))),
+        1: F.concat(F.lit("ROUND "), F.to_json(F.struct(F.floor(k / 10).cast("long").alias("round"), F.col("value").alias("score")))),
+        2: F.lit("ROUND {bad"),
+        3: F.concat(F.lit("text of step "), k),
+        4: F.when(k % 7 == 0, F.concat(F.lit("DONE "), F.to_json(F.struct(k.alias("step"))))).otherwise(F.lit("LOG {}")),
+    }
+    line = F.coalesce(*[F.when(k % 5 == i, body) for i, body in bodies.items()])
+    events = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "user_id", "event_id", line).alias("value"))
+    at = {name: scratch_path(spark, f"jobs-{name}") for name in ("lines", "checkpoint", "states")}
+    half = events.agg(F.avg("event_id")).first()[0] or 0
+    for part in (events.where(k <= half), events.where(k > half)):
+        part.repartitionByRange(4, "event_id").select("value").write.mode("append").text(at["lines"])
+        jobs.run_jobs(spark, at["lines"], at["checkpoint"], at["states"])
+    s = jobs.latest_states(spark, at["states"])
+    return s.select(
+        "job", "n_lines", "n_bad", "n_rounds", F.round("progress", 6).alias("progress"), "round", F.round("score", 6).alias("score"), "done",
+        F.array_join(F.col("tail_at").cast("array<string>"), " ").alias("tail"),
+    )
