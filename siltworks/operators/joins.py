@@ -8,7 +8,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.hashing import hamming
@@ -81,13 +82,14 @@ def expand_copies(edges: DataFrame, df: DataFrame, key: str, bits: str) -> DataF
     return ends.unionByName(inside)
 
 
-BLOCK_SCHEMA = "cell int, n int, keys binary, groups array<string>, vectors binary"
+BLOCK_SCHEMA = "cell int, block bigint, n int, keys binary, groups array<string>, vectors binary, reach double, turn double, least double, most double"
 
 
-def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str, cells: Cells | None = None, probes: int = 1) -> DataFrame:
-    """Vectors packed in blocks of bytes, where they lie: nothing shuffles. With ``cells`` a block has one cell's vectors.
+def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str, cells: Cells, probes: int = 1) -> DataFrame:
+    """Vectors packed in blocks of bytes, where they lie: nothing shuffles. A block has one cell's vectors.
 
-    With ``probes`` a vector is in the blocks of so many cells, the nearest ones.
+    With ``probes`` a vector is in the blocks of so many cells, the nearest ones. ``reach`` and ``turn`` are the largest
+    distance and angle of a block's vectors from its cell's centre, ``least`` and ``most`` their lengths.
     """
     ship_code(df.sparkSession)
     slim = df.where(F.col(vector).isNotNull()).select(
@@ -97,15 +99,19 @@ def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
+        number = TaskContext.get().partitionId() << 32
 
         def block(cell: int) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             ks, gs, vs = zip(*held.pop(cell), strict=True)
             keys, groups, vectors = np.concatenate(ks), [x for one in gs for x in one], np.concatenate(vs)
             columns = [
-                pa.array([cell], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([keys.tobytes()], pa.binary()),
+                pa.array([cell], pa.int32()), pa.array([number], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([keys.tobytes()], pa.binary()),
                 pa.array([groups], pa.list_(pa.string())), pa.array([vectors.tobytes()], pa.binary()),
+                *[pa.array([x], pa.float64()) for x in cells.around(cell, vectors)],
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["cell", "n", "keys", "groups", "vectors"])
+            return pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
             if not len(batch):
@@ -113,7 +119,7 @@ def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str,
             keys, groups = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
             lists = batch.column(2)
             vectors = lists.flatten().to_numpy().reshape(len(batch), -1).astype(np.float32)
-            where = cells.nearest(vectors, probes) if cells else np.zeros((len(batch), 1), int)
+            where = cells.nearest(vectors, probes)
             for cell in np.unique(where):
                 rows = (where == cell).any(1)
                 held.setdefault(int(cell), []).append((keys[rows], groups[rows].tolist(), vectors[rows]))
@@ -126,14 +132,34 @@ def _packed(df: DataFrame, key: str, vector: str, group: str | None, name: str,
 
 
 class Cells:
-    """Centres of an inverted file over unit vectors, fitted on a bounded sample."""
+    """Centres that vectors are dealt to, each to its nearest, fitted on a bounded sample."""
 
     def __init__(self, centres: np.ndarray):
         self.centres = centres
 
     def nearest(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        if vectors.shape[1] != self.centres.shape[1]:  # fitted on nothing
+            return np.zeros((len(vectors), 1), int)
         return np.argsort(-(vectors @ self.centres.T), axis=1, kind="stable")[:, :probes]
 
+    def around(self, cell: int, vectors: np.ndarray) -> tuple[float, float, float, float]:
+        """Largest distance and angle of vectors from a centre, their least and largest length."""
+        x, lengths = vectors.astype(float), np.linalg.norm(vectors.astype(float), axis=1)
+        if vectors.shape[1] != self.centres.shape[1]:
+            return float(lengths.max()), math.pi, float(lengths.min()), float(lengths.max())
+        c = self.centres[cell].astype(float)
+        size = float(np.linalg.norm(c))
+        cosines = np.where(lengths > 0, x @ c / np.maximum(lengths * size, 1e-300), -1.0)
+        return float(np.linalg.norm(x - c, axis=1).max()), float(np.arccos(np.clip(cosines, -1, 1)).max()), float(lengths.min()), float(lengths.max())
+
+    def pairs(self, spark: SparkSession) -> DataFrame:
+        """``a_cell, b_cell, dot, angle, a_size, b_size`` of all pairs of centres: as many rows as the square of the cells' bounded number."""
+        c = self.centres.astype(float)
+        sizes, dots = np.linalg.norm(c, axis=1), c @ c.T
+        angles = np.arccos(np.clip(dots / np.maximum(np.outer(sizes, sizes), 1e-300), -1, 1))
+        rows = [(i, j, float(dots[i, j]), float(angles[i, j]), float(sizes[i]), float(sizes[j])) for i in range(len(c)) for j in range(len(c))]
+        return spark.createDataFrame(rows, "a_cell int, b_cell int, dot double, angle double, a_size double, b_size double")
+
 
 def fit_cells(df: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 3) -> Cells:
     """Centres by spherical k-means on at most ``sample`` vectors, those with the least hash of key and seed.
@@ -154,7 +180,7 @@ def fit_cells(df: DataFrame, key: str, vector: str, cells: int, sample: int = 20
 
 
 def _scored(keep):
-    """Score all vectors of two packed blocks and let ``keep`` choose cells of the matrix."""
+    """Score all vectors of two packed blocks and let ``keep`` choose cells of the matrix; it is told the first block and if both are of one cell."""
 
     def unpack(batch: pa.RecordBatch, at: int, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = np.frombuffer(batch.column(at)[row].as_py(), np.int64)
@@ -166,36 +192,78 @@ def _scored(keep):
             for row in range(len(batch)):
                 ka, ga, a = unpack(batch, 0, row)
                 kb, gb, b = unpack(batch, 3, row)
-                yield keep(a @ b.T, ka, kb, ga, gb)
+                yield keep(a @ b.T, ka, kb, ga, gb, batch.column(6)[row].as_py(), batch.column(7)[row].as_py())
 
     return run
 
 
-def _meet(left: DataFrame, right: DataFrame, cells: bool) -> DataFrame:
-    """Pairs of blocks: of the same cell, or all of them. Blocks of the right side are what travels."""
+#: Centres of an exact search, and blocks of one cell that one key of its join holds.
+PIVOTS, CELL_BLOCKS = 64, 64
+_MARKS = ("reach", "turn", "least", "most")
+
+
+def _largest(a: str, b: str) -> Column:
+    """The largest dot product that vectors of two blocks can have, from distances and angles to their centres.
+
+    By the triangle inequality of lengths, and of angles; the smaller of both, and a little for rounding.
+    """
+    of = lambda side, name: F.col(f"{side}_{name}")
+    flat = F.col("dot") + F.col("a_size") * of(b, "reach") + F.col("b_size") * of(a, "reach") + of(a, "reach") * of(b, "reach")
+    turned = F.cos(F.greatest(F.lit(0.0), F.col("angle") - of(a, "turn") - of(b, "turn")))
+    round_ = turned * F.when(turned >= 0, of(a, "most") * of(b, "most")).otherwise(of(a, "least") * of(b, "least"))
+    return F.least(flat, round_) + 1e-5 * (1 + of(a, "most") * of(b, "most"))
+
+
+def meeting_blocks(left: DataFrame, right: DataFrame, cells: Cells, floor: Column, where: Column | None = None) -> DataFrame:
+    """Pairs of blocks that can hold a dot product of ``floor``, an expression over the left block's columns (``a_...``).
+
+    First cells meet cells, by the extremes of their blocks: a table as large as the square of the cells' number, which is
+    broadcast. A left block then goes to the cells that can matter to it, and there meets blocks of its own chance only.
+    A cell with many blocks is split among keys.
+    """
+    every = ("block", "n", "keys", "groups", "vectors", *_MARKS)
+    extremes = lambda side: [(F.min if m == "least" else F.max)(m).alias(f"{side}_{m}") for m in _MARKS]
+    far = right.groupBy(F.col("cell").alias("b_cell")).agg(*extremes("c"), F.ceil(F.count(F.lit(1)) / CELL_BLOCKS).cast("int").alias("parts"))
+    met = scratch_table(cells.pairs(left.sparkSession).join(far, "b_cell"), "cell-pairs")
+    one = left.select(F.col("cell").alias("a_cell"), *[F.col(c).alias(f"a_{c}") for c in every], *[c for c in left.columns if c not in ("cell", *every)])
+    one = one.join(F.broadcast(met), "a_cell").where(_largest("a", "c") >= floor)  # at most PIVOTS squared rows
+    one = one.where(where) if where is not None else one
+    one = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    two = right.join(F.broadcast(far.select(F.col("b_cell").alias("cell"), "parts")), "cell")  # a row a cell
+    two = two.select(F.col("cell").alias("b_cell"), F.pmod(F.xxhash64("block"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"b_{c}") for c in every])
+    return one.join(two, ["b_cell", "part"]).where(_largest("a", "b") >= floor)
+
+
+def _columns(met: DataFrame) -> DataFrame:
+    names = [f"{side}_{c}" for side in ("a", "b") for c in ("keys", "groups", "vectors")]
+    return met.select(*names, "a_block", (F.col("a_cell") == F.col("b_cell")).alias("own"))
+
+
+def _same_cell(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of blocks of the same cell."""
     names = ("keys", "groups", "vectors")
-    one = left.select("cell", *[F.col(c).alias(f"a_{c}") for c in names])
-    two = right.select("cell", *[F.col(c).alias(f"b_{c}") for c in names])
-    both = one.join(two, "cell") if cells else one.drop("cell").crossJoin(two.drop("cell"))
-    return both.select(*[f"a_{c}" for c in names], *[f"b_{c}" for c in names])
+    one = left.select("cell", F.col("block").alias("a_block"), *[F.col(c).alias(f"a_{c}") for c in names])
+    both = one.join(right.select("cell", *[F.col(c).alias(f"b_{c}") for c in names]), "cell")
+    return both.select(*[f"{side}_{c}" for side in ("a", "b") for c in names], "a_block", F.lit(True).alias("own"))
 
 
 def neighbours(
-    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, group: str | None = None, cells: int = 0, probes: int = 8
+    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, group: str | None = None, cells: int = 0, probes: int = 8, pivots: int = PIVOTS
 ) -> DataFrame:
     """The ``k`` reference vectors with the largest dot product for each query, never of its own group.
 
-    ``query, ref, similarity, rank`` rows; fewer where fewer are eligible; ties go to the lesser key. Without ``cells``
-    the search is exact: blocks of queries meet blocks of the reference, each pair of blocks is one matrix product and
-    returns ``k`` rows a query. That is work in proportion to both tables. With ``cells`` the reference is divided
-    among so many cells (``fit_cells``) and a query meets those of its ``probes`` nearest ones only; more probes
+    ``query, ref, similarity, rank`` rows; fewer where fewer are eligible; ties go to the lesser key. Vectors are dealt to the
+    nearest of some centres. Without ``cells`` the search is exact: queries ask their own cell first; the k-th
+    result that all queries of a block have found is the least that another block must be able to hold to be asked
+    (``meeting_blocks``). Clustered vectors leave few pairs of blocks; vectors without structure all of them. With ``cells`` the
+    reference is divided among so many and a query meets those of its ``probes`` nearest ones only; more probes
     find more, all of them everything. Null vectors neither ask nor answer; a null group is no group.
     """
-    fitted = fit_cells(reference, key, vector, cells) if cells else None
-    q = _packed(queries, key, vector, group, "query-blocks", fitted, probes)
+    fitted = fit_cells(reference, key, vector, cells or pivots)
+    q = _packed(queries, key, vector, group, "query-blocks", fitted, probes if cells else 1)
     r = _packed(reference, key, vector, group, "reference-blocks", fitted, 1)
 
-    def keep(sims, ka, kb, ga, gb):
+    def keep(sims, ka, kb, ga, gb, block, own):
         if group:
             same = (ga[:, None] == gb[None, :]) & np.array([g is not None for g in ga])[:, None]
             sims = np.where(same, -np.inf, sims)
@@ -203,25 +271,39 @@ def neighbours(
         rows, cols = np.repeat(np.arange(len(ka)), order.shape[1]), order.ravel()
         found = np.isfinite(sims[rows, cols])
         rows, cols = rows[found], cols[found]
-        return pa.RecordBatch.from_arrays([pa.array(ka[rows]), pa.array(kb[cols]), pa.array(sims[rows, cols])], names=["query", "ref", "similarity"])
-
-    found = _meet(q, r, bool(cells)).mapInArrow(_scored(keep), "query bigint, ref bigint, similarity double")
+        columns = [pa.array(np.full(len(rows), block)), pa.array(ka[rows]), pa.array(rows), pa.array(kb[cols]), pa.array(sims[rows, cols])]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "query", "at", "ref", "similarity"])
+
+    scored = lambda met: met.mapInArrow(_scored(keep), "block bigint, query bigint, at bigint, ref bigint, similarity double")
+    found = scored(_same_cell(q, r))
+    if not cells:
+        found = scratch_table(found, "own-cell")
+        line = Window.partitionBy("block", "at").orderBy(F.desc("similarity"), "ref")
+        kth = found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") == k)
+        floors = kth.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("similarity").alias("kth"))
+        q = q.join(floors, "block", "left").withColumn("floor", F.when(F.col("m") == F.col("n"), F.col("kth")).otherwise(float("-inf"))).drop("m", "kth")
+        found = found.unionByName(scored(_columns(meeting_blocks(q, r, fitted, F.col("floor"), F.col("a_cell") != F.col("b_cell")))))
     line = Window.partitionBy("query").orderBy(F.desc("similarity"), "ref")
-    return found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+    return found.select("query", "ref", "similarity").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
 
 
-def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, cells: int = 0, probes: int = 8) -> DataFrame:
-    """All pairs ``a < b`` with a dot product of at least ``threshold``, exactly, by blocks; see ``neighbours`` for ``cells``."""
-    fitted = fit_cells(df, key, vector, cells) if cells else None
-    left = _packed(df, key, vector, None, "vector-blocks", fitted, probes)
+def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, cells: int = 0, probes: int = 8, pivots: int = PIVOTS) -> DataFrame:
+    """All pairs ``a < b`` with a dot product of at least ``threshold``: exactly, by the blocks that can hold one; see ``neighbours`` for ``cells``."""
+    fitted = fit_cells(df, key, vector, cells or pivots)
+    left = _packed(df, key, vector, None, "vector-blocks", fitted, probes if cells else 1)
     right = _packed(df, key, vector, None, "vector-blocks", fitted, 1) if cells else left
 
-    def keep(sims, ka, kb, ga, gb):
-        i, j = np.nonzero((sims >= threshold) & ((ka[:, None] < kb[None, :]) if not cells else (ka[:, None] != kb[None, :])))
+    def keep(sims, ka, kb, ga, gb, block, own):
+        once = (ka[:, None] < kb[None, :]) if own and not cells else (ka[:, None] != kb[None, :])
+        i, j = np.nonzero((sims >= threshold) & once)
         a, b = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sims[i, j])], names=["a", "b", "similarity"])
 
-    found = _meet(left, right, bool(cells)).mapInArrow(_scored(keep), "a bigint, b bigint, similarity double")
+    if cells:
+        met = _same_cell(left, right)
+    else:
+        met = _columns(meeting_blocks(left, right, fitted, F.lit(float(threshold)), F.col("a_cell") <= F.col("b_cell")))
+    found = met.mapInArrow(_scored(keep), "a bigint, b bigint, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")) if cells else found
 
 
