@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.functions import hashing, vectors
-from siltworks.operators import arrays, duplicates, images, joins, media
+from siltworks.operators import arrays, duplicates, features, images, joins, media
 from siltworks.plans.queries_curation import LIMITS
 from siltworks.plans.queries_sources import DUCK_FILES, _files
+from siltworks.plans.queries_vision import SIDE, pictures
 from siltworks.plans.registry import duck_draw, query
+from siltworks.scratch import scratch_table
 from siltworks.sources.tables import table
 
 # Images, losses, costs ---------------------------------------------------------------------------------------------
@@ -276,12 +278,16 @@ _SIGNS2 = "list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[
 _FEATURES = f"(SELECT vec_id AS k, vec_id // 3 AS grp, embedding, {_SIGNS} AS ph, {_SIGNS2} AS dh, vec_id % 7 <> 0 AS textured, vec_id % 11 <> 0 AS active FROM embeddings)"
 
 
-def _features(spark, sf_dir):
+def _frame_columns():
     """Vectors as key frames: groups of three, two hashes by signs, some without texture, some inactive."""
-    return table(spark, sf_dir, "embeddings").select(
+    return [
         F.col("vec_id").alias("k"), F.floor(F.col("vec_id") / 3).alias("grp"), "embedding", vectors.sign_bits(F.col("embedding"), 0, 32).alias("ph"),
         vectors.sign_bits(F.col("embedding"), 32, 32).alias("dh"), (F.col("vec_id") % 7 != 0).alias("textured"), (F.col("vec_id") % 11 != 0).alias("active"),
-    )
+    ]
+
+
+def _features(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(*_frame_columns())
 
 
 @query(
@@ -316,16 +322,26 @@ def calibration_scores(spark, sf_dir):
     return scored.select("kind", "a", "b", "cosine", "hamming")
 
 
-@query("curation_pipeline", "R15 R10")
+def _shot_frames(spark, sf_dir):
+    """``_features`` of vectors as shots of four frames, whose last is a remake of the one before: its embedding leans to it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    last = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("last")).where(F.col("vec_id") % 4 == 3)
+    mixed = F.zip_with("embedding", "last", lambda x, y: 0.35 * y + 0.94 * x)
+    e = e.join(last, "vec_id", "left").select("vec_id", F.coalesce(mixed, "embedding").cast("array<float>").alias("embedding"))
+    return e.select(*_frame_columns())
+
+
+@query("curation_pipeline", "R15 R10 D7 D8 J10")
 def curation_pipeline(spark, sf_dir):
-    """From key frames to a leakage-safe split in one go: no SQL, tested by brute force."""
-    frames = _features(spark, sf_dir)
+    """From key frames to a leakage-safe split in one go, pairs verified by their pictures' features. No SQL, tested by brute force."""
+    frames = _shot_frames(spark, sf_dir)
     std = F.when(F.col("k") % 13 == 0, 3.0).otherwise(40.0)
     frames = frames.select(
         "k", "grp", "embedding", "ph", "dh", "textured", F.when(F.col("k") % 29 == 0, "test").otherwise("train").alias("role"), F.lit("still").alias("kind"),
         F.lit(True).alias("ok"), F.lit(512).alias("width"), F.lit(512).alias("height"), std.alias("std"), F.lit(0.0).alias("letterbox"), F.lit(50.0).alias("sharpness"),
     )
-    cells = lambda pairs: pairs.withColumn("cells", F.lit(0))
+    found = scratch_table(features.with_local_features(pictures(spark, sf_dir), "content"), "picture-features")
+    cells = lambda pairs: features.verified_by_features(pairs, found, "k", float(SIDE))
     limits = LIMITS | {"t_strong": 0.45, "t_ret": 0.3, "h_least": 4, "h_cand": 8}
     return duplicates.curate(frames, limits, cells, 0.2, 7, k=4, per_item=0.5, within=32).select("idx", "split", "reason", "component")
 
