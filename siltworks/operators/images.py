@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.operators.arrays import backward_warp
+from siltworks.operators.jpeg import decode_jpeg
 from siltworks.operators.media import GRID
 from siltworks.ship import ship_code
 
@@ -95,6 +96,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def decode_image(data: bytes) -> np.ndarray:
+    """A PNG, baseline JPEG or binary map by how it begins; raises ``ValueError`` for what it cannot read."""
+    if data.startswith(b"\xff\xd8"):
+        return decode_jpeg(data)
     return decode_png(data) if data.startswith(PNG_TAG) else decode_netpbm(data)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.operators import features, recurrence, resample
+from siltworks.operators import degrade, features, images, jpeg, media, recurrence, resample
 from siltworks.plans.registry import duck_draw, query
 from siltworks.scratch import scratch_path, scratch_table
 from siltworks.ship import ship_code
@@ -117,3 +117,88 @@ def job_stream(spark, sf_dir):
         "job", "n_lines", "n_bad", "n_rounds", F.round("progress", 6).alias("progress"), "round", F.round("score", 6).alias("score"), "done",
         F.array_join(F.col("tail_at").cast("array<string>"), " ").alias("tail"),
     )
+
+
+@query(
+    "jpeg_images", "S17 D2",
+    """SELECT vec_id, CASE WHEN vec_id % 10 <> 9 THEN 24 END AS width, CASE WHEN vec_id % 10 <> 9 THEN 24 END AS height, CASE WHEN vec_id % 10 <> 9 THEN true END AS close, vec_id % 10 = 9 AS damaged,
+      CASE WHEN vec_id % 10 <> 9 THEN true END AS mean_close FROM embeddings""",
+)
+def jpeg_images(spark, sf_dir):
+    """Vectors as grey JPEG files of nine blocks, every tenth cut short, decoded again: within one grey level of what was encoded."""
+    ship_code(spark)
+
+    @F.pandas_udf("binary")
+    def encoded(vector: pd.Series, k: pd.Series) -> pd.Series:
+        grey = [np.kron(np.minimum(255, np.floor(np.abs(np.asarray(v, float)) * 400)).reshape(8, 8), np.ones((3, 3))) for v in vector]
+        files = [jpeg.encode_jpeg(g) for g in grey]
+        return pd.Series([f[: len(f) // 2] if i % 10 == 9 else f for f, i in zip(files, k, strict=True)])
+
+    pixel = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.floor(F.abs(x.cast("double")) * 400)))
+    place = F.sequence(F.lit(0), F.lit(575))
+    grey = F.transform(place, lambda i: F.get("pixel", (F.floor(F.floor(i / 24) / 3) * 8 + F.floor(F.pmod(i, F.lit(24)) / 3)).cast("int")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", encoded("embedding", "vec_id").alias("content"), pixel.alias("pixel"))
+    found = images.decode_images(e.select(F.col("vec_id").cast("string").alias("path"), "content"), 24)
+    both = found.join(e.select(F.col("vec_id").cast("string").alias("path"), grey.alias("grey")), "path")
+    off = F.array_max(F.zip_with("thumb", "grey", lambda a, b: F.abs(a - b)))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / 576
+    return both.select(
+        F.col("path").cast("long").alias("vec_id"), "width", "height", (off <= 1.0).alias("close"), F.col("error").isNotNull().alias("damaged"),
+        (F.abs(mean("thumb") - mean("grey")) < 0.2).alias("mean_close"),
+    )
+
+
+@query("degraded_maps", "G7")
+def degraded_maps(spark, sf_dir):
+    """Vectors as 8 x 8 frames of clips of eight, shown as a video of half the resolution. No SQL, tested by plain loops."""
+    image = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.abs(x.cast("double")) * 2))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("clip"), F.col("vec_id").alias("frame"), image.alias("image"))
+    return degrade.degraded_frames(e, "clip", "frame", "image", 8, 2, 9, step=6.0)
+
+
+@query(
+    "video_inputs", "G7 F13",
+    f"""WITH s AS (SELECT doc_id, doc_id % 3 AS kind, doc_id % 2 = 0 AS has_depth, doc_id / 1000.0::DOUBLE AS jitter, (doc_id % 5) / 4.0::DOUBLE AS q, {duck_draw("'4/video/' || doc_id")} < 0.4 AS v, {duck_draw("'4/motion/' || doc_id")} < 0.3 AS m FROM documents)
+    SELECT doc_id, CASE WHEN v THEN 0 ELSE kind END AS kind, has_depth AND NOT v AS has_depth, CASE WHEN v THEN 0.0::DOUBLE ELSE jitter END AS jitter,
+      CASE WHEN v AND m THEN least(q, 0.5::DOUBLE) WHEN v THEN 0.0 ELSE q END AS mv_quality, v AS is_video FROM s""",
+)
+def video_inputs(spark, sf_dir):
+    k = F.col("doc_id")
+    s = table(spark, sf_dir, "documents").select(
+        "doc_id", (k % 3).alias("kind"), (k % 2 == 0).alias("has_depth"), (k / 1000.0).alias("jitter"), ((k % 5) / 4.0).alias("mv_quality")
+    )
+    return degrade.video_inputs(s, "doc_id", 4, 0.4, 0.3)
+
+
+@query(
+    "temporal_losses", "M12 M8",
+    """WITH v AS (SELECT vec_id // 20 AS clip, vec_id % 20 AS frame, list_transform(embedding, lambda z: z::DOUBLE) AS o, list_transform(list_reverse(embedding), lambda z: z::DOUBLE) AS r FROM embeddings),
+    p AS (SELECT a.clip, a.frame, list_transform(range(0, 64), lambda i: abs((a.o[i + 1] - b.o[least(greatest(i // 8 + (a.frame // 3) % 3 - 1, 0), 7) * 8 + least(greatest(i % 8 + a.frame % 3 - 1, 0), 7) + 1])
+      - (a.r[i + 1] - b.r[least(greatest(i // 8 + (a.frame // 3) % 3 - 1, 0), 7) * 8 + least(greatest(i % 8 + a.frame % 3 - 1, 0), 7) + 1])) * ((i + a.frame) % 4 <> 0)::INT) AS gap FROM v a JOIN v b ON a.clip = b.clip AND a.frame = b.frame + 1)
+    SELECT clip, frame, round(list_sum(gap) / 48, 6) AS temporal FROM p""",
+)
+def temporal_losses(spark, sf_dir):
+    """Vectors as frames of clips of twenty, moved by up to a pixel; the output is the vector, the target its reverse."""
+    k, place = F.col("vec_id"), F.sequence(F.lit(0), F.lit(63))
+    frame = k % 20
+    motion = F.flatten(F.array_repeat(F.array((frame % 3 - 1).cast("double"), (F.pmod(F.floor(frame / 3), F.lit(3)) - 1).cast("double")), 64))
+    seen = F.transform(place, lambda i: F.when((i + frame) % 4 != 0, 1.0).otherwise(0.0))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 20).alias("clip"), frame.alias("frame"), F.col("embedding").alias("out"), F.reverse("embedding").alias("ref"), motion.alias("motion"), seen.alias("seen"))
+    t = degrade.with_temporal_loss(degrade.neighbouring(e, "clip", "frame", ["out", "ref"]), "out", "ref", "motion", "seen", 8)
+    return t.select("clip", "frame", F.round("temporal", 6).alias("temporal"))
+
+
+_WAVE = "list_sum(list_transform(range(0, 64), lambda i: {x}[i + 1]::DOUBLE * {f}(2 * pi() * ((i // 8) * (k // 5) + (i % 8) * (k % 5)) / 8))) / 8"
+
+
+@query(
+    "spectrum_losses", "M12",
+    f"""SELECT vec_id, round(list_sum(list_transform(range(0, 40), lambda k: abs(sqrt(pow({_WAVE.format(x="embedding", f="cos")}, 2) + pow({_WAVE.format(x="embedding", f="sin")}, 2))
+      - sqrt(pow({_WAVE.format(x="other", f="cos")}, 2) + pow({_WAVE.format(x="other", f="sin")}, 2))))) / 40, 6) AS spectrum FROM (SELECT vec_id, embedding,
+      list_transform(range(0, 64), lambda i: embedding[(i * 5) % 64 + 1]) AS other FROM embeddings)""",
+)
+def spectrum_losses(spark, sf_dir):
+    """Vectors as 8 x 8 images against their own pixels in another order."""
+    other = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", F.pmod(i * 5, F.lit(64))))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), other.cast("array<double>").alias("b"))
+    return media.with_losses(e, "a", "b", 8).select("vec_id", F.round("spectrum", 6).alias("spectrum"))
