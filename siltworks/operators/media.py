@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.operators.arrays import ghost_rate, interpolation_error, masked_mean, psnr, thumb_statistics
+from siltworks.operators.prefix import with_running
 from siltworks.ship import ship_code
 
 #: Cells along a side of the grid that matches are counted on.
@@ -57,11 +58,13 @@ def window_cache(plans: DataFrame, capacity: int, order: list[Column], over: flo
     """Rows of a cache of windows and the number of each source: ``(row_id, item, start, source, needs_motion)``, ``(source, n)``.
 
     ``over`` times ``capacity`` windows are planned, as some fail; those that were decoded (``ok``) fill the rows in order
-    until the cache is full. Windows whose motion is not exact are marked. The plan is what bounds the ordered rows.
+    until the cache is full. Windows whose motion is not exact are marked. Plans are ranked over range partitions: a cache of
+    any capacity is never one task's.
     """
-    planned = plans.orderBy(*order).limit(int(capacity * over))
-    line = Window.orderBy(*order)
-    rows = planned.where("ok").withColumn("row_id", F.row_number().over(line) - 1).where(F.col("row_id") < capacity)
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    ranked = with_running(plans.withColumn("ok", ok), order, {"filled": F.col("ok").cast("long")}, "at")
+    rows = ranked.where(F.col("ok") & (F.col("at") <= int(capacity * over)) & (F.col("filled") <= capacity))
+    rows = rows.withColumn("row_id", (F.col("filled") - 1).cast("int"))
     rows = rows.select("row_id", "item", "start", "source", (F.coalesce("mv_quality", F.lit(0.0)) < 1.0).alias("needs_motion"))
     return rows, rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -50,16 +50,54 @@ def with_running(
     )
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float, name: str) -> DataFrame:
+def grouped_running(
+    df: DataFrame, keys: list[str], order: list[Column], sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
+    maxima_before: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Add running ``sums`` and ``maxima`` of each group's rows in ``order``, this row included, and ``maxima_before`` without it.
+
+    A group may be the whole table: rows are range-partitioned by keys and order and run through inside their partition; what
+    a group's rows in earlier partitions come to is one row a partition at most, which is broadcast. Nulls do not
+    count; a maximum of none is null; null keys are a group. ``order`` must leave no ties that matter.
+    """
+    sums, maxima, earlier = dict(sums or {}), dict(maxima or {}), dict(maxima_before or {})
+    takes = {k: (c, F.sum) for k, c in sums.items()} | {k: (c, F.max) for k, c in (maxima | earlier).items()}
+    marks = {f"__v_{k}": c for k, (c, _) in takes.items()}
+    groups = [F.col(f"__g{i}") for i in range(len(keys))]
+    rows = df.withColumns(marks | {f"__g{i}": F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key")) for i, k in enumerate(keys)})
+    rows = scratch_table(rows.repartitionByRange(*groups, *order).withColumn("__p", F.spark_partition_id()), "group-ranges")
+    inside = Window.partitionBy("__p", *groups).orderBy(*order)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"__i_{k}": take(f"__v_{k}").over(before if k in earlier else upto) for k, (_, take) in takes.items()})
+    totals = rows.groupBy("__p", *groups).agg(F.lit(1).alias("__one"), *[take(f"__v_{k}").alias(f"__t_{k}") for k, (_, take) in takes.items()])
+    past = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    carried = totals.select("__p", *groups, F.sum("__one").over(past).alias("__goes_on"), *[take(f"__t_{k}").over(past).alias(f"__c_{k}") for k, (_, take) in takes.items()])
+    carried = carried.where("__goes_on IS NOT NULL").withColumnsRenamed({"__p": "__q"} | {f"__g{i}": f"__h{i}" for i in range(len(keys))})
+    same = F.col("__p") == F.col("__q")
+    for i in range(len(keys)):
+        same = same & (F.col(f"__g{i}") == F.col(f"__h{i}"))
+    out = out.join(F.broadcast(carried), same, "left")  # a partition's first group goes on, others begin there
+
+    def value(k: str) -> Column:
+        if k in sums:
+            return F.coalesce(F.col(f"__c_{k}"), F.lit(0)) + F.coalesce(F.col(f"__i_{k}"), F.lit(0))
+        return F.greatest(f"__c_{k}", f"__i_{k}")
+
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in takes], *[value(k).alias(k) for k in takes])
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float | Column, name: str) -> DataFrame:
     """``keys`` and ``name``: the exact quantile of each group's values with linear interpolation; nulls do not count.
 
+    ``point`` may be an expression over the keys.
+
     Equal values are counted first; the distinct ones are ranked over range partitions, so that a group of any size, or
     the whole table (no keys), is never held by one task. Null keys are a group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     counts = scratch_table(with_running(counts, [*[F.col(k) for k in keys], F.col("__v")], {"__upto": F.col("__c")}, "__rank"), "value-counts")
     whole = counts.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.max("__upto").alias("__end"))
-    at = F.lit(float(point)) * (F.col("__end") - F.col("__start") - 1)
+    at = (point if isinstance(point, Column) else F.lit(float(point))) * (F.col("__end") - F.col("__start") - 1)
     whole = whole.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__start", F.floor(at).alias("__low"), F.ceil(at).alias("__high"), (at - F.floor(at)).alias("__part"))
     same = F.lit(True)
     for k in keys:

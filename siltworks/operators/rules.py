@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.numbers import clamp, known
-from siltworks.operators.prefix import group_quantiles
+from siltworks.operators.prefix import group_quantiles, grouped_running
+from siltworks.scratch import scratch_table
 
 #: Limits of the quality filter.
 FILTER = {"min_side": 256, "min_std": 8.0, "max_letterbox": 0.35, "min_sharpness_still": 20.0, "min_sharpness_seq": 5.0}
@@ -58,28 +58,25 @@ def edge_rule(cos: Column, ham: Column, dham: Column, cells: Column, textured: C
     return rule.when(exact, "exact_hash").otherwise("")
 
 
-def worst(scores: DataFrame, value: str, name: str, high: bool = True) -> DataFrame:
-    """One row: the most duplicate-like negative, the extreme hard one or the 99.9th percentile of the random ones."""
-    rand = group_quantiles(scores.where("kind <> 'hard'"), [], value, 0.999 if high else 0.001, "__rand")
-    hard = scores.where("kind = 'hard'").agg((F.max if high else F.min)(F.col(value).cast("double")).alias("__hard"))
-    pick = F.greatest if high else F.least
-    return rand.join(F.broadcast(hard)).select(pick("__rand", "__hard").alias(name))  # two single rows
-
-
 def calibrate(scores: DataFrame, retrieval_recall: float = 0.98) -> DataFrame:
     """One row of thresholds from ``label, kind, cosine, hamming, cells`` scores of copies and negatives.
 
     Kinds of copies are ``light`` and ``heavy``, of negatives ``random`` and ``hard``.
     """
-    pos, neg = scores.where("label = 1"), scores.where("label = 0")
-    rows = [
-        group_quantiles(pos, [], "cosine", 1 - retrieval_recall, "low_cosine"),
-        group_quantiles(pos.where("kind = 'light'"), [], "hamming", 0.95, "light_hamming"),
-        worst(neg, "cosine", "worst_cosine"),
-        worst(neg, "cells", "worst_cells"),
-        worst(neg, "hamming", "worst_hamming", high=False),
-    ]
-    row = reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # single rows
+    random, hard = "label = 0 AND kind <> 'hard'", "label = 0 AND kind = 'hard'"
+    wanted = {
+        "low_cosine": ("cosine", "label = 1", 1 - retrieval_recall), "light_hamming": ("hamming", "label = 1 AND kind = 'light'", 0.95),
+        "worst_cosine": ("cosine", random, 0.999), "worst_cells": ("cells", random, 0.999), "worst_hamming": ("hamming", random, 0.001),
+    }
+    # All quantiles from one order of (name, value); they are five rows.
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.expr(when), F.col(c).cast("double")).alias("x")) for n, (c, when, _) in wanted.items()]))
+    values = scores.select(values.alias("v")).select("v.*").where("x IS NOT NULL")
+    point = F.coalesce(*[F.when(F.col("name") == n, F.lit(float(p))) for n, (_, _, p) in wanted.items()])
+    row = group_quantiles(values, ["name"], "x", point, "q").groupBy().agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in wanted])
+    extreme = lambda take, c: take(F.when(F.expr(hard), F.col(c).cast("double")))
+    ends = scores.agg(extreme(F.max, "cosine").alias("__cosine"), extreme(F.max, "cells").alias("__cells"), extreme(F.min, "hamming").alias("__hamming"))
+    row = row.join(F.broadcast(ends))  # single rows
+    row = row.withColumns({f"worst_{c}": pick(f"worst_{c}", f"__{c}") for c, pick in (("cosine", F.greatest), ("cells", F.greatest), ("hamming", F.least))})
     row = row.select(
         clamp(F.col("low_cosine"), 0.5, 0.9).alias("t_ret"),
         clamp(F.col("worst_cosine") + 0.03, 0.92, 0.995).alias("t_strong"),
@@ -121,10 +118,10 @@ def gate(available: Column, score: Column, plain: Column, threshold: float, plai
 def post_hoc_gate(facts: DataFrame, keys: Sequence[str], method: str, tested: str, baseline: str, metric: str, order: str) -> DataFrame:
     """Samples of ``tested`` that equal the baseline exactly are gated: ``keys, sid, gated`` for each.
 
-    Samples are numbered by ``order`` inside keys and method; equality of floats is intended.
+    Samples are numbered by ``order`` inside keys and method, however many there are; equality of floats is intended.
     """
-    line = Window.partitionBy(*keys, method).orderBy(order)
-    rows = facts.withColumn("sid", (F.row_number().over(line) - 1).cast("long"))
+    counted = grouped_running(facts, [*keys, method], [F.col(order)], {"sid": F.lit(1).cast("long")})
+    rows = scratch_table(counted.withColumn("sid", F.col("sid") - 1), "numbered-samples")
     left = rows.where(F.col(method) == tested).select(*keys, "sid", F.col(metric).alias("x"))
     right = rows.where(F.col(method) == baseline).select(*keys, "sid", F.col(metric).alias("y"))
     return left.join(right, [*keys, "sid"]).select(*keys, "sid", (F.col("x") == F.col("y")).alias("gated"))

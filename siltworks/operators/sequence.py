@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.operators.prefix import group_quantiles, with_running
+from siltworks.operators.prefix import group_quantiles, grouped_running, with_running
 from siltworks.operators.recurrence import blended_frames
 from siltworks.operators.skew import attach_by_key
 from siltworks.scratch import scratch_table
@@ -83,19 +83,21 @@ def blended(df: DataFrame, key: str, order: str, value: str, low: float, high: f
 
 
 def reset_segments(df: DataFrame, keys: Sequence[str], order: str, reset: Column) -> DataFrame:
-    """Rows with ``segment``: how many resets have come, this row included."""
-    line = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("segment", F.sum(F.when(reset, 1).otherwise(0)).over(line))
+    """Rows with ``segment``: how many resets have come, this row included. A sequence may be of any length."""
+    return grouped_running(df, list(keys), [F.col(order)], {"segment": F.when(reset, 1).otherwise(0).cast("long")})
 
 
 def diverged(df: DataFrame, run: str, step: str, value: Column, patience: int) -> DataFrame:
-    """The first step of each run at which the value had not been finite for ``patience`` checks in a row."""
+    """The first step of each run at which the value had not been finite for ``patience`` checks in a row.
+
+    How many checks have gone by is counted, and the count at the last finite one carried on; a run may be of any length.
+    """
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    line = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.select(run, step, bad.alias("bad")).withColumn("good", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(line))
-    inside = Window.partitionBy(run, "good").orderBy(step)
-    marked = marked.where("bad").withColumn("length", F.row_number().over(inside))
-    return marked.where(F.col("length") >= patience).groupBy(run).agg(F.min(step).alias("stopped_at"))
+    marked = df.select(run, step, bad.alias("bad"))
+    counted = grouped_running(marked, [run], [F.col(step)], {"at": F.lit(1).cast("long")})
+    counted = grouped_running(counted, [run], [F.col(step)], maxima={"good_at": F.when(~F.col("bad"), F.col("at"))})
+    late = counted.where(F.col("bad") & (F.col("at") - F.coalesce("good_at", F.lit(0)) >= patience))
+    return late.groupBy(run).agg(F.min(step).alias("stopped_at"))
 
 
 def rate_at(progress: Column, base: float, warmup: float, floor: float) -> Column:

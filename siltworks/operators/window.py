@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.numbers import known
+from siltworks.operators.prefix import grouped_running
 
 
 def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, total: int | None = None) -> DataFrame:
@@ -37,16 +38,13 @@ def best_row(df: DataFrame, keys: Sequence[str], column: str, order: str) -> Dat
 
 
 def running_best(df: DataFrame, keys: Sequence[str], column: str, order: str) -> DataFrame:
-    """Best value so far and whether a row improves on all before it (strictly: the first of ties keeps it)."""
-    line = Window.partitionBy(*keys).orderBy(order)
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns(
-        {
-            "best": F.max(known(F.col(column).cast("double"))).over(upto),
-            "improved": F.coalesce(F.col(column) > F.max(known(F.col(column).cast("double"))).over(before), F.col(column).isNotNull()),
-        }
-    )
+    """Best value so far and whether a row improves on all before it (strictly: the first of ties keeps it).
+
+    A sequence may be of any length.
+    """
+    value = known(F.col(column).cast("double"))
+    out = grouped_running(df, list(keys), [F.col(order)], maxima={"best": value}, maxima_before={"__last": value})
+    return out.withColumn("improved", F.coalesce(F.col(column) > F.col("__last"), F.col(column).isNotNull())).drop("__last")
 
 
 def sliding_windows(df: DataFrame, length: str, size: int, stride: int | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.prefix import with_running
+
 
 def write_metrics(df: DataFrame, path: str, form: str = "csv") -> None:
     """A table of metrics as CSV with a header, or as JSON lines."""
@@ -35,9 +37,9 @@ def with_summary(df: DataFrame, group: str, name: str, metrics: Sequence[str], l
 
 
 def bounded_cache(df: DataFrame, key: str, capacity: int) -> DataFrame:
-    """The first ``capacity`` rows by key with their ``row_id``."""
-    line = Window.orderBy(key)
-    return df.orderBy(key).limit(capacity).withColumn("row_id", F.row_number().over(line) - 1)
+    """The first ``capacity`` rows by key with their ``row_id``, ranked over range partitions whatever the capacity."""
+    ranked = with_running(df, [F.col(key)], {}, "row_id")
+    return ranked.where(F.col("row_id") <= capacity).withColumn("row_id", (F.col("row_id") - 1).cast("int"))
 
 
 def next_version(cache: DataFrame, computed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
