@@ -202,3 +202,69 @@ def spectrum_losses(spark, sf_dir):
     other = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", F.pmod(i * 5, F.lit(64))))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), other.cast("array<double>").alias("b"))
     return media.with_losses(e, "a", "b", 8).select("vec_id", F.round("spectrum", 6).alias("spectrum"))
+
+
+def _doubles(spark, sf_dir, *extra):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), *extra)
+
+
+def _marked(c):
+    """One number of a flat array that tells its order too."""
+    return F.round(F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 5).alias("marked")
+
+
+@query(
+    "jitter_upsampled", "G9",
+    """WITH p AS (SELECT vec_id, unnest(range(0, 256)) AS i, embedding AS e FROM embeddings),
+    s AS (SELECT *, least(greatest((i % 16 + 0.5::DOUBLE) / 2 - (vec_id % 4 * 0.25::DOUBLE - 0.375) - 0.5, 0), 7) AS sx, least(greatest((i // 16 + 0.5::DOUBLE) / 2 - (vec_id % 3 * 0.25::DOUBLE - 0.25) - 0.5, 0), 7) AS sy FROM p),
+    g AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy, least(floor(sx)::INT + 1, 7) AS x1, least(floor(sy)::INT + 1, 7) AS y1 FROM s)
+    SELECT vec_id, round(sum((i + 1) * ((e[y0 * 8 + x0 + 1]::DOUBLE * (1 - fx) + e[y0 * 8 + x1 + 1]::DOUBLE * fx) * (1 - fy) + (e[y1 * 8 + x0 + 1]::DOUBLE * (1 - fx) + e[y1 * 8 + x1 + 1]::DOUBLE * fx) * fy)), 5) AS marked FROM g GROUP BY vec_id""",
+)
+def jitter_upsampled(spark, sf_dir):
+    """Vectors as 8 x 8 renders with a jitter of their own, on a grid twice as fine."""
+    k = F.col("vec_id")
+    e = _doubles(spark, sf_dir, F.array((k % 4) * 0.25 - 0.375, (k % 3) * 0.25 - 0.25).alias("jitter"))
+    up = lambda v, j: resample.jitter_upsample(v.reshape(8, 8), (j[0], j[1]), 2)
+    return resample.with_plane(e, ["v", "jitter"], up, "fine").select("vec_id", _marked("fine"))
+
+
+@query(
+    "depth_normals", "G9",
+    """WITH p AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding AS e FROM embeddings),
+    g AS (SELECT vec_id, i, (e[(i // 8) * 8 + least(i % 8 + 1, 7) + 1]::DOUBLE - e[(i // 8) * 8 + greatest(i % 8 - 1, 0) + 1]::DOUBLE) * 8 AS gx,
+      (e[least(i // 8 + 1, 7) * 8 + i % 8 + 1]::DOUBLE - e[greatest(i // 8 - 1, 0) * 8 + i % 8 + 1]::DOUBLE) * 8 AS gy FROM p)
+    SELECT vec_id, round(sum((-gx * (3 * i + 1) - gy * (3 * i + 2) + (3 * i + 3)) / sqrt(gx * gx + gy * gy + 1)), 5) AS marked FROM g GROUP BY vec_id""",
+)
+def depth_normals(spark, sf_dir):
+    normals = resample.with_plane(_doubles(spark, sf_dir), ["v"], lambda v: resample.depth_normals(v.reshape(8, 8)), "normals")
+    return normals.select("vec_id", _marked("normals"))
+
+
+@query(
+    "fine_flows", "G9 G6",
+    """WITH p AS (SELECT vec_id, unnest(range(0, 192)) AS i, embedding AS e FROM embeddings),
+    s AS (SELECT *, least(i // 2 // 12, 7) AS yy, least(i // 2 % 12, 15) AS xx, i % 2 AS c FROM p),
+    t AS (SELECT *, least(greatest((least(yy, 7) + 0.5::DOUBLE) / 2 - 0.5, 0), 3) AS sy, least(greatest((least(xx, 9) + 0.5::DOUBLE) / 2 - 0.5, 0), 4) AS sx FROM s),
+    g AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy, least(floor(sx)::INT + 1, 4) AS x1, least(floor(sy)::INT + 1, 3) AS y1 FROM t)
+    SELECT vec_id, round(sum((i + 1) * 2 * ((e[(y0 * 5 + x0) * 2 + c + 1]::DOUBLE * (1 - fx) + e[(y0 * 5 + x1) * 2 + c + 1]::DOUBLE * fx) * (1 - fy) + (e[(y1 * 5 + x0) * 2 + c + 1]::DOUBLE * (1 - fx) + e[(y1 * 5 + x1) * 2 + c + 1]::DOUBLE * fx) * fy)), 5) AS marked FROM g GROUP BY vec_id""",
+)
+def fine_flows(spark, sf_dir):
+    """The first 4 x 5 x 2 numbers of a vector as a field, twice as fine and padded to multiples of four: 8 x 12."""
+    fine = lambda v: resample.pad_to(resample.upsample_flow(v[:40].reshape(4, 5, 2), 2), 4)
+    return resample.with_plane(_doubles(spark, sf_dir), ["v"], fine, "flow").select("vec_id", _marked("flow"))
+
+
+@query(
+    "full_clips", "D12",
+    """WITH c AS (SELECT vec_id // 4 AS clip, 3 - vec_id % 4 AS frame, embedding AS e FROM embeddings), n AS (SELECT clip FROM c GROUP BY clip HAVING count(*) = 4),
+    f AS (SELECT clip, frame, e, list_transform(range(0, 24), lambda i: e[(i // 6 + 2) * 8 + i % 6 + 2]::DOUBLE) AS image, list_transform(range(0, 48), lambda i: CASE WHEN frame = 0 THEN 0 ELSE e[((i // 12 + 2) * 8 + i % 12 // 2 + 1) % 32 * 2 + i % 2 + 1]::DOUBLE END) AS flow FROM c)
+    SELECT clip, 4 AS n, 2 AS y, 1 AS x, true AS exact, round(sum((frame + 1) * list_sum(list_transform(range(0, 24), lambda i: image[i + 1] * (i + 1)))), 5) AS images,
+      round(sum((frame + 1) * list_sum(list_transform(range(0, 48), lambda i: flow[i + 1] * (i + 1)))), 5) AS flows FROM f WHERE clip IN (SELECT clip FROM n) GROUP BY clip""",
+)
+def full_clips(spark, sf_dir):
+    """Vectors as clips of four 8 x 8 frames with a field of the same numbers twice, played backwards, the middle 4 x 6 of each."""
+    k = F.col("vec_id")
+    e = _doubles(spark, sf_dir).select(F.floor(k / 4).alias("clip"), (k % 4).alias("at"), F.col("v").alias("image"), F.concat("v", "v").alias("flow"))
+    clips = resample.full_clips(e, "clip", "at", 4, 8, (4, 6))
+    total = lambda plane: F.round(F.aggregate("frames", F.lit(0.0), lambda s, f: s + (f["frame"] + 1) * F.aggregate(F.transform(f[plane], lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v)), 5)
+    return clips.select("clip", F.size("frames").alias("n"), "y", "x", "exact", total("image").alias("images"), total("flow").alias("flows"))
