@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.operators import degrade, features, images, jpeg, media, recurrence, resample
+from siltworks.operators import costs, degrade, features, images, jpeg, media, recurrence, resample
 from siltworks.plans.registry import duck_draw, query
 from siltworks.scratch import scratch_path, scratch_table
 from siltworks.ship import ship_code
@@ -268,3 +268,26 @@ def full_clips(spark, sf_dir):
     clips = resample.full_clips(e, "clip", "at", 4, 8, (4, 6))
     total = lambda plane: F.round(F.aggregate("frames", F.lit(0.0), lambda s, f: s + (f["frame"] + 1) * F.aggregate(F.transform(f[plane], lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v)), 5)
     return clips.select("clip", F.size("frames").alias("n"), "y", "x", "exact", total("image").alias("images"), total("flow").alias("flows"))
+
+
+@query(
+    "graph_costs", "N5",
+    """WITH RECURSIVE p AS (SELECT p_partkey // 8 AS model, p_partkey % 8 AS node, p_partkey % 32 + 1 AS c, p_size + 8 AS h FROM part),
+    r(model, i, hs, ws, cs, macs, params) AS (SELECT model, 0::BIGINT, [h::BIGINT], [16::BIGINT], [c::BIGINT], 0.0::DOUBLE, 0::BIGINT FROM p WHERE node = 0 UNION ALL
+      SELECT model, j, list_append(hs, ho), list_append(ws, wo), list_append(cs, co), macs + CASE WHEN j IN (3, 6) THEN 0 WHEN j = 7 THEN hi * wi * ci * co * 9.0 ELSE ho * wo * ci * co * 9.0 END,
+        params + CASE WHEN j IN (3, 6) THEN 0 ELSE ci * co * 9 + co END FROM (
+        SELECT *, CASE j WHEN 4 THEN (hi + 1) // 2 WHEN 7 THEN hi * 2 ELSE hi END AS ho, CASE j WHEN 4 THEN (wi + 1) // 2 WHEN 7 THEN wi * 2 ELSE wi END AS wo, CASE WHEN j IN (3, 6) THEN ci ELSE c END::BIGINT AS co FROM (
+          SELECT r.*, p.c, i + 1 AS j, hs[i + 1] AS hi, ws[i + 1] AS wi, CASE i + 1 WHEN 3 THEN cs[3] + cs[1] WHEN 6 THEN cs[6] + cs[5] ELSE cs[i + 1] END AS ci FROM r JOIN p ON p.model = r.model AND p.node = r.i + 1)))
+    SELECT model, max(i) + 1 AS layers, round(max(macs) / 1e9, 9) AS gmac, max(params) AS parameters FROM r GROUP BY model""",
+)
+def graph_costs(spark, sf_dir):
+    """Parts as layers of networks of eight, with two branches that join again."""
+    ops = ("input", "conv", "conv", "concat", "conv", "conv", "concat", "deconv")
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(
+        F.floor(k / 8).alias("model"), (k % 8).alias("node"), F.element_at(F.array(*map(F.lit, ops)), (k % 8 + 1).cast("int")).alias("op"), (k % 32 + 1).alias("c_out"),
+        F.lit(3).alias("kernel"), F.when((k % 8).isin(4, 7), 2).otherwise(1).alias("stride"), F.lit(1).alias("groups"), (F.col("p_size") + 8).alias("height"), F.lit(16).alias("width"),
+    )
+    leads = F.explode(F.when(F.col("node") == 3, F.array(F.lit(2), F.lit(0))).when(F.col("node") == 6, F.array(F.lit(5), F.lit(4))).otherwise(F.array((F.col("node") - 1).cast("int"))))
+    edges = nodes.where("node > 0").select("model", F.col("node").alias("dst"), leads.alias("src"))
+    return costs.graph_costs(nodes, edges).select("model", "layers", F.round("gmac", 9).alias("gmac"), "parameters")
