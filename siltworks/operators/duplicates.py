@@ -35,20 +35,38 @@ def scored_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return out.drop(*[f"__{c}_{end}" for c in ("embedding", "ph", "dh", "textured") for end in ("a", "b")])
 
 
+def hash_pair_counts(near: DataFrame, on: DataFrame) -> DataFrame:
+    """``hamming, n``: for pairs of hashes ``x, y``, how many pairs of frames of different groups they stand for, at each distance.
+
+    From the sizes of hashes and of their groups, no pair of frames is made: a hash that many frames share counts in one
+    row. ``on`` is ``k, grp, ph``; frames without a group are one group.
+    """
+    sizes = scratch_table(on.groupBy("ph", F.struct(F.col("grp").isNull().alias("none"), "grp").alias("g")).agg(F.count(F.lit(1)).alias("m")), "hash-groups")
+    whole = scratch_table(sizes.groupBy("ph").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("squares")), "hash-sizes")
+    within = whole.select(F.lit(0).alias("hamming"), ((F.col("m") * F.col("m") - F.col("squares")) / 2).cast("long").alias("n"))
+    x, y = whole.select(F.col("ph").alias("x"), F.col("m").alias("mx")), whole.select(F.col("ph").alias("y"), F.col("m").alias("my"))
+    across = near.join(x, "x").join(y, "y").select("hamming", (F.col("mx") * F.col("my")).alias("n"))
+    gx, gy = sizes.select(F.col("ph").alias("x"), "g", F.col("m").alias("mx")), sizes.select(F.col("ph").alias("y"), "g", F.col("m").alias("my"))
+    common = near.join(gx, "x").join(gy, ["y", "g"]).select("hamming", (-F.col("mx") * F.col("my")).alias("n"))
+    return within.unionByName(across).unionByName(common).groupBy("hamming").agg(F.sum("n").alias("n"))
+
+
 def hash_candidates(frames: DataFrame, n_items: int, limits: Mapping[str, float], per_item: float, within: int) -> DataFrame:
     """Pairs ``a, b`` of textured frames of different groups within the adaptive radius of their first hashes.
 
-    Equal hashes are compared once; their frames are joined to the pairs by hash, so a pair costs a row only if its
-    ends are in different groups. The radius falls from ``h_cand`` to ``h_least`` while there are too many.
+    Equal hashes are compared once. The radius falls from ``h_cand`` to ``h_least`` while there are too many pairs, which are counted
+    from the sizes of hashes and groups (``hash_pair_counts``); only then are the hashes within it paired out.
     """
     on = scratch_table(frames.where("textured").select("k", "grp", "ph"), "textured")
-    reps = hamming_join(on, "k", "ph", int(limits["h_cand"]), within)
-    pairs = expand_copies(scratch_table(reps, "hash-pairs"), on, "k", "ph")
+    edges = scratch_table(hamming_join(on, "k", "ph", int(limits["h_cand"]), within), "hash-pairs")
+    reps = scratch_table(on.where("ph IS NOT NULL").groupBy("ph").agg(F.min("k").alias("rep")), "hash-first")
+    near = edges.join(reps.select(F.col("rep").alias("a"), F.col("ph").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("ph").alias("y")), "b")
+    counts = hash_pair_counts(scratch_table(near.select("x", "y", "hamming"), "near-hashes"), on.where("ph IS NOT NULL"))
+    radius = adaptive_radius(counts, n_items, int(limits["h_least"]), int(limits["h_cand"]), per_item)
+    pairs = expand_copies(edges.where(F.col("hamming") <= radius), on, "k", "ph")
     groups = on.select("k", "grp")
     pairs = pairs.join(groups.select(F.col("k").alias("a"), F.col("grp").alias("ga")), "a").join(groups.select(F.col("k").alias("b"), F.col("grp").alias("gb")), "b")
-    pairs = scratch_table(pairs.where(~F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b", "hamming"), "hash-candidates")
-    radius = adaptive_radius(pairs, n_items, int(limits["h_least"]), int(limits["h_cand"]), per_item)
-    return pairs.where(F.col("hamming") <= radius).select("a", "b")
+    return pairs.where(~F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b")
 
 
 def find_duplicates(

@@ -91,9 +91,11 @@ def calibrate(scores: DataFrame, retrieval_recall: float = 0.98) -> DataFrame:
 def adaptive_radius(pairs: DataFrame, n_items: int, h_exact: int, h_cand: int, per_item: int = 20) -> int:
     """The largest radius up to ``h_cand`` with at most ``per_item * n_items`` pairs, but ``h_exact`` at least.
 
-    Pairs are counted by distance once; that gives what searches with falling radii would find.
+    Pairs are counted by distance once; that gives what searches with falling radii would find. A row of ``pairs`` is a pair,
+    or as many as its column ``n`` says.
     """
-    counts = {r["hamming"]: r["n"] for r in pairs.groupBy("hamming").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
+    many = F.sum("n") if "n" in pairs.columns else F.count(F.lit(1))
+    counts = {r["hamming"]: r["n"] or 0 for r in pairs.groupBy("hamming").agg(many.alias("n")).collect()}  # 65 rows at most
     radius = h_cand
     while radius > h_exact and sum(n for h, n in counts.items() if h <= radius) > per_item * n_items:
         radius -= 1

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators import features, images, joins, media, prefix, sequence
+from siltworks.operators import duplicates, features, images, joins, media, prefix, sequence
 from siltworks.plans import catalogue, queries_vision
 
 
@@ -219,3 +219,25 @@ def test_losses_of_missing_images(spark):
     assert out[1][0] == pytest.approx(2.0) and out[1][2] > 0 and out[2] == (None, None, None)
     same = media.batches_of(df.select("k"), lambda b: b.assign(k=b["k"] * 2), "k long")
     assert sorted(r["k"] for r in same.collect()) == [2, 4] and same.agg(F.sum("k")).first()[0] == 6
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    rng = np.random.default_rng(12)
+    base = [int(x) for x in rng.integers(0, 1 << 30, 6)]
+    rows = [(i, None if i % 9 == 0 else i % 5, base[0] if i < 60 else base[i % 6] ^ (1 << (i % 4)) if i % 3 else base[i % 6]) for i in range(150)] + [(900, 1, None)]
+    df = spark.createDataFrame(rows, "k long, grp long, ph long").withColumn("textured", F.lit(True))
+    want = {}
+    for i, (a, g, x) in enumerate(rows):
+        for b, h, y in rows[i + 1 :]:
+            if x is not None and y is not None and g != h and bin(x ^ y).count("1") <= 6:
+                want[min(a, b), max(a, b)] = bin(x ^ y).count("1")
+    near = [(x, y, bin(x ^ y).count("1")) for x in set(r[2] for r in rows if r[2] is not None) for y in set(r[2] for r in rows if r[2] is not None) if x < y and bin(x ^ y).count("1") <= 6]
+    counts = duplicates.hash_pair_counts(spark.createDataFrame(near, "x long, y long, hamming int"), df.where("ph IS NOT NULL"))
+    got = {r["hamming"]: r["n"] for r in counts.collect() if r["n"]}
+    assert got == {d: sum(v == d for v in want.values()) for d in set(want.values())}
+    for most in (10**9, 12, 1):
+        radius = 6
+        while radius > 1 and sum(v <= radius for v in want.values()) > most:
+            radius -= 1
+        pairs = duplicates.hash_candidates(df, 1, {"h_least": 1, "h_cand": 6}, most, 30)
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == {p for p, d in want.items() if d <= radius}
