@@ -20,12 +20,17 @@ FILTERS = ("bicubic", "bilinear", "area")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def noise(seed: int, n: int) -> np.ndarray:
-    """``n`` normal numbers that follow from a 64-bit seed alone: two uniform ones each, by mixing the seed with a counter."""
-    z = np.uint64(seed % (1 << 64)) + _ODD * np.arange(1, 2 * n + 1, dtype=np.uint64)
+def uniforms(seed: int, n: int) -> np.ndarray:
+    """``n`` numbers in [0, 1) that follow from a 64-bit seed alone, by mixing it with a counter."""
+    z = np.uint64(seed % (1 << 64)) + _ODD * np.arange(1, n + 1, dtype=np.uint64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def noise(seed: int, n: int) -> np.ndarray:
+    """``n`` normal numbers that follow from a seed alone, each of two uniform ones."""
+    u = uniforms(seed, 2 * n)
     return np.sqrt(-2 * np.log1p(-u[:n])) * np.cos(2 * np.pi * u[n:])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.operators import costs, degrade, features, images, jpeg, media, recurrence, resample
+from siltworks.operators import costs, degrade, features, images, jpeg, media, recurrence, resample, stills
 from siltworks.plans.registry import duck_draw, query
 from siltworks.scratch import scratch_path, scratch_table
 from siltworks.ship import ship_code
@@ -291,3 +291,22 @@ def graph_costs(spark, sf_dir):
     leads = F.explode(F.when(F.col("node") == 3, F.array(F.lit(2), F.lit(0))).when(F.col("node") == 6, F.array(F.lit(5), F.lit(4))).otherwise(F.array((F.col("node") - 1).cast("int"))))
     edges = nodes.where("node > 0").select("model", F.col("node").alias("dst"), leads.alias("src"))
     return costs.graph_costs(nodes, edges).select("model", "layers", F.round("gmac", 9).alias("gmac"), "parameters")
+
+
+@query("still_cache", "K2 P6 F5")
+def still_cache(spark, sf_dir):
+    """Vectors as 8 x 8 images, pieces of 5 x 5 at a drawn scale: a cache for a third of all pieces. No SQL, tested by plain loops."""
+    grey = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 500)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("image"))
+    return stills.still_cache(e, "vec_id", "image", 8, e.count(), 5, 3, 7, (0.6, 1.0), 30.0)
+
+
+@query("lengths_in_batches", "D10", "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n, len(list_distinct(string_split(coalesce(text, ''), ' ')))::BIGINT AS words FROM documents")
+def lengths_in_batches(spark, sf_dir):
+    """A function of data frames over all rows, batch by batch, as an ordered thread map does on one machine."""
+
+    def count(batch: pd.DataFrame) -> pd.DataFrame:
+        texts = [t or "" for t in batch["text"]]
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(t) for t in texts], "words": [len(set(t.split(" "))) for t in texts]})
+
+    return media.batches_of(table(spark, sf_dir, "documents").select("doc_id", "text"), count, "doc_id bigint, n bigint, words bigint")

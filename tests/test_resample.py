@@ -4,8 +4,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siltworks.operators import costs, resample
+from siltworks.functions.hashing import draw
+from siltworks.operators import costs, resample, stills
+from siltworks.plans import catalogue
 from tests.test_vision import _direct
 
 
@@ -100,3 +103,41 @@ def test_graph_costs_by_hand(spark):
     totals = {r["model"]: (r["layers"], r["parameters"]) for r in costs.graph_costs(n, e).collect()}
     assert totals["n"] == (2, 230) and totals["m"][0] == 8
     assert costs.graph_shapes(n.where("false"), e).count() == 0
+
+
+def _uniform(seed, n):
+    mask, out = (1 << 64) - 1, []
+    for i in range(1, n + 1):
+        z = (seed + 0x9E3779B97F4A7C15 * i) & mask
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        out.append(((z ^ (z >> 31)) >> 11) / 2**53)
+    return out
+
+
+def test_still_cache_by_plain_loops(spark, sf_dir):
+    """Every image's pieces, tried in order; images in drawn order; the first so many fill the cache."""
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    facts = spark.createDataFrame([(k,) for k in rows], "k long").select("k", F.xxhash64(F.lit(7), "k").alias("s"), draw(F.col("k"), 7).alias("u")).collect()
+    out = catalogue.QUERIES["still_cache"](spark, sf_dir).orderBy("row_id").collect()
+    want = []
+    for r in sorted(facts, key=lambda r: (r["u"], r["k"])):
+        image = np.abs(np.array(rows[r["k"]], float)).reshape(8, 8) * 500
+        u = _uniform(r["s"] % 2**64, 19)
+        n = math.floor(8 * min(1.0, max(0.6 + 0.4 * u[0], 5 * 1.02 / 8)) + 0.5)
+        small = np.clip(_direct(image, n, n, "lanczos"), 0, 255)
+        taken = 0
+        for i in range(9):
+            y, x = int(u[1 + 2 * i] * (n - 4)), int(u[2 + 2 * i] * (n - 4))
+            piece = small[y : y + 5, x : x + 5]
+            if taken < 3 and piece.std() >= 30:
+                taken += 1
+                want.append((r["k"], y, x, piece))
+        if len(want) >= len(rows):
+            break
+    assert [r["row_id"] for r in out] == list(range(len(rows))) and len(want) >= len(rows)
+    for r, (k, y, x, piece) in zip(out, want):
+        assert (r["vec_id"], r["y"], r["x"]) == (k, y, x) and np.allclose(r["crop"], piece.ravel()) and r["std"] == pytest.approx(piece.std())
+    odd = spark.createDataFrame([(1, None), (2, [5.0] * 16), (3, [float(i * 37 % 200) for i in range(64)])], "k long, v array<double>").where("k <> 2 OR v IS NOT NULL")
+    kept = stills.still_cache(odd, "k", "v", 8, 100, 5, 2, 1, least=1.0).collect()
+    assert {r["k"] for r in kept} == {3} and len(kept) == 2
