@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import hashing, vectors
 from siltworks.operators import arrays, joins, rules, sampling, sequence, split
 from siltworks.operators.graph import component_stars
+from siltworks.operators.prefix import with_running
 from siltworks.operators.skew import attach_by_key
 from siltworks.plans.registry import duck_bucket, duck_draw, query
 from siltworks.scratch import scratch_table
@@ -437,9 +438,19 @@ def hash_sample(spark, sf_dir):
     return sampling.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 21)
 
 
-@query("sampled_pairs", "P2", f"SELECT id, floor({duck_draw(chr(39) + '3/a/' + chr(39) + ' || id')} * 777)::BIGINT AS a, floor({duck_draw(chr(39) + '3/b/' + chr(39) + ' || id')} * 777)::BIGINT AS b FROM (SELECT unnest(range(0, 500)) AS id)")
+@query(
+    "sampled_pairs", "P2",
+    f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents), o AS (SELECT row_number() OVER () - 1 AS id FROM orders),
+    p AS (SELECT id, floor({duck_draw("'3/a/' || id")} * n)::BIGINT AS i, floor({duck_draw("'3/b/' || id")} * n)::BIGINT AS j FROM o, (SELECT max(n) AS n FROM d))
+    SELECT id, x.doc_id AS a, y.doc_id AS b FROM p JOIN d x ON x.at = i JOIN d y ON y.at = j""",
+)
 def sampled_pairs(spark, sf_dir):
-    return sampling.sample_pairs(spark, 777, 500, 3)
+    """As many pairs of documents, drawn with replacement, as there are orders."""
+    docs = scratch_table(with_running(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], {}, "at"), "numbered-documents")
+    pairs = sampling.sample_pairs(spark, docs.count(), table(spark, sf_dir, "orders").count(), 3)
+    for side in ("a", "b"):
+        pairs = pairs.withColumnRenamed(side, "__at").join(docs.select(F.col("doc_id").alias(side), (F.col("at") - 1).alias("__at")), "__at").drop("__at")
+    return pairs.select("id", "a", "b")
 
 
 @query("mixture_classes", "P5 F13", f"SELECT doc_id, CASE WHEN u < 0.5 THEN 'slow' WHEN u < 0.8 THEN 'mid' ELSE 'fast' END AS speed, CASE WHEN w >= 0.25 THEN n_chars END AS kept FROM (SELECT doc_id, n_chars, {duck_draw(chr(39) + '8/' + chr(39) + ' || doc_id')} AS u, {duck_draw(chr(39) + '6/' + chr(39) + ' || doc_id')} AS w FROM documents)")
@@ -456,12 +467,14 @@ def picked_frames(spark, sf_dir):
 
 @query(
     "halton_jitter", "P7",
-    """WITH RECURSIVE h(i, k, b, f, r) AS (SELECT i, i % 16 + 1, b, 1.0::DOUBLE, 0.0::DOUBLE FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest([2, 3]) AS b) UNION ALL SELECT i, k // b, b, f / b, r + f / b * (k % b) FROM h WHERE k > 0),
-    e AS (SELECT i, b, r FROM h WHERE k = 0) SELECT i AS id, round(max(r) FILTER (b = 2) - 0.5, 9) AS x, round(max(r) FILTER (b = 3) - 0.5, 9) AS y FROM e GROUP BY i""",
+    """WITH RECURSIVE h(i, k, b, f, r) AS (SELECT i, i + 1, b, 1.0::DOUBLE, 0.0::DOUBLE FROM (SELECT unnest(range(0, 16)) AS i), (SELECT unnest([2, 3]) AS b) UNION ALL SELECT i, k // b, b, f / b, r + f / b * (k % b) FROM h WHERE k > 0),
+    e AS (SELECT i, b, r FROM h WHERE k = 0), j AS (SELECT i, round(max(r) FILTER (b = 2) - 0.5, 9) AS x, round(max(r) FILTER (b = 3) - 0.5, 9) AS y FROM e GROUP BY i)
+    SELECT event_id, x, y FROM events JOIN j ON event_id % 16 = i""",
 )
 def halton_jitter(spark, sf_dir):
-    j = spark.range(64).select("id", sampling.jitter(F.col("id")).alias("j"))
-    return j.select("id", F.round("j.x", 9).alias("x"), F.round("j.y", 9).alias("y"))
+    """Events as frames, each with the offset of its number."""
+    j = table(spark, sf_dir, "events").select("event_id", sampling.jitter(F.col("event_id")).alias("j"))
+    return j.select("event_id", F.round("j.x", 9).alias("x"), F.round("j.y", 9).alias("y"))
 
 
 @query(
