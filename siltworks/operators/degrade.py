@@ -136,6 +136,9 @@ def with_temporal_loss(df: DataFrame, out: str, ref: str, motion: str, valid: st
     return slim.mapInArrow(run, T.StructType([*[slim.schema[c] for c in keep], T.StructField("temporal", T.DoubleType())]))
 
 
-def charbonnier(a: Column, b: Column, epsilon: float = 1e-3) -> Column:
-    """Aggregate: the mean of a smooth absolute difference."""
-    return F.avg(F.sqrt((a - b) * (a - b) + epsilon * epsilon))
+def flow_distance(a: Column, b: Column) -> Column:
+    """The mean distance of two flat fields (x, y, ...) of equal size, pixel by pixel; null where either is null or a component is."""
+    gap = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    pixels = F.sequence(F.lit(0), (F.size(a) / 2).cast("int") - 1)
+    total = F.aggregate(F.transform(pixels, lambda i: F.sqrt(F.get(gap, 2 * i) + F.get(gap, 2 * i + 1))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(a.isNotNull() & b.isNotNull(), total / (F.size(a) / 2))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siltworks.operators import costs, degrade, features, images, jpeg, media, recurrence, resample, stills
+from siltworks.operators import batches, costs, degrade, features, images, jpeg, media, recurrence, resample, stills
 from siltworks.plans.registry import duck_draw, query
 from siltworks.scratch import scratch_path, scratch_table
 from siltworks.ship import ship_code
@@ -310,3 +310,38 @@ def lengths_in_batches(spark, sf_dir):
         return pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(t) for t in texts], "words": [len(set(t.split(" "))) for t in texts]})
 
     return media.batches_of(table(spark, sf_dir, "documents").select("doc_id", "text"), count, "doc_id bigint, n bigint, words bigint")
+
+
+@query("render_samples", "G6 P7")
+def render_samples(spark, sf_dir):
+    """Vectors as cached windows of four 8 x 8 frames, with motion, validity and depth at half that size. No SQL, tested by plain loops."""
+    k, v = F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(k / 4).alias("clip"), (k % 4).alias("frame"), v.alias("v"))
+    w = e.select(
+        "clip", "frame", F.transform("v", lambda x: F.least(F.lit(1.0), F.abs(x) * 2)).alias("image"), F.slice("v", 1, 32).alias("flow"),
+        F.transform(F.slice("v", 33, 16), lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("valid"), F.when(F.col("clip") % 3 != 0, F.slice("v", 49, 16)).alias("depth"),
+    )
+    return batches.render_samples(w, "clip", "frame", 8, 1, 2, 11)
+
+
+@query(
+    "frame_roles", "G6 P5",
+    f"""WITH d AS (SELECT doc_id, {duck_draw("'12/extrap/' || doc_id")} < 0.4 AS e, {duck_draw("'12/many/' || doc_id")} < 0.5 AS m, {duck_draw("'12/second/' || doc_id")} < 0.5 AS s FROM documents)
+    SELECT doc_id, e AS extrap, NOT e AND m AS many, CASE WHEN NOT e AND m THEN 3 ELSE 2 END AS i1, CASE WHEN e THEN 3 WHEN m AND s THEN 2 ELSE 1 END AS target,
+      round(CASE WHEN e THEN 1.5 WHEN m AND s THEN 2.0 / 3 WHEN m THEN 1.0 / 3 ELSE 0.5 END::DOUBLE, 9) AS tau FROM d""",
+)
+def frame_roles(spark, sf_dir):
+    r = table(spark, sf_dir, "documents").select("doc_id", batches.frame_roles(F.col("doc_id"), 12, 0.4, 0.5).alias("r"))
+    return r.select("doc_id", "r.extrap", "r.many", "r.i1", "r.target", F.round("r.tau", 9).alias("tau"))
+
+
+@query(
+    "flow_distances", "M8",
+    """SELECT a.vec_id, round(list_sum(list_transform(range(0, 32), lambda i: sqrt(pow(a.embedding[2 * i + 1]::DOUBLE - b.embedding[2 * i + 1]::DOUBLE, 2) + pow(a.embedding[2 * i + 2]::DOUBLE - b.embedding[2 * i + 2]::DOUBLE, 2)))) / 32, 6) AS distance
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1""",
+)
+def flow_distances(spark, sf_dir):
+    """Vectors as estimated motion of an output against that of the frame before it: the input of a flow-based temporal metric."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("clip"), "vec_id", F.col("embedding").alias("flow"))
+    both = degrade.neighbouring(e, "clip", "vec_id", ["flow"])
+    return both.select("vec_id", F.round(degrade.flow_distance(F.col("flow"), F.col("flow_before")), 6).alias("distance"))
