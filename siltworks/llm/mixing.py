@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.scale import scratch_table
+from siltworks.llm.scale import filter_bits, may_repeat, repeat_filter, scratch_table
 from siltworks.llm.text import words
 
 SHARE = 1.5
@@ -135,11 +135,25 @@ def mix_sources(
     length count whole; an empty table gives an empty table; other columns pass through, clashing names are
     replaced.
     """
-    added = ["source_size", "target", "copies", "taken"]
-    rows = df.drop(*added).withColumn("__size", F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)))
-    slim = scratch_table(
-        rows.select(F.col(id_col).alias("id"), F.col("__size").alias("size"), F.col(source_col).alias("source")), "sizes"
-    )
+    rows = df.drop(*ADDED).withColumn("__size", _size(F.col(size_col)))
+    slim = rows.select(F.col(id_col).alias("id"), F.col("__size").alias("size"), F.col(source_col).alias("source"))
+    facts, picks = _decided(scratch_table(slim, "sizes"), weights, share, max_copies, seed)
+    out = _picked(rows, picks, id_col, source_col)
+    return _with_copies(out, facts, id_col, source_col, max_copies, seed, [c for c in df.columns if c not in ADDED])
+
+
+ADDED = ["source_size", "target", "copies", "taken"]
+
+
+def _size(words: Column) -> Column:
+    return F.greatest(F.coalesce(words.cast("long"), F.lit(0)), F.lit(0))
+
+
+def _decided(slim: DataFrame, weights: Sequence[int], share: float, max_copies: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The facts of each source, and the documents at its cut that are taken: ``__s, __i, __z`` (source, id, size).
+
+    ``slim`` is ``id, size, source``. Who is taken else follows from the facts and a document's own rank.
+    """
     targets = source_targets(slim, weights, share, max_copies)
     counts = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     targets = _on_source(targets, counts).withColumn("mean", F.expr("source_size div n")).drop("n")
@@ -206,18 +220,25 @@ def mix_sources(
     picks = scratch_table(picks.unionByName(ends), "all-picks")
 
     picks = picks.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("size").alias("__z"), F.lit(1).alias("__pick"))
-    facts = cuts.select(F.col("source").alias("__source"), *[F.col(c).alias(c if c in added else f"__{c}") for c in ("source_size", "target", "mean", "merit_words", "cut_bin")])
+    facts = cuts.select(F.col("source").alias("__source"), *[F.col(c).alias(c if c in ADDED else f"__{c}") for c in ("source_size", "target", "mean", "merit_words", "cut_bin")])
+    return facts, picks
+
+
+def _picked(rows: DataFrame, picks: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """Rows with ``__pick``, 1 for those that are picks, else null. Rows meet picks by source, id and size."""
+    mine = F.col(source_col).eqNullSafe(F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__z"))
+    return rows.join(picks, mine, "left").drop("__s", "__i", "__z")
+
+
+def _with_copies(rows: DataFrame, facts: DataFrame, id_col: str, source_col: str, max_copies: int, seed: int, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``ADDED`` of rows that have ``__size`` and ``__pick``."""
     out = rows.join(facts, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    mine = (
-        F.col(source_col).eqNullSafe(F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__z"))
-    )
-    out = out.join(picks, mine, "left")
     copies = expected_copies(F.col("target"), F.col("source_size"), merit(F.col("__size"), F.col("__mean")), F.col("__merit_words"), max_copies)
     out = out.withColumn("__expected", copies).withColumn("__certain", F.floor("__expected").cast("long"))
     here = _bin(_rank(F.col(id_col), F.col("__expected") - F.col("__certain"), seed))
     more = F.when((here < F.col("__cut_bin")) | F.col("__pick").isNotNull(), 1).otherwise(0)
     out = out.withColumn("copies", F.col("__certain") + more).withColumn("taken", F.col("copies") * F.col("__size"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *added)
+    return out.select(*[F.col(f"`{c}`") for c in keep], *ADDED)
 
 
 def _on_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -234,15 +255,28 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as it was taken, with the columns of ``docs``, whatever their names."""
+    """The mix itself: each document as many times as it was taken, with the columns of ``docs``, whatever their names.
+
+    All is decided on ids, sizes and sources. Texts stay where they are: a Bloom filter of the documents picked at the cuts (bounded) is
+    broadcast, and only what it lets through meets them by join.
+    """
     own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
-    sized = own.withColumn("__words", F.size(words(F.col("__doc_text"))).cast("long"))
-    out = mix_sources(sized, "__doc_doc_id", "__words", "__doc_source")
+    sized = lambda rows: rows.withColumn("__size", _size(F.size(words(F.col("__doc_text")))))
+    slim = sized(own).select(F.col("__doc_doc_id").alias("id"), F.col("__size").alias("size"), F.col("__doc_source").alias("source"))
+    facts, picks = _decided(scratch_table(slim, "sizes"), WEIGHTS, SHARE, MAX_COPIES, SEED)
+    bits = filter_bits(max(1, picks.count()))
+    blocks = scratch_table(repeat_filter(picks.select(F.xxhash64("__s", "__i").alias("h")), "h", bits, 1), "picked-bits")
+    marked = may_repeat(own.withColumn("__h", F.xxhash64("__doc_source", "__doc_doc_id")), "__h", blocks, bits, "__maybe")
+    straight = sized(marked.where(~F.col("__maybe"))).withColumn("__pick", F.lit(None).cast("int"))
+    told = _picked(sized(marked.where("__maybe")), picks, "__doc_doc_id", "__doc_source")
+    out = straight.unionByName(told)
+    out = _with_copies(out, facts, "__doc_doc_id", "__doc_source", MAX_COPIES, SEED, own.columns)
     # No copies make no rows. A filter on copies would repeat their whole expression, in a method too large to compile.
     out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])
 
 
+
 ORACLE = f"""
 WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siltworks.llm import bpe, mixing, warc
+from siltworks.llm.text import words
 
 
 def test_targets_share_the_excess(spark):
@@ -253,3 +254,33 @@ def test_stages_keep_long_texts_whole(spark, sf_dir):
     kept = corpus_pipeline.distinct_enough(spark, clean, sf_dir)
     assert rows_of(kept, "doc_id") == [(0,), (3,)]
     assert {r["decoded_sha256"] for r in corpus_pipeline.tokens(spark, kept, sf_dir).collect()} == {hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()}
+
+
+def test_texts_of_the_mix_do_not_shuffle(spark):
+    """Documents come out as often as the report says; those behind the filter are told apart without a join."""
+    rows = [(i, "word " * (1 + i * 7 % 40), ["a", "b", None][i % 3], i) for i in range(600)] + [(5, "word " * 36, None, 9), (5, "word " * 36, None, 9), (None, "x y", "a", 1), (None, None, "b", 2), (700, "", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    key = lambda r: (str(r["doc_id"]), r["source"] or "", r["size"])
+    want = {}
+    for r in mixing.mix_sources(docs.withColumn("size", F.size(words(F.col("text"))))).collect():
+        want[key(r)] = want.get(key(r), 0) + r["copies"]
+    mixed = mixing.mixed_documents(docs)
+    got = {}
+    for r in mixed.withColumn("size", F.size(words(F.col("text")))).collect():
+        got[key(r)] = got.get(key(r), 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and mixed.columns == docs.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mixed_documents(docs)
+        plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+        again = {}
+        for r in mixed.withColumn("size", F.size(words(F.col("text")))).collect():
+            again[key(r)] = again.get(key(r), 0) + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert again == got and "Union" in plan
+    # picks are joined below the union, on the one side that the filter lets through
+    below = plan.split("Union", 1)[1]
+    assert below.count("__pick") > 0 and plan.split("Union", 1)[0].count("__i") == 0
