@@ -7,10 +7,7 @@ from collections.abc import Callable
 #: Interface and what it needs.
 NEEDS = {
     "decode_video": "a video decoder",
-    "decode_compressed_image": "a decoder of lossy formats; PNG and binary maps are read by operators.images",
     "embed_images": "an image embedding model; operators take embeddings as a nullable column",
-    "local_features": "a feature detector",
-    "resample_window": "an image resampler; crops of whole pixels are cut by operators.images",
     "optical_flow": "a flow network",
     "perceptual_distance": "a perceptual metric network",
     "render_scene": "a renderer",
