@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.prefix import group_quantiles
+from siltworks.scratch import scratch_table
 from siltworks.ship import ship_code
 
 #: Fixed value: the tag that a Middlebury flow file begins with.
@@ -117,14 +119,18 @@ def invert_affine(m: Column) -> Column:
 
 
 def detail_mask(pixels: DataFrame, image: str, x: str, y: str, value: str, share: float = 0.85) -> DataFrame:
-    """Pixels with ``detail``: a gradient at or above the ``share`` quantile of the image's gradients."""
+    """Pixels with ``detail``: a gradient at or above the ``share`` quantile of the image's gradients.
+
+    An image may have any number of pixels. Its gradients are often a bit or two apart, so the quantile is that of SQL to
+    the last bit (``group_quantiles``).
+    """
     from pyspark.sql import Window
 
     along, down = Window.partitionBy(image, y).orderBy(x), Window.partitionBy(image, x).orderBy(y)
     gx = F.coalesce(F.lead(value).over(along) - F.col(value), F.lit(0.0))
     gy = F.coalesce(F.lead(value).over(down) - F.col(value), F.lit(0.0))
-    edges = pixels.withColumn("gradient", F.sqrt(gx * gx + gy * gy))
-    cut = edges.groupBy(image).agg(F.percentile("gradient", share).alias("cut"))
+    edges = scratch_table(pixels.withColumn("gradient", F.sqrt(gx * gx + gy * gy)), "gradients")
+    cut = group_quantiles(edges, [image], "gradient", share, "cut", to_compare=True)
     return edges.join(cut, image).withColumn("detail", F.col("gradient") >= F.col("cut")).drop("cut")
 
 

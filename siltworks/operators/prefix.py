@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.scratch import scratch_table
+from siltworks.ship import ship_code
 
 
 def with_running(
@@ -86,10 +89,18 @@ def grouped_running(
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in takes], *[value(k).alias(k) for k in takes])
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float | Column, name: str) -> DataFrame:
+def _between(low: pd.Series, high: pd.Series, part: pd.Series) -> pd.Series:
+    """``low * (1 - part) + high * part`` where the first product and the sum are rounded once, as DuckDB's quantiles are."""
+    one = lambda x, y, p: x if x == y else float(Fraction(x) * Fraction(1 - p) + Fraction(y * p))
+    three = zip(low, high, part, strict=True)
+    return pd.Series([None if pd.isna(x) else one(x, y, p) if abs(x) < float("inf") > abs(y) else x + (y - x) * p for x, y, p in three], dtype="float64")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float | Column, name: str, to_compare: bool = False) -> DataFrame:
     """``keys`` and ``name``: the exact quantile of each group's values with linear interpolation; nulls do not count.
 
-    ``point`` may be an expression over the keys.
+    ``point`` may be an expression over the keys. With ``to_compare`` the last bit is that of DuckDB's ``quantile_cont``:
+    between values a bit or two apart it decides which of them reach the quantile.
 
     Equal values are counted first; the distinct ones are ranked over range partitions, so that a group of any size, or
     the whole table (no keys), is never held by one task. Null keys are a group.
@@ -106,4 +117,8 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float | C
     first = F.col("__upto") - F.col("__c") - F.col("__start")
     holds = lambda c: (first <= F.col(c)) & (F.col(c) < first + F.col("__c"))
     low, high = F.max(F.when(holds("__low"), F.col("__v"))), F.max(F.when(holds("__high"), F.col("__v")))
-    return placed.groupBy(*keys).agg((low + (high - low) * F.max("__part")).alias(name))
+    if not to_compare:
+        return placed.groupBy(*keys).agg((low + (high - low) * F.max("__part")).alias(name))
+    ship_code(df.sparkSession)
+    ends = placed.groupBy(*keys).agg(low.alias("__a"), high.alias("__b"), F.max("__part").alias("__p"))
+    return ends.select(*keys, F.pandas_udf(_between, "double")("__a", "__b", "__p").alias(name))  # a row a group
