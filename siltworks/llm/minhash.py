@@ -3,6 +3,7 @@
 One hash function orders all shingles; a document's sketch is its ``SKETCH`` smallest hash values. Inverted
 lists of the ``LISTED`` smallest generate pairs that share values, the sketch of the pair's union estimates
 their similarity, and full shingle sets confirm each link that is used. Equal sets are one vertex throughout.
+Members of a list meet one of them first; only those that this leaves in different components are paired.
 
 A value that very many sets retain (a common passage, a large group of near copies) has a *hot* list, which is
 never paired out. Its members meet instead under pairs of hot values, which leaves lists of a common passage
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ from siltworks.operators.graph import component_stars
 
 #: Values of a sketch, and those of them that enter inverted lists.
 SKETCH, LISTED = 128, 16
-#: Lists up to this length are paired out.
+#: Lists up to this length are paired out between components.
 SHORT = 32
 #: Lowest hot values that form keys of two, and keys under which a set of a hot list meets hubs.
 HOT_VALUES, HOT_KEYS = 12, 4
@@ -203,11 +204,27 @@ class _Search:
         least = F.least(F.lit(SHARED), F.size("x"), F.size("y"))
         return both.where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
-    def paired(self, members: DataFrame, key: str) -> DataFrame:
-        """Pairs of members of one list whose sizes fit."""
-        a = members.select(key, F.col("v").alias("a"), F.col("n").alias("na"))
-        b = members.select(key, F.col("v").alias("b"), F.col("n").alias("nb"))
-        return a.join(b, key).where((F.col("a") < F.col("b")) & self.sizes_fit("na", "nb")).select("a", "b")
+    def with_hub(self, members: DataFrame) -> DataFrame:
+        """Members of short lists with their list's ``hub``, the member of the least number."""
+        return members.withColumn("hub", F.min(F.struct("v", "n")).over(Window.partitionBy("key")))
+
+    def hub_pairs(self, members: DataFrame) -> DataFrame:
+        """Each member of a short list with its hub, if their sizes fit."""
+        met = members.where((F.col("v") != F.col("hub.v")) & self.sizes_fit("n", "hub.n"))
+        return met.select(F.col("v").alias("a"), F.col("hub.v").alias("b"))
+
+    def paired(self, members: DataFrame, stars: DataFrame) -> DataFrame:
+        """Pairs of members of one short list that ``stars`` leave in different components, if their sizes fit.
+
+        A list that lies in one component has none, however long; pairs with the hub were looked at before.
+        """
+        rooted = members.join(stars.select(F.col("vertex").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        parts = Window.partitionBy("key")
+        rooted = rooted.withColumns({"first": F.min("root").over(parts), "last": F.max("root").over(parts)}).where("first <> last")
+        rooted = scratch_table(rooted.select("key", "v", "n", "root", (F.col("v") == F.col("hub.v")).alias("is_hub")).where("NOT is_hub"), "open-short")
+        a = rooted.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        b = rooted.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & self.sizes_fit("na", "nb")).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked: first by union sketch, then by full sets."""
@@ -278,18 +295,25 @@ def _twos(hot: Column) -> Column:
 
 
 def near_duplicate_links(search: _Search) -> DataFrame:
-    """Confirmed links ``a, b`` between distinct sets, enough to join every class."""
+    """Confirmed links ``a, b`` between distinct sets, enough to join every class.
+
+    First every member of a list meets the list's hub. Near copies of one text are one component then, and only members of
+    different components are still paired: a list has its square of pairs (of ``SHORT``) where nothing in it is alike.
+    """
     values = search.sets.select("v", "n", F.explode("low").alias("value"))
     listed = _by_length(values, "value", LISTED * max(1, search.n_sets))
-    pairs = search.paired(listed.where(F.col("f") <= SHORT), "value")
-
     hot = _hot_members(search, listed)
     keyed = hot.select("v", "n", F.explode(_twos(F.col("hot"))).alias("key"))
     keyed = _by_length(keyed, "key", max(1, hot.count()) * NEXT * HOT_VALUES)
-    pairs = pairs.unionByName(search.paired(keyed.where(F.col("f") <= SHORT), "key"))
     crowd = keyed.where(F.col("f") > SHORT).select("v", "n", "key")
-    pairs = scratch_table(search.possible(pairs.unionByName(_hub_pairs(search, crowd, hot))), "pairs")
-    links = search.confirmed(pairs)
+    short = listed.where(F.col("f") <= SHORT).select(F.col("value").alias("key"), "v", "n")
+    short = short.unionByName(keyed.where(F.col("f") <= SHORT).select("key", "v", "n"))
+    short = scratch_table(search.with_hub(short), "short-lists")
+
+    met = search.hub_pairs(short).unionByName(_hub_pairs(search, crowd, hot))
+    links = search.confirmed(scratch_table(search.possible(met), "hub-pairs"))
+    stars = scratch_table(component_stars(links), "hub-stars")
+    links = links.unionByName(search.confirmed(scratch_table(search.possible(search.paired(short, stars)), "pairs")))
     members = _unsettled(crowd, links)
     if members.limit(1).count():
         links = links.unionByName(search.confirmed(_rest_pairs(search, members)))
