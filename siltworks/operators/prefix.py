@@ -96,16 +96,18 @@ def _between(low: pd.Series, high: pd.Series, part: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else one(x, y, p) if abs(x) < float("inf") > abs(y) else x + (y - x) * p for x, y, p in three], dtype="float64")
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, point: float | Column, name: str, to_compare: bool = False) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, keys: list[str], value: str, point: float | Column, name: str, to_compare: bool = False, times: str | None = None
+) -> DataFrame:
     """``keys`` and ``name``: the exact quantile of each group's values with linear interpolation; nulls do not count.
 
-    ``point`` may be an expression over the keys. With ``to_compare`` the last bit is that of DuckDB's ``quantile_cont``:
+    ``point`` may be an expression over the keys; a row counts ``times`` times, or once. With ``to_compare`` the last bit is that of DuckDB's ``quantile_cont``:
     between values a bit or two apart it decides which of them reach the quantile.
 
     Equal values are counted first; the distinct ones are ranked over range partitions, so that a group of any size, or
     the whole table (no keys), is never held by one task. Null keys are a group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("__c"))
     counts = scratch_table(with_running(counts, [*[F.col(k) for k in keys], F.col("__v")], {"__upto": F.col("__c")}, "__rank"), "value-counts")
     whole = counts.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.max("__upto").alias("__end"))
     at = (point if isinstance(point, Column) else F.lit(float(point))) * (F.col("__end") - F.col("__start") - 1)

@@ -113,48 +113,90 @@ def frame_pacing(costs: DataFrame, sr_ms: float, fg_ms: float, cpu_ms: float, pr
     A frame's period is the slower of CPU and GPU; its input is sampled when the last period ends. Generated frames
     come before the real one (``interp``, which holds it for half a period) or after it (``extrap``, whose camera
     may be sampled late). Statistics are means and 95th percentiles; the first tenth of the shown frames does
-    not count for the frame rate. Frames of one number are in order of their cost. Running sums, order and
-    quantiles are over range partitions: a run of any length is not one task's.
+    not count for the frame rate. Frames of one number are in order of their cost.
+
+    What follows a frame's input depends on its cost alone, so latencies are those of the distinct costs, counted. Frames are
+    put in order once, over range partitions, so a run of any length is not one task's.
+    """
+    keys = ["run", "mode"]
+    costs = costs.where("run IS NOT NULL").select("run", "frame", "render_ms")
+    values = scratch_table(costs.groupBy("run", "render_ms").agg(F.count(F.lit(1)).alias("n")), "cost-counts")
+    values = values.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    real, made = _shown_after(F.col("mode"), sr_ms, fg_ms, cpu_ms, present_ms)
+    # Nine decimals keep equal latencies of different sums equal.
+    values = values.withColumns({"real": F.round(real, 9), "made": F.round(made, 9)})
+    late = F.when(F.col("mode") == "extrap_late", F.lit(fg_ms + present_ms)).otherwise(F.col("made"))
+    camera = F.when(F.col("mode") == "native", F.array("real")).when(F.col("mode") == "interp", F.array("made")).otherwise(F.array(F.col("real"), late))
+    game = values.select(*keys, "n", F.col("real").alias("x"))
+    seen = values.select(*keys, "n", F.explode(camera).alias("x"))
+    shown = values.select(*keys, "n", F.explode(F.array("real", "made")).alias("x"))
+    mean = lambda rows, name: rows.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias(name))
+    out = [
+        mean(game, "game_latency_ms"), group_quantiles(game, keys, "x", 0.95, "game_latency_p95_ms", times="n"), mean(seen, "camera_latency_ms"),
+        group_quantiles(seen, keys, "x", 0.95, "camera_latency_p95_ms", times="n"), mean(shown, "content_age_ms"),
+        _shown_gaps(costs, sr_ms, fg_ms, cpu_ms, present_ms),
+    ]
+    return reduce(lambda a, b: a.join(b, keys), out)
+
+
+def _shown_after(mode: Column, sr_ms: float, fg_ms: float, cpu_ms: float, present_ms: float) -> tuple[Column, Column]:
+    """How long after its input the real and the generated frame (null for ``native``) of a cost are shown."""
+    ready = F.lit(cpu_ms) + F.col("render_ms") + sr_ms
+    half = F.greatest(F.lit(cpu_ms), F.col("render_ms") + sr_ms + fg_ms) / 2
+    real = F.when(mode == "interp", ready + fg_ms + present_ms + half).otherwise(ready + present_ms)
+    made = F.when(mode == "interp", ready + fg_ms + present_ms).when(mode != "native", ready + present_ms + half)
+    return real, made
+
+
+def _shown_gaps(costs: DataFrame, sr_ms: float, fg_ms: float, cpu_ms: float, present_ms: float) -> DataFrame:
+    """``run, mode, displayed_fps, frame_gap_cv`` of the times between shown frames.
+
+    A gap is a matter of two neighbouring costs as long as frames are shown in their order: the modes that generate frames have the
+    same gaps then. A frame much cheaper than the one before can be shown before that one's generated frame; where
+    there is one, or a cost that is no number, all shown frames are ordered by their times.
     """
+    r, last = F.col("render_ms"), F.col("last.render_ms")
+    period = lambda cost, extra: F.greatest(F.lit(cpu_ms), cost + sr_ms + extra)
+    native, first, second = period(last, 0.0) + r - last, period(last, fg_ms) / 2 + r - last, period(r, fg_ms) / 2
+    ranked = with_running(costs, [F.col("run"), F.col("frame"), r], lags={"last": F.struct("run", "render_ms")})
+    follows = F.coalesce(F.col("last.run") == F.col("run"), F.lit(False))
+    ordered = (F.abs(r) < float("inf")) & (second >= 0) & (~follows | ((native >= 0) & (first >= 0)))
+    spans = ranked.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.min(F.coalesce(ordered, F.lit(False))).alias("ordered")
+    )
+    spans = scratch_table(spans, "runs")
+    if spans.where("NOT ordered").limit(1).count():
+        return _gaps_by_time(costs, sr_ms, fg_ms, cpu_ms, present_ms)
+    placed = ranked.join(F.broadcast(spans), "run").withColumn("at", F.col("rank") - F.col("first"))  # a row a run
+    drop = lambda shown: F.floor(F.col("n") * shown / 10)
+    gap = lambda generated, value, at, shown: F.struct(F.lit(generated).alias("generated"), F.when(at > drop(shown), value).alias("gap"))
+    gaps = placed.select("run", F.inline(F.array(
+        gap(False, native, F.col("at"), 1), gap(True, first, 2 * F.col("at"), 2), gap(True, second, 2 * F.col("at") + 1, 2)
+    ))).where("gap IS NOT NULL")
+    paced = gaps.groupBy("run", "generated").agg(*_pace())
+    modes = F.when(F.col("generated"), F.array(*[F.lit(m) for m in MODES[1:]])).otherwise(F.array(F.lit(MODES[0])))
+    return paced.select("run", F.explode(modes).alias("mode"), "displayed_fps", "frame_gap_cv")
+
+
+def _pace() -> list[Column]:
+    return [(F.lit(1000.0) / F.avg("gap")).alias("displayed_fps"), (F.stddev_pop("gap") / F.avg("gap")).alias("frame_gap_cv")]
+
+
+def _gaps_by_time(costs: DataFrame, sr_ms: float, fg_ms: float, cpu_ms: float, present_ms: float) -> DataFrame:
+    """``_shown_gaps`` for frames shown in any order: all of all modes are ordered by their times."""
     keys = ["run", "mode"]
-    modes = F.explode(F.array(*[F.lit(m) for m in MODES]))
-    rows = costs.select("run", "frame", "render_ms", modes.alias("mode"))
+    rows = costs.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
     gpu = F.col("render_ms") + sr_ms + F.when(F.col("mode") == "native", 0.0).otherwise(fg_ms)
     rows = rows.withColumn("period", F.greatest(F.lit(cpu_ms), gpu))
     rows = scratch_table(with_running(rows, [F.col("run"), F.col("mode"), F.col("frame"), F.col("render_ms")], {"upto": F.col("period")}), "frame-periods")
     starts = rows.groupBy(*keys).agg(F.min(F.col("upto") - F.col("period")).alias("start"))
     rows = rows.join(F.broadcast(starts), keys).withColumn("t", F.col("upto") - F.col("period") - F.col("start"))  # a row a run and mode
-    ready = F.col("t") + cpu_ms + F.col("render_ms") + sr_ms
-    real = F.when(F.col("mode") == "interp", ready + fg_ms + present_ms + F.col("period") / 2).otherwise(ready + present_ms)
-    made = F.when(F.col("mode") == "interp", ready + fg_ms + present_ms).when(
-        F.col("mode") != "native", ready + present_ms + F.col("period") / 2
-    )
-    rows = scratch_table(rows.withColumns({"real": real, "made": made}).select(*keys, "t", "real", "made"), "frame-times")
-    late = F.when(F.col("mode") == "extrap_late", F.lit(fg_ms + present_ms)).otherwise(F.col("made") - F.col("t"))
-    camera = F.when(F.col("mode") == "native", F.array(F.col("real") - F.col("t"))).when(
-        F.col("mode") == "interp", F.array(F.col("made") - F.col("t"))
-    ).otherwise(F.array(F.col("real") - F.col("t"), late))
-    # Differences of running sums: nine decimals keep equal latencies equal.
-    game = rows.select(*keys, F.round(F.col("real") - F.col("t"), 9).alias("x"))
-    seen = rows.select(*keys, F.explode(camera).alias("x")).withColumn("x", F.round("x", 9))
-    latency = game.groupBy(*keys).agg(F.avg("x").alias("game_latency_ms"))
-    cameras = seen.groupBy(*keys).agg(F.avg("x").alias("camera_latency_ms"))
-    frames = rows.select(*keys, "t", F.explode(F.array_compact(F.array("real", "made"))).alias("at"))
+    after = F.array_compact(F.array(*_shown_after(F.col("mode"), sr_ms, fg_ms, cpu_ms, present_ms)))
+    frames = rows.select(*keys, "t", F.explode(after).alias("after")).select(*keys, (F.col("t") + F.col("after")).alias("at"))
     ranked = with_running(frames, [F.col("run"), F.col("mode"), F.col("at")], lags={"last": F.col("at")})
-    ages = ranked.groupBy(*keys).agg(
-        F.avg(F.col("at") - F.col("t")).alias("content_age_ms"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")
-    )
-    ages = scratch_table(ages, "frame-ages")
-    counted = ranked.join(F.broadcast(ages), keys).where(F.col("rank") - F.col("first") > F.floor(F.col("n") / 10))  # a row a run and mode
-    gaps = counted.withColumn("gap", F.col("at") - F.col("last"))
-    paced = gaps.groupBy(*keys).agg(
-        (F.lit(1000.0) / F.avg("gap")).alias("displayed_fps"), (F.stddev_pop("gap") / F.avg("gap")).alias("frame_gap_cv")
-    )
-    out = [
-        latency, group_quantiles(game, keys, "x", 0.95, "game_latency_p95_ms"), cameras,
-        group_quantiles(seen, keys, "x", 0.95, "camera_latency_p95_ms"), ages.drop("n", "first"), paced,
-    ]
-    return reduce(lambda a, b: a.join(b, keys), out)
+    spans = scratch_table(ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "frame-ages")
+    counted = ranked.join(F.broadcast(spans), keys).where(F.col("rank") - F.col("first") > F.floor(F.col("n") / 10))  # a row a run and mode
+    return counted.withColumn("gap", F.col("at") - F.col("last")).groupBy(*keys).agg(*_pace())
 
 
 def stage_times(log: DataFrame, line: str = "value") -> DataFrame:
