@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.hashing import draw
+from siltworks.ship import ship_code
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -61,17 +64,30 @@ def jitter(index: Column, phases: int = 16) -> Column:
     return F.struct((radical_inverse(at, 2, 20) - 0.5).alias("x"), (radical_inverse(at, 3, 20) - 0.5).alias("y"))
 
 
+def _edited(text: str, prefix: str, by: float, drop: float, upper: float) -> str:
+    """A text's words, each dropped, in upper case or kept by its ``draw`` (52 bits, one hash a word)."""
+    start, lost, raised = f"{prefix}/".encode(), drop * by * (1 << 52), (drop + upper) * by * (1 << 52)
+    kept = []
+    for i, word in enumerate(text.encode().split(b" ")):
+        u = int.from_bytes(hashlib.md5(start + b"%d" % i).digest()[:7]) >> 4
+        if word and u >= lost:
+            kept.append(word.upper() if u < raised else word)  # of bytes: a-z only
+    return b" ".join(kept).decode()
+
+
 def text_copies(df: DataFrame, key: str, text: str, seed: int, drop: float = 0.05, upper: float = 0.1) -> DataFrame:
     """Light and heavy synthetic copies of texts for calibration: ``key, kind, copy``.
 
     Both lose words and have some with a-z in upper case, by a hash of key, position and seed; heavy copies three times as often.
     """
+    ship_code(df.sparkSession)
     kinds = F.explode(F.array(F.struct(F.lit("light").alias("kind"), F.lit(1.0).alias("by")), F.struct(F.lit("heavy").alias("kind"), F.lit(3.0).alias("by"))))
     rows = df.select(F.col(key), F.col(text).alias("__t"), kinds.alias("__k")).select(key, "__t", "__k.kind", "__k.by")
 
-    def edit(word: Column, at: Column) -> Column:
-        u = draw(F.concat_ws("/", F.col(key), F.col("kind"), at), seed)
-        return F.when(u < drop * F.col("by"), "").when(u < (drop + upper) * F.col("by"), F.translate(word, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(word)
+    @F.pandas_udf("string")
+    def copies(texts: pd.Series, prefixes: pd.Series, by: pd.Series) -> pd.Series:
+        found = zip(texts, prefixes, by, strict=True)
+        return pd.Series([None if t is None else _edited(t, p, b, drop, upper) for t, p, b in found], dtype=object)
 
-    words = F.transform(F.split("__t", " "), edit)
-    return rows.select(key, "kind", F.array_join(F.filter(words, lambda w: w != ""), " ").alias("copy"))
+    prefix = F.concat(F.lit(f"{seed}/"), F.concat_ws("/", F.col(key), F.col("kind")))
+    return rows.select(key, "kind", copies("__t", prefix, "by").alias("copy"))
