@@ -273,15 +273,49 @@ def _hot_members(search: _Search, listed: DataFrame) -> DataFrame:
     """
     hot = listed.where(F.col("f") > SHORT).groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("value")).alias("hot"))
     hot = scratch_table(hot.where(F.size("hot") > 1), "hot-sets")
-    n_hot = max(1, hot.count())
-    values = hot.select("v").join(search.sets.select("v", F.col("sketch").alias("some")), "v").select("v", F.explode("some").alias("value"))
-    common = scratch_table(values.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > SHORT), "common")
-    weight = attach_by_key(values, common, "value", "f", n_hot * SKETCH).groupBy("v").agg(
-        F.sum(F.log(F.coalesce("f", F.lit(1)).cast("double"))).alias("weight")
-    )
+    sketches = scratch_table(hot.select("v").join(search.sets.select("v", "sketch"), "v"), "hot-sketches")
+    weight = _weights(sketches, max(1, hot.count()))
     return scratch_table(hot.join(weight, "v"), "hot-weights")
 
 
+def _weights(sketches: DataFrame, n_sets: int) -> DataFrame:
+    """``v, weight``: the sum of the logarithms of how many of the sets ``v, sketch`` retain each value of a sketch.
+
+    Values that more than a 4096th of all retained ones equal number at most 4,096: they are summed inside each row, and only
+    others become rows. A value of ``SHORT`` sets or fewer is the set's own and weighs nothing.
+    """
+    every = sketches.select(F.explode("sketch").alias("value"))
+    common = scratch_table(every.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > SHORT), "common")
+    cut = max(512, n_sets * SKETCH // 4096)
+    top = common.where(F.col("f") > cut).orderBy("value").collect()
+    values, logs = np.array([r["value"] for r in top], np.int64), np.log(np.array([r["f"] for r in top], float))
+    summed = scratch_table(sketches.mapInArrow(_top_weight(values, logs), "v bigint, weight double, others array<bigint>"), "top-weights")
+    rest = summed.select("v", F.explode("others").alias("value")).join(common.where(F.col("f") <= cut), "value")
+    rest = rest.groupBy("v").agg(F.sum(F.log(F.col("f").cast("double"))).alias("more"))
+    return summed.join(rest, "v", "left").select("v", (F.col("weight") + F.coalesce("more", F.lit(0.0))).alias("weight"))
+
+
+def _top_weight(values: np.ndarray, logs: np.ndarray):
+    """The sum of ``logs`` over the values of a sketch that are among the sorted ``values``, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, others = [], []
+            for sketch in batch.column(1):
+                x = sketch.values.to_numpy()
+                at = np.searchsorted(values, x)
+                top = np.append(values, 0)[at] == x
+                top &= at < len(values)
+                weights.append(float(logs[at[top]].sum()))
+                others.append(x[~top])
+            ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
+            flat = np.concatenate(others) if others else np.empty(0, np.int64)
+            columns = [batch.column(0), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["v", "weight", "others"])
+
+    return run
+
+
 def _twos(hot: Column) -> Column:
     """Keys of each hot value with the next ``NEXT`` ones.
 
