@@ -44,6 +44,8 @@ SHARED = 4
 CROWD = 1_000
 #: Standard errors below the threshold at which an estimate still goes to the exact check. See the README for what that loses.
 MARGIN = 6
+#: Bits of the parity of a set, which bounds from below by how many shingles two sets differ.
+PARITY = 1_024
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -120,13 +122,21 @@ def _full_sets(size: int):
             for text in batch.column(0):
                 found = shingle_hashes(text.as_py(), size, known)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([xxhash.xxh128_digest(found.tobytes())], pa.binary()), _one_list(found)], names=["digest", "hashes"]
-                    )
+                    digest = pa.array([xxhash.xxh128_digest(found.tobytes())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digest, _one_list(found), _one_list(_parity(found))], names=["digest", "hashes", "parity"])
 
     return run
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` buckets of hashes whether it holds an odd number of them, packed in 64-bit numbers.
+
+    Common values cancel out between two sets: buckets whose parities differ hold a value of only one of them at least.
+    """
+    odd = np.bincount(found & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _one_list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
 
@@ -242,7 +252,7 @@ class _Search:
         return out
 
     def full_sets(self, involved: DataFrame) -> DataFrame:
-        """Whole shingle sets of some vertices, from the text of one document each.
+        """Whole shingle sets of some vertices, from the text of one document each, with their parities.
 
         Documents are told by id and text, so that rows without an id, or with one that repeats, are found like others.
         A Bloom filter of the wanted ones (bounded) is broadcast, so that only texts it lets through shuffle.
@@ -254,8 +264,8 @@ class _Search:
         some = may_repeat(self.docs.withColumn("__h", F.xxhash64("doc_id", "text_hash")), "__h", blocks, bits, "__in").where("__in")
         same = F.expr("s.text_hash = w.text_hash AND s.doc_id <=> w.doc_id")
         texts = some.select("doc_id", "text", "text_hash").alias("s").join(wanted.alias("w"), same, "left_semi").select("text")
-        sets = texts.mapInArrow(_full_sets(self.size), "digest binary, hashes array<bigint>").dropDuplicates(["digest"])
-        return sets.join(wanted.select("v", "digest"), "digest").select("v", "hashes")
+        sets = texts.mapInArrow(_full_sets(self.size), "digest binary, hashes array<bigint>, parity array<bigint>").dropDuplicates(["digest"])
+        return sets.join(wanted.select("v", "digest"), "digest").select("v", "hashes", "parity")
 
 
 def _by_length(members: DataFrame, key: str, n_rows: int) -> DataFrame:
@@ -406,7 +416,8 @@ def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
     shingles finds the components, in classes of like size, that have such partners. A component of one member is a
     pair. One of many is asked through its pivot: Jaccard distance is a metric, so only members whose distance from
     the pivot is within ``1 - num / den`` of the asking one's can be linked to it. Two families that overlap by less
-    than a link are told apart by one comparison a member.
+    than a link are told apart by one comparison a member. Of members in reach those whose parities differ in more places
+    than the sets of a link can are left out before pairs are made.
     """
     num, den = search.num, search.den
     bound = 1 - num / den
@@ -439,7 +450,7 @@ def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
     many = met.where("m > 1")
 
     involved = scratch_table(many.select(F.col("of").alias("root")).distinct(), "asked-components")
-    inside = sides.join(involved, "root", "left_semi").select("v", "n", "c", "root", "band")
+    inside = sides.join(involved, "root", "left_semi").select("v", "n", "c", "root", "band", "parity")
     pivots = scratch_table(inside.groupBy("root").agg(F.max_by("v", F.struct("c", "v")).alias("pivot")), "pivots")
     to_pivot = inside.select("root", "v").unionByName(many.select(F.col("of").alias("root"), F.col("x").alias("v"))).distinct()
     to_pivot = to_pivot.join(pivots, "root").select("root", F.col("v").alias("a"), F.col("pivot").alias("b"))
@@ -447,20 +458,30 @@ def _rest_pairs(search: _Search, members: DataFrame) -> DataFrame:
     near = far.where(F.col("d") <= bound + 1e-9).where("a <> b").select("a", "b")
     step = F.lit(16.0)
     stand = inside.join(far.select("root", F.col("a").alias("v"), "d"), ["root", "v"])
-    stand = stand.select("root", "band", F.floor(F.col("d") * step).alias("ring"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("d").alias("dy"))
+    stand = stand.select("root", "band", F.floor(F.col("d") * step).alias("ring"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("d").alias("dy"), F.col("parity").alias("py"))
     ask = many.select("x", "nx", F.col("of").alias("root"), "band").join(far.select("root", F.col("a").alias("x"), F.col("d").alias("dx")), ["root", "x"])
-    ask = ask.where(F.col("dx") > bound + 1e-9).join(sides.select(F.col("v").alias("x"), F.col("c").alias("cx")), "x")
+    ask = ask.where(F.col("dx") > bound + 1e-9).join(sides.select(F.col("v").alias("x"), F.col("c").alias("cx"), F.col("parity").alias("px")), "x")
     rings = F.sequence(F.floor((F.col("dx") - bound - 1e-9) * step), F.floor(F.least(F.col("dx") + bound + 1e-9, F.lit(1.0)) * step))
     ask = ask.withColumn("ring", F.explode(rings))
     close = (
         (F.abs(F.col("dx") - F.col("dy")) <= bound + 1e-9)
         & search.sizes_fit("nx", "ny")
         & (F.lit(num + den) * F.least("cx", "cy") >= F.lit(num) * (F.col("nx") + F.col("ny")))
+        & _parities_fit(num, den)
     )
     ringed = ask.join(stand, ["root", "band", "ring"]).where(close).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return scratch_table(search.possible(single.unionByName(near).unionByName(ringed)), "pairs")
 
 
+def _parities_fit(num: int, den: int) -> Column:
+    """Whether sets of ``nx`` and ``ny`` with parities ``px`` and ``py`` can be linked.
+
+    Linked ones differ in at most ``(den - num) / (num + den)`` of the sum of their sizes.
+    """
+    differ = F.aggregate(F.zip_with("px", "py", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
+    return F.lit(num + den) * differ <= F.lit(den - num) * (F.col("nx") + F.col("ny"))
+
+
 def _distances(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """``root, a, b, d``: the Jaccard distance of the full sets of each pair."""
     both = pairs.join(full.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
