@@ -15,6 +15,8 @@ from siltworks.streaming import jobs
 
 #: Side of the pictures that vectors are shown as, and the frames of a shot, which show one picture.
 SIDE, SHOT = 96, 4
+#: Pictures that one task draws and looks at: a row is small and much work, so Spark's sizes of tasks do not fit.
+TASK_PICTURES = 250
 
 
 def draw_picture(vector: np.ndarray, frame: int) -> bytes:
@@ -37,7 +39,8 @@ def pictures(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     first = e.where(F.col("vec_id") % SHOT == 0).select(F.floor(F.col("vec_id") / SHOT).alias("shot"), "embedding")
     frames = e.select(F.col("vec_id").alias("k"), F.floor(F.col("vec_id") / SHOT).alias("shot")).join(first, "shot")
-    frames = frames.repartition("k")  # a few rows are much work
+    # A number is given: by size alone adaptive execution would merge tasks.
+    frames = frames.repartition(max(spark.sparkContext.defaultParallelism, -(-e.count() // TASK_PICTURES)), "k")
     return frames.select("k", drawn("embedding", (F.col("k") % SHOT)).alias("content"))
 
 
