@@ -28,8 +28,8 @@ def draw_picture(vector: np.ndarray, frame: int) -> bytes:
     return f"P5\n{SIDE} {SIDE} 255\n".encode() + (grey[:, ::-1] if frame == SHOT - 1 else grey).tobytes()
 
 
-def pictures(spark, sf_dir):
-    """``k, content``: the picture file of every vector, drawn from the first vector of its shot."""
+def pictures(spark, sf_dir, of=None):
+    """``k, content``: the picture file of every vector, or of those with a row in ``of``, drawn from the first vector of its shot."""
     ship_code(spark)
 
     @F.pandas_udf("binary")
@@ -38,9 +38,11 @@ def pictures(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     first = e.where(F.col("vec_id") % SHOT == 0).select(F.floor(F.col("vec_id") / SHOT).alias("shot"), "embedding")
-    frames = e.select(F.col("vec_id").alias("k"), F.floor(F.col("vec_id") / SHOT).alias("shot")).join(first, "shot")
+    frames = e.select(F.col("vec_id").alias("k"), F.floor(F.col("vec_id") / SHOT).alias("shot"))
+    frames, many = (frames, e.count()) if of is None else (frames.join(of.select("k"), "k", "left_semi"), of.count())
+    frames = frames.join(first, "shot")
     # A number is given: by size alone adaptive execution would merge tasks.
-    frames = frames.repartition(max(spark.sparkContext.defaultParallelism, -(-e.count() // TASK_PICTURES)), "k")
+    frames = frames.repartition(max(spark.sparkContext.defaultParallelism, -(-many // TASK_PICTURES)), "k")
     return frames.select("k", drawn("embedding", (F.col("k") % SHOT)).alias("content"))
 
 
